@@ -50,8 +50,14 @@ def text_bytes(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+#: Limits of an Arrow batch, so that a worker holds few texts at once. They are session settings.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def arrow_map(df: DataFrame, schema: str, per_batch: Callable[[dict], Iterable[dict]]) -> DataFrame:
     """mapInArrow with batches as dicts of Arrow columns; per_batch yields dicts of arrays in the schema's order."""
+    for name, value in BATCH.items():
+        df.sparkSession.conf.set(name, value)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 

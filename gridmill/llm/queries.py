@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
+from gridmill.llm.bpe import op7_bpe_encoding
+from gridmill.llm.decontaminate import op8_benchmark_decontamination
+from gridmill.llm.embedding_dedup import op1_embedding_near_dedup
+from gridmill.llm.secrets import op6_secret_scan
+from gridmill.llm.simhash import op3_simhash_near_dedup
 from gridmill.llm.suffix_dedup import op2_suffix_array_dedup
 from gridmill.llm.window_dedup import op4_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op4_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op2_suffix_array_dedup,
+        op3_simhash_near_dedup,
+        op4_substring_dedup,
+        op6_secret_scan,
+        op7_bpe_encoding,
+        op8_benchmark_decontamination,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
