@@ -24,7 +24,7 @@ WORD_BYTE = np.ones(256, dtype=bool)
 WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
 
 #: Bytes handled at once. A longer text is cut here, with overlap; cuts only split neighbourhoods.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
