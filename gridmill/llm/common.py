@@ -54,13 +54,17 @@ def text_bytes(column: str = "text") -> F.Column:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
+def bound_batches(spark: SparkSession) -> None:
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
+
+
 def arrow_map(df: DataFrame, schema: str, per_batch: Callable[[dict], Iterable[dict]]) -> DataFrame:
     """mapInArrow with batches as dicts of Arrow columns; per_batch yields dicts of arrays in the schema's order."""
-    for name, value in BATCH.items():
-        df.sparkSession.conf.set(name, value)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    bound_batches(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

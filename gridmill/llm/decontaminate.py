@@ -98,7 +98,7 @@ def _blocks(benchmark: DataFrame, block: int) -> list[list[tuple]]:
     return blocks
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int | None = None, block: int = BLOCK) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int | None = None, block: int = BLOCK, carry: bool = False) -> DataFrame:
     """Exact occurrences of benchmark windows in documents, and with `slop` proximity matches too.
 
     docs: doc_id, text; benchmark: item_id, text. A window is `width`
@@ -107,13 +107,16 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sl
     occurrence, ascending), items (ids, as strings, of items with an
     occurrence, sorted), near_items (likewise for proximity: all words of a
     window within `slop` words of its rarest; empty without slop). Null texts
+    `carry` adds the input row as a struct, row. Null texts
     have no words; items with a null id match and are listed as "null".
     Repeated items count once; an empty benchmark hits nothing. A benchmark
     over `block` words goes over the documents in several passes.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, hits array<int>, items array<string>, near_items array<string>"
-    out = docs.select("doc_id", text_bytes().alias("text"))
+    out = docs.select("doc_id", text_bytes().alias("text"), *[F.struct(*docs.columns).alias("row")] * carry)
+    if carry:
+        schema += f", row {out.schema['row'].dataType.simpleString()}"
     blocks = _blocks(benchmark, block)
     for number, items in enumerate(blocks):
         terms, windows = benchmark_windows([(i if i is not None else "null", t) for i, t in items], width)
@@ -150,6 +153,8 @@ def _pass(rows: DataFrame, shared, schema: str, slop: int | None, first: bool, l
                 items = [i | set(o) for i, o in zip(items, old[1])]
                 near = [i | set(o) for i, o in zip(near, old[2])]
             out = {"doc_id": batch["doc_id"].slice(lo, len(part)), "n_words": shard.sizes, "hits": hits, "items": [sorted(i) for i in items], "near_items": [sorted(i) for i in near]}
+            if "row" in batch:
+                out["row"] = batch["row"].slice(lo, len(part))
             yield out if last else out | {"text": batch["text"].slice(lo, len(part))}
 
     return arrow_map(rows, schema if last else schema + ", text binary", match)

@@ -5,6 +5,10 @@ from __future__ import annotations
 from gridmill.llm.bpe import op7_bpe_encoding
 from gridmill.llm.decontaminate import op8_benchmark_decontamination
 from gridmill.llm.embedding_dedup import op1_embedding_near_dedup
+from gridmill.llm.language_model import op5_lm_scoring
+from gridmill.llm.licenses import SQL as LICENSE_SQL
+from gridmill.llm.licenses import op9_license_scan
+from gridmill.llm.quality import op10_quality_classifier
 from gridmill.llm.secrets import op6_secret_scan
 from gridmill.llm.simhash import op3_simhash_near_dedup
 from gridmill.llm.suffix_dedup import op2_suffix_array_dedup
@@ -17,10 +21,13 @@ QUERIES = {
         op2_suffix_array_dedup,
         op3_simhash_near_dedup,
         op4_substring_dedup,
+        op5_lm_scoring,
         op6_secret_scan,
         op7_bpe_encoding,
         op8_benchmark_decontamination,
+        op9_license_scan,
+        op10_quality_classifier,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op9_license_scan": LICENSE_SQL}

@@ -14,10 +14,11 @@ import re
 from collections import Counter
 from math import log2
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import arrow_map
+from gridmill.llm.common import bound_batches
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -109,6 +110,23 @@ def redacted(text: str, spans) -> str:
     return "".join(out) + text[at:]
 
 
+FOUND = "n_assign long, n_access long, n_hex long, base_spans string, spans string, redacted string"
+
+
+@F.arrow_udf(FOUND)
+def found_secrets(texts: pa.Array) -> pa.Array:
+    """What is found in each text, as a struct; a null text has no spans and stays null."""
+    names = [f.split()[0] for f in FOUND.split(", ")]
+    rows = []
+    for text in texts.to_pylist():
+        base = base_spans(text or "")
+        every = base + entropy_spans(text or "")
+        counts = [sum(s[2] == kind for s in base) for kind in ("assign", "access", "hex")]
+        rows.append((*counts, spans_text(base), spans_text(every), redacted(text, every) if text is not None else None))
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64() if n.startswith("n_") else pa.string()) for n, c in zip(names, columns)], names)
+
+
 def secret_scan(docs: DataFrame) -> DataFrame:
     """Find secrets in whole texts.
 
@@ -117,22 +135,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     (the text with spans replaced; null stays null), a row for each input row.
     Null and empty texts have no spans. Other columns are ignored.
     """
-
-    def scan(batch):
-        rows = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_spans", "spans", "redacted")}
-        for text in batch["text"].to_pylist():
-            base = base_spans(text or "")
-            every = base + entropy_spans(text or "")
-            for kind in ("assign", "access", "hex"):
-                rows[f"n_{kind}"].append(sum(s[2] == kind for s in base))
-            rows["base_spans"].append(spans_text(base))
-            rows["spans"].append(spans_text(every))
-            rows["redacted"].append(redacted(text, every) if text is not None else None)
-        yield {"doc_id": batch["doc_id"]} | rows
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_spans string, spans string, redacted string"
-    return arrow_map(docs.select("doc_id", "text"), schema, scan)
+    bound_batches(docs.sparkSession)
+    return docs.select("doc_id", found_secrets("text").alias("found")).select("doc_id", "found.*")
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.llm.bytehash import word_spans
-from gridmill.llm.common import arrow_map, connected_components, stored, text_bytes
+from gridmill.llm.common import arrow_map, connected_components, stored, text_bytes, with_row_key
 from gridmill.llm.windows import WORD_BYTE
 
 BITS = 4
@@ -107,13 +107,13 @@ def simhash(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (64 bits as a long)."""
+    """doc_id, rid, fp (64 bits as a long)."""
 
     def find(batch):
-        yield {"doc_id": batch["doc_id"], "fp": simhash(batch["text"].to_pylist()).view(np.int64)}
+        yield {"doc_id": batch["doc_id"], "rid": batch["rid"], "fp": simhash(batch["text"].to_pylist()).view(np.int64)}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", text_bytes().alias("text")), f"doc_id {kind}, fp long", find)
+    return arrow_map(with_row_key(docs).select("doc_id", "rid", text_bytes().alias("text")), f"doc_id {kind}, rid long, fp long", find)
 
 
 def linked_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
@@ -151,8 +151,9 @@ def linked_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
 def simhash_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """Fingerprint every document and join those whose fingerprints differ in at most `bits` (<= 4) bits.
 
-    docs: doc_id, text. Returns doc_id, fp, component_id (smallest doc_id
-    reachable over links, own included), a row for each input row. Texts
+    docs: doc_id, text. Returns doc_id, rid (key of doc_id and text), fp,
+    component (a fingerprint that stands for the group), component_id (smallest
+    doc_id reachable over links, own included), a row for each input row. Texts
     without words (null, empty) have fingerprint 0, which links like any other.
     Rows with a null doc_id take part but never name a component unless all its
     doc_ids are null. Other columns are ignored; no rows give no rows.
@@ -162,8 +163,14 @@ def simhash_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
     component = linked_components(fps, bits)
     placed = fps.join(component, fps.fp == component.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
     low = placed.groupBy("c").agg(F.min("low").alias("component_id"))
-    named = placed.join(low, "c").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = placed.join(low, "c").select("fp", F.col("c").alias("component"), "component_id")
+    return marked.join(named, "fp").select("doc_id", "rid", "fp", "component", "component_id")
+
+
+def one_of_each(groups: DataFrame) -> DataFrame:
+    """rid of the row that stays of each group: least doc_id, null last, then least rid."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    return groups.groupBy("component").agg(first).select("first.rid")
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
