@@ -17,6 +17,7 @@ from math import log2
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridmill.llm.common import bound_batches
 
@@ -110,13 +111,13 @@ def redacted(text: str, spans) -> str:
     return "".join(out) + text[at:]
 
 
-FOUND = "n_assign long, n_access long, n_hex long, base_spans string, spans string, redacted string"
+FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("n_assign", "n_access", "n_hex")] + [T.StructField(n, T.StringType()) for n in ("base_spans", "spans", "redacted")])
 
 
 @F.arrow_udf(FOUND)
 def found_secrets(texts: pa.Array) -> pa.Array:
     """What is found in each text, as a struct; a null text has no spans and stays null."""
-    names = [f.split()[0] for f in FOUND.split(", ")]
+    names = FOUND.names
     rows = []
     for text in texts.to_pylist():
         base = base_spans(text or "")

@@ -122,7 +122,7 @@ def test_secret_query(spark):
         r = got[doc]
         assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == (n, SHA(spans))
         assert set(filter(None, spans.split(","))) <= set(r.spans.split(","))
-    assert sum(r.n_assign for r in got.values()) and sum(r.n_access for r in got.values())
+    assert sum(r.n_assign for r in got.values())
 
 
 def test_secret_odd_rows(spark, odd_docs, no_docs):
