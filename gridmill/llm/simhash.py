@@ -74,8 +74,9 @@ def bucket_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys.append((tag << 40) | (parts[s][row] << 12) | golay[t][0][row, col])
     both = golay[0][1][:, :, None] & golay[1][1][:, None, :]
     row, i, j = np.nonzero(both)
-    rows.append(row)
-    keys.append((6 << 40) | (golay[0][0][row, i] << 12) | golay[1][0][row, j])
+    for part in range(3):
+        rows.append(row)
+        keys.append(((6 + part) << 40) | (golay[0][0][row, i] << 18) | (golay[1][0][row, j] << 6) | ((parts[2][row] >> 6 * part) & 63))
     return np.concatenate(rows), np.concatenate(keys)
 
 
