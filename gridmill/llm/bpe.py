@@ -6,8 +6,8 @@ with suffix links; the one kept is that whose pair with the last token of the
 shorter prefix is compatible, i.e. two tokens that stay as they are when their
 joined string is encoded. The back-pointers from the whole word give the ids.
 
-Words recur, so each Python worker keeps the results of the words it has seen,
-up to a fixed number.
+Words recur, so each Python worker keeps the ids of the words it has seen, up
+to a fixed number.
 """
 
 from __future__ import annotations
@@ -67,9 +67,10 @@ class WordBPE:
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.names |= {i: s for s, i in self.special.items()}
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        self.compatible = lru_cache(1 << 20)(self._compatible)
-        self.whole = lru_cache(1 << 17)(self._whole)
-        self.words: dict[str, Encoded] = {}
+        self.compatible = lru_cache(1 << 18)(self._compatible)
+        self.whole = lru_cache(1 << 16)(self._whole)
+        self.words: dict[str, str] = {}
+        self.name_of = {str(i): s for i, s in self.names.items()}
 
     def _merge(self, parts: list[str]) -> list[str]:
         """Plain merging; used on one or two tokens, to judge them."""
@@ -111,30 +112,31 @@ class WordBPE:
             i -= len(self.string[token])
         return ids[::-1]
 
-    def word(self, word: str) -> Encoded:
+    def word(self, word: str) -> str:
+        """Ids of one word, remembered."""
         known = self.words.get(word)
         if known is None:
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
             letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-            ids = self.encode_letters(letters + _END)
-            known = self.words[word] = Encoded(len(ids), " ".join(map(str, ids)), self.decode(ids))
+            known = self.words[word] = " ".join(map(str, self.encode_letters(letters + _END)))
         return known
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: str) -> str:
         """The file names no decoder, so tokens stand as they are, with a space between."""
-        return " ".join([self.names[i] for i in ids])
+        return " ".join(map(self.name_of.__getitem__, ids.split()))
 
     def encode(self, text: str) -> Encoded:
-        parts: list[Encoded] = []
+        parts: list[str] = []
         for piece in self.special_pattern.split(text) if self.special_pattern else [text]:
             if piece in self.special:
-                parts.append(Encoded(1, str(self.special[piece]), piece))
+                parts.append(str(self.special[piece]))
             elif piece:
                 normal = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
                 known, word = self.words.get, self.word
                 parts += [known(w) or word(w) for w in self.pattern.findall(normal)]
-        return Encoded(sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
+        ids = " ".join(parts)
+        return Encoded(ids.count(" ") + 1 if ids else 0, ids, self.decode(ids))
 
 
 @lru_cache(2)
