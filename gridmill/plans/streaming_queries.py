@@ -19,7 +19,7 @@ def _events(spark, sf_dir):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _drained(stream, mode: str):
+def _drained(stream, mode: str, more: str = ""):
     """All rows a streaming query emits for the input there is now, from a table in the checkpoint folder."""
     spark = stream.sparkSession
     base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/gridmill-{spark.sparkContext.applicationId}").rstrip("/")
@@ -27,12 +27,10 @@ def _drained(stream, mode: str):
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode(mode).trigger(availableNow=True).start()
     else:
-        q = stream.writeStream.foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.parquet(f"{at}/out/batch_id={i}")).option("checkpointLocation", f"{at}/log").outputMode(mode).trigger(availableNow=True).start()
+        q = stream.writeStream.foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{at}/out/{i}")).option("checkpointLocation", f"{at}/log").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{at}/out")
-
-
-_BIN = "EPOCH(TIME_BUCKET(INTERVAL {w}, ts))"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + more
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{at}/out")
 
 
 @query("""
@@ -59,3 +57,30 @@ SELECT vehicle, CAST(FLOOR(EPOCH(a)) AS BIGINT) AS first, CAST(FLOOR(EPOCH(b)) A
 def streaming_trip_sessions(spark, sf_dir):
     rows = _events(spark, sf_dir).select("ts", (F.col("user_id") % 20).alias("vehicle"))
     return _drained(jobs.trip_sessions(rows), "append").withColumn("first", F.unix_timestamp("first")).withColumn("last", F.unix_timestamp("last"))
+
+
+@query("""
+WITH m AS (SELECT EPOCH_MS(MAX(ts)) - 600000 AS mark FROM events), e AS (SELECT event_id, user_id % 7 AS entrance, ts FROM events)
+SELECT e.event_id, e.entrance, 0e0 AS wait, FALSE AS balked FROM e, m WHERE EPOCH_MS(ts) <= mark""")
+def streaming_curb_queue(spark, sf_dir):
+    """With service that takes no time nobody waits; rows up to the watermark are served."""
+    rows = _events(spark, sf_dir).select((F.col("user_id") % 7).cast("long").alias("entrance"), "event_id", F.unix_micros("ts").alias("us"), F.lit(0.0).alias("service"), F.lit(60.0).alias("patience"), "ts")
+    return _drained(jobs.curb_queue(rows.withColumn("arr_s", F.col("us") / 1e6).drop("us")), "append")
+
+
+@query("SELECT event_id, 'took ' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) || ' min' AS text FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) IN (1, 2, 3)")
+def streaming_text_guard(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("event_id", F.concat(F.lit("took  "), F.from_json("props", "k long")["k"].cast("string"), F.lit(" \n min")).alias("text"))
+    return _drained(jobs.text_guard(rows, [1.0, 2.0, 3.0]), "append")
+
+
+@query("""
+WITH l AS (SELECT user_id % 20 AS plan_id, event_id % 40 AS player_id, ARG_MAX(CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END, ROW(ts, event_id)) AS value FROM events GROUP BY 1, 2)
+SELECT plan_id, SUM(value) AS votes FROM l GROUP BY plan_id""")
+def streaming_vote_totals(spark, sf_dir):
+    """The last total of each plan in the changelog."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    value = F.when(F.col("event_type").isin("click", "purchase"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    rows = _events(spark, sf_dir).select((F.col("user_id") % 20).cast("long").alias("plan_id"), (F.col("event_id") % 40).alias("player_id"), value.alias("value"), "ts", "event_id")
+    log = _drained(jobs.vote_totals(rows), "update", ", batch long")
+    return log.groupBy("plan_id").agg(F.max_by("votes", "batch").alias("votes"))
