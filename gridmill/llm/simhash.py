@@ -132,18 +132,21 @@ def linked_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
             row, key = bucket_keys(fp[lo : lo + 4096].view(np.uint64))
             yield {"key": key, "fp": fp[lo : lo + 4096][row]}
 
-    rows = arrow_map(fps.select("fp"), "key long, fp long", keys)
+    # one shuffle by key serves the counts and the join with them
+    rows = arrow_map(fps.select("fp"), "key long, fp long", keys).repartition("key")
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-    buckets = stored(buckets, "buckets")
-    crowd = stored(rows.join(buckets.where("n > 2").select("key", "lo"), "key"), "crowd")
+    met = stored(rows.join(buckets, "key"), "met")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
-    pairs = buckets.where("n = 2").where(near("lo", "hi")).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    pairs = met.where("n = 2 and fp = lo").where(near("lo", "hi")).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    crowd = met.where("n > 2")
     hubs = crowd.where("fp <> lo").where(near("fp", "lo")).select(F.col("lo").alias("a"), F.col("fp").alias("b"))
+    # a bucket whose members all link with its least is settled
+    crowd = crowd.join(crowd.where(~near("fp", "lo")).select("key").distinct(), "key", "left_semi")
     first = connected_components(pairs.union(hubs))
     placed = crowd.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
     left, right = placed, placed.select("key", F.col("fp").alias("fp2"), F.col("c").alias("c2"))
-    met = left.join(right, "key").where("c < c2").where(near("fp", "fp2"))
-    second = connected_components(met.select(F.col("c").alias("a"), F.col("c2").alias("b")))
+    across = left.join(right, "key").where("c < c2").where(near("fp", "fp2"))
+    second = connected_components(across.select(F.col("c").alias("a"), F.col("c2").alias("b")))
     nodes = first.union(second.select("node", F.col("node").alias("component")).join(first.select("node"), "node", "left_anti"))
     over = second.select(F.col("node").alias("component"), F.col("component").alias("over"))
     return nodes.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component"))
