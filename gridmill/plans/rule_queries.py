@@ -13,7 +13,9 @@ from gridmill.plans.views import table
 from gridmill.registry import query
 from gridmill.sources import scans
 
-_ID = F.col("p_partkey").alias("id")
+
+def _id():
+    return F.col("p_partkey").alias("id")
 
 
 @query("""
@@ -23,14 +25,14 @@ SELECT p_partkey AS id, CASE WHEN p_size = 7 THEN 'school' WHEN p_type = 'LARGE'
 def building_class_rules(spark, sf_dir):
     tag = F.when(F.col("p_type") == "LARGE", "house").when(F.col("p_type") == "PROMO", "Retail").when(F.col("p_type") == "STANDARD", "residential")
     found = R.building_class(tag, F.col("p_retailprice"), F.col("p_size") == 7, F.col("p_size") > 25, 1200, 1400, 950, 1500)
-    return table(spark, sf_dir, "part").select(_ID, found.alias("class"))
+    return table(spark, sf_dir, "part").select(_id(), found.alias("class"))
 
 
 @query("""
 SELECT p_partkey AS id, CASE WHEN NOT (p_size >= GREATEST(6, (p_partkey % 90) * 2e-1) AND p_partkey % 10 >= 3) THEN 'none' WHEN p_size >= 40 AND p_partkey % 11 >= 7 AND p_type <> 'PROMO' THEN 'good' WHEN p_size >= 12 AND p_type <> 'PROMO' THEN 'fair' ELSE 'poor' END AS quality FROM {part}""")
 def roof_quality_flags(spark, sf_dir):
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(_ID, R.roof_quality(k % 90, F.col("p_size"), (k % 10) / 10.0, (k % 11) / 10.0, F.col("p_type") != "PROMO").alias("quality"))
+    return table(spark, sf_dir, "part").select(_id(), R.roof_quality(k % 90, F.col("p_size"), (k % 10) / 10.0, (k % 11) / 10.0, F.col("p_type") != "PROMO").alias("quality"))
 
 
 @query("""
@@ -39,7 +41,7 @@ SELECT id, CASE WHEN h >= 7 AND r <= 2.4 AND r / GREATEST(h, 1e-6) <= 2e-1 AND C
 def species_rules(spark, sf_dir):
     k, n = F.col("p_partkey"), F.col("p_size")
     found = R.species(n / 2.0, k % 60 / 10.0, k % 10 / 10.0, F.when(n % 3 > 0, k % 7 / 10.0), F.when(n % 4 > 0, k % 5 / 10.0))
-    return table(spark, sf_dir, "part").select(_ID, found.alias("species"))
+    return table(spark, sf_dir, "part").select(_id(), found.alias("species"))
 
 
 @query("SELECT edge_idx, CASE WHEN edge_idx % 3 = 0 AND highway <> 'residential' THEN highway || '_link' ELSE highway END AS value FROM {edges}")
@@ -52,7 +54,7 @@ def overture_highway_tag(spark, sf_dir):
 def speed_limit_pick(spark, sf_dir):
     one = lambda v, unit, cond: F.struct(v.cast("double").alias("value"), F.lit(unit).alias("unit"), cond.alias("conditional"), F.lit(True).alias("whole"))
     limits = F.array(one(F.col("p_size"), "mph", F.col("p_size") % 3 == 0), one(F.lit(60), "km/h", F.lit(False)), one(F.lit(200), "km/h", F.lit(True)))
-    return table(spark, sf_dir, "part").select(_ID, R.speed_limit(limits).alias("tag"))
+    return table(spark, sf_dir, "part").select(_id(), R.speed_limit(limits).alias("tag"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'I ' || p_size || ';Main' ELSE 'Main' END AS ref FROM {part}")
@@ -60,7 +62,7 @@ def route_refs(spark, sf_dir):
     one = lambda ref, net: F.struct(ref.alias("ref"), net.alias("network"))
     size = F.col("p_size").cast("string")
     routes = F.array(one(size, F.when(F.col("p_size") % 2 == 0, "US:I").otherwise("XX")), one(F.lit("Main"), F.lit("US:I")), one(F.lit("Main"), F.lit("XX")))
-    return table(spark, sf_dir, "part").select(_ID, R.route_refs(routes, {"US:I": "I"}).alias("ref"))
+    return table(spark, sf_dir, "part").select(_id(), R.route_refs(routes, {"US:I": "I"}).alias("ref"))
 
 
 def _smooth(x, lo, hi):
@@ -73,7 +75,7 @@ WITH p AS (SELECT p_partkey AS id, p_partkey % 256 * 1e0 AS r, p_size * 5e0 AS g
 SELECT id, ROUND({_smooth('e', 0.0, 0.08)} * (1 - {_smooth('v', 55, 85)}), 6) AS canopy, ROUND({_smooth('e', 0.04, 0.12)} * {_smooth('v', 60, 90)}, 6) AS lawn FROM q""")
 def pixel_classes(spark, sf_dir):
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(_ID, *R.vegetation(k % 256 * 1.0, F.col("p_size") * 5.0, k % 90 * 1.0))
+    rows = table(spark, sf_dir, "part").select(_id(), *R.vegetation(k % 256 * 1.0, F.col("p_size") * 5.0, k % 90 * 1.0))
     return rows.select("id", F.round("canopy", 6).alias("canopy"), F.round("lawn", 6).alias("lawn"))
 
 
@@ -81,7 +83,7 @@ def pixel_classes(spark, sf_dir):
 def tone_map(spark, sf_dir):
     """Bytes stay in range for every reflectance."""
     out = R.tone([F.col("p_size") / 100.0, F.col("p_partkey") % 40 / 100.0, F.lit(0.1)])
-    return table(spark, sf_dir, "part").select(_ID, (F.least(*out) >= 0) & (F.greatest(*out) <= 255)).toDF("id", "ok")
+    return table(spark, sf_dir, "part").select(_id(), (F.least(*out) >= 0) & (F.greatest(*out) <= 255)).toDF("id", "ok")
 
 
 @query("SELECT node_id, 'r' || CAST(LEAST(GREATEST(FLOOR((z - 5e2) / 1000), 0), 8) AS BIGINT) || '_c' || CAST(LEAST(GREATEST(FLOOR((x - 5e2) / 1000), 0), 6) AS BIGINT) AS tile FROM {nodes}")
@@ -144,14 +146,14 @@ def public_view(spark, sf_dir):
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 4 IN (1, 2) AND p_size BETWEEN 3 AND 40 AND p_type <> 'PROMO' THEN p_size * 1e0 ELSE p_retailprice END AS height, CASE WHEN p_size % 4 IN (1, 2) AND p_size BETWEEN 3 AND 40 AND p_type <> 'PROMO' THEN 'measured' ELSE 'mapped' END AS source FROM {part}")
 def usable_measurement_override(spark, sf_dir):
     ok = (F.col("p_size") % 4).isin(1, 2) & F.col("p_size").between(3, 40) & (F.col("p_type") != "PROMO")
-    return table(spark, sf_dir, "part").select(_ID, F.when(ok, F.col("p_size") * 1.0).otherwise(F.col("p_retailprice")).alias("height"), F.when(ok, "measured").otherwise("mapped").alias("source"))
+    return table(spark, sf_dir, "part").select(_id(), F.when(ok, F.col("p_size") * 1.0).otherwise(F.col("p_retailprice")).alias("height"), F.when(ok, "measured").otherwise("mapped").alias("source"))
 
 
 @query("SELECT p_partkey AS id, LEAST(GREATEST(p_size / 2e0, 5e-1), 15) AS radius FROM {part} WHERE p_partkey % 3 = 0 OR ABS(p_partkey % 50 - 25) <= 15")
 def stale_tree_filter(spark, sf_dir):
     change = F.when(F.col("p_partkey") % 3 != 0, F.col("p_partkey") % 50 - 25)
     rows = table(spark, sf_dir, "part").where(F.coalesce(F.abs(change), F.lit(0)) <= 15)
-    return rows.select(_ID, F.least(F.greatest(F.col("p_size") / 2.0, F.lit(0.5)), F.lit(15.0)).alias("radius"))
+    return rows.select(_id(), F.least(F.greatest(F.col("p_size") / 2.0, F.lit(0.5)), F.lit(15.0)).alias("radius"))
 
 
 @query("SELECT edge_idx FROM {edges} WHERE highway IN ('primary', 'secondary') AND edge_idx % 7 <> 0")

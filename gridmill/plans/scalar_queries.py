@@ -8,7 +8,9 @@ from gridmill.functions import scalars as S
 from gridmill.plans.views import table
 from gridmill.registry import query
 
-_ID = F.col("p_partkey").alias("id")
+
+def _id():
+    return F.col("p_partkey").alias("id")
 
 
 def _part(spark, sf_dir):
@@ -18,38 +20,38 @@ def _part(spark, sf_dir):
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 30 < 24 AND p_partkey % 70 < 60 THEN (p_partkey % 30) * 3600 + (p_partkey % 70) * 60 END AS s, CASE WHEN p_partkey % 30 < 24 AND p_partkey % 70 < 60 THEN LPAD(CAST(p_partkey % 30 AS VARCHAR), 2, '0') || ':' || LPAD(CAST(p_partkey % 70 AS VARCHAR), 2, '0') END AS clock FROM {part}")
 def clock_conversions(spark, sf_dir):
     s = S.clock_to_s(F.format_string("%02d:%02d", F.col("p_partkey") % 30, F.col("p_partkey") % 70))
-    return _part(spark, sf_dir).select(_ID, s.alias("s")).withColumn("clock", F.when(F.col("s").isNotNull(), S.s_to_clock(F.col("s"))))
+    return _part(spark, sf_dir).select(_id(), s.alias("s")).withColumn("clock", F.when(F.col("s").isNotNull(), S.s_to_clock(F.col("s"))))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN NULL ELSE GREATEST(p_size, p_partkey % 9 + 5e-1) END AS number FROM {part}")
 def parse_number_tag(spark, sf_dir):
     tag = F.when(F.col("p_size") % 4 == 0, "none").otherwise(F.concat(F.col("p_size").cast("string"), F.lit(";"), (F.col("p_partkey") % 9).cast("string"), F.lit(".5")))
-    return _part(spark, sf_dir).select(_ID, S.parse_number(tag).alias("number"))
+    return _part(spark, sf_dir).select(_id(), S.parse_number(tag).alias("number"))
 
 
 @query("SELECT p_partkey AS id, ROUND(NULLIF(p_size % 50, 0) * CASE p_partkey % 3 WHEN 0 THEN 1.609344 WHEN 1 THEN 1.852 ELSE 1 END, 6) AS kph FROM {part}")
 def parse_speed_tag(spark, sf_dir):
     unit = F.when(F.col("p_partkey") % 3 == 0, " mph").when(F.col("p_partkey") % 3 == 1, " knots").otherwise("")
-    return _part(spark, sf_dir).select(_ID, F.round(S.parse_speed(F.concat((F.col("p_size") % 50).cast("string"), unit)), 6).alias("kph"))
+    return _part(spark, sf_dir).select(_id(), F.round(S.parse_speed(F.concat((F.col("p_size") % 50).cast("string"), unit)), 6).alias("kph"))
 
 
 @query("SELECT p_partkey AS id, ROUND(CASE p_partkey % 5 WHEN 0 THEN (p_size + 6 / 12e0) * 3.048e-1 WHEN 1 THEN p_size * 3.048e-1 WHEN 2 THEN p_size + 5e-1 WHEN 3 THEN p_size * 1e0 END, 6) AS metres FROM {part}")
 def parse_height_tag(spark, sf_dir):
     n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5
     tag = F.when(k == 0, F.concat(n, F.lit("'6\""))).when(k == 1, F.concat(n, F.lit(" ft"))).when(k == 2, F.concat(n, F.lit(",5 m"))).when(k == 3, n).otherwise("tall")
-    return _part(spark, sf_dir).select(_ID, F.round(S.parse_height(tag), 6).alias("metres"))
+    return _part(spark, sf_dir).select(_id(), F.round(S.parse_height(tag), 6).alias("metres"))
 
 
 @query("SELECT p_partkey AS id, CONCAT_WS(',', p_partkey % 256, p_size, 255 - p_size) AS rgb FROM {part}")
 def parse_colour_tag(spark, sf_dir):
     byte = lambda c: F.lpad(F.hex(c), 2, "0")
     tag = F.concat(F.lit("#"), byte(F.col("p_partkey") % 256), byte(F.col("p_size").cast("long")), byte(255 - F.col("p_size").cast("long")))
-    return _part(spark, sf_dir).select(_ID, S.parse_hex_colour(tag).alias("rgb"))
+    return _part(spark, sf_dir).select(_id(), S.parse_hex_colour(tag).alias("rgb"))
 
 
 @query("SELECT p_partkey AS id, TRIM(LOWER(REPLACE(p_brand, '#', ' '))) AS key FROM {part}")
 def name_keys(spark, sf_dir):
-    return _part(spark, sf_dir).select(_ID, S.name_key(F.concat(F.lit("The "), F.col("p_brand"), F.lit(" - School Campus"))).alias("key"))
+    return _part(spark, sf_dir).select(_id(), S.name_key(F.concat(F.lit("The "), F.col("p_brand"), F.lit(" - School Campus"))).alias("key"))
 
 
 _CLASS = "CASE highway WHEN 'motorway' THEN {0} WHEN 'primary' THEN {1} WHEN 'secondary' THEN {2} WHEN 'tertiary' THEN {3} ELSE {4} END"
@@ -99,26 +101,26 @@ def approval_score(spark, sf_dir):
 def dwelling_units(spark, sf_dir):
     k = F.col("p_partkey") % 4
     kind = F.when(k == 0, "house").when(k == 1, "terrace").when(k == 2, "apartments").otherwise("shed")
-    return _part(spark, sf_dir).select(_ID, S.dwelling_units(kind, F.col("p_retailprice"), F.col("p_size")).alias("units"))
+    return _part(spark, sf_dir).select(_id(), S.dwelling_units(kind, F.col("p_retailprice"), F.col("p_size")).alias("units"))
 
 
 @query("SELECT p_partkey AS id, ROUND(COALESCE(CASE WHEN p_size % 3 = 0 THEN p_size * 1e0 END, CASE WHEN p_size % 3 = 1 THEN p_size * 3.2 END, 5e0), 6) AS height, CASE p_size % 3 WHEN 0 THEN 'tag' WHEN 1 THEN 'levels' ELSE 'default' END AS rule FROM {part}")
 def height_priority(spark, sf_dir):
     n = F.col("p_size")
-    rows = _part(spark, sf_dir).select(_ID, *S.height_and_rule(F.when(n % 3 == 0, n * 1.0), F.when(n % 3 == 1, n), F.lit(5.0)))
+    rows = _part(spark, sf_dir).select(_id(), *S.height_and_rule(F.when(n % 3 == 0, n * 1.0), F.when(n % 3 == 1, n), F.lit(5.0)))
     return rows.withColumn("height", F.round("height", 6))
 
 
 @query("SELECT p_partkey AS id, 255 AS total FROM {part}")
 def weights_to_bytes(spark, sf_dir):
     w = S.weights_to_bytes([F.col("p_size") % k * 1.0 for k in (2, 3, 5, 7, 11, 13)])
-    return _part(spark, sf_dir).select(_ID, F.aggregate(w, F.lit(0), lambda a, x: a + x).alias("total"))
+    return _part(spark, sf_dir).select(_id(), F.aggregate(w, F.lit(0), lambda a, x: a + x).alias("total"))
 
 
 @query("SELECT p_partkey AS id, p_size % 5 <> 0 OR p_size = 10 AS ok FROM {part}")
 def number_guard(spark, sf_dir):
     text = F.concat(F.lit("It takes "), F.when(F.col("p_size") % 5 == 0, F.col("p_size").cast("string")).otherwise("3.05"), F.lit(" minutes"))
-    return _part(spark, sf_dir).select(_ID, S.numbers_ok(text, F.array(F.lit(3.0), F.lit(10.0))).alias("ok"))
+    return _part(spark, sf_dir).select(_id(), S.numbers_ok(text, F.array(F.lit(3.0), F.lit(10.0))).alias("ok"))
 
 
 @query("SELECT seed, person_id, CASE WHEN ABS(plan_min - base_min) < 5e-1 THEN 'about the same' WHEN plan_min < base_min THEN 'faster' ELSE 'slower' END AS phrase FROM {seed_person}")
