@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gridmill.llm.common import arrow_map
 
 #: Words that a worker remembers; when full, it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _END = "\n"  # stands for the end-of-word suffix; byte-level text never holds it
 
 
@@ -67,7 +67,7 @@ class WordBPE:
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.names |= {i: s for s, i in self.special.items()}
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        self.compatible = lru_cache(1 << 18)(self._compatible)
+        self.compatible = lru_cache(1 << 17)(self._compatible)
         self.whole = lru_cache(1 << 16)(self._whole)
         self.words: dict[str, str] = {}
         self.name_of = {str(i): s for i, s in self.names.items()}

@@ -143,7 +143,9 @@ def linked_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
     # a bucket whose members all link with its least is settled
     crowd = crowd.join(crowd.where(~near("fp", "lo")).select("key").distinct(), "key", "left_semi")
     first = connected_components(pairs.union(hubs))
-    placed = crowd.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
+    # a fingerprint has a bounded number of keys, so components meet fingerprints, not bucket rows
+    holders = crowd.groupBy("fp").agg(F.collect_list("key").alias("keys"))
+    placed = holders.join(first.withColumnRenamed("node", "fp"), "fp", "left").select(F.explode("keys").alias("key"), "fp", F.coalesce("component", "fp").alias("c"))
     left, right = placed, placed.select("key", F.col("fp").alias("fp2"), F.col("c").alias("c2"))
     across = left.join(right, "key").where("c < c2").where(near("fp", "fp2"))
     second = connected_components(across.select(F.col("c").alias("a"), F.col("c2").alias("b")))
