@@ -107,25 +107,45 @@ def _unit(column: pa.Array, width: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Merge the groups of i and j in place. label names each node's group by its least node, before and after."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def _compare(members, visitors, cosine: float, across: bool) -> dict:
-    """Links inside one block of a cell. across: members come in two sides, and only pairs between sides count."""
+    """Links inside one block of a cell. across: members come in two sides, and only pairs between sides count.
+
+    root is the least id of the group that the block's links join the vector
+    to; least neighbours alone would not keep a group connected.
+    """
     ids, n, root = [], [], []
 
     def link(a: dict, b: dict, keep) -> None:
+        start = 0 if a is b else len(a["id"])  # where b's nodes begin
+        node = a["id"] if a is b else np.concatenate([a["id"], b["id"]])
+        label, count = np.arange(len(node)), np.zeros(len(node), dtype=np.int64)
         for lo in range(0, len(a["id"]), 512):
             i, j = np.nonzero(a["x"][lo : lo + 512] @ b["x"].T >= cosine)
             i += lo
             ok = keep(i, j)
             i, j = i[ok], j[ok]
-            for one, other, p, q in ((a, b, i, j), (b, a, j, i)):
-                size = len(one["id"])
-                hit = np.unique(p)
-                count = np.bincount(p, other["copies"][q].astype(float), minlength=size).astype(np.int64)
-                least = np.full(size, np.iinfo(np.int64).max)
-                np.minimum.at(least, p, other["id"][q])
-                ids.append(one["id"][hit])
-                n.append(count[hit])
-                root.append(least[hit])
+            for p, copies in ((i, b["copies"][j]), (j + start, a["copies"][i])):
+                count += np.bincount(p, copies.astype(float), minlength=len(node)).astype(np.int64)
+            _unite(label, i, j + start)
+        hit = np.flatnonzero(count)
+        least = np.full(len(node), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, node)
+        ids.append(node[hit])
+        n.append(count[hit])
+        root.append(least[label[hit]])
 
     if across:
         one, two = ({k: v[members["side"] == s] for k, v in members.items()} for s in (0, 1))

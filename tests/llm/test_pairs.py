@@ -3,7 +3,7 @@ import pytest
 import xxhash
 
 from gridmill.llm.common import connected_components
-from gridmill.llm.embedding_dedup import embedding_dedup, op1_embedding_near_dedup
+from gridmill.llm.embedding_dedup import _compare, embedding_dedup, op1_embedding_near_dedup
 from gridmill.llm.simhash import bucket_keys, linked_components, op3_simhash_near_dedup, simhash_dedup
 
 
@@ -149,6 +149,25 @@ def test_embedding_groups_and_blocks(spark, limit):
     assert all(got[v][0] <= want[v][0] for v in want) and recall(got, want) >= 0.9
 
 
+@pytest.mark.parametrize("case", ["members", "across", "visitors"])
+def test_embedding_block_keeps_chains_whole(case):
+    """Vectors on an arc, 10 degrees apart, so that only neighbours link."""
+    rng = np.random.default_rng(8)
+    for _ in range(100):
+        size = int(rng.integers(4, 12))
+        order, side = rng.permutation(size), rng.integers(0, 2, size)
+        angle = np.radians(10) * order
+        ids = rng.permutation(size)
+        rows = {"id": ids, "copies": np.ones(size, dtype=np.int64), "home": side, "side": side, "first": np.full(size, case == "members"), "visits": np.full((size, 1), -1), "x": np.stack([np.cos(angle), np.sin(angle)], 1)}
+        part = lambda keep: {k: v[keep] for k, v in rows.items()}
+        none = part(np.zeros(size, dtype=bool))
+        out = _compare(part(side == 0), part(side == 1), 0.98, False) if case == "visitors" else _compare(rows, none, 0.98, case == "across")
+        links = [(i, j) for i in range(size) for j in range(i) if abs(order[i] - order[j]) == 1 and (case == "members" or side[i] != side[j])]
+        got, want = components(size, zip(out["id"], out["root"])), components(size, [(ids[i], ids[j]) for i, j in links])
+        assert [[a == b for b in got] for a in got] == [[a == b for b in want] for a in want]
+        assert out["n"].sum() == 2 * len(links)
+
+
 def test_embedding_odd_rows(spark):
     one = [1.0, 0.0, 0.5, 2.0]
     rows = [
