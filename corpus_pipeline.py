@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from gridmill.llm.bpe import bpe_encode
 from gridmill.llm.common import bound_batches, stored, with_row_key
 from gridmill.llm.decontaminate import find_benchmark
+from gridmill.llm.jaccard import jaccard_dedup
 from gridmill.llm.quality import quality_sample
 from gridmill.llm.secrets import found_secrets
-from gridmill.llm.simhash import one_of_each, simhash_dedup
+from gridmill.llm.simhash import one_of_each
 
 
 def _only(docs: DataFrame, rids: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    chosen = with_row_key(docs).join(one_of_each(simhash_dedup(docs)), "rid", "left_semi")
+    """One document of each group of near duplicates: Jaccard similarity of 5-word shingles of 0.8 or more."""
+    chosen = with_row_key(docs).join(one_of_each(jaccard_dedup(docs)), "rid", "left_semi")
     return chosen.dropDuplicates(["rid"]).select(docs.columns)
 
 

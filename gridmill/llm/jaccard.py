@@ -1,0 +1,132 @@
+"""Near-dedup by the exact Jaccard similarity of word shingles.
+
+Two sets of n and m shingles reach the similarity if 9 times their overlap is
+at least 4 (n + m). With every set in one common order, rare shingles first, a
+pair that reaches it shares one of the first n - ceil(0.8 n) + 1 shingles of
+each. These prefixes are the buckets, so no pair is missed, whatever the order
+is. Document frequencies in a fixed number of counters set the order, so that
+common passages come last and seldom stand in a prefix. What meets in a bucket
+at places that leave enough shingles behind is verified on the whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridmill.llm.common import arrow_map, bound_batches, connected_components, stored, text_bytes, with_row_key
+
+#: Words in a shingle; a shorter text is one shingle.
+SHINGLE = 5
+SEED = 42
+COUNTERS = 1 << 20
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Hashes of a text's different shingles, sorted; none for a text without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    grams = {b" ".join(words[i : i + SHINGLE]) for i in range(max(len(words) - SHINGLE + 1, 1))}
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype=np.uint64).view(np.int64))
+
+
+def _set_key(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
+
+
+def _frequencies(docs: DataFrame) -> np.ndarray:
+    """How many documents hold a shingle of each counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(total, shingle_set(text) & (COUNTERS - 1), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"counter": used.astype(np.int32), "n": total[used]})
+
+    counted = docs.select(text_bytes()).mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[counted["counter"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+def _prefixes(order) -> object:
+    """A mapInArrow function: key, sid, n (size of the set), at (place in it) for the prefix of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            rows: list[list[np.ndarray]] = [[], [], [], []]
+            for text in batch.column(0).to_pylist():
+                shingles = shingle_set(text)
+                sid, n = _set_key(shingles), len(shingles)
+                if sid in seen or not n:
+                    continue
+                seen.add(sid)
+                size = n - (4 * n + 4) // 5 + 1
+                first = shingles[np.lexsort((shingles, order.value[shingles & (COUNTERS - 1)]))[:size]]
+                for column, value in zip(rows, (first, np.full(size, sid), np.full(size, n), np.arange(size))):
+                    column.append(value)
+            if rows[0]:
+                yield pa.RecordBatch.from_pydict(dict(zip(("key", "sid", "n", "at"), map(np.concatenate, rows))))
+
+    return run
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (a, b: sids) whose sets reach the similarity."""
+
+    def sets(batch):
+        found = [shingle_set(t) for t in batch["text"].to_pylist()]
+        yield {"sid": [_set_key(s) for s in found], "shingles": [s.tolist() for s in found]}
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    rids = marked.join(needed, "sid").groupBy("sid").agg(F.min("rid").alias("rid")).select("rid")
+    texts = with_row_key(docs).join(rids, "rid", "left_semi").select(text_bytes().alias("text"))
+    known = stored(arrow_map(texts, "sid long, shingles array<long>", sets).dropDuplicates(["sid"]), "sets")
+    one, two = (known.select(F.col("sid").alias(c), F.col("shingles").alias(f"{c}s")) for c in "ab")
+    enough = 9 * F.size(F.array_intersect("as", "bs")) >= 4 * (F.size("as") + F.size("bs"))
+    return pairs.join(one, "a").join(two, "b").where(enough).select(*pairs.columns)
+
+
+def jaccard_dedup(docs: DataFrame) -> DataFrame:
+    """Join documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+    docs: doc_id, text. Returns doc_id, rid (key of doc_id and text), component
+    (stands for the group, over chains of links), a row for each input row.
+    Texts without words (null, empty) are one group. Members of a bucket are
+    first held against its least; then those whose components still differ.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+
+    def mark(batch):
+        yield {"doc_id": batch["doc_id"], "rid": batch["rid"], "sid": [_set_key(shingle_set(t)) for t in batch["text"].to_pylist()]}
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = stored(arrow_map(with_row_key(docs).select("doc_id", "rid", text_bytes().alias("text")), f"doc_id {kind}, rid long, sid long", mark), "marked")
+    order = spark.sparkContext.broadcast(_frequencies(docs))
+    rows = docs.select(text_bytes()).mapInArrow(_prefixes(order), "key long, sid long, n long, at long").repartition("key").dropDuplicates(["key", "sid"])
+    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("sid", "n", "at")).alias("hub")).where("size > 1")
+    met = stored(rows.join(buckets, "key"), "met")
+    can = "9 * least({a}n - {a}at, {b}n - {b}at) >= 4 * ({a}n + {b}n)"
+    tried = met.where("sid <> hub.sid").where(can.format(a="", b="hub.")).select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")).distinct()
+    first = connected_components(_similar(stored(tried, "tried"), docs, marked))
+    placed = met.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", "at", F.coalesce("component", "sid").alias("c"))
+    placed = stored(placed, "placed")
+    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    left = placed.join(open_keys, "key", "left_semi")
+    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("sid", "n", "at", "c")))
+    across = left.join(right, "key").where("c < c2").where("9 * least(n - at, n2 - at2) >= 4 * (n + n2)")
+    # pairs that the first round tried are known not to be similar
+    across = across.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    second = _similar(stored(across, "across"), docs, marked)
+    component = connected_components(second.union(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    return marked.join(component, marked.sid == component.node, "left").select("doc_id", "rid", F.coalesce("component", "sid").alias("component"))

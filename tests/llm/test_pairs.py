@@ -4,6 +4,7 @@ import xxhash
 
 from gridmill.llm.common import connected_components
 from gridmill.llm.embedding_dedup import _compare, embedding_dedup, op1_embedding_near_dedup
+from gridmill.llm.jaccard import jaccard_dedup
 from gridmill.llm.simhash import bucket_keys, linked_components, op3_simhash_near_dedup, simhash_dedup
 
 
@@ -180,3 +181,24 @@ def test_embedding_odd_rows(spark):
     assert got[7] == (2, 7, True) and got[9] == (2, 7, False)
     assert embedding_dedup(df.where("false")).count() == 0
     assert embedding_dedup(df.where("vec_id < 7")).where("n_links > 0").count() == 0
+
+
+def brute_jaccard(texts):
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set())
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)]
+    root = components(len(texts), links)
+    low = {}
+    return [low.setdefault(r, i) for i, r in enumerate(root)]
+
+
+def test_jaccard_groups(spark):
+    """All near copies of sf0.01, among them pairs that differ in more than 4 bits of a fingerprint."""
+    rows = [(i, r.text) for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect())]
+    edited = [(len(rows) + i, " ".join(w if k % 60 else f"new{k}" for k, w in enumerate(t.split()))) for i, t in rows[:200] if t]
+    rows += edited + [(len(rows) + len(edited) + i, t) for i, t in enumerate([None, "", "one two", "One  two", "a b c d e f g h i", "a b c d e f g h"])]
+    got = {r.doc_id: r.component for r in jaccard_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    low = {}
+    assert [low.setdefault(got[i], i) for i, _ in rows] == brute_jaccard([t for _, t in rows])
