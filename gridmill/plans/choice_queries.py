@@ -102,17 +102,25 @@ def weighted_category_draw(spark, sf_dir):
     return table(spark, sf_dir, "persons").select("person_id", C.pick(u, ["office", "shop", "home"], [F.lit(0.5), F.lit(0.3), F.lit(0.2)]).alias("job"))
 
 
+def _numbered(rows):
+    """rows, and how many there are; their index i must run from 0 without gaps, for draws name rows by it."""
+    n, least, most, different = rows.agg(F.count("*"), F.min("i"), F.max("i"), F.countDistinct("i")).first()
+    if n and (least, most, different) != (0, n - 1, n):
+        raise ValueError(f"{n} rows are not numbered 0 to {n - 1}")
+    return rows, n
+
+
 @query()
 def bootstrap_indices(spark, sf_dir):
-    rows = table(spark, sf_dir, "schools")
-    return C.bootstrap_means(rows.where("school_id < 10").select(F.col("school_id").alias("i"), F.col("curb_spots").alias("v")), "i", "v", 10, 400, 9)
+    rows, n = _numbered(table(spark, sf_dir, "schools").select(F.col("school_id").alias("i"), F.col("curb_spots").alias("v")))
+    return C.bootstrap_means(rows, "i", "v", n, 400, 9)
 
 
 @query()
 def approval_bootstrap(spark, sf_dir):
     """Share approving with its p10 and p90 over 400 resamples."""
-    rows = table(spark, sf_dir, "schools").where("school_id < 10").select(F.col("school_id").alias("i"), (F.col("curb_spots") > 5).cast("int").alias("v"))
-    means = C.bootstrap_means(rows, "i", "v", 10, 400, 11)
+    rows, n = _numbered(table(spark, sf_dir, "schools").select(F.col("school_id").alias("i"), (F.col("curb_spots") > 5).cast("int").alias("v")))
+    means = C.bootstrap_means(rows, "i", "v", n, 400, 11)
     q = F.percentile("mean", F.array(F.lit(0.1), F.lit(0.9)))
     return rows.agg((F.avg("v") * 100).alias("approval")).join(means.agg((F.get(q, 0) * 100).alias("p10"), (F.get(q, 1) * 100).alias("p90")))
 

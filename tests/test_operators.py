@@ -95,3 +95,20 @@ def test_components_and_paths(spark):
     assert {r.node_id: r.dist for r in tree.collect()} == {4: 0.0, 3: 1.0, 2: 2.0, 1: 3.0}
     path = N.paths(tree, edges, spark.createDataFrame([(4, 1)], "anchor long, node_id long")).first()
     assert path.path == [0, 1, 3]
+
+
+def test_bootstraps_draw_from_every_school(spark):
+    """Draws worked out one by one over all schools of sf0.01."""
+    from gridmill.plans.choice_queries import approval_bootstrap, bootstrap_indices
+    from gridmill.plans.views import table
+
+    sf = "/root/testdata/sf0.01"
+    value = {r.school_id: r.curb_spots for r in table(spark, sf, "schools").collect()}
+    n = len(value)
+    drawn = spark.sql(f"select rep, pmod(xxhash64(9, rep, i), {n}) as k from (select id as rep, explode(sequence(0, {n - 1})) as i from range(400))").collect()
+    want = {}
+    for r in drawn:
+        want.setdefault(r.rep, []).append(value[r.k])
+    got = {r.rep: r["mean"] for r in bootstrap_indices(spark, sf).collect()}
+    assert n > 10 and got == pytest.approx({rep: sum(v) / n for rep, v in want.items()})
+    assert approval_bootstrap(spark, sf).first().approval == pytest.approx(100 * sum(v > 5 for v in value.values()) / n)
