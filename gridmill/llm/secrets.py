@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and the Shannon entropy of a sliding window.
 
 The entropy scan looks at candidate strings, runs of at least MIN_RUN
-characters of A-Z a-z 0-9 + / _ - with a digit among them. A window of WINDOW characters slides over
+characters of A-Z a-z 0-9 + / _ -. A window of WINDOW characters slides over
 each; its character counts, and with them the sum of c*log2(c), change by one
 character in and one out. Windows are judged by the characters they use: hex
-digits only, or letters and digits mixed. What stays above its class's
-threshold becomes a span, unless the allow-list knows the string's form.
+digits only; digits with letters of both cases, of lower case or of upper case;
+letters of both cases without a digit. What stays above its class's threshold
+becomes a span, unless the allow-list knows the string's form. Letters of one
+case alone are not judged, for that is how words look.
 """
 
 from __future__ import annotations
@@ -31,8 +33,11 @@ WINDOW = 20
 MIN_RUN = 20
 HEX_BITS = 3.0
 MIXED_BITS = 3.6
+LOWER_DIGIT_BITS = 3.5
+UPPER_DIGIT_BITS = 3.5
+LETTER_BITS = 3.6
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_RUN},}}")
-_DIGIT = re.compile(r"[0-9]")
+_DIGIT, _LOWER, _UPPER = (re.compile(f"[{c}]") for c in ("0-9", "a-z", "A-Z"))
 #: Forms that are no secrets: one character repeated, counting up, UUIDs, numbers, and words joined by - _ or /.
 ALLOW = (
     re.compile(r"(.)\1*"),
@@ -41,6 +46,11 @@ ALLOW = (
     re.compile(r"[0-9_/-]+"),
     re.compile(r"([A-Z]?[a-z]+|[0-9]{1,4})([-_/]([A-Z]?[a-z]+|[0-9]{1,4}))*"),
 )
+#: More such forms, for strings that lack digits or letters of one case: camel case, short numbers, words with a number, parts of a path.
+WORDS = re.compile(
+    r"(?:[-_/+]++|(?<![A-Za-z0-9])(?:[A-Za-z]?[a-z]*|[A-Z]+)(?![A-Za-z0-9])|(?:By|Is|To|Of|In|On|At|Id|As|Or)(?![a-z])|[A-Z]?[a-z]{2,3}(?=[A-Z_/+-]|$)"
+    r"|[A-Z]?[a-z]{4,}(?![a-z])|[A-Z]{5,}(?![A-Za-z])|[0-9]{1,4}(?:st|nd|rd|th|s)?(?![0-9A-Za-z])|[0-9]{1,4}(?=[A-Z]?[a-z]{4}|[A-Z]{5}))+"
+)
 _HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
 _KINDS = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
 
@@ -62,9 +72,11 @@ def _threshold(counts: Counter) -> float | None:
     used = counts.keys()
     if used <= _HEX_DIGITS:
         return HEX_BITS
-    digits = sum(c.isdigit() for c in used)
-    if digits and any(c.islower() for c in used) and any(c.isupper() for c in used):
-        return MIXED_BITS
+    digit, lower, upper = (any(test(c) for c in used) for test in (str.isdigit, str.islower, str.isupper))
+    if lower and upper:
+        return MIXED_BITS if digit else LETTER_BITS
+    if digit and (lower or upper):
+        return LOWER_DIGIT_BITS if lower else UPPER_DIGIT_BITS
     return None
 
 
@@ -75,7 +87,10 @@ def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int, str]]
     spans: list[tuple[int, int, str]] = []
     for m in CANDIDATE.finditer(text):
         run, at = m[0], m.start()
-        if not _DIGIT.search(run) or any(form.fullmatch(run) for form in ALLOW):
+        kinds = sum(bool(p.search(run)) for p in (_DIGIT, _LOWER, _UPPER))
+        if kinds < 2 and not _DIGIT.search(run) or any(form.fullmatch(run) for form in ALLOW):
+            continue
+        if kinds < 3 and WORDS.fullmatch(run):
             continue
         counts = Counter(run[:window])
         total = sum(weight[c] for c in counts.values())

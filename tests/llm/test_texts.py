@@ -135,6 +135,18 @@ def test_secret_odd_rows(spark, odd_docs, no_docs):
     assert secret_scan(odd_docs).count() == odd_docs.count() and secret_scan(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("key", ["k3j9x0q2m7v5b1n8z4w6", "K3J5X2QAM7VTB4NWZ6YH", "QkdXbPzLsRtYvHmCnWaE", "aGVq/bXdLk+ZpRtYwQmF", "x9Kq2Lm7Zp4Rt8Wv3Ys6"])
+def test_entropy_of_each_class(key):
+    """Lower case + digits, upper case + digits, letters of both cases, base64 without a digit, all three."""
+    text = f"the value {key} stays"
+    assert [text[a:b] for a, b, _ in entropy_spans(text)] == [key]
+
+
+@pytest.mark.parametrize("text", ["getElementsByTagNameAndClass", "/usr/share/doc/python3/examples", "chapter12section34paragraph", "covid-19-and-the-2nd-dose-of-it", "AbstractSingletonProxyFactory", "MAX_BUFFER_SIZE_2048_BYTES", "internationalization-and-more"])
+def test_words_are_no_secrets(text):
+    assert not entropy_spans(text)
+
+
 def test_entropy_counts_are_right():
     key = "x9Kq2Lm7Zp4Rt8Wv3Ys6Bn1"
     text = f"the value {key} stays, 550e8400-e29b-41d4-a716-446655440000 and aaaaaaaaaaaaaaaaaaaaaaaaa1 go"
