@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from gridmill.llm.common import arrow_map
 
-#: Words that a worker remembers; when full, it starts afresh.
-REMEMBERED = 300_000
+#: Words that a worker remembers, and characters of words and ids together; when full, it starts afresh.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 8_000_000
 _END = "\n"  # stands for the end-of-word suffix; byte-level text never holds it
 
 
@@ -39,7 +39,6 @@ def byte_letters() -> dict[int, str]:
 class Encoded(NamedTuple):
     n: int
     ids: str
-    text: str
 
 
 class WordBPE:
@@ -70,6 +69,7 @@ class WordBPE:
         self.compatible = lru_cache(1 << 17)(self._compatible)
         self.whole = lru_cache(1 << 16)(self._whole)
         self.words: dict[str, str] = {}
+        self.held = 0
         self.name_of = {str(i): s for i, s in self.names.items()}
 
     def _merge(self, parts: list[str]) -> list[str]:
@@ -116,10 +116,12 @@ class WordBPE:
         """Ids of one word, remembered."""
         known = self.words.get(word)
         if known is None:
-            if len(self.words) >= REMEMBERED:
+            if len(self.words) >= REMEMBERED or self.held > REMEMBERED_CHARS:
                 self.words.clear()
+                self.held = 0
             letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
             known = self.words[word] = " ".join(map(str, self.encode_letters(letters + _END)))
+            self.held += len(word) + len(known)
         return known
 
     def decode(self, ids: str) -> str:
@@ -136,7 +138,7 @@ class WordBPE:
                 known, word = self.words.get, self.word
                 parts += [known(w) or word(w) for w in self.pattern.findall(normal)]
         ids = " ".join(parts)
-        return Encoded(ids.count(" ") + 1 if ids else 0, ids, self.decode(ids))
+        return Encoded(ids.count(" ") + 1 if ids else 0, ids)
 
 
 @lru_cache(2)
@@ -144,22 +146,26 @@ def load(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
     """Encode whole texts and decode the ids again.
 
     docs: doc_id, text. Returns doc_id, n_tokens, ids (decimal, one space
-    between), decoded, a row for each input row. A null or empty text has no
-    tokens. Strings of special tokens in a text become those tokens. Other
-    columns are ignored. `path` is a tokenizer file present on every executor.
+    between) and, unless told not to, decoded, a row for each input row. A null
+    or empty text has no tokens; long texts are encoded whole; repeated rows are
+    each encoded. Strings of special tokens in a text become those tokens. Other
+    columns are ignored; no rows give no rows. `path` is a tokenizer file present
+    on every executor.
     """
 
     def encode(batch):
-        found = [load(path).encode(t) for t in batch["text"].to_pylist()]
-        yield {"doc_id": batch["doc_id"], "n_tokens": [e.n for e in found], "ids": [e.ids for e in found], "decoded": [e.text for e in found]}
+        model = load(path)
+        found = [model.encode(t) for t in batch["text"].to_pylist()]
+        out = {"doc_id": batch["doc_id"], "n_tokens": [e.n for e in found], "ids": [e.ids for e in found]}
+        yield out | {"decoded": [model.decode(e.ids) for e in found]} if decode else out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return arrow_map(rows, f"doc_id {kind}, n_tokens long, ids string, decoded string", encode)
+    return arrow_map(rows, f"doc_id {kind}, n_tokens long, ids string" + ", decoded string" * decode, encode)
 
 
 def op7_bpe_encoding(spark, sf_dir: str) -> DataFrame:

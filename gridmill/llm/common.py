@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,12 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where intermediate tables go: spark.checkpoint.dir, or a temporary folder where that is unset (local runs)."""
+    """Where intermediate tables go: spark.checkpoint.dir. Where that is unset, a temporary folder on a local master, and an error on a cluster."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
         return set_to.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="gridmill-")
@@ -40,8 +44,12 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """rid, row: every input row with a number of its own, written down so that the numbers stay. No input column can clash."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "numbered")
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """rid: a key of (doc_id, text), the same each time the row is read. Rows with equal doc_id and text share it."""
     return docs.withColumn("rid", F.xxhash64("doc_id", "text"))
 
 
@@ -77,6 +85,56 @@ def arrow_map(df: DataFrame, schema: str, per_batch: Callable[[dict], Iterable[d
     return df.mapInArrow(run, schema)
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, least node of its group) that join what the edges a-b join: one for each node but the least."""
+    node, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(node))
+    unite(label, i, j)
+    other = np.flatnonzero(label != np.arange(len(node)))
+    return node[other], node[label[other]]
+
+
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Merge the groups of i and j in place. label names each node's group by its least node, before and after."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table, edges) from batches sorted by their first column (long): a table of whole groups, and where each begins and the last ends.
+
+    A group must fit in memory.
+    """
+    waiting: list[pa.RecordBatch] = []
+
+    def whole(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        key = table.column(0).to_numpy()
+        return table, np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        last = len(key) - int(np.argmax(np.append(key[::-1] != key[-1], True)))
+        if waiting and (last or waiting[-1].column(0)[0].as_py() != key[0]):
+            yield whole([*waiting, batch.slice(0, last)] if last else waiting)
+            waiting = []
+        elif last:
+            yield whole([batch.slice(0, last)])
+        waiting.append(batch.slice(last))
+    if waiting:
+        yield whole(waiting)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (least node reachable) of every node in edges (a, b: long).
 

@@ -1,13 +1,14 @@
 """Quality classifier by importance resampling.
 
-Two bag-of-n-grams models share hashed features (words and word pairs): the
-target model is fitted on documents labelled good, the raw model on all
-documents. A document's importance weight is the ratio of its probabilities
-under the two, taken per n-gram so that lengths compete fairly. Documents are
-sampled without replacement in proportion to their weights by Gumbel top-k:
-key = log weight / temperature + Gumbel noise, and the k largest keys stay. k
-is the number of documents whose weight passes the cut that best parts good
-from bad labels.
+Two generative models of hashed n-grams (words and word pairs) share their
+features: the target model is fitted on documents labelled good, the raw model
+on all documents. A document's importance weight is the ratio of the
+probabilities of its whole text under the two. Documents are sampled without
+replacement in proportion to their weights by Gumbel top-k: key = log weight /
+temperature + Gumbel noise, and the k largest keys stay. The temperature is 1,
+so the weights are what the ratio says, and chance decides about documents whose
+log weights lie within a few units of the margin. k is the number of documents
+whose weight passes the cut that best parts good from bad labels.
 
 The labelled rows used are a bounded sample (LABELS); the raw model, the
 weights and the selection cover every document.
@@ -23,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.llm.bytehash import U64, mix, running, slice_hash, word_spans
-from gridmill.llm.common import arrow_map, stored, text_bytes, with_row_key
+from gridmill.llm.common import arrow_map, stored, text_bytes
 from gridmill.llm.windows import WORD_BYTE
 
 BUCKETS_LOG2 = 14
 #: Labelled rows that the target model and the cut are fitted on, at most.
 LABELS = 20_000
-#: Scale of the log weight per n-gram against the sampling noise.
-TEMPERATURE = 0.0005
+#: Scale of the log weight against the sampling noise; 1 samples in proportion to the weights.
+TEMPERATURE = 1.0
 SMOOTH = 0.5
 _SLICE = 1 << 18
 
@@ -113,49 +114,52 @@ def top_key(keys: DataFrame, k: int, bins: int = 4096) -> float:
     return lo
 
 
-def quality_sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELS, temperature: float = TEMPERATURE, seed: int = 17) -> DataFrame:
+def quality_sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELS, temperature: float = TEMPERATURE, seed: int = 17, carry: bool = False) -> DataFrame:
     """Sample documents in proportion to their importance weight.
 
     docs: doc_id, text; labels: doc_id, quality (1 good, 0 bad; null is
-    ignored; the least counts where a doc_id has several). Returns doc_id, rid
-    (key of doc_id and text), n_grams, log_weight, score (log weight per
-    n-gram), kept, a row for each input row. Texts without words (null, empty)
-    have n_grams 0, a null score and aren't kept. Rows with equal doc_id and
-    text share score, noise and fate. Without good labels, or without bad ones,
+    ignored; the least counts where a doc_id has several). Returns doc_id,
+    n_grams, log_weight, key, kept, a row for each input row, and with `carry`
+    the input row as a struct, row. Texts without words (null, empty) have
+    n_grams 0, a null log_weight and key, and aren't kept. Rows with equal
+    doc_id and text share weight, noise and fate; so do rows whose key equals
+    the k-th, and all of them stay. A labelled doc_id that several rows share
+    is judged by its least weight. Without good labels, or without bad ones,
     nothing tells what to reject, and every text with words is kept. No rows
-    give no rows; other columns are ignored.
+    give no rows; other columns, of whatever name, are ignored.
     """
     spark = docs.sparkSession
-    rows = with_row_key(docs).select("doc_id", "rid", text_bytes().alias("text"))
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = {r.doc_id: r.quality > 0 for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()}
-    raw, target = ngram_counts(rows.select("doc_id", "text"), {d for d, good in chosen.items() if good})
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw")
+    rows = docs.select("doc_id", text_bytes().alias("text"), draw, *[F.struct("*").alias("row")] * carry)
+    known = labels.select(F.col("doc_id").cast(kind).alias("doc_id"), "quality").dropna().groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
+    known = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "labels")
+    raw, target = ngram_counts(rows.select("doc_id", "text"), {r.doc_id for r in known.where("good").collect()})
     share = lambda c: np.log((c + SMOOTH) / (c.sum() + SMOOTH * len(c)))
     ratio = spark.sparkContext.broadcast(share(target) - share(raw))
 
     def weigh(batch):
-        texts = batch["text"].to_pylist()
+        texts = batch.pop("text").to_pylist()
         n, total = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
         for part, owner, bucket in features(texts):
             size = part.stop - part.start
             n[part] = np.bincount(owner, minlength=size)
             total[part] = np.bincount(owner, ratio.value[bucket], minlength=size)
-        score = pa.array(total / np.maximum(n, 1), mask=n == 0)
-        yield {"doc_id": batch["doc_id"], "rid": batch["rid"], "n_grams": n, "log_weight": total, "score": score}
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    weighed = stored(arrow_map(rows, f"doc_id {kind}, rid long, n_grams long, log_weight double, score double", weigh), "weights")
-    table = spark.createDataFrame([(int(d), bool(g)) for d, g in chosen.items()], "doc_id long, good boolean")
-    judged = weighed.where("score is not null").join(F.broadcast(table), "doc_id").select("score", "good").toArrow()
-    good, score = (judged[c].to_numpy() for c in ("good", "score"))
-    cut = best_cut(score, good.astype(bool)) if 0 < good.sum() < len(good) else -np.inf
-    k = weighed.where(F.col("score") >= F.lit(float(cut))).count()
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "rid"), 11) + F.lit(0.5)) * F.lit(2.0**-53)
-    keyed = weighed.withColumn("key", F.col("score") / F.lit(temperature) - F.log(-F.log(uniform)))
-    least = top_key(keyed.where("score is not null"), k)
-    return keyed.select("doc_id", "rid", "n_grams", "log_weight", "score", F.coalesce(F.col("key") >= F.lit(float(least)), F.lit(False)).alias("kept"))
+        yield batch | {"n_grams": n, "log_weight": pa.array(total, mask=n == 0)}
+
+    passed = rows.drop("text").schema
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in passed), "n_grams long, log_weight double"])
+    weighed = stored(arrow_map(rows, schema, weigh), "weights")
+    judged = weighed.where("log_weight is not null").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("weight"), F.first("good").alias("good"))
+    judged = judged.select("weight", "good").toArrow()  # at most `labelled` rows
+    weight, good = judged["weight"].to_numpy(), judged["good"].to_numpy()
+    cut = best_cut(weight, good.astype(bool)) if 0 < good.sum() < len(good) else -np.inf
+    k = weighed.where(F.col("log_weight") >= F.lit(float(cut))).count()
+    uniform = (F.shiftrightunsigned("draw", 11) + F.lit(0.5)) * F.lit(2.0**-53)
+    keyed = weighed.withColumn("key", F.col("log_weight") / F.lit(temperature) - F.log(-F.log(uniform))).drop("draw")
+    least = top_key(keyed.where("key is not null").select("key"), k)
+    return keyed.withColumn("kept", F.coalesce(F.col("key") >= F.lit(float(least)), F.lit(False)))
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    out = quality_sample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.drop("rid")
+    return quality_sample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

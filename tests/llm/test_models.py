@@ -82,10 +82,48 @@ def test_quality_query(spark):
 def test_quality_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(5, 1, 0), (6, 1, None), (8, 0, 1), (9, 0, 0), (9, 1, 0), (None, 1, 0), (10, None, 0)], "doc_id long, quality int, toxic int")
     out = quality_sample(odd_docs, labels).cache()
-    assert out.count() == odd_docs.count() and out.where("n_grams = 0 and score is null and not kept").count() == 3
+    assert out.count() == odd_docs.count() and out.where("n_grams = 0 and log_weight is null and not kept").count() == 3
     assert {r.doc_id for r in out.where("kept").collect()} >= {5, 6} and out.where("kept and doc_id in (8, 9)").count() == 0
     assert quality_sample(odd_docs, labels.where("false")).where("kept").count() == odd_docs.count() - 3
     assert quality_sample(no_docs, labels).count() == 0
+    named = odd_docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    by_name = quality_sample(named, labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), carry=True)
+    assert by_name.where("kept").select("row.*").columns == odd_docs.columns and by_name.where("kept").count() >= 3
+
+
+def test_quality_against_brute_force(spark):
+    """Weights by plain counting of n-grams; then noise at the scale of the weights, and the k largest keys."""
+    from gridmill.llm.quality import features
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality_sample(docs, labels).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    grams = {d: Counter(b for _, _, bucket in features([t]) for b in bucket.tolist()) for d, t in texts.items()}
+    raw, target = Counter(), Counter()
+    for d, c in grams.items():
+        raw.update(c)
+        target.update(c if quality.get(d) == 1 else {})
+    share = lambda c, b: (c[b] + 0.5) / (c.total() + 0.5 * 2**14)
+    for d, c in grams.items():
+        if c:
+            assert got[d].log_weight == pytest.approx(sum(n * np.log(share(target, b) / share(raw, b)) for b, n in c.items()), abs=1e-6)
+    known = [(got[d].log_weight, q == 1) for d, q in quality.items() if got[d].log_weight is not None]
+    cut = best_cut(*map(np.array, zip(*known)))
+    k = sum(c.log_weight is not None and c.log_weight >= cut for c in got.values())
+    keyed = sorted((r for r in got.values() if r.key is not None), key=lambda r: -r.key)
+    assert {r.doc_id for r in keyed if r.key >= keyed[k - 1].key} == {d for d, r in got.items() if r.kept}
+    noise = np.array([r.key - r.log_weight for r in keyed])
+    assert abs(noise.mean() - 0.5772) < 0.35 and abs(noise.std() - np.pi / np.sqrt(6)) < 0.35
+
+
+def test_sampling_follows_the_weights(spark):
+    """Of texts with equal weight, chance picks: another seed, another choice."""
+    rows = [(i, f"common words here {i}") for i in range(400)] + [(1000, "good good good"), (1001, "bad bad bad")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(200)] + [(1000, 1), (1001, 0)], "doc_id long, quality int")
+    one, two = ({r.doc_id for r in quality_sample(docs, labels, seed=s).where("kept").collect()} for s in (1, 2))
+    assert one != two and 0.5 < len(one) / len(two) < 2
 
 
 def test_top_key(spark):
@@ -105,7 +143,7 @@ def test_best_cut():
 
 def test_pipeline_stages(spark, sf, odd_docs):
     """Each stage on what the one before kept, against a brute-force version."""
-    from tests.llm.test_pairs import brute_simhash
+    from tests.llm.test_pairs import brute_jaccard
     from tests.llm.test_texts import brute_benchmark, brute_secrets
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -125,7 +163,8 @@ def test_pipeline_stages(spark, sf, odd_docs):
             assert sum(d in after for d in good) > 0.95 * len(good)
             assert sum(d in after for d in before if labels.get(d) == 0) < 0.2 * sum(q == 0 for q in labels.values())
         elif name == "near_duplicates":
-            assert sorted(after) == sorted({c for _, _, c in brute_simhash(rows)})
+            rows.sort()
+            assert sorted(after) == sorted({rows[i][0] for i in brute_jaccard([t for _, t in rows])})
         elif name == "benchmark":
             assert sorted(after) == sorted(r[0] for r in brute_benchmark(rows, items) if not r[5])
         elif name == "secrets":
@@ -136,12 +175,14 @@ def test_pipeline_stages(spark, sf, odd_docs):
 
 
 def test_pipeline_odd_rows(spark, odd_docs, tmp_path):
-    rows = odd_docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    rows = odd_docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"), "rid")
     rows.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(5, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "a b c d"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {5} <= {r.doc_id for r in out}
+    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality(spark, rows, str(tmp_path)), str(tmp_path)).collect()
+    assert kept and {(r.doc_id, r.rid) for r in kept} <= {(r.doc_id, r.rid) for r in rows.collect()}
     rows.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{t}.parquet").write.parquet(f"{tmp_path}/none/{t}.parquet")

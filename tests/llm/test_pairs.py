@@ -4,8 +4,7 @@ import xxhash
 
 from gridmill.llm.common import connected_components
 from gridmill.llm.embedding_dedup import _compare, embedding_dedup, op1_embedding_near_dedup
-from gridmill.llm.jaccard import jaccard_dedup
-from gridmill.llm.simhash import bucket_keys, linked_components, op3_simhash_near_dedup, simhash_dedup
+from gridmill.llm.simhash import bucket_keys, linked_edges, near_copies, op3_simhash_near_dedup, simhash_dedup
 
 
 def components(n, links):
@@ -46,7 +45,7 @@ def test_every_near_pair_shares_a_bucket():
         b = a
         for bit in rng.choice(64, size=4, replace=False):
             b ^= 1 << int(bit)
-        row, key = bucket_keys(np.array([a, b], dtype=np.uint64))
+        row, key = bucket_keys(np.array([[a], [b]], dtype=np.uint64))
         assert set(key[row == 0]) & set(key[row == 1])
 
 
@@ -63,7 +62,8 @@ def test_simhash_odd_rows(spark, odd_docs, no_docs):
     assert simhash_dedup(no_docs).count() == 0
 
 
-def test_simhash_links_of_dense_groups(spark):
+@pytest.mark.parametrize("crowd", [4096, 7])
+def test_simhash_links_of_dense_groups(spark, crowd):
     """Groups whose members meet in crowded buckets, chains included."""
     rng = np.random.default_rng(2)
     fps = set()
@@ -76,7 +76,7 @@ def test_simhash_links_of_dense_groups(spark):
     fps = sorted(fps)
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
     root = components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
-    got = {r.node & (1 << 64) - 1: r.component for r in linked_components(df).collect()}
+    got = {r.node & (1 << 64) - 1: r.component for r in connected_components(linked_edges(df, bucket_keys, 4, crowd)).collect()}
     pairs = {}
     for f, r in zip(fps, root):
         pairs.setdefault(r, set()).add(got.get(f, f"alone{f}"))
@@ -194,11 +194,41 @@ def brute_jaccard(texts):
     return [low.setdefault(r, i) for i, r in enumerate(root)]
 
 
-def test_jaccard_groups(spark):
-    """All near copies of sf0.01, among them pairs that differ in more than 4 bits of a fingerprint."""
+@pytest.mark.parametrize(("crowd", "most_bytes"), [(1024, 8 << 20), (5, 20_000)])
+def test_near_copies(spark, crowd, most_bytes):
+    """All near copies of sf0.01, and edited ones: no false group, and nearly all true ones, in blocks of any size."""
     rows = [(i, r.text) for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect())]
     edited = [(len(rows) + i, " ".join(w if k % 60 else f"new{k}" for k, w in enumerate(t.split()))) for i, t in rows[:200] if t]
     rows += edited + [(len(rows) + len(edited) + i, t) for i, t in enumerate([None, "", "one two", "One  two", "a b c d e f g h i", "a b c d e f g h"])]
-    got = {r.doc_id: r.component for r in jaccard_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.rid: r.component for r in near_copies(spark.createDataFrame(rows, "rid long, text string"), crowd=crowd, most_bytes=most_bytes).collect()}
+    want = dict(enumerate(brute_jaccard([t for _, t in rows])))
+    groups = {}
+    for i, c in got.items():
+        groups.setdefault(c, set()).add(want[i])
+    assert all(len(g) == 1 for g in groups.values()) and len(got) == len(rows)
+    linked = [i for i, c in want.items() if c != i]
+    assert sum(got[i] == got[want[i]] for i in linked) >= 0.97 * len(linked)
+
+
+def test_large_group_of_near_copies(spark):
+    """5,000 near copies of one text are one group, in both operators."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(5000):
+        own = list(words)
+        own[int(rng.integers(150))] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    rows.append((5000, " ".join(f"other{i}" for i in range(150))))
+    df = spark.createDataFrame(rows, "rid long, text string").repartition(8)
+    got = {r.rid: r.component for r in near_copies(df).collect()}
+    assert sum(got[i] == 0 for i in range(5000)) >= 4950 and got[5000] == 5000
+    fp = [brute_fingerprint(t) for _, t in rows]
+    by = {r.doc_id: r.component_id for r in simhash_dedup(df.withColumnRenamed("rid", "doc_id")).collect()}
+    distinct = sorted(set(fp))
+    bits = np.array(distinct, dtype=np.uint64)
+    root = components(len(distinct), [(i, int(j)) for i in range(len(bits)) for j in np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= 4)])
     low = {}
-    assert [low.setdefault(got[i], i) for i, _ in rows] == brute_jaccard([t for _, t in rows])
+    for i, f in enumerate(fp):
+        low.setdefault(root[distinct.index(f)], i)
+    assert by == {i: low[root[distinct.index(f)]] for i, f in enumerate(fp)}
