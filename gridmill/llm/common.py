@@ -28,20 +28,44 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and survives the loss of executors."""
-    path = f"{shared_folder(df.sparkSession)}/gridmill-{uuid.uuid4().hex}/{name}"
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df to the shared folder, or to path, and read it back: cuts lineage, and survives the loss of executors."""
+    path = path or f"{shared_folder(df.sparkSession)}/gridmill-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that :func:`stored` wrote and nothing needs any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    fs, at = _path(df.sparkSession, df.stored_path)
+    fs.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _path(spark, path)
+    return fs.exists(at)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file: the new one is complete before it takes the name."""
+    fs, at = _path(spark, path)
+    _, new = _path(spark, f"{path}.new")
+    out = fs.create(new, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    fs.delete(at, False)
+    fs.rename(new, at)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def numbered(docs: DataFrame) -> DataFrame:

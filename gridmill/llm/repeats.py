@@ -1,167 +1,166 @@
-"""Find every window of a corpus that starts in more than one place.
-
-The steps, after an index has told which anchor pieces occur twice or more:
-
-1. Neighbourhoods with such an anchor meet by (anchor, digest). Those whose
-   whole bytes occur twice are repeated throughout.
-2. One copy of each different neighbourhood of an anchor is compared with the
-   others window by window, by digests of the windows' bytes.
+"""Remove every window of a corpus that starts in more than one place.
+
+An index (levels.py) tells which anchor pieces occur twice or more. Then:
+
+1. Neighbourhoods (windows.py) with such an anchor meet by the digest of their
+   whole bytes. Those that occur twice are repeated throughout.
+2. One of each kind of neighbourhood is refined. Its windows are numbered by the
+   units they hold before the anchor, and cut into blocks of such numbers. The
+   windows of a block share a core; a block whose core no other neighbourhood
+   has is done. What is left is cut finer, down to single windows, whose digest
+   is that of their own bytes. A block that another equals in whole needs no
+   finer cut, but for one of its kind that the others are held against.
 3. The repeated windows of a text are turned into the units they cover.
+
+Each step counts digests and hands the counts back by a join, so a piece that
+any number of neighbourhoods share costs a row each, and no task holds them all.
+Digests have 128 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import arrow_map, stored, text_bytes, with_row_key
-from gridmill.llm.windows import Found, Shape, neighbourhoods, normal_bytes, unit_bounds
+from gridmill.llm.common import arrow_map, forget, stored, text_bytes
+from gridmill.llm.levels import Levels
+from gridmill.llm.windows import Shape, digests, neighbourhoods, normal_bytes, unit_bounds
 
-#: An anchor with more different neighbourhoods than this has their windows spread over all tasks.
-GROUP_LIMIT = 1024
+#: Batches that a query takes its documents in.
+BATCHES = 4
+#: A rid holds the number of its intake above these bits.
+_RID_BITS = 54
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, blob: the rows with their texts compressed, for shuffles."""
+def packed(docs: DataFrame, intake: int) -> DataFrame:
+    """rid (a number of its own for each row), doc_id, blob (the text, compressed)."""
 
     def pack(batch):
         squeeze = zstandard.ZstdCompressor(level=1)
-        yield {"doc_id": batch["doc_id"], "rid": batch["rid"], "blob": [squeeze.compress(t) for t in batch["text"].to_pylist()]}
+        yield {"rid": batch["rid"], "doc_id": batch["doc_id"], "blob": [squeeze.compress(t) for t in batch["text"].to_pylist()]}
 
-    rows = with_row_key(docs).select("doc_id", "rid", text_bytes().alias("text"))
-    return arrow_map(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid long, blob binary", pack)
+    rid = F.monotonically_increasing_id() + F.lit(intake << _RID_BITS)
+    rows = docs.select(rid.alias("rid"), "doc_id", text_bytes().alias("text"))
+    return arrow_map(rows, f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, blob binary", pack)
 
 
-def _unpack(blobs) -> list[bytes]:
+def unpacked(blobs) -> list[bytes]:
     expand = zstandard.ZstdDecompressor()
     return [expand.decompress(b) for b in blobs.to_pylist()]
 
 
-def records(docs: DataFrame, shape: Shape) -> DataFrame:
-    """key, digest, rid, at of each neighbourhood; at holds start, lead and count."""
+def _records(texts: DataFrame, shape: Shape) -> DataFrame:
+    """key, d1, d2, rid, at of each neighbourhood; at holds start, lead and count."""
 
     def find(batch):
         rid = batch["rid"].to_numpy()
-        for f in neighbourhoods([normal_bytes(t, shape.unit) for t in batch["text"].to_pylist()], shape):
-            yield {"key": f.key, "digest": f.digest, "rid": rid[f.text], "at": (f.start << 16) | (f.lead << 8) | f.count}
-
-    return arrow_map(with_row_key(docs).select("rid", text_bytes().alias("text")), "key long, digest long, rid long, at long", find)
+        for f in neighbourhoods([normal_bytes(t, shape.unit) for t in unpacked(batch["blob"])], shape):
+            yield {"key": f.key, "d1": f.digest[:, 0], "d2": f.digest[:, 1], "rid": rid[f.text], "at": (f.start << 16) | (f.lead << 8) | f.count}
 
-
-def _window_digests(content: bytes, count: int, shape: Shape) -> list[int]:
-    """Digests of the windows in the bytes of a neighbourhood."""
-    if shape.unit == "byte":
-        return [xxhash.xxh3_64_intdigest(content[i : i + shape.width]) for i in range(count)]
-    starts, ends = (x.tolist() for x in unit_bounds(np.frombuffer(content, dtype=np.uint8), shape.unit))
-    return [xxhash.xxh3_64_intdigest(content[starts[i] : ends[i + shape.width - 1]]) for i in range(count)]
+    return arrow_map(texts.select("rid", "blob"), "key long, d1 long, d2 long, rid long, at long", find)
 
 
 def _contents(texts: DataFrame, wanted: DataFrame, shape: Shape) -> DataFrame:
-    """key, rid, at, crowd, content of the neighbourhoods in wanted (rid, key, at, crowd)."""
-    lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "at", "crowd")).alias("wanted"))
+    """rid, at, content of the neighbourhoods in wanted (rid, at)."""
+    lists = wanted.groupBy("rid").agg(F.collect_list("at").alias("ats"))
 
     def cut(batch):
         rid = batch["rid"].to_numpy()
-        done = set()
-        for i, (text, want) in enumerate(zip(_unpack(batch["blob"]), batch["wanted"])):
-            if rid[i] in done:
-                continue
-            done.add(rid[i])
+        for i, (text, want) in enumerate(zip(unpacked(batch["blob"]), batch["ats"])):
             data = normal_bytes(text, shape.unit)
             starts, ends = unit_bounds(np.frombuffer(data, dtype=np.uint8), shape.unit)
-            flat = want.values
-            at = flat.field("at").to_numpy()
+            at = want.values.to_numpy()
             first = at >> 16
             lo, hi = starts[first].tolist(), ends[first + (at & 255) + shape.width - 2].tolist()
-            yield {"key": flat.field("key"), "rid": np.full(len(at), rid[i]), "at": at, "crowd": flat.field("crowd"), "content": [data[a:b] for a, b in zip(lo, hi)]}
-
-    return arrow_map(texts.join(lists, "rid").select("rid", "blob", "wanted"), "key long, rid long, at long, crowd boolean, content binary", cut)
-
-
-def _runs(rid, start, hit) -> dict:
-    """Runs of hit windows as rid and span (start << 16 | count)."""
-    rid, start = rid[hit], start[hit]
-    if not len(rid):
-        return {"rid": rid, "span": start}
-    order = np.lexsort((start, rid))
-    rid, start = rid[order], start[order]
-    new = np.ones(len(rid), dtype=bool)
-    new[1:] = (rid[1:] != rid[:-1]) | (start[1:] != start[:-1] + 1)
-    first = np.flatnonzero(new)
-    return {"rid": rid[first], "span": (start[first] << 16) | np.diff(np.append(first, len(rid)))}
-
-
-def _few(contents: DataFrame, shape: Shape) -> DataFrame:
-    """Compare the neighbourhoods of each anchor in one place; a stream sorted by anchor."""
-
-    def compare(parts: list[tuple]) -> dict:
-        key, digest, rid, start = [], [], [], []
-        for k, r, at, content in parts:
-            n = at & 255
-            digest += _window_digests(content, n, shape)
-            key.append(np.full(n, k))
-            rid.append(np.full(n, r))
-            start.append((at >> 16) + np.arange(n))
-        key, rid, start = (np.concatenate(x) for x in (key, rid, start))
-        digest = np.array(digest, dtype=np.uint64)
-        order = np.lexsort((digest, key))
-        same = (key[order][1:] == key[order][:-1]) & (digest[order][1:] == digest[order][:-1])
-        hit = np.zeros(len(key), dtype=bool)
-        hit[order[1:]] |= same
-        hit[order[:-1]] |= same
-        return _runs(rid, start, hit)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if len(waiting) >= GROUP_LIMIT and row[0] != waiting[-1][0]:
-                    yield pa.RecordBatch.from_pydict(compare(waiting))
-                    waiting = []
-                waiting.append(row)
-        if waiting:
-            yield pa.RecordBatch.from_pydict(compare(waiting))
-
-    rows = contents.where(~F.col("crowd")).select("key", "rid", "at", "content")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "rid long, span long")
-
-
-def _many(contents: DataFrame, shape: Shape) -> DataFrame:
-    """The same for anchors with more than GROUP_LIMIT neighbourhoods: each window is a row, and counts meet first."""
-
-    def windows(batch):
-        for k, r, at, content in zip(*(batch[c].to_pylist() for c in ("key", "rid", "at", "content"))):
-            n = at & 255
-            digest = np.array(_window_digests(content, n, shape), dtype=np.uint64).view(np.int64)
-            yield {"key": np.full(n, k), "digest": digest, "rid": np.full(n, r), "start": (at >> 16) + np.arange(n)}
-
-    rows = arrow_map(contents.where("crowd").select("key", "rid", "at", "content"), "key long, digest long, rid long, start long", windows)
-    twice = rows.groupBy("key", "digest").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(twice, ["key", "digest"]).select("rid", F.expr("shiftleft(start, 16) | 1").alias("span"))
-
-
-def repeated_spans(docs: DataFrame, repeated: DataFrame, shape: Shape, group_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): packed rows, and for each rid the list of its runs of repeated windows.
-
-    repeated: key of every anchor piece that occurs at least twice.
+            yield {"rid": np.full(len(at), rid[i]), "at": at, "content": [data[a:b] for a, b in zip(lo, hi)]}
+
+    return arrow_map(texts.join(lists, "rid").select("rid", "blob", "ats"), "rid long, at long, content binary", cut)
+
+
+def _pieces(contents: DataFrame, shape: Shape, size: int, above: tuple[int, ...]) -> DataFrame:
+    """rid, at, block, whole, d1, d2: the cores of the blocks of `size` windows, and (whole) the bytes of all windows of a larger block.
+
+    above: the sizes of coarser blocks so far, the last one split here. With any,
+    contents holds hits: block, whole, lead of the blocks that go on.
+    """
+    most = shape.width - shape.gram
+
+    def find(batch):
+        content, at = batch["content"].to_pylist(), batch["at"].to_numpy()
+        data = (b"" if shape.unit == "byte" else b" ").join(content)
+        starts, ends = unit_bounds(np.frombuffer(data, dtype=np.uint8), shape.unit)
+        lead, units = (at >> 8) & 255, (at & 255) + shape.width - 1
+        low = lead - (at & 255) + 1
+        anchor = np.cumsum(units) - units + lead
+        row, block, whole = np.arange(len(at)), low // size, []
+        n = lead // size - low // size + 1
+        if above:
+            hits = batch["hits"]
+            flat, n_hits = hits.values, np.diff(hits.offsets.to_numpy())
+            row = np.repeat(row, n_hits)
+            block, equal, leads = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("block", "whole", "lead"))
+            if len(above) > 1:  # blocks equal in whole go on for one of their kind only
+                code = row * 1024 + block
+                done = code[equal & ~leads]
+                going = ~equal & ~np.isin(row * 1024 + block * above[-1] // above[-2], done)
+                row, block = row[going], block[going]
+            n = np.full(len(row), above[-1] // size)
+            parent_row, parent, block = row, block, block * (above[-1] // size)
+        again = np.repeat(np.arange(len(row)), n)
+        block = block[again] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        row = row[again]
+        first, last = block * size, np.minimum(block * size + size - 1, most)
+        fits = (first <= lead[row]) & (last >= low[row]) & (first <= most)
+        row, block, first, last = row[fits], block[fits], first[fits], last[fits]
+        lo, hi = anchor[row] - first, anchor[row] + shape.width - last
+        whole = np.zeros(len(row), dtype=bool)
+        if above and size > 1:
+            first, last = parent * above[-1], np.minimum(parent * above[-1] + above[-1] - 1, most)
+            fits = (first >= low[parent_row]) & (last <= lead[parent_row])
+            lo, hi = np.concatenate((lo, (anchor[parent_row] - last)[fits])), np.concatenate((hi, (anchor[parent_row] + shape.width - first)[fits]))
+            row, block = np.concatenate((row, parent_row[fits])), np.concatenate((block, parent[fits]))
+            whole = np.concatenate((whole, np.ones(fits.sum(), dtype=bool)))
+        digest = digests(data, starts[lo], ends[hi - 1])
+        yield {"rid": batch["rid"].take(pa.array(row)), "at": at[row], "block": block.astype(np.int32), "whole": whole, "d1": digest[:, 0], "d2": digest[:, 1]}
+
+    return arrow_map(contents, "rid long, at long, block int, whole boolean, d1 long, d2 long", find)
+
+
+def repeated_spans(texts: DataFrame, repeated: DataFrame, shape: Shape) -> DataFrame:
+    """rid, spans: the runs of repeated windows of each text that has any, as start << 16 | count.
+
+    texts: rid, blob; repeated: key of every anchor piece that occurs at least twice.
     """
-    limit = GROUP_LIMIT if group_limit is None else group_limit
-    met = stored(records(docs, shape).join(repeated.select("key"), "key"), "met")
-    kinds = met.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one"))
-    whole = met.join(kinds.where("n > 1").select("key", "digest"), ["key", "digest"])
-    whole = whole.select("rid", F.expr("shiftleft(shiftright(at, 16), 16) | (at & 255)").alias("span"))
-    variety = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(variety, "key").select("key", "one.rid", "one.at", (F.col("kinds") > limit).alias("crowd"))
-    texts = packed(docs)
-    contents = _contents(texts, wanted, shape)
-    spans = whole.union(_few(contents, shape)).union(_many(contents, shape))
-    return texts, spans.groupBy("rid").agg(F.collect_list("span").alias("spans"))
+    met = stored(_records(texts, shape).join(repeated, "key", "left_semi"), "met")
+    kinds = stored(met.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("key", "rid", "at")).alias("one")).select("d1", "d2", "n", "one.*"), "kinds")
+    whole = met.join(kinds.where("n > 1").select("d1", "d2"), ["d1", "d2"], "left_semi")
+    spans = [stored(whole.select("rid", F.expr("shiftleft(shiftright(at, 16), 16) | (at & 255)").alias("span")), "spans")]
+    forget(met)
+    varied = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    contents = stored(_contents(texts, kinds.join(varied, "key", "left_semi").select("rid", "at"), shape), "contents")
+    forget(kinds)
+    going, above = contents, ()
+    lead, most = "(shiftright(at, 8) & 255)", shape.width - shape.gram
+    span = f"shiftleft(shiftright(at, 16) + {lead} - least(block * {{0}} + {{0}} - 1, {most}), 16) | (least({{0}}, {most} + 1 - block * {{0}}))"
+    for size in shape.blocks:
+        pieces = stored(_pieces(going, shape, size, above), "pieces")
+        twice = pieces.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("first")).where("n > 1")
+        hits = stored(pieces.join(twice, ["d1", "d2"]).select("rid", "at", "block", "whole", (F.struct("rid", "at") == F.col("first")).alias("lead")), "hits")
+        forget(pieces)
+        if size == 1:
+            spans.append(hits.select("rid", F.expr(span.format(1)).alias("span")))
+        elif above:
+            spans.append(hits.where("whole").select("rid", F.expr(span.format(above[-1])).alias("span")))
+        going = contents.join(hits.groupBy("rid", "at").agg(F.collect_list(F.struct("block", "whole", "lead")).alias("hits")), ["rid", "at"])
+        above = (*above, size)
+    return reduce(DataFrame.union, spans).groupBy("rid").agg(F.collect_set("span").alias("spans"))
 
 
 def covered(n_units: int, spans: np.ndarray, width: int) -> np.ndarray:
@@ -179,7 +178,7 @@ def cleaned(texts: DataFrame, spans: DataFrame, shape: Shape) -> DataFrame:
 
     def clean(batch):
         total, removed, runs, kept = [], [], [], []
-        for text, found in zip(_unpack(batch["blob"]), batch["spans"]):
+        for text, found in zip(unpacked(batch["blob"]), batch["spans"]):
             data = normal_bytes(text, shape.unit)
             starts, ends = unit_bounds(np.frombuffer(data, dtype=np.uint8), shape.unit)
             total.append(len(starts))
@@ -200,6 +199,22 @@ def cleaned(texts: DataFrame, spans: DataFrame, shape: Shape) -> DataFrame:
     return arrow_map(joined, f"doc_id {kind}, n_units long, n_removed long, n_spans long, kept binary", clean)
 
 
-def found_heads(f: Found) -> tuple[np.ndarray, np.ndarray]:
-    """Different anchor pieces of f and how often each occurs."""
-    return np.unique(f.key, return_counts=True)
+class RepeatIndex:
+    """Texts, and the levels of an index over their anchor pieces, in one folder.
+
+    entries: texts (rid, blob) to rows of (*columns, n); keys: matched entries to
+    rows of key. With a folder that an earlier session filled, what is added now
+    is held against all that is there.
+    """
+
+    def __init__(self, spark: SparkSession, shape: Shape, columns: list[str], entries: Callable, keys: Callable, folder: str | None = None):
+        self.shape, self.entries, self.keys = shape, entries, keys
+        self.levels = Levels(spark, columns, folder)
+
+    def add(self, docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+        """Take in documents, batch after batch. Returns them cleaned of what repeats among them and all before."""
+        mine = self.levels.keep("texts", packed(docs, len(self.levels.tables.get("texts", []))))
+        for b in range(batches):
+            self.levels.add(self.entries(mine.where(F.pmod(F.xxhash64("rid"), F.lit(batches)) == b)))
+        spans = repeated_spans(self.levels.kept("texts"), self.keys(self.levels.kept("matches")), self.shape)
+        return cleaned(mine, spans, self.shape)

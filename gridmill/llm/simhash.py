@@ -217,9 +217,9 @@ def linked_edges(nodes: DataFrame, keys, most: int, crowd: int = CROWD) -> DataF
             yield out()
 
     # one shuffle by key serves the counts and the join with them
-    member = F.struct(*names)
+    least, most_of = (F.min(F.struct(*names)), F.max(F.struct(*names))) if len(names) > 1 else (F.struct(F.min(names[0]).alias(names[0])), F.struct(F.max(names[0]).alias(names[0])))
     rows = arrow_map(nodes, ", ".join(["key long", *(f"{n} long" for n in names)]), find).repartition("key")
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(member).alias("lo"), F.max(member).alias("hi")).where("n > 1")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), least.alias("lo"), most_of.alias("hi")).where("n > 1")
     apart = lambda a, b: sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in names[-width:]), F.lit(0))
     pairs = buckets.where("n = 2").where(apart("lo.", "hi.") <= most).select(F.col(f"lo.{names[0]}").alias("a"), F.col(f"hi.{names[0]}").alias("b"))
     met = stored(rows.join(buckets.where("n > 2").select("key", "n", "lo"), "key").withColumn("outside", apart("", "lo.") > most), "buckets")

@@ -2,70 +2,51 @@
 
 History is kept as immutable runs of fingerprints, sorted, one fingerprint for
 each neighbourhood of 35-word windows (windows.py): equal windows share it. A
-new batch's fingerprints are merge-joined with the runs; what meets is
-verified on the windows' own bytes (repeats.py); then the batch becomes a run
-and full levels are compacted (levels.py).
+new batch's fingerprints are merge-joined with the runs (levels.py); what meets,
+or occurs twice in the batch, is verified on the windows' own words
+(repeats.py); the batch becomes a run, and full levels are compacted.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import arrow_map, text_bytes
-from gridmill.llm.levels import Levels
-from gridmill.llm.repeats import cleaned, found_heads, repeated_spans
+from gridmill.llm.common import arrow_map
+from gridmill.llm.repeats import BATCHES, RepeatIndex, unpacked
 from gridmill.llm.windows import Shape, neighbourhoods, normal_bytes
 
 WIDTH = 35
 GRAM = 5
-BATCHES = 4
 
 
-def fingerprints(docs: DataFrame, shape: Shape) -> DataFrame:
-    """key, n: the different window fingerprints of a batch, unsorted."""
+def fingerprints(texts: DataFrame, shape: Shape) -> DataFrame:
+    """key, n: the window fingerprints of a batch, sorted and counted within each slice of text."""
 
     def find(batch):
-        for f in neighbourhoods([normal_bytes(t, shape.unit) for t in batch["text"].to_pylist()], shape, digests=False):
-            key, n = found_heads(f)
+        for f in neighbourhoods([normal_bytes(t, shape.unit) for t in unpacked(batch["blob"])], shape, digested=False):
+            key, n = np.unique(f.key, return_counts=True)
             yield {"key": key, "n": n}
 
-    return arrow_map(docs.select(text_bytes().alias("text")), "key long, n long", find)
+    return arrow_map(texts.select("blob"), "key long, n long", find)
 
 
-class FingerprintIndex:
-    """Runs of window fingerprints. add() takes a batch, matches() asks what a batch shares with history."""
-
-    def __init__(self, width: int = WIDTH, gram: int = GRAM):
-        self.shape = Shape("word", width, gram)
-        self.levels = Levels(["key"])
-
-    def add(self, docs: DataFrame) -> None:
-        self.levels.add(fingerprints(docs, self.shape))
-
-    def matches(self, docs: DataFrame) -> DataFrame:
-        return self.levels.matches(fingerprints(docs, self.shape))
-
-    def repeated(self) -> DataFrame:
-        return self.levels.scan().where("n > 1").select("key")
-
-
-def window_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, group_limit: int | None = None) -> DataFrame:
+def window_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, folder: str | None = None) -> DataFrame:
     """Remove every word covered by a window of `width` words that also starts elsewhere in the corpus.
 
     docs: doc_id, text. Words are runs of bytes other than space and
     \\x09-\\x0D. Returns doc_id, n_units (words), n_removed, n_spans, kept (kept
     words joined by one space), a row for each input row. A null text has no
-    words and texts under `width` words stay whole. Rows with equal doc_id and
-    text are copies of each other. An empty table gives no rows; other columns
-    are ignored.
+    words and texts under `width` words stay whole; long texts are treated
+    whole. Repeated rows are copies of each other. An empty table gives no rows;
+    other columns, of whatever name, are ignored. With a `folder` the index stays
+    there, and documents are also held against those of earlier calls with that
+    folder.
     """
-    index = FingerprintIndex(width, gram)
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))
-    for b in range(batches):
-        index.add(docs.where(part == b))
-    texts, spans = repeated_spans(docs, index.repeated(), index.shape, group_limit)
-    return cleaned(texts, spans, index.shape)
+    shape = Shape("word", width, gram)
+    index = RepeatIndex(docs.sparkSession, shape, ["key"], lambda t: fingerprints(t, shape), lambda m: m.select("key"), folder)
+    return index.add(docs, batches)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -29,12 +29,17 @@ SLICE = 1 << 18
 
 @dataclass(frozen=True)
 class Shape:
-    """unit: "byte" or "word"; width: units in a window; gram: units in an anchor piece."""
+    """unit: "byte" or "word"; width: units in a window, 255 at most; gram: units in an anchor piece."""
 
     unit: str
     width: int
     gram: int
 
+    @property
+    def blocks(self) -> tuple[int, int, int]:
+        """Windows in a block of the first, second and last cut (repeats.py); each divides the one before."""
+        return (16, 4, 1) if self.unit == "byte" else (8, 2, 1)
+
 
 @dataclass
 class Found:
@@ -45,7 +50,7 @@ class Found:
     count: np.ndarray  # its windows
     lead: np.ndarray  # units before the anchor in the first window
     key: np.ndarray  # hash of the anchor piece, int64
-    digest: np.ndarray  # digest of all bytes that the windows cover, int64
+    digest: np.ndarray  # digest of all bytes that the windows cover, two int64 each
 
 
 def normal_bytes(text: bytes, unit: str) -> bytes:
@@ -60,6 +65,12 @@ def unit_bounds(data: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
     return word_spans(data, WORD_BYTE)
 
 
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Digests of slices of data, n x 2 int64."""
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]), dtype=np.int64).reshape(-1, 2)
+
+
 def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Runs of texts of about SLICE bytes together."""
     first, size = 0, 0
@@ -72,7 +83,7 @@ def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def _cut(data: bytes, starts, ends, owner, base, shape: Shape, digests: bool) -> Found | None:
+def _cut(data: bytes, starts, ends, owner, base, shape: Shape, digested: bool) -> Found | None:
     """Neighbourhoods of one slice. owner: the text of each unit; base: its unit number in the text."""
     n, w, k = len(starts), shape.width, shape.gram
     if n < w:
@@ -93,23 +104,18 @@ def _cut(data: bytes, starts, ends, owner, base, shape: Shape, digests: bool) ->
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
     start = at[first]
-    if digests:
-        view = memoryview(data)
-        lo, hi = starts[start].tolist(), ends[start + count + w - 2].tolist()
-        digest = np.array([xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(lo, hi)], dtype=U64).view(np.int64)
-    else:
-        digest = np.zeros(0, dtype=np.int64)
+    digest = digests(data, starts[start], ends[start + count + w - 2]) if digested else np.zeros((0, 2), dtype=np.int64)
     return Found(owner[start], base[start], count, a[first] - start, h[a[first]].view(np.int64), digest)
 
 
-def neighbourhoods(texts: list[bytes], shape: Shape, digests: bool = True) -> Iterator[Found]:
+def neighbourhoods(texts: list[bytes], shape: Shape, digested: bool = True) -> Iterator[Found]:
     """Neighbourhoods of texts in normal form (see normal_bytes)."""
     gap = b"" if shape.unit == "byte" else b" "
     for lo, hi in _groups(texts):
         group = texts[lo:hi]
         data = gap.join(group)
         if len(data) > 2 * SLICE:  # one long text
-            yield from _long(data, lo, shape, digests)
+            yield from _long(data, lo, shape, digested)
             continue
         starts, ends = unit_bounds(np.frombuffer(data, dtype=np.uint8), shape.unit)
         edge = np.cumsum([0] + [len(t) + len(gap) for t in group[:-1]])
@@ -117,18 +123,18 @@ def neighbourhoods(texts: list[bytes], shape: Shape, digests: bool = True) -> It
         sizes = np.diff(np.append(first, len(starts)))
         owner = np.repeat(np.arange(lo, hi), sizes)
         base = np.arange(len(starts)) - np.repeat(first, sizes)
-        found = _cut(data, starts, ends, owner, base, shape, digests)
+        found = _cut(data, starts, ends, owner, base, shape, digested)
         if found is not None:
             yield found
 
 
-def _long(data: bytes, index: int, shape: Shape, digests: bool) -> Iterator[Found]:
+def _long(data: bytes, index: int, shape: Shape, digested: bool) -> Iterator[Found]:
     starts, ends = unit_bounds(np.frombuffer(data, dtype=np.uint8), shape.unit)
     step = SLICE if shape.unit == "byte" else SLICE // 8
     for u in range(0, max(len(starts) - shape.width + 1, 0), step):
         v = min(u + step + shape.width - 1, len(starts))
         lo = starts[u]
         part = data[lo : ends[v - 1]]
-        found = _cut(part, starts[u:v] - lo, ends[u:v] - lo, np.full(v - u, index), np.arange(u, v), shape, digests)
+        found = _cut(part, starts[u:v] - lo, ends[u:v] - lo, np.full(v - u, index), np.arange(u, v), shape, digested)
         if found is not None:
             yield found

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from gridmill.llm.levels import Levels
-from gridmill.llm.suffix_dedup import SuffixIndex, op2_suffix_array_dedup, suffix_dedup
+from gridmill.llm.suffix_dedup import op2_suffix_array_dedup, suffix_dedup
 from gridmill.llm.window_dedup import op4_substring_dedup, window_dedup
 
 
@@ -30,11 +30,10 @@ def found(df):
 
 
 @pytest.mark.parametrize(("dedup", "unit", "width", "gram"), [(suffix_dedup, "byte", 40, 8), (window_dedup, "word", 3, 1), (window_dedup, "word", 35, 5)])
-@pytest.mark.parametrize("limit", [None, 1])
-def test_odd_rows(spark, odd_docs, no_docs, dedup, unit, width, gram, limit):
+def test_odd_rows(spark, odd_docs, no_docs, dedup, unit, width, gram):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    assert found(dedup(odd_docs, width, gram, 2, limit)) == brute(rows, unit, width)
-    assert dedup(no_docs, width, gram, 2, limit).count() == 0
+    assert found(dedup(odd_docs, width, gram, 2)) == brute(rows, unit, width)
+    assert dedup(no_docs, width, gram, 2).count() == 0
 
 
 def test_long_text_is_cut_without_loss(spark, monkeypatch):
@@ -61,19 +60,39 @@ def test_queries(spark, sf, query, unit, width):
             assert got[doc].n_spans == runs
 
 
+def test_shared_edges(spark):
+    """Many texts with one passage between different words: its edges have as many neighbourhoods as there are texts."""
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}x{j}" for j in range(i % 50)] + passage[i % 9 :] + [f"b{i}y{j}" for j in range(i % 37)])) for i in range(300)]
+    rows += [(300 + i, " ".join(passage[:20] + [f"c{i % 3}"] + passage[20:])) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(window_dedup(df)) == brute(rows, "word", 35)
+    assert found(suffix_dedup(df)) == brute(rows, "byte", 200)
+
+
 def test_levels_merge_geometrically(spark):
-    levels = Levels(["key"])
-    sizes = []
+    levels = Levels(spark, ["key"])
+    sizes, matches = [], []
     for b in range(4):
-        levels.add(spark.createDataFrame([(b, 1), (100, 1)], "key long, n long"))
+        met = levels.add(spark.createDataFrame([(b, 1), (100, 1), (50 + b // 2, 1)], "key long, n long"))
         sizes.append(sorted(levels.runs))
+        matches.append(sorted(r.key for r in met.distinct().collect()))
     assert sizes == [[0], [1], [0, 1], [2]]
-    assert {r.key: r.n for r in levels.scan().collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 100: 4}
-
-
-def test_new_batch_meets_history(spark):
-    index = SuffixIndex(30, 8)
-    passage = "a passage that is shared by two batches of texts"
-    index.add(spark.createDataFrame([(1, "before " + passage)], "doc_id long, text string"))
-    assert index.matches(spark.createDataFrame([(2, passage + " after")], "doc_id long, text string")).count() > 0
-    assert index.matches(spark.createDataFrame([(3, "entirely other words that nobody else has used")], "doc_id long, text string")).count() == 0
+    assert matches == [[], [50, 100], [100], [51, 100]]
+    assert {r.key: r.n for r in levels.runs[2].collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 50: 2, 51: 2, 100: 4}
+
+
+@pytest.mark.parametrize(("dedup", "unit", "width", "gram"), [(suffix_dedup, "byte", 40, 8), (window_dedup, "word", 6, 2)])
+def test_second_session_meets_history(spark, tmp_path, dedup, unit, width, gram):
+    """An index in a folder is opened again, and new documents are held against all that it has."""
+    passage = "a passage of several words that is shared by two batches of texts"
+    first = [(1, "before " + passage), (2, "nothing of the kind stands in this one at all"), (3, None)]
+    second = [(1, passage + " after"), (5, "entirely other words that nobody else has ever used here"), (6, "")]
+    third = [(7, "entirely other words that nobody else has ever used here or there"), (8, passage)]
+    folder, seen = f"file://{tmp_path}/index", []
+    for rows in (first, second, third):
+        got = found(dedup(spark.newSession().createDataFrame(rows, "doc_id long, text string"), width, gram, 2, folder))
+        seen += rows
+        every = [(f"{i}", t) for i, (_, t) in enumerate(seen)]
+        want = {int(r[0]): r[1:] for r in brute(every, unit, width)}
+        assert got == sorted(((seen[i][0], *want[i]) for i in range(len(seen) - len(rows), len(seen))), key=str)
