@@ -1,23 +1,29 @@
 """LM scoring by online logistic context mixing.
 
 Text is predicted bit by bit, each byte being eight decisions down a binary
-tree. For each decision, one predictor per context length (the last 1 to 5
-bytes) looks up the counts of zeros and ones in a hashed table. Their logits
-are combined by a mixer whose weights are chosen by a gate, the bit's place and
-the longest context seen before, and a last table refines the mixed
+tree. For each decision, one predictor per context (the last 1 to 5 bytes, and
+the word so far) looks up the counts of zeros and ones in a hashed table. Their
+logits are combined by a mixer whose weights are chosen by a gate, the bit's
+place, the longest context seen before and how often, and a last table refines the mixed
 probability by what came true at such predictions. log2 of the result, summed,
 gives total bits.
 
 How it is learned from all training texts:
 
-1. Runs of six bytes are counted over the corpus (map-side first).
-2. The bit tables are sums over those counts, in arrays of fixed size.
+1. Runs of six bytes, each with a hash of the word so far, are counted over the
+   corpus (map-side first).
+2. Runs are dealt in PARTS by the two bytes before the last. A part's contexts
+   belong to it alone, so it fills its own slots in one task, and no table is
+   summed over tasks. A part gets slots in proportion to the different contexts
+   that it has, up to SLOTS for each predictor over all parts: what tasks and
+   workers hold in memory has that bound, and beyond it contexts share slots.
 3. The mixer learns online: each task takes its share of the runs in small
-   steps, and sees each run as if the tables hadn't counted it once; tasks'
-   weights are averaged. The refining table is counted the same way.
+   steps, weighted by how often they occur, and sees each run as if the tables
+   hadn't counted it once; tasks' weights are averaged. The refining table is
+   counted the same way.
 
-Predictions depend on six bytes alone, so a worker remembers those it has made,
-in a table of fixed size, and sums per text.
+Predictions depend on a run alone, so a worker remembers those it has made, in
+a table of fixed size, and sums per text.
 
 Beside it stands a unigram word model with add-half smoothing; its counts of
 frequent words travel as a table of fixed size, other words are joined.
@@ -33,33 +39,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm.bytehash import mix
-from gridmill.llm.common import arrow_map, stored, text_bytes, with_row_key
+from gridmill.llm.bytehash import mix, running, slice_hash
+from gridmill.llm.common import arrow_map, stored, text_bytes
 
-ORDERS = (1, 2, 3, 4, 5)
-#: log2 of the slots of each order's table.
-SLOTS = (16, 19, 20, 21, 21)
+#: Context bytes of each predictor; 0 takes the word so far.
+ORDERS = (0, 1, 2, 3, 4, 5)
+#: Slots of a predictor's table, at most.
+SLOTS = 1 << 21
+PARTS = 64
 GRAM = 6
-GATES = 8 * (len(ORDERS) + 1)
+#: Counts from which the longest context seen is the more trusted.
+TRUST = (1.5, 3.5, 12.5)
+GATES = 8 * (len(ORDERS) + 1) * (len(TRUST) + 1)
 RUNGS = 33
-#: Tasks that build tables and learn weights; each streams its share in bounded memory.
-LEARNERS = 12
 #: Frequent words whose counts every task holds.
 COMMON_WORDS = 1 << 17
 #: Different entries that a task gathers before it hands them on.
 FLUSH = 1 << 20
-_CHUNK = 1 << 14
-_OFFSETS = np.concatenate(([0], np.cumsum([1 << s for s in SLOTS])))
-_LOG = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
+#: Counts n are kept as codes of 16 bits, in steps of log2(n + 1): any count fits, to 1 part in 1,400.
+_CODE = 1024
+_COUNT = (np.exp2(np.arange(1 << 16) / _CODE) - 1).astype(np.float32)
 _BYTES_AT_ONCE = 1 << 19
 
 
+def coded(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(np.log2(counts + 1.0) * _CODE), (1 << 16) - 1).astype(np.uint16)
+
+
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(runs, sizes): a run of six bytes for each byte of each text and for its end, which is a zero byte; zeros stand before a text."""
+    """(runs, sizes): for each byte of each text and for its end, which is a zero byte: 16 bits of a hash of the word so far, five bytes before, the byte.
+
+    Zeros stand before a text; bytes up to space part words.
+    """
     data = np.frombuffer(b"\0" * (GRAM - 1) + (b"\0" * GRAM).join(texts) + b"\0", dtype=np.uint8)
     sizes = np.array([len(t) + 1 for t in texts])
     n = len(data) - GRAM + 1
-    runs = np.zeros(n, dtype=np.uint64)
+    at = np.arange(len(data))
+    word = np.maximum.accumulate(np.where(data <= 32, at + 1, 0))
+    word = np.concatenate(([0], word[:-1]))
+    runs = slice_hash(running(data), word, at)[GRAM - 1 :] >> np.uint64(48)
     for i in range(GRAM):
         runs = (runs << np.uint64(8)) | data[i : i + n]
     first = np.cumsum(sizes + GRAM - 1) - sizes - GRAM + 1
@@ -81,23 +99,51 @@ def _portions(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
-def _nodes(runs: np.ndarray, bit: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The slot of each order, and the bit that came, at one of the eight decisions."""
-    byte = runs & np.uint64(255)
-    path = (byte | np.uint64(256)) >> np.uint64(8 - bit)
-    slots = []
-    for i, order in enumerate(ORDERS):
-        context = (runs >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
-        h = mix((context << np.uint64(8) | path) * np.uint64(2 * order + 1) + np.uint64(order))
-        slots.append((h >> np.uint64(64 - SLOTS[i])).astype(np.int64) + _OFFSETS[i])
-    return slots, ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+def part_of(runs: np.ndarray) -> np.ndarray:
+    """The part of each run, by the two bytes before its last."""
+    return (((runs >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(40503) >> np.uint64(10)).astype(np.int64) & (PARTS - 1)
+
+
+#: The same in SQL.
+PART = f"cast(shiftright((shiftright(gram, 8) & 65535) * 40503, 10) & {PARTS - 1} as int)"
+
+
+def _context(runs: np.ndarray, order: int) -> np.ndarray:
+    before = runs >> np.uint64(8)
+    if order:
+        return before & np.uint64((1 << 8 * order) - 1)
+    return (runs >> np.uint64(48)) << np.uint64(16) | before & np.uint64(0xFFFF)
+
+
+class Layout:
+    """Which slots each part has in each predictor's table."""
+
+    def __init__(self, contexts: np.ndarray, most: int = SLOTS, spread: int = 16):
+        """contexts: predictors x parts, the different contexts with the byte that follows; spread: slots for each where there is room."""
+        wanted = np.maximum(spread * contexts, 64).astype(np.int64)
+        over = np.maximum(wanted.sum(axis=1) / most, 1)[:, None]
+        self.size = np.maximum(wanted / over, 64).astype(np.int64)
+        flat = np.cumsum(self.size.ravel())
+        self.total = int(flat[-1])
+        self.start = (flat - self.size.ravel()).reshape(self.size.shape)
+
+    def nodes(self, runs: np.ndarray, bit: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The slot of each predictor, and the bit that came, at one of the eight decisions."""
+        byte = runs & np.uint64(255)
+        path = (byte | np.uint64(256)) >> np.uint64(8 - bit)
+        part = part_of(runs)
+        slots = []
+        for i, order in enumerate(ORDERS):
+            h = mix((_context(runs, order) << np.uint64(8) | path) * np.uint64(2 * i + 3) + np.uint64(i))
+            slots.append(self.start[i][part] + ((h >> np.uint64(32)) * self.size[i][part].astype(np.uint64) >> np.uint64(32)).astype(np.int64))
+        return slots, ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
 
 
 class Mixer:
     """Bit tables, gated weights and the refining table."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts  # 2 x slots, uint16
+    def __init__(self, layout: Layout, counts: np.ndarray):
+        self.layout, self.counts = layout, counts  # codes of zeros and ones, 2 x slots
         self.weights = np.full((GATES, len(ORDERS)), 0.3)
         self.refined: np.ndarray | None = None  # GATES x RUNGS logits
 
@@ -109,16 +155,18 @@ class Mixer:
 
     def inputs(self, runs: np.ndarray, bit: int, without: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(logits of the predictors, gate, bit). without: as if the tables had not counted the run once."""
-        slots, one = _nodes(runs, bit)
+        slots, one = self.layout.nodes(runs, bit)
         x = np.empty((len(ORDERS), len(runs)), dtype=np.float32)
         longest = np.zeros(len(runs), dtype=np.int64)
         for i, slot in enumerate(slots):
-            n0, n1 = self.counts[0][slot], self.counts[1][slot]
+            zeros, ones = (_COUNT[c[slot]] for c in self.counts)
             if without:
-                n0 = n0 - (~one & (n0 > 0))
-                n1 = n1 - (one & (n1 > 0))
-            x[i] = _LOG[n1] - _LOG[n0]
-            longest[(n0 + n1.astype(np.int64)) > 0] = i + 1
+                zeros, ones = np.maximum(zeros - ~one, 0), np.maximum(ones - one, 0)
+            x[i] = np.log(ones + np.float32(0.4)) - np.log(zeros + np.float32(0.4))
+            total = zeros + ones
+            seen = total > 0.5
+            trust = sum((total > least).astype(np.int64) for least in TRUST)
+            longest[seen] = ((i + 1) * (len(TRUST) + 1) + trust)[seen]
         return x, longest * 8 + bit, one
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -208,67 +256,85 @@ def count_grams(texts: DataFrame) -> DataFrame:
     return _gather(fold, "gram long, n long", texts).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _tables(counted: DataFrame) -> np.ndarray:
-    """Zeros and ones of each slot, 2 x slots, scaled into 16 bits where they are larger."""
-    size = int(_OFFSETS[-1])
+def _layout(counted: DataFrame, *limits: int) -> Layout:
+    """Slots by the approximate number of different contexts, with their next byte, in each part."""
+    keys = [f"gram & {(1 << 8 * (order + 1)) - 1}" if order else f"gram & ~{0xFFFFFF << 24}" for order in ORDERS]
+    found = counted.groupBy(F.expr(PART).alias("part")).agg(*(F.approx_count_distinct(F.expr(k)).alias(f"n{i}") for i, k in enumerate(keys))).collect()
+    contexts = np.zeros((len(ORDERS), PARTS))
+    for row in found:
+        contexts[:, row.part] = row[1:]
+    return Layout(contexts, *limits)
 
-    def fold(state, batch):
-        if state is None:
-            state = np.zeros((2, size), dtype=np.int64)
-        if batch is not None:
-            runs, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for bit in range(8):
-                slots, one = _nodes(runs, bit)
-                for slot in slots:
-                    np.add.at(state[0], slot[~one], n[~one])
-                    np.add.at(state[1], slot[one], n[one])
-            return state, []
-        flat = state.ravel()
-        used = [i for i in range(0, len(flat), _CHUNK) if flat[i : i + _CHUNK].any()]
-        return state, [pa.RecordBatch.from_pydict({"part": [i], "counts": [flat[i : i + _CHUNK]]}) for i in used]
-
-    parts = _gather(fold, "part long, counts array<long>", counted.coalesce(LEARNERS))
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.sum([c.values.to_numpy() for c in group["counts"]], axis=0)
-        over = np.maximum(1, -(-total // 65535))
-        return pa.table({"part": group["part"][:1], "counts": pa.array([total.tolist()], pa.list_(pa.int64())), "scale": pa.array([over.tolist()], pa.list_(pa.int64()))})
-
-    summed = stored(parts.groupBy("part").applyInArrow(add, "part long, counts array<long>, scale array<long>"), "tables")
-    flat, scale = np.zeros(2 * size, dtype=np.int64), np.ones(2 * size, dtype=np.int64)
-    for row in summed.toLocalIterator():
-        flat[row.part : row.part + len(row.counts)] = row.counts
-        scale[row.part : row.part + len(row.counts)] = row.scale
-    over = scale.reshape(2, size).max(axis=0)
-    return (flat.reshape(2, size) // over).astype(np.uint16)
-
-
-def _fit(spark, counted: DataFrame) -> Mixer:
-    counts = _tables(counted)
-    shared = spark.sparkContext.broadcast(counts)
+
+def _tables(counted: DataFrame, layout: Layout) -> np.ndarray:
+    """Coded zeros and ones of each slot, 2 x slots. Each part fills its own slots, in one stream of its runs."""
+
+    def handed(part: int, state: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"part": [part], "codes": [coded(state).tobytes()]})
+
+    def fill(batches):
+        part, state, base, first = -1, None, None, None
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            edge = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+            for a, b in zip(edge[:-1], edge[1:]):
+                if a == b:
+                    continue
+                if parts[a] != part:
+                    if state is not None:
+                        yield handed(part, state)
+                    part = int(parts[a])
+                    size = layout.size[:, part]
+                    state, base, first = np.zeros((2, size.sum())), layout.start[:, part], np.cumsum(size) - size
+                runs, n = batch.column(1).to_numpy()[a:b].view(np.uint64), batch.column(2).to_numpy()[a:b]
+                for bit in range(8):
+                    slots, one = layout.nodes(runs, bit)
+                    for i, slot in enumerate(slots):
+                        at = slot - base[i] + first[i]
+                        np.add.at(state[0], at[~one], n[~one])
+                        np.add.at(state[1], at[one], n[one])
+        if state is not None:
+            yield handed(part, state)
+
+    dealt = counted.select(F.expr(PART).alias("part"), "gram", "n").repartition(PARTS, "part").sortWithinPartitions("part")
+    out = np.zeros((2, layout.total), dtype=np.uint16)
+    for row in stored(dealt.mapInArrow(fill, "part long, codes binary"), "tables").toLocalIterator():  # of bounded size, see Layout
+        codes, at = np.frombuffer(row.codes, dtype=np.uint16).reshape(2, -1), 0
+        for i in range(len(ORDERS)):
+            start, size = layout.start[i][row.part], layout.size[i][row.part]
+            out[:, start : start + size] = codes[:, at : at + size]
+            at += size
+    return out
+
+
+def fit(training: DataFrame, *limits: int) -> Mixer:
+    """Learn the mixing model from all rows of training (text: binary). limits: see Layout."""
+    spark, counted = training.sparkSession, stored(count_grams(training), "grams")
+    layout = _layout(counted, *limits)
+    counts = _tables(counted, layout)
+    shared = spark.sparkContext.broadcast((layout, counts))
 
     def learn(state, batch):
         if state is None:
-            state = (Mixer(shared.value), 0)
+            state = (Mixer(*shared.value), 0)
         model, done = state
         if batch is None:
             return state, [pa.RecordBatch.from_pydict({"steps": [done], "weights": [model.weights.ravel()]})] if done else []
         runs, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
         for lo in range(0, len(runs), 1024):
-            model.learn(runs[lo : lo + 1024], np.minimum(n[lo : lo + 1024], 64).astype(float), 0.25 / np.sqrt(1 + done / 20))
+            model.learn(runs[lo : lo + 1024], n[lo : lo + 1024].astype(float), 0.25 / np.sqrt(1 + done / 20))
             done += 1
         return (model, done), []
 
-    shares = counted.coalesce(LEARNERS)
-    learned = _gather(learn, "steps long, weights array<double>", shares).collect()
-    model = Mixer(counts)
+    learned = _gather(learn, "steps long, weights array<double>", counted).collect()
+    model = Mixer(layout, counts)
     if learned:
         model.weights = np.average([r.weights for r in learned], axis=0, weights=[r.steps for r in learned]).reshape(GATES, -1)
     weights = model.weights
 
     def refine(state, batch):
         if state is None:
-            state = (Mixer(shared.value), np.zeros((2, GATES * RUNGS)))
+            state = (Mixer(*shared.value), np.zeros((2, GATES * RUNGS)))
             state[0].weights = weights
         tuned, seen = state
         if batch is None:
@@ -281,7 +347,7 @@ def _fit(spark, counted: DataFrame) -> Mixer:
             seen[1] += np.bincount(at[one], n[one], GATES * RUNGS)
         return state, []
 
-    seen = _gather(refine, "zeros array<double>, ones array<double>", shares).collect()
+    seen = _gather(refine, "zeros array<double>, ones array<double>", counted).collect()
     centre = np.tile(np.arange(RUNGS) * 24 / (RUNGS - 1) - 12, GATES)
     prior = 1 / (1 + np.exp(-centre))
     zeros, ones = (np.sum([r[k] for r in seen], axis=0) if seen else np.zeros(GATES * RUNGS) for k in ("zeros", "ones"))
@@ -306,19 +372,20 @@ def count_words(texts: DataFrame) -> DataFrame:
     return _gather(fold, "word binary, c long", texts).groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def lm_scores(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, common: int = COMMON_WORDS, slots: int = SLOTS, model: Mixer | None = None) -> DataFrame:
     """Score whole texts by both models, learned from rows whose crc32(doc_id as text) mod 5 is not 1.
 
     docs: doc_id, text. Returns a row for each input row: doc_id, held_out,
     n_tokens (words and one end), n_known, train_tokens, base_score (log10, the
     unigram model), score (log10, the mixing model), bits_per_byte (null for no
     bytes). Null texts are empty and have the end alone. Rows with a null
-    doc_id count as training. Without training rows every count is zero and
-    the mixing model gives each bit one half. Repeated rows count each time;
-    other columns are ignored; no rows give no rows.
+    doc_id count as training. A `model` that fit() learned spares the learning. Without training rows every count is zero and
+    the mixing model gives each bit one half. Repeated rows count each time; long
+    texts count whole; other columns, of whatever name, are ignored; no rows give
+    no rows.
     """
     spark = docs.sparkSession
-    rows = with_row_key(docs).select("rid", "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False)).alias("held_out"), text_bytes().alias("text"))
+    rows = docs.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False)).alias("held_out"), text_bytes().alias("text"))
     training = rows.where("not held_out").select("text")
     vocabulary = stored(count_words(training), "words")
     words, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -326,7 +393,8 @@ def lm_scores(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
     n_train, n_kinds = words + ends, kinds + (ends > 0)
     frequent = vocabulary.orderBy(F.desc("c"), "word").limit(common).toArrow()
     held = dict(zip(frequent["word"].to_pylist(), frequent["c"].to_pylist()))
-    model = _fit(spark, stored(count_grams(training), "grams"))
+    if model is None:
+        model = fit(training, slots)
     shared = spark.sparkContext.broadcast((held, model))
     log_all = float(np.log10(n_train + 0.5 * (n_kinds + 1)))
 
@@ -348,13 +416,12 @@ def lm_scores(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
             runs, sizes = grams(part)
             mixed.append(np.add.reduceat(predict(runs), np.cumsum(sizes) - sizes))
         bits = np.concatenate(mixed)
-        yield {"rid": batch["rid"], "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_bytes": [len(t) for t in texts], "n_tokens": n, "known": known, "base": base, "bits": bits, "rest": rest}
+        yield {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_bytes": [len(t) for t in texts], "n_tokens": n, "known": known, "base": base, "bits": bits, "rest": rest}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"rid long, doc_id {kind}, held_out boolean, n_bytes long, n_tokens long, known long, base double, bits double, rest array<binary>"
-    scored = stored(arrow_map(rows, schema, score), "scored")
-    # rows that share rid have one text, and each gets the sum of one of them
-    others = scored.dropDuplicates(["rid"]).select("rid", F.explode("rest").alias("word"))
+    schema = f"doc_id {kind}, held_out boolean, n_bytes long, n_tokens long, known long, base double, bits double, rest array<binary>"
+    scored = stored(arrow_map(rows, schema, score).withColumn("rid", F.monotonically_increasing_id()), "scored")
+    others = scored.select("rid", F.explode("rest").alias("word"))
     met = others.join(vocabulary, "word").groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 0.5)).alias("plus"))
     out = scored.join(met, "rid", "left")
     more = F.coalesce("more", F.lit(0))

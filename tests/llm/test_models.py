@@ -45,15 +45,55 @@ def test_lm_odd_rows(spark, odd_docs, no_docs):
     assert unigram(lm_scores(nobody)) == brute_unigram([tuple(r)[:2] for r in nobody.collect()])
 
 
-def test_mixing_is_a_probability(spark):
+def test_mixing_is_a_probability():
     """Over all next bytes, the probabilities after a context sum to one."""
-    from gridmill.llm.language_model import Mixer, _OFFSETS
+    from gridmill.llm.language_model import GATES, ORDERS, PARTS, RUNGS, Layout, Mixer
 
     rng = np.random.default_rng(0)
-    model = Mixer(rng.integers(0, 9, size=(2, int(_OFFSETS[-1]))).astype(np.uint16))
-    model.refined = rng.normal(size=(48, 33))
-    runs = np.uint64(0x616263646500) | np.arange(256, dtype=np.uint64)
-    assert abs((2.0 ** model.log2(runs)).sum() - 1) < 1e-9
+    layout = Layout(np.full((len(ORDERS), PARTS), 50))
+    model = Mixer(layout, rng.integers(0, 9000, size=(2, layout.total)).astype(np.uint16))
+    model.refined = rng.normal(size=(GATES, RUNGS))
+    runs = np.uint64(0x1234616263646500) | np.arange(256, dtype=np.uint64)
+    assert abs((2.0 ** model.log2(runs)).sum() - 1) < 1e-6
+
+
+def test_score_against_brute_force(spark):
+    """Bit by bit over whole texts, with counts of contexts gathered in plain dictionaries."""
+    from gridmill.llm.language_model import ORDERS, RUNGS, TRUST, fit
+
+    rows = [(i, " ".join(f"w{(i * j) % 13}{'ab' * (j % 3)}" for j in range(i % 23)) + "\nÜber 1." * (i % 2)) for i in range(40)] + [(90, None), (91, "")]
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit(spark.createDataFrame([(bytearray((t or "").encode()),) for d, t in rows if not held(d)], "text binary"), 1 << 26, 1 << 10)
+
+    def steps(text):
+        data = (text or "").encode() + b"\0"
+        for i, byte in enumerate(data):
+            before = (b"\0" * 5 + data[:i])[-5:]
+            word = data[max(data.rfind(c, 0, i) for c in range(33)) + 1 : i]
+            for bit in range(8):
+                path = (byte | 256) >> (8 - bit)
+                part = (int.from_bytes(before[-2:]) * 40503 >> 10) % 64
+                keys = [(order, part, word + b"/" + before[-2:] if order == 0 else before[-order:], path) for order in ORDERS]
+                yield keys, bit, byte >> (7 - bit) & 1
+
+    counts = Counter()
+    for d, t in rows:
+        if not held(d):
+            for keys, _, one in steps(t):
+                counts.update((k, one) for k in keys)
+    got = {r.doc_id: r.score for r in lm_scores(docs, model=model).collect()}
+    for d, t in rows:
+        total = 0.0
+        for keys, bit, one in steps(t):
+            n = [(counts[k, 0], counts[k, 1]) for k in keys]
+            x = np.array([np.log(b + 0.4) - np.log(a + 0.4) for a, b in n])
+            longest = max([(i + 1) * (len(TRUST) + 1) + sum(a + b > c for c in TRUST) for i, (a, b) in enumerate(n) if a + b], default=0)
+            gate = longest * 8 + bit
+            logit = np.clip(model.weights[gate] @ x, -12, 12)
+            logit = (logit + model.refined[gate, int(np.rint((logit + 12) * (RUNGS - 1) / 24))]) / 2
+            total -= np.log10(1 + np.exp(-logit if one else logit))
+        assert got[d] == pytest.approx(total, rel=0.05, abs=0.05), d
 
 
 def test_license_query(spark):
