@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from gridmill.llm.bpe import bpe_encode, load, op7_bpe_encoding
-from gridmill.llm.decontaminate import find_benchmark, op8_benchmark_decontamination
+from gridmill.llm.decontaminate import find_benchmark, index_documents, op8_benchmark_decontamination
 from gridmill.llm.secrets import ALLOW, entropy_spans, op6_secret_scan, secret_scan
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -85,20 +85,21 @@ def test_benchmark_query(spark):
     assert got == want and sum(w[5] for w in want) > 10
 
 
-@pytest.mark.parametrize("block", [200_000, 3])
-def test_benchmark_odd_rows(spark, odd_docs, no_docs, block):
+@pytest.mark.parametrize("chunk", [50_000, 3])
+def test_benchmark_odd_rows(spark, odd_docs, no_docs, chunk):
     items = spark.createDataFrame([(1, "A b-C"), (2, None), (3, "..."), (4, "x x x x x x x x x x x x"), (4, "nothing here but a null id"), (10, "one"), (10, "one"), (5, "NULL id")], "item_id long, text string")
-    out = find_benchmark(odd_docs, items, block=block)
+    out = find_benchmark(index_documents(odd_docs), items, chunk=chunk)
     got = sorted(((r.doc_id, r.n_words, len(r.hits), len(r["items"]), SHA(",".join(r["items"])), bool(r.hits)) for r in out.collect()), key=str)
     assert got == brute_benchmark([tuple(r)[:2] for r in odd_docs.collect()], [tuple(r) for r in items.collect()])
-    assert find_benchmark(no_docs, items, block=block).count() == 0
-    assert find_benchmark(odd_docs, items.where("false"), block=block).where("size(hits) > 0").count() == 0
+    assert find_benchmark(index_documents(no_docs), items, chunk=chunk).count() == 0
+    assert find_benchmark(index_documents(odd_docs), items.where("false"), chunk=chunk).where("size(hits) > 0").count() == 0
 
 
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma of the beta and alpha"), (3, "alpha " + "x " * 30 + "beta gamma")], "doc_id long, text string")
+    docs = docs.repartition(2)
     items = spark.createDataFrame([(7, "Alpha, beta, gamma")], "item_id long, text string")
-    got = {r.doc_id: (r["items"], r.near_items) for r in find_benchmark(docs, items, slop=6).collect()}
+    got = {r.doc_id: (r["items"], r.near_items) for r in find_benchmark(index_documents(docs), items, slop=6).collect()}
     assert got == {1: (["7"], ["7"]), 2: ([], ["7"]), 3: ([], [])}
 
 
