@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridmill.llm.bpe import bpe_encode
 from gridmill.llm.common import bound_batches, numbered, stored
-from gridmill.llm.decontaminate import find_benchmark
+from gridmill.llm.decontaminate import find_benchmark, index_documents
 from gridmill.llm.quality import quality_sample
 from gridmill.llm.secrets import found_secrets
 from gridmill.llm.simhash import near_copies
@@ -46,8 +46,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs. Null and empty texts hold none and stay; every row is judged by itself. No rows give no rows."""
-    found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
-    return found.where(F.size("hits") == 0).select("row.*")
+    rows = numbered(docs)
+    found = find_benchmark(index_documents(rows.select(F.col("rid").alias("doc_id"), "row.text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("rid")), "rid", "left_anti").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
