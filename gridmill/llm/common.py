@@ -132,29 +132,45 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(table, edges) from batches sorted by their first column (long): a table of whole groups, and where each begins and the last ends.
+def sorted_groups(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray, list[int]]]:
+    """(table, edges, over) from batches sorted by their first column (long): whole groups, and where each begins and the last ends.
 
-    A group must fit in memory.
+    A group of over `most` rows is left out and its key listed in over, so that
+    no more than that and a batch are ever held.
     """
     waiting: list[pa.RecordBatch] = []
+    held, dropped = 0, None
 
-    def whole(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+    def whole(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, list[int]]:
         table = pa.Table.from_batches(parts).combine_chunks()
         key = table.column(0).to_numpy()
-        return table, np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        edge = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        over = np.flatnonzero(np.diff(edge) > most) if most is not None else []
+        if not len(over):
+            return table, edge, []
+        keep = np.repeat(np.diff(edge) <= most, np.diff(edge))
+        return (*whole([b for b in table.filter(pa.array(keep)).to_batches() if b.num_rows])[:2], key[edge[over]].tolist()) if keep.any() else (table.slice(0, 0), np.zeros(1, dtype=np.int64), key[edge[over]].tolist())
 
     for batch in batches:
         if not batch.num_rows:
             continue
         key = batch.column(0).to_numpy()
+        if dropped is not None:
+            batch = batch.slice(int(np.argmax(np.append(key != dropped, True))))
+            if not batch.num_rows:
+                continue
+            key, dropped = batch.column(0).to_numpy(), None
         last = len(key) - int(np.argmax(np.append(key[::-1] != key[-1], True)))
         if waiting and (last or waiting[-1].column(0)[0].as_py() != key[0]):
             yield whole([*waiting, batch.slice(0, last)] if last else waiting)
-            waiting = []
+            waiting, held = [], 0
         elif last:
             yield whole([batch.slice(0, last)])
         waiting.append(batch.slice(last))
+        held += len(key) - last
+        if most is not None and held > most:
+            yield waiting[0].schema.empty_table(), np.zeros(1, dtype=np.int64), [int(key[-1])]
+            waiting, held, dropped = [], 0, key[-1]
     if waiting:
         yield whole(waiting)
 

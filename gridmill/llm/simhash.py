@@ -178,11 +178,11 @@ def linked_edges(nodes: DataFrame, keys, most: int, crowd: int = CROWD) -> DataF
     """a, b: edges that join all nodes whose fingerprints share a key and differ in at most `most` bits.
 
     nodes: node (long, distinct), then the fingerprint's longs; a fingerprint
-    stands once. keys: fingerprints (n x k, uint64) to (row, key). Buckets of two
-    are settled by their least and greatest member. A bucket over `crowd` members
-    is first held against its least: members near that are joined by it, so only
-    pairs with one of the others are left, and those are dealt in blocks of them
-    against blocks of all.
+    stands once. keys: fingerprints (n x k, uint64) to (row, key). Rows meet
+    sorted by key. A bucket over `crowd` members isn't held in memory but named,
+    and those named are dealt in blocks in a second pass: members near its least
+    are joined by that, so only pairs with one of the others are left, and blocks
+    of these meet blocks of all.
     """
     names = nodes.columns
     width = len(names) - 1 or 1  # a fingerprint of one long can be its own node
@@ -194,48 +194,64 @@ def linked_edges(nodes: DataFrame, keys, most: int, crowd: int = CROWD) -> DataF
             row, key = keys(bits)
             yield {"key": key} | {n: c[lo : lo + 4096][row] for n, c in zip(names, columns)}
 
-    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out():
-            a, b = spanning(*(np.concatenate(x) for x in zip(*held)))
-            return pa.RecordBatch.from_pydict({"a": a, "b": b})
-
-        for table, edge in sorted_groups(batches):
-            node = table["node"].to_numpy()
-            bits = np.stack([table[c].to_numpy().view(np.uint64) for c in names[-width:]], axis=1)
-            outside = table["outside"].to_numpy(zero_copy_only=False)
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                i, j = bucket_forest(bits[lo:hi], most, None if outside[lo:hi].all() else outside[lo:hi])
-                if len(i):
-                    held.append((node[lo + i], node[lo + j]))
-                    size += len(i)
-                if size > 200_000:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    # one shuffle by key serves the counts and the join with them
-    least, most_of = (F.min(F.struct(*names)), F.max(F.struct(*names))) if len(names) > 1 else (F.struct(F.min(names[0]).alias(names[0])), F.struct(F.max(names[0]).alias(names[0])))
     rows = arrow_map(nodes, ", ".join(["key long", *(f"{n} long" for n in names)]), find).repartition("key")
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), least.alias("lo"), most_of.alias("hi")).where("n > 1")
-    apart = lambda a, b: sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in names[-width:]), F.lit(0))
-    pairs = buckets.where("n = 2").where(apart("lo.", "hi.") <= most).select(F.col(f"lo.{names[0]}").alias("a"), F.col(f"hi.{names[0]}").alias("b"))
-    met = stored(rows.join(buckets.where("n > 2").select("key", "n", "lo"), "key").withColumn("outside", apart("", "lo.") > most), "buckets")
-    met = met.withColumn("node", F.col(names[0]))
-    few = met.where(F.col("n") <= crowd).select(F.col("key").alias("block"), "node", *names[-width:], F.lit(True).alias("outside"))
-    many = met.where(F.col("n") > crowd)
-    hubs = many.where("not outside").select(F.col(f"lo.{names[0]}").alias("a"), F.col("node").alias("b"))
+    first = rows.withColumn("outside", F.lit(True)).sortWithinPartitions("key").mapInArrow(_visits(names, most, crowd), "a long, b long, crowded long")
+    found = stored(first, "links")
+    edges = found.where("crowded is null").select("a", "b")
+    crowded = found.where("crowded is not null").select(F.col("crowded").alias("key"))
+    if crowded.isEmpty():
+        return edges
+    member = F.struct(*names)
+    many = stored(rows.join(crowded, "key", "left_semi"), "crowds")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"lo.{c}"))) for c in names[-width:]), F.lit(0))
+    many = many.join(many.groupBy("key").agg(F.min(member).alias("lo")), "key").withColumn("outside", apart > most)
+    hubs = many.where("not outside").select(F.col(f"lo.{names[0]}").alias("a"), F.col(names[0]).alias("b"))
     sizes = many.groupBy("key").agg(F.ceil(F.count("*") / crowd).cast("int").alias("chunks"), F.ceil(F.count_if("outside") / crowd).cast("int").alias("blocks"))
-    dealt = many.join(sizes.where("blocks > 0"), "key").withColumn("chunk", F.pmod(F.hash("node", F.lit(1)), F.col("chunks"))).withColumn("part", F.pmod(F.hash("node", F.lit(2)), F.col("blocks")))
+    dealt = many.join(sizes.where("blocks > 0"), "key").withColumn("chunk", F.pmod(F.hash(names[0], F.lit(1)), F.col("chunks"))).withColumn("part", F.pmod(F.hash(names[0], F.lit(2)), F.col("blocks")))
     # all members go to their chunk once for each block of those outside, and those outside to their block once for each chunk
     places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda p: F.struct(p.alias("p"), F.col("chunk").alias("c"), F.lit(False).alias("o")))
     more = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.col("part").alias("p"), c.alias("c"), F.lit(True).alias("o"))))
     dealt = dealt.withColumn("to", F.explode(F.concat(places, F.coalesce(more, F.array().cast("array<struct<p:int,c:int,o:boolean>>")))))
-    dealt = dealt.select(F.xxhash64("key", "to.p", "to.c").alias("block"), "node", *names[-width:], F.col("to.o").alias("outside"))
-    visited = few.unionByName(dealt).repartition("block").sortWithinPartitions("block").mapInArrow(forest, "a long, b long")
-    return stored(pairs.union(hubs).union(visited).where("a <> b").distinct(), "links")
+    dealt = dealt.select(F.xxhash64("key", "to.p", "to.c").alias("block"), *names, F.col("to.o").alias("outside"))
+    second = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_visits(names, most, None), "a long, b long, crowded long")
+    return stored(edges.union(hubs).union(second.select("a", "b")).where("a <> b"), "links")
+
+
+def _visits(names: list[str], most: int, crowd: int | None):
+    """A mapInArrow function over rows sorted by key (or block): spanning edges of each bucket, and the keys of those over `crowd`."""
+    width = len(names) - 1 or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        size, crowded = 0, []
+
+        def out() -> pa.RecordBatch:
+            a, b = spanning(*(np.concatenate(x) for x in zip(*edges))) if edges else (np.zeros(0, dtype=np.int64),) * 2
+            named = pa.array([None] * len(a) + crowded, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *crowded], pa.int64()), pa.array([*b.tolist(), *crowded], pa.int64()), named], ["a", "b", "crowded"])
+
+        for table, edge, over in sorted_groups(batches, crowd):
+            crowded += over
+            node = table[names[0]].to_numpy()
+            bits = np.stack([table[c].to_numpy().view(np.uint64) for c in names[-width:]], axis=1)
+            n = np.diff(edge)
+            two = edge[:-1][n == 2]
+            two = two[_differing(bits[two], bits[two + 1]) <= most]
+            found = [(node[two], node[two + 1])] if len(two) else []
+            for lo, hi in zip(edge[:-1][n > 2].tolist(), edge[1:][n > 2].tolist()):
+                outside = table["outside"].slice(lo, hi - lo).to_numpy() if crowd is None else None
+                i, j = bucket_forest(bits[lo:hi], most, outside)
+                if len(i):
+                    found.append((node[lo + i], node[lo + j]))
+            edges += found
+            size += sum(len(a) for a, _ in found)
+            if size > 200_000:
+                yield out()
+                edges, size, crowded = [], 0, []
+        if edges or crowded:
+            yield out()
+
+    return run
 
 
 def simhash_dedup(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
@@ -348,7 +364,7 @@ def near_copies(rows: DataFrame, shingle: int = NEAR_SHINGLE, similarity: tuple[
     dealt = dealt.select(F.xxhash64("loose", "to.x", "to.y").alias("block"), "rid", "text", F.when(F.col("to.x") != F.col("to.y"), F.col("part") == F.col("to.x")).alias("side"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, edge in sorted_groups(batches):
+        for table, edge, _ in sorted_groups(batches):
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 group = table.slice(lo, hi - lo)
                 side = None if group["side"].null_count else group["side"].to_numpy(zero_copy_only=False)

@@ -1,3 +1,4 @@
+import os
 import zlib
 from collections import Counter
 from math import log10
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridmill.llm.language_model import lm_scores, op5_lm_scoring
-from gridmill.llm.licenses import KNOWN, SQL, license_scan, op9_license_scan
+from gridmill.llm.licenses import KNOWN, SQL, TEXTS, license_scan, op9_license_scan
 from gridmill.llm.quality import best_cut, op10_quality_classifier, quality_sample, top_key
 
 SF = "/root/testdata/sf0.01"
@@ -104,11 +105,27 @@ def test_license_query(spark):
     assert sum(r[3] for r in got) > 10
 
 
-def test_license_texts(spark, odd_docs, no_docs):
-    mit = KNOWN[0][1]
+def test_license_texts(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 A\n\n" + KNOWN[0][1]
     texts = [mit.upper().replace("COPYRIGHT (C) 2020 A", "© 1999-2003 Someone & Co., all of them"), mit.replace(", ", "\n").replace("Copyright (c) 2020 A", "Copyright 2015 B"), "x " + mit, "Released under the MIT Licence!", None, "Copyright 2020 C"]
+    texts += ["Copyright 2001 A\n" + t for i, _, t in TEXTS if i == "BSD-3-Clause"]
     got = [r.license for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
-    assert got == ["MIT", "MIT", None, "MIT", None, None]
+    assert got == ["MIT", "MIT", None, "MIT", None, None, "BSD-3-Clause"]
+    lines = ["Licensed under the BSD 3-Clause License.", "This project is licensed under the terms of the GNU General Public License v3", "SPDX-License-Identifier: MPL-2.0", "licensed to nobody"]
+    got = license_scan(spark.createDataFrame([(0, "\n".join([*lines, lines[0]]))], "doc_id long, text string")).first()
+    assert (got.licenses, got.n_lines) == ("BSD-3-Clause,GPL-3.0,MPL-2.0", 4)
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-3"), reason="needs the published texts")
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0"])
+def test_published_texts_have_the_listed_digests(spark, name):
+    text = open(f"/usr/share/common-licenses/{name}", encoding="utf-8").read()
+    wrapped = " ".join(text.split(" ")).replace("\n", "\r\n")
+    ids = [r.license for r in license_scan(spark.createDataFrame([(1, text), (2, wrapped)], "doc_id long, text string")).collect()]
+    assert ids == [name if "." in name else name + ".0"] * 2
+
+
+def test_odd_licenses(spark, odd_docs, no_docs):
     assert license_scan(odd_docs).count() == odd_docs.count() and license_scan(no_docs).count() == 0
     assert license_scan(odd_docs, []).where("licenses <> ''").count() == 0
 

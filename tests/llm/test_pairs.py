@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from gridmill.llm.common import connected_components
+from gridmill.llm.common import connected_components, sorted_groups
 from gridmill.llm.embedding_dedup import _compare, embedding_dedup, op1_embedding_near_dedup
 from gridmill.llm.simhash import bucket_keys, linked_edges, near_copies, op3_simhash_near_dedup, simhash_dedup
 
@@ -232,3 +233,17 @@ def test_large_group_of_near_copies(spark):
     for i, f in enumerate(fp):
         low.setdefault(root[distinct.index(f)], i)
     assert by == {i: low[root[distinct.index(f)]] for i, f in enumerate(fp)}
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_sorted_groups(size):
+    """Whole groups from batches cut anywhere; groups over the limit are only named."""
+    key = np.repeat([5, 6, 7, 8, 9, 11], [1, 9, 2, 30, 1, 12])
+    batches = [pa.RecordBatch.from_pydict({"key": key[lo : lo + size], "at": np.arange(len(key))[lo : lo + size]}) for lo in range(0, len(key), size)]
+    for most, left in ((None, []), (10, [8, 11])):
+        found, over = [], []
+        for table, edge, named in sorted_groups(iter(batches), most):
+            over += named
+            found += [tuple(table["at"].to_pylist()[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+        assert sorted(over) == left
+        assert sorted(found) == sorted(tuple(np.flatnonzero(key == k).tolist()) for k in set(key.tolist()) - set(left))
