@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,37 +40,51 @@ def parse_speed(tag: Column) -> Column:
 
 
 def parse_height(tag: Column) -> Column:
-    """Height tag in metres: 12, 12 m, 12,5, 30 ft, 30'6". Not above 0 is null."""
-    t = F.trim(F.lower(tag))
-    part = lambda pattern, i: F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
-    feet = r"^([0-9]+)\s*'\s*(?:([0-9]+)\s*(?:\"|''))?$"
-    in_feet = part(feet, 1).cast("double") + F.coalesce(part(feet, 2).cast("double"), F.lit(0.0)) / 12
-    ft = part(r"^([0-9]+(?:[.,][0-9]+)?)\s*(?:ft|feet)$", 1)
-    m = part(r"^([0-9]+(?:[.,][0-9]+)?)\s*(?:m|metres|meters)?$", 1)
-    number = lambda c: F.replace(c, F.lit(","), F.lit(".")).cast("double")
-    out = F.coalesce(in_feet * 0.3048, number(ft) * 0.3048, number(m))
+    """Height tag in metres: feet and inches (30'6"), else the first number, with ft or feet in feet; a comma is a point. Not above 0 is null."""
+    t = F.replace(F.lower(tag), F.lit(","), F.lit("."))
+    part = lambda pattern, i: F.nullif(F.regexp_extract(t, pattern, i), F.lit("")).cast("double")
+    feet = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*'\s*(?:([0-9]+(?:\.[0-9]+)?)\s*\")?\s*$"
+    first = part(r"([0-9]+(?:\.[0-9]+)?)", 1) * F.when(t.contains("ft") | t.contains("feet"), 0.3048).otherwise(1.0)
+    out = F.coalesce((part(feet, 1) + F.coalesce(part(feet, 2), F.lit(0.0)) / 12) * 0.3048, first)
     return F.when(out > 0, out)
 
 
+#: Colour names and their hex form.
+COLOURS = {
+    "white": "ffffff", "silver": "c0c0c0", "gray": "808080", "grey": "808080", "black": "000000", "red": "ff0000", "maroon": "800000", "yellow": "ffff00", "olive": "808000", "lime": "00ff00",
+    "green": "008000", "aqua": "00ffff", "cyan": "00ffff", "teal": "008080", "blue": "0000ff", "navy": "000080", "fuchsia": "ff00ff", "magenta": "ff00ff", "purple": "800080", "orange": "ffa500",
+    "brown": "a52a2a", "beige": "f5f5dc", "tan": "d2b48c", "pink": "ffc0cb", "gold": "ffd700", "ivory": "fffff0", "lightgray": "d3d3d3", "lightgrey": "d3d3d3", "darkgray": "a9a9a9", "darkgrey": "a9a9a9",
+}
+
+
 def parse_hex_colour(tag: Column) -> Column:
-    """#rrggbb, #rgb or bare hex as r,g,b; null otherwise."""
-    h = F.regexp_replace(F.lower(F.trim(tag)), "^#", "")
+    """#rrggbb, #rgb, bare hex or a colour's name as r,g,b; '' otherwise."""
+    low = F.lower(F.trim(tag))
+    named = F.coalesce(*[F.when(low == k, F.lit(v)) for k, v in COLOURS.items()])
+    h = F.coalesce(named, F.regexp_replace(low, "^#", ""))
     full = F.when(h.rlike("^[0-9a-f]{6}$"), h).when(h.rlike("^[0-9a-f]{3}$"), F.regexp_replace(h, "(.)", "$1$1"))
     byte = lambda i: F.conv(F.substring(full, i, 2), 16, 10)
     return F.concat_ws(",", *[F.when(full.isNotNull(), byte(i)) for i in (1, 3, 5)])
 
 
+def _accents() -> tuple[str, str]:
+    """Letters with accents, and the plain lower-case letter of each, by Unicode decomposition."""
+    plain = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode().lower() for c in range(0xC0, 0x250)}
+    return "".join(k for k, v in plain.items() if len(v) == 1), "".join(v for v in plain.values() if len(v) == 1)
+
+
 def name_key(name: Column) -> Column:
-    """Lower case without accents and punctuation; a leading 'the' and trailing 'campus' and 'school' go."""
-    plain = F.translate(F.lower(name), "áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")
-    words = F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
-    return F.trim(F.regexp_replace(F.regexp_replace(words, "^the ", ""), "( (campus|school))+$", ""))
+    """Lower-case letters and digits alone, without accents; a leading 'the' and trailing 'campus', 'school' and 'schools' go."""
+    letters = F.regexp_replace(F.lower(F.translate(name, *_accents())), "[^a-z0-9]", "")
+    return F.regexp_replace(F.regexp_replace(letters, "^the", ""), "(campus|schools|school)+$", "")
 
 
-def lanes_per_direction(lanes: Column, oneway: Column, highway: Column) -> Column:
-    """All lanes of a one-way road, half (rounded up) of a two-way one; the class default without a tag."""
+def lanes_per_direction(lanes: Column, oneway: Column, highway: Column, directional: Column | None = None) -> Column:
+    """The direction's own lanes if tagged; else all lanes of a one-way road, half (rounded up) of a two-way one; the class default without a tag."""
     default = F.coalesce(*[F.when(highway == k, F.lit(v[1])) for k, v in ROAD_CLASSES.items()], F.lit(1))
-    return F.coalesce(F.when(oneway, lanes).otherwise(F.ceil(lanes / 2)).cast("int"), default)
+    total = F.when(lanes >= 1, F.greatest(F.when(oneway, F.bround(lanes.cast("double"))).otherwise(F.ceil(lanes / 2)).cast("int"), F.lit(1)))
+    own = F.lit(None).cast("int") if directional is None else F.when(directional >= 1, directional.cast("int"))
+    return F.coalesce(own, total, default)
 
 
 def capacity(highway: Column, lanes: Column) -> Column:
@@ -85,9 +101,11 @@ def link_time(t0: Column, vc: Column, alpha: float = 0.15, beta: float = 4.0, ca
     return t0 * (1 + F.lit(alpha) * F.pow(F.least(vc, F.lit(cap)), F.lit(beta)))
 
 
-def node_delay(signalized: Column, vc: Column, freeway: Column) -> Column:
-    """12 s and 30 s vc^2 at a signal, 2 s without one, nothing on a freeway."""
-    return F.when(freeway, 0.0).when(signalized, 12.0 + 30.0 * vc * vc).otherwise(2.0)
+def node_delay(signalized: Column, vc: Column, freeway: Column, approach: Column | None = None, cap: float = 3.0) -> Column:
+    """12 s and 30 s min(vc, cap)^2 at a signal, 2 s without one, nothing on a freeway; times the approach's factor."""
+    load = F.least(vc, F.lit(cap))
+    delay = F.when(freeway, 0.0).when(signalized, 12.0 + 30.0 * load * load).otherwise(2.0)
+    return delay if approach is None else delay * approach
 
 
 def bin_blend(t: Column, bin_s: int, bins: int) -> list[Column]:
@@ -115,6 +133,27 @@ def school_level(grade: Column, age: Column) -> Column:
     return F.when(g <= 5, "elementary").when(g <= 8, "middle").otherwise("high")
 
 
+def by_age(age: Column, limits: list[tuple[int | None, float]]) -> Column:
+    """The limit of the first (oldest age included, limit) that an age falls under; None stands for all others."""
+    return F.coalesce(*[F.when(age <= top, F.lit(v)) if top is not None else F.lit(v) for top, v in limits])
+
+
+#: Display bands of ages, both ends included.
+AGE_BANDS = [(14, 17, "14-17"), (18, 34, "18-34"), (35, 49, "35-49"), (50, 64, "50-64"), (65, 200, "65+")]
+
+
+def age_band(age: Column) -> Column:
+    """Display band of an age; below the first band the first, above the last the last."""
+    inside = [F.when(age.between(a, b), label) for a, b, label in AGE_BANDS]
+    return F.coalesce(*inside, F.when(age > AGE_BANDS[-1][0], AGE_BANDS[-1][2]).otherwise(AGE_BANDS[0][2]))
+
+
+def block_label(hood: Column, street: Column, default: str) -> Column:
+    """'hood, near street', or what there is of both, or the default."""
+    near = F.concat(F.lit("near "), street)
+    return F.coalesce(F.concat(hood, F.lit(", "), near), near, hood, F.lit(default))
+
+
 def logistic(x: Column) -> Column:
     """1 / (1 + e^-x) without overflow."""
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
@@ -144,13 +183,49 @@ def weights_to_bytes(weights: list[Column]) -> Column:
     return F.when(total > 0, out).otherwise(last)
 
 
-def numbers_ok(text: Column, allowed: Column) -> Column:
-    """Whether every number in a text is within 0.051 of an allowed one (array<double>)."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), lambda x: x.cast("double"))
-    return F.forall(found, lambda n: F.exists(allowed, lambda a: F.abs(a - n) <= 0.051))
+_NUMBER = r"([0-9][0-9,]*(?:[.:][0-9]+)?)"
+#: Kinds of streets that end an address.
+STREET_KINDS = "St|Street|Rd|Road|Ave|Avenue|Dr|Drive|Ct|Court|Ln|Lane|Way|Pl|Place|Blvd|Boulevard|Pkwy|Parkway|Ter|Terrace"
+
+
+def numbers_ok(text: Column, allowed: Column, clocks: Column | None = None) -> Column:
+    """Whether every number in a text is an allowed one (array<double>), within 0.051 or rounded to 0 or 1 digits, and every clock time one of clocks."""
+    found = F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(1))
+    bare = lambda c: F.regexp_replace(c, "^0+", "")
+    told = F.lit(False) if clocks is None else None
+    is_clock = lambda tok: told if told is not None else F.exists(clocks, lambda c: bare(c) == bare(tok))
+    number = lambda tok: F.replace(tok, F.lit(","), F.lit("")).cast("double")
+    near = lambda a, n: (F.abs(F.abs(a) - n) <= 0.051) | (F.bround(F.abs(a), 0) == n) | (F.bround(F.abs(a), 1) == n)
+    return F.forall(found, lambda tok: F.when(tok.contains(":"), is_clock(tok)).otherwise(F.exists(allowed, lambda a: near(a, number(tok)))))
+
+
+def safe_text(text: Column, allowed: Column, clocks: Column | None = None, most: int = 600) -> Column:
+    """The text with white space squeezed, cut at a word's end; null if empty, if a number isn't allowed or if it holds a street address."""
+    t = F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r'^"+|"+$', ""))
+    bad = (t == "") | t.rlike(rf"\b[0-9]{{2,6}}\s+[A-Z][a-z]+\s+(?:{STREET_KINDS})\b") | ~numbers_ok(t, allowed, clocks)
+    cut = F.concat(F.regexp_replace(F.substring(t, 1, most), r" [^ ]*$", ""), F.lit("..."))
+    return F.when(~bad, F.when(F.length(t) > most, cut).otherwise(t))
 
 
 def delta_phrase(minutes: Column) -> Column:
-    """Faster, slower or about the same (within half a minute)."""
+    """Minutes faster or slower, or about the same (within half a minute); null stays null."""
     size = F.format_string("%.1f", F.abs(minutes))
-    return F.when(F.abs(minutes) < 0.5, "about the same").when(minutes < 0, F.concat(size, F.lit(" min faster"))).otherwise(F.concat(size, F.lit(" min slower")))
+    return F.when(F.abs(minutes) < 0.5, "about the same").when(minutes < 0, F.concat(size, F.lit(" minutes faster"))).when(minutes > 0, F.concat(size, F.lit(" minutes slower")))
+
+
+def delta_phrases(parts: dict[str, Column]) -> Column:
+    """map of label to phrase, without those that are null."""
+    return F.map_filter(F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+
+
+#: Kind of roof that a roof shape's tag stands for.
+ROOF_SHAPES = {
+    "flat": "flat", "skillion": "flat", "hipped": "hipped", "half_hipped": "hipped", "side_hipped": "hipped", "pyramidal": "hipped", "gabled": "gabled", "side_gabled": "gabled",
+    "saltbox": "gabled", "gambrel": "gabled", "mansard": "hipped",
+}
+
+
+def roof_kind(shape: Column, is_house: Column, rectangular: Column, courtyard: Column, least: float) -> Column:
+    """flat, hipped or gabled: by the tag, but flat around a courtyard; else hipped for a house that is rectangular enough."""
+    tagged = F.coalesce(*[F.when(F.lower(shape) == k, F.lit(v)) for k, v in ROOF_SHAPES.items()])
+    return F.coalesce(F.when(tagged.isNotNull() & courtyard, F.lit("flat")), tagged, F.when(is_house & (rectangular >= least), "hipped").otherwise("flat"))

@@ -61,8 +61,11 @@ def shares(options: DataFrame, by: list[str], mode: str) -> DataFrame:
 
 def calibrate(options: DataFrame, mode: str, by: str, targets: dict, bound: float = 4.0, rounds: int = 80, close: float = 1e-3) -> DataFrame:
     """Constant of a mode in each group that brings its share to the target, by log-odds steps. One number a group comes back each round."""
+    from gridmill.operators.network import kept
+
     constant = {g: 0.0 for g in targets}
     spark = options.sparkSession
+    options = kept(options)
     for _ in range(rounds):
         table = spark.createDataFrame(sorted(constant.items()), f"{by} {options.schema[by].dataType.simpleString()}, constant double")
         moved = options.join(F.broadcast(table), by, "left").withColumn("u", F.when(F.col("name") == mode, F.col("u") + F.coalesce("constant", F.lit(0.0))).otherwise(F.col("u")))

@@ -26,8 +26,17 @@ def tiles(points: DataFrame, size: float) -> DataFrame:
 
 
 def surface_model(points: DataFrame, x0: float, y1: float, size: float, ground: int) -> DataFrame:
-    """Per cell: ground height (mean of ground points), surface (largest of all, not below ground) and height above ground."""
+    """Per cell with points: ground height (mean of its ground points, gaps filled from around), surface (largest of all, not below ground) and height above ground."""
     cells = grid_cells(points, x0, y1, size).groupBy("row", "col").agg(F.avg(F.when(F.col("cls") == ground, F.col("z"))).alias("dtm"), F.max("z").alias("top"))
+    from gridmill.operators.network import kept
+
+    cells = kept(cells)
+    low = cells.agg(F.min("row"), F.min("col"), F.max("row"), F.max("col")).first()
+    if low[0] is not None:
+        r0, c0 = low[0], low[1]
+        framed = cells.select((F.col("row") - r0).alias("row"), (F.col("col") - c0).alias("col"), "dtm")
+        filled = gap_fill(framed, low[2] - r0 + 1, low[3] - c0 + 1, "dtm").select((F.col("row") + r0).alias("row"), (F.col("col") + c0).alias("col"), "dtm")
+        cells = cells.drop("dtm").join(filled, ["row", "col"])
     return cells.select("row", "col", "dtm", F.greatest("top", "dtm").alias("dsm"), F.greatest(F.greatest("top", "dtm") - F.col("dtm"), F.lit(0.0)).alias("height"))
 
 
@@ -41,13 +50,22 @@ def neighbours(cells: DataFrame, radius: int = 1, centre: bool = True) -> DataFr
 
 
 def gap_fill(cells: DataFrame, rows: int, cols: int, value: str, passes: int = 3) -> DataFrame:
-    """Every cell of a rows x cols grid; empty ones take the mean of their filled neighbours, pass after pass. Cells still empty stay null."""
+    """Every cell of a rows x cols grid; empty ones take the mean of their filled neighbours, pass after pass, and what is left the nearest filled cell (by row, then column, on ties)."""
     frame = cells.sparkSession.range(rows * cols).select(F.floor(F.col("id") / cols).alias("row"), (F.col("id") % cols).alias("col"))
     full = frame.join(cells.select("row", "col", value), ["row", "col"], "left")
     for _ in range(passes):
         around = neighbours(full.where(F.col(value).isNotNull()), centre=False).groupBy("row", "col").agg(F.avg(value).alias("around"))
         full = full.join(around, ["row", "col"], "left").select("row", "col", F.coalesce(value, "around").alias(value))
-    return full
+    from gridmill.operators.network import kept
+    from gridmill.operators.spatial import nearest
+
+    full = kept(full)
+    place = F.col("row") * cols + F.col("col")
+    at = lambda df, x, z, key: df.select(place.alias(key), F.col("row").cast("double").alias(z), F.col("col").cast("double").alias(x))
+    empty, filled = full.where(F.col(value).isNull()), full.where(F.col(value).isNotNull())
+    near = nearest(at(empty, "x", "z", "place"), at(filled, "x2", "z2", "source"), "place", "source", passes + 2.0, digits=9).select("place", "source")
+    given = near.join(filled.select(place.alias("source"), F.col(value).alias("given")), "source").select("place", "given")
+    return full.withColumn("place", place).join(given, "place", "left").select("row", "col", F.coalesce(value, "given").alias(value))
 
 
 def box_mean(cells: DataFrame, radius: int, value: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,13 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder on a local master, and an error on a cluster."""
+    set_to = spark.conf.get("spark.checkpoint.dir", None)
+    if set_to:
+        return set_to.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/gridmill-{spark.sparkContext.applicationId}"
+
+
+def kept(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder and read back, to cut the lineage of a loop."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/gridmill-{spark.sparkContext.applicationId}"
-    path = f"{base.rstrip('/')}/rounds/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what :func:`kept` wrote and no later round reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ends(edges: DataFrame, *columns: str) -> DataFrame:
@@ -67,7 +85,7 @@ def distances(edges: DataFrame, anchors: DataFrame, cost: str, max_rounds: int =
     nodes have no row. Bounded by max_rounds; raises if they don't suffice.
     """
     step = cheapest_edges(edges, cost).select(F.col("u").alias("from"), F.col("v").alias("head"), "edge_idx", "cost")
-    best = _kept(anchors.select(F.col("node_id").alias("anchor"), "node_id").distinct().withColumn("dist", F.lit(0.0)).withColumn("next_edge", F.lit(None).cast("long")))
+    best = kept(anchors.select(F.col("node_id").alias("anchor"), "node_id").distinct().withColumn("dist", F.lit(0.0)).withColumn("next_edge", F.lit(None).cast("long")))
     front = best
     for _ in range(max_rounds):
         if front.isEmpty():
@@ -75,30 +93,133 @@ def distances(edges: DataFrame, anchors: DataFrame, cost: str, max_rounds: int =
         offered = front.join(step, F.col("node_id") == F.col("head")).select("anchor", F.col("from").alias("node_id"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("edge_idx").alias("next_edge"))
         merged = best.withColumn("old", F.lit(True)).union(offered.withColumn("old", F.lit(False)))
         least = merged.groupBy("anchor", "node_id").agg(F.min(F.struct(F.col("dist"), (~F.col("old")).alias("new"), F.col("next_edge"))).alias("m"))
-        best = _kept(least.select("anchor", "node_id", "m.dist", "m.next_edge", F.col("m.new").alias("new")))
+        old, best = best, kept(least.select("anchor", "node_id", "m.dist", "m.next_edge", F.col("m.new").alias("new")))
+        path = best.kept_path
         front = best.where("new").drop("new")
         best = best.drop("new")
+        best.kept_path = path
+        forget(old)
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
 def paths(tree: DataFrame, edges: DataFrame, starts: DataFrame, max_steps: int = 1000) -> DataFrame:
     """Edges from each start (anchor, node_id) to its anchor along a distance tree: anchor, start, path."""
     hop = tree.where("next_edge is not null").join(edges.select(F.col("edge_idx").alias("next_edge"), F.col("v").alias("head")), "next_edge").select("anchor", F.col("node_id").alias("at"), "next_edge", "head")
-    hop = _kept(hop)
+    hop = kept(hop)
     walk = starts.select("anchor", F.col("node_id").alias("start"), F.col("node_id").alias("at"), F.array().cast("array<long>").alias("path"))
     done = None
     for i in range(max_steps):
         arrived = walk.where(F.col("at") == F.col("anchor")).select("anchor", "start", "path")
         done = arrived if done is None else done.union(arrived)
         left = walk.where(F.col("at") != F.col("anchor"))
-        walk = _kept(left.join(hop, ["anchor", "at"]).select("anchor", "start", F.col("head").alias("at"), F.concat("path", F.array("next_edge")).alias("path")))
+        walk = kept(left.join(hop, ["anchor", "at"]).select("anchor", "start", F.col("head").alias("at"), F.concat("path", F.array("next_edge")).alias("path")))
         if i % 8 == 7:
-            done = _kept(done)
+            done = kept(done)
         if walk.isEmpty():
             return done
     raise RuntimeError(f"a path is longer than {max_steps} edges")
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """node_id, component (least node) of every node of undirected edges (u, v), in rounds that grow with the logarithm of the longest path."""
+    now, before = kept(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct()), None
+    while True:
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if state == before:
+            break
+        before = state
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        root = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(root, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = kept(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(root).distinct())
+        forget(now)
+        now = after
+    roots = now.select(F.col("b").alias("node_id"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node_id"), F.col("b").alias("component")).union(roots)
+
+
+def strong_components_two_way(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """As strong_components, for networks that are mostly two-way: what two-way links join is one node of a smaller graph first."""
+    pairs = kept(edges.select("u", "v").where("u <> v").distinct())
+    mutual = pairs.where("u < v").join(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"])
+    every = ends(pairs).select("node_id").distinct()
+    joined = connected(mutual)
+    clump = kept(every.join(joined, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("clump")))
+    to = lambda c: clump.select(F.col("node_id").alias(c), F.col("clump").alias(f"{c}2"))
+    between = kept(pairs.join(to("u"), "u").join(to("v"), "v").where("u2 <> v2").select(F.col("u2").alias("u"), F.col("v2").alias("v")).distinct())
+    if between.isEmpty():
+        return clump.select("node_id", F.col("clump").alias("component"))
+    over = strong_components(between, max_rounds).select(F.col("node_id").alias("clump"), "component")
+    placed = clump.join(over, "clump", "left").select("node_id", F.coalesce("component", "clump").alias("c"))
+    least = placed.groupBy("c").agg(F.min("node_id").alias("component"))
+    return placed.join(least, "c").select("node_id", "component")
+
+
+def block_distances(edges: DataFrame, anchors: DataFrame, cost: str, block: int, max_rounds: int = 1000) -> DataFrame:
+    """As distances, but a round settles whole blocks of `block` consecutive node ids, so rounds follow the blocks that a path crosses.
+
+    A block's nodes and edges meet in one task for all anchors: block x anchors
+    rows, which the caller bounds.
+    """
+    step = cheapest_edges(edges, cost).select("u", "v", "edge_idx", "cost")
+    step = kept(step.withColumn("block", F.floor(F.col("v") / block)).union(step.withColumn("block", F.floor(F.col("u") / block))).distinct())
+    schema = "anchor long, node_id long, dist double, next_edge long, block long, fresh boolean"
+    start = anchors.select(F.col("node_id").alias("anchor"), "node_id").distinct()
+    best = kept(start.select("anchor", "node_id", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("next_edge"), F.floor(F.col("node_id") / block).alias("block"), F.lit(True).alias("fresh")))
+    for _ in range(max_rounds):
+        if best.where("fresh").isEmpty():
+            return best.select("anchor", "node_id", "dist", "next_edge")
+        # what changed is told to every block that has an edge into it
+        told = best.where("fresh").join(step.select(F.col("v").alias("node_id"), F.col("block").alias("to")).distinct(), "node_id").where("to <> block")
+        seeds = best.select("block", "anchor", "node_id", "dist", "next_edge", "fresh").union(told.select("to", "anchor", "node_id", "dist", "next_edge", F.lit(True)))
+        touched = seeds.where("fresh").select("block").distinct()
+        calm = best.join(touched, "block", "left_anti").withColumn("fresh", F.lit(False)).select("anchor", "node_id", "dist", "next_edge", "block", "fresh")
+        moved = seeds.join(touched, "block", "left_semi").groupBy("block").cogroup(step.join(touched, "block", "left_semi").groupBy("block")).applyInPandas(_settle(block), schema)
+        old, best = best, kept(calm.union(moved))
+        forget(old)
+    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+
+
+def _settle(block: int):
+    """Dijkstra inside one block from the distances told, for each anchor."""
+    import heapq
+
+    import pandas as pd
+
+    def run(seeds: pd.DataFrame, step: pd.DataFrame) -> pd.DataFrame:
+        number = int(seeds["block"].iloc[0])
+        into: dict[int, list] = {}
+        for u, v, e, c in zip(step["u"].tolist(), step["v"].tolist(), step["edge_idx"].tolist(), step["cost"].tolist()):
+            if u // block == number:
+                into.setdefault(v, []).append((u, e, c))
+        out = []
+        for anchor, own in seeds.groupby("anchor"):
+            best: dict[int, tuple] = {}
+            for n, d, e in zip(own["node_id"].tolist(), own["dist"].tolist(), own["next_edge"].tolist()):
+                e = -1 if e is None or e != e else int(e)
+                if n not in best or (d, e) < best[n]:
+                    best[n] = (d, e)
+            was = {n: (d, -1 if e is None or e != e else int(e)) for n, d, e, f in zip(own["node_id"].tolist(), own["dist"].tolist(), own["next_edge"].tolist(), own["fresh"].tolist()) if n // block == number}
+            heap = [(d, n) for n, (d, _) in best.items()]
+            heapq.heapify(heap)
+            while heap:
+                d, n = heapq.heappop(heap)
+                if d > best[n][0]:
+                    continue
+                for u, e, c in into.get(n, ()):
+                    if u not in best or (d + c, e) < best[u]:
+                        if u not in best or d + c < best[u][0]:
+                            heapq.heappush(heap, (d + c, u))
+                        best[u] = (d + c, e)
+            out += [(anchor, n, d, None if e < 0 else e, number, n not in was or was[n][0] != d) for n, (d, e) in best.items() if n // block == number]
+        frame = pd.DataFrame(out, columns=["anchor", "node_id", "dist", "next_edge", "block", "fresh"])
+        return frame.astype({"next_edge": "Int64"})
+
+    return run
+
+
 def _reached(edges: DataFrame, label: DataFrame, forward: bool, max_rounds: int) -> DataFrame:
     """Least label among the nodes that reach each node (forward), or that it reaches."""
     a, b = ("u", "v") if forward else ("v", "u")
@@ -110,7 +231,9 @@ def _reached(edges: DataFrame, label: DataFrame, forward: bool, max_rounds: int)
             return label
         before = state
         told = label.join(step, "node_id").select(F.col("head").alias("node_id"), "label")
-        label = _kept(label.union(told).groupBy("node_id").agg(F.min("label").alias("label")))
+        old, label = label, kept(label.union(told).groupBy("node_id").agg(F.min("label").alias("label")))
+        if hasattr(old, "kept_path"):
+            forget(old)
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
@@ -121,8 +244,8 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     colour, what reaches the colour's own node backwards is its component.
     Settled nodes leave, and the rest goes round again.
     """
-    edges = _kept(edges.select("u", "v").where("u <> v").distinct())
-    left = _kept(ends(edges).select("node_id").distinct())
+    edges = kept(edges.select("u", "v").where("u <> v").distinct())
+    left = kept(ends(edges).select("node_id").distinct())
     done = None
     for _ in range(max_rounds):
         if left.isEmpty():
@@ -133,14 +256,14 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         back = root
         while True:
             told = back.join(same, back.node_id == same.v).select(F.col("u").alias("node_id"), "label")
-            more = _kept(back.union(told).distinct())
+            more = kept(back.union(told).distinct())
             if more.count() == back.count():
                 break
             back = more
         found = back.select("node_id", F.col("label").alias("component"))
-        done = found if done is None else _kept(done.union(found))
-        left = _kept(left.join(found, "node_id", "left_anti"))
-        edges = _kept(edges.join(left.select(F.col("node_id").alias("u")), "u", "left_semi").join(left.select(F.col("node_id").alias("v")), "v", "left_semi").select("u", "v"))
+        done = found if done is None else kept(done.union(found))
+        left = kept(left.join(found, "node_id", "left_anti"))
+        edges = kept(edges.join(left.select(F.col("node_id").alias("u")), "u", "left_semi").join(left.select(F.col("node_id").alias("v")), "v", "left_semi").select("u", "v"))
     raise RuntimeError(f"components aren't settled after {max_rounds} rounds")
 
 

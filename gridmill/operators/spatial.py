@@ -68,35 +68,41 @@ def first_polygon(points: DataFrame, polygons: DataFrame, key: str, polygon_key:
     return points.select(key).join(met, key, "left")
 
 
-def within(left: DataFrame, right: DataFrame, distance: float) -> DataFrame:
-    """Pairs of rows no further apart than distance. left: x, z, ...; right: x2, z2, ...; adds d."""
+def within(left: DataFrame, right: DataFrame, distance: float, on: list[str] | None = None) -> DataFrame:
+    """Pairs of rows no further apart than distance, equal in the columns `on`. left: x, z, ...; right: x2, z2, ...; adds d."""
     a = left.withColumn("cell_x", cell(F.col("x"), distance)).withColumn("cell_z", cell(F.col("z"), distance))
     b = right.withColumn("cell_x", cells_between(F.col("x2") - distance, F.col("x2") + distance, distance))
     b = b.withColumn("cell_z", cells_between(F.col("z2") - distance, F.col("z2") + distance, distance))
-    met = a.join(b, ["cell_x", "cell_z"]).withColumn("d", F.hypot(F.col("x") - F.col("x2"), F.col("z") - F.col("z2")))
+    met = a.join(b, ["cell_x", "cell_z", *(on or [])]).withColumn("d", F.hypot(F.col("x") - F.col("x2"), F.col("z") - F.col("z2")))
     return met.where(F.col("d") <= distance).drop("cell_x", "cell_z")
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, reach: float, growth: float = 4.0) -> DataFrame:
-    """Nearest target of each point, by id on ties. targets: target_key, x2, z2.
+def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, reach: float, growth: float = 4.0, on: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """Nearest target of each point (equal in the columns `on`), by id on ties. targets: target_key, x2, z2.
 
-    Looks within `reach`, then for points without a hit within a reach that
-    grows until it spans the targets, so every search is a cell join.
+    Looks within `reach`, then, for the points without a hit alone, within a
+    reach that grows, so every search is a cell join; stops when no point is
+    left or the reach spans all. digits: distances that round alike are ties.
     """
-    spark = points.sparkSession
+    from gridmill.operators.network import kept
+
     bounds = targets.agg(F.min("x2"), F.max("x2"), F.min("z2"), F.max("z2")).first()
     extent = points.agg(F.min("x"), F.max("x"), F.min("z"), F.max("z")).first()
     if bounds[0] is None or extent[0] is None:
         return points.select(key).withColumn(target_key, F.lit(None).cast(targets.schema[target_key].dataType)).withColumn("d", F.lit(None).cast("double"))
     span = max(max(bounds[1], extent[1]) - min(bounds[0], extent[0]), max(bounds[3], extent[3]) - min(bounds[2], extent[2])) * 1.5
-    found, rest = None, points
+    found, rest = None, points.select(key, "x", "z", *(on or []))
+    order = F.struct(F.col("d") if digits is None else F.round("d", digits), F.col(target_key))
     while True:
-        hit = within(rest, targets, reach).groupBy(key).agg(F.min_by(target_key, F.struct("d", target_key)).alias(target_key), F.min("d").alias("d"))
+        hit = kept(within(rest, targets, reach, on).groupBy(key).agg(F.min_by(target_key, order).alias(target_key), F.min("d").alias("d")))
         found = hit if found is None else found.union(hit)
         if reach > span:
-            return points.select(key).join(found, key, "left") if spark else found
-        rest = rest.join(hit.select(key), key, "left_anti")
+            break
+        rest = kept(rest.join(hit.select(key), key, "left_anti"))
+        if rest.isEmpty():
+            break
         reach *= growth
+    return points.select(key).join(found, key, "left")
 
 
 def segment_distance(px: Column, pz: Column, x0: Column, z0: Column, x1: Column, z1: Column) -> Column:
@@ -133,16 +139,17 @@ def neighbour_share(points: DataFrame, key: str, distance: float, marked: Column
     return out.withColumn("flag", (F.col("n_marked") >= least) & (F.col("n_marked") >= F.lit(share) * F.col("neighbours")))
 
 
-def banded_nearest(persons: DataFrame, schools: DataFrame) -> DataFrame:
+def banded_nearest(persons: DataFrame, schools: DataFrame, reach: float = 1000.0) -> DataFrame:
     """Nearest school that serves each person's grade, by id on ties; null if none does.
 
     persons: person_id, grade, x, z; schools: school_id, g0, g1, x2, z2. Grades
-    are few, so the schools are spread over the grades they serve.
+    are few, so the schools are spread over the grades they serve, and person
+    and school meet by grade and cell.
     """
     served = schools.withColumn("grade", F.explode(F.sequence("g0", "g1"))).drop("g0", "g1")
-    d = F.round(F.hypot(F.col("x") - F.col("x2"), F.col("z") - F.col("z2")), 6)
-    best = persons.join(served, "grade").groupBy("person_id").agg(F.min_by("school_id", F.struct(d, F.col("school_id"))).alias("school_id"))
-    return persons.select("person_id").join(best, "person_id", "left")
+    able = persons.join(served.select("grade").distinct(), "grade", "left_semi")
+    best = nearest(able, served, "person_id", "school_id", reach, on=["grade"], digits=6)
+    return persons.select("person_id").join(best.select("person_id", "school_id"), "person_id", "left")
 
 
 def bearing(x0: Column, z0: Column, x1: Column, z1: Column) -> Column:

@@ -32,6 +32,23 @@ def star_join(persons: DataFrame, households: DataFrame, nodes: DataFrame) -> Da
     return persons.join(homes, "household_id")
 
 
+def repaired_homes(households: DataFrame, nodes: DataFrame, reach: float = 500.0) -> DataFrame:
+    """Households whose home node isn't known live at the nearest one. households: household_id, home_node, x, z; nodes: node_id, x2, z2."""
+    from gridmill.operators.spatial import nearest
+
+    known = households.join(nodes.select(F.col("node_id").alias("home_node")), "home_node", "left_semi")
+    lost = households.join(known.select("household_id"), "household_id", "left_anti")
+    near = nearest(lost.select("household_id", "x", "z"), nodes, "household_id", "node_id", reach, digits=6)
+    return known.select("household_id", "home_node").union(near.select("household_id", F.col("node_id").alias("home_node")))
+
+
+def repaired_edges(edges: DataFrame) -> DataFrame:
+    """Edges with a free-flow time and a capacity: length at 40 km/h, and 600 a lane, stand for invalid ones; no edge takes under 0.1 s."""
+    valid = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) & (F.col(c) > 0)
+    time = F.when(valid("free_flow_s"), F.col("free_flow_s")).otherwise(F.greatest("length_m", F.lit(1.0)) / (40 / 3.6))
+    return edges.withColumn("free_flow_s", F.greatest(time, F.lit(0.1))).withColumn("capacity_vph", F.when(valid("capacity_vph"), F.col("capacity_vph")).otherwise(F.col("lanes") * 600.0))
+
+
 def repaired(persons: DataFrame, households: DataFrame, schools: DataFrame) -> DataFrame:
     """Persons of known households; a school that isn't known becomes null."""
     kept = persons.join(households.select("household_id"), "household_id", "left_semi")

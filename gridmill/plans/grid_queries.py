@@ -25,10 +25,21 @@ def tile_partitioned_points(spark, sf_dir):
     return G.tiles(table(spark, sf_dir, "points"), 50).groupBy("tile").agg(F.count("*").alias("n"), F.round(F.sum("z"), 3).alias("z"))
 
 
-@query(f"SELECT \"row\", col, ROUND(dtm, 6) AS dtm, ROUND(GREATEST(top, dtm), 6) AS dsm, ROUND(GREATEST(GREATEST(top, dtm) - dtm, 0), 6) AS height FROM (SELECT {_at(10.0)}, AVG(z) FILTER (WHERE cls = 2) AS dtm, MAX(z) AS top FROM {{points}} GROUP BY 1, 2) t WHERE dtm IS NOT NULL")
+def _filled(passes):
+    """CTEs f1.. to `filled` that fill null v of f0 from around, pass after pass, then from the nearest."""
+    step = """f{1} AS (SELECT a."row", a.col, COALESCE(a.v, AVG(b.v)) AS v FROM f{0} a LEFT JOIN f{0} b ON ABS(a."row" - b."row") <= 1 AND ABS(a.col - b.col) <= 1 GROUP BY a."row", a.col, a.v)"""
+    last = f"""filled AS (SELECT a."row", a.col, COALESCE(a.v, (SELECT ARG_MIN(b.v, ROW(ROUND(SQRT(POW(a."row" - b."row", 2) + POW(a.col - b.col, 2)), 9), b."row", b.col)) FROM f{passes} b WHERE b.v IS NOT NULL)) AS v FROM f{passes} a)"""
+    return ", ".join([*(step.format(i, i + 1) for i in range(passes)), last])
+
+
+@query(f"""
+WITH c AS (SELECT {_at(10.0)}, AVG(z) FILTER (WHERE cls = 2) AS dtm, MAX(z) AS top FROM {{points}} GROUP BY 1, 2), l AS (SELECT MIN("row") AS r0, MAX("row") AS r1, MIN(col) AS c0, MAX(col) AS c1 FROM c),
+g AS (SELECT r."row", k.col FROM (SELECT UNNEST(RANGE(r0, r1 + 1)) AS "row" FROM l) r CROSS JOIN (SELECT UNNEST(RANGE(c0, c1 + 1)) AS col FROM l) k), f0 AS (SELECT g."row", g.col, c.dtm AS v FROM g LEFT JOIN c ON c."row" = g."row" AND c.col = g.col), {_filled(3)},
+s AS (SELECT c."row", c.col, f.v AS dtm, c.top FROM c JOIN filled f ON f."row" = c."row" AND f.col = c.col)
+SELECT "row", col, ROUND(dtm, 5) AS dtm, ROUND(GREATEST(top, dtm), 5) AS dsm, ROUND(GREATEST(GREATEST(top, dtm) - dtm, 0), 5) AS height FROM s""")
 def surface_model(spark, sf_dir):
-    out = G.surface_model(table(spark, sf_dir, "points"), 0, 200, 10, 2).where("dtm is not null")
-    return out.select("row", "col", *[F.round(c, 6).alias(c) for c in ("dtm", "dsm", "height")])
+    out = G.surface_model(table(spark, sf_dir, "points"), 0, 200, 10, 2)
+    return out.select("row", "col", *[F.round(c, 5).alias(c) for c in ("dtm", "dsm", "height")])
 
 
 _CELLS = f"SELECT {_at(5.0)}, MAX(z) AS v FROM {{points}} GROUP BY 1, 2"
@@ -39,10 +50,8 @@ def _cells(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS ({_CELLS}), f AS (SELECT r.r AS "row", k.k AS col, c.v FROM RANGE(60) AS r(r) CROSS JOIN RANGE(45) AS k(k) LEFT JOIN c ON c."row" = r.r AND c.col = k.k),
-g AS (SELECT a."row", a.col, COALESCE(a.v, AVG(b.v)) AS v FROM f a LEFT JOIN f b ON ABS(a."row" - b."row") <= 1 AND ABS(a.col - b.col) <= 1 GROUP BY a."row", a.col, a.v),
-h AS (SELECT a."row", a.col, COALESCE(a.v, AVG(b.v)) AS v FROM g a LEFT JOIN g b ON ABS(a."row" - b."row") <= 1 AND ABS(a.col - b.col) <= 1 GROUP BY a."row", a.col, a.v)
-SELECT "row", col, ROUND(v, 5) AS v FROM h""")
+WITH c AS ({_CELLS}), f0 AS (SELECT r.r AS "row", k.k AS col, c.v FROM RANGE(60) AS r(r) CROSS JOIN RANGE(45) AS k(k) LEFT JOIN c ON c."row" = r.r AND c.col = k.k), {_filled(2)}
+SELECT "row", col, ROUND(v, 5) AS v FROM filled""")
 def gap_fill(spark, sf_dir):
     return G.gap_fill(_cells(spark, sf_dir), 60, 45, "v", 2).withColumn("v", F.round("v", 5))
 

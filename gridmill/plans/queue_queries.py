@@ -42,11 +42,15 @@ def queue_bin_stats(spark, sf_dir):
     return Q.queue_bins(_queue(spark, sf_dir), ["entrance", "day"], "arr_s", 3600).withColumn("mean_wait", F.round("mean_wait", 4)).withColumn("max_wait", F.round("max_wait", 4))
 
 
-@query(_recursive(" SELECT event_id, ROUND(begin - arr_s, 4) AS wait FROM q"))
+@query("""
+WITH RECURSIVE a AS (SELECT event_id, entrance, day, CAST(arr_s AS DOUBLE) AS arr, 3e2 * w AS s, 6e1 + event_id % 5 * 240 AS p, ROW_NUMBER() OVER (PARTITION BY entrance, day ORDER BY arr_s, event_id) AS r FROM {curb_arrivals}),
+q(entrance, day, r, event_id, wait, free) AS (SELECT entrance, day, r, event_id, 0e0, arr + s FROM a WHERE r = 1
+ UNION ALL SELECT a.entrance, a.day, a.r, a.event_id, GREATEST(q.free - a.arr, 0), CASE WHEN GREATEST(q.free - a.arr, 0) <= a.p THEN GREATEST(q.free, a.arr) + a.s ELSE q.free END FROM q JOIN a ON a.entrance = q.entrance AND a.day = q.day AND a.r = q.r + 1)
+SELECT q.event_id, CASE WHEN q.wait <= a.p THEN ROUND(q.wait, 4) END AS wait, q.wait > a.p AS balked FROM q JOIN a ON a.event_id = q.event_id""")
 def queue_with_balking(spark, sf_dir):
-    """With patience without end, the plain queue."""
-    rows = table(spark, sf_dir, "curb_arrivals").withColumn("service", F.col("w") * F.lit(_SERVICE)).withColumn("patience", F.lit(float("inf")))
-    return Q.queue_with_balking(rows, ["entrance", "day"], "arr_s", "service", "patience", ["arr_s", "event_id"]).select("event_id", F.round("wait", 4).alias("wait"))
+    """Five minutes for a whole car, and patience from one minute to seventeen."""
+    rows = table(spark, sf_dir, "curb_arrivals").withColumn("service", 300.0 * F.col("w")).withColumn("patience", 60.0 + F.col("event_id") % 5 * 240)
+    return Q.queue_with_balking(rows, ["entrance", "day"], "arr_s", "service", "patience", ["arr_s", "event_id"]).select("event_id", F.round("wait", 4).alias("wait"), "balked")
 
 
 _KIDS = "SELECT p.household_id, p.person_id, s.school_id, s.bell_s FROM {persons} p JOIN {schools} s ON s.school_id = p.person_id % 10 WHERE p.grade >= 0"

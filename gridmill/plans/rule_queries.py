@@ -79,11 +79,17 @@ def pixel_classes(spark, sf_dir):
     return rows.select("id", F.round("canopy", 6).alias("canopy"), F.round("lawn", 6).alias("lawn"))
 
 
-@query("SELECT p_partkey AS id, r >= 0 AND r <= 255 AS ok FROM (SELECT p_partkey, 128 AS r FROM {part}) t")
+def _shoulder(refl):
+    x = f"GREATEST(({refl} - 1e-2) / 2.9e-1, 0)"
+    return f"SQRT(LEAST(CASE WHEN {x} > 6.5e-1 THEN 6.5e-1 + 3.5e-1 * TANH(({x} - 6.5e-1) / 3.5e-1) ELSE {x} END, 1))"
+
+
+@query(f"""
+WITH x AS (SELECT p_partkey AS id, {_shoulder('p_size / 1e2')} AS r, {_shoulder('p_partkey % 40 / 1e2')} AS g, {_shoulder('1e-1')} AS b FROM {{part}}), m AS (SELECT *, (r + g + b) / 3 AS l FROM x)
+SELECT id, CAST(FLOOR(LEAST(GREATEST(l + (r - l) * 1.25, 0), 1) * 255 + 5e-1) AS INTEGER) AS r, CAST(FLOOR(LEAST(GREATEST(l + (g - l) * 1.25, 0), 1) * 255 + 5e-1) AS INTEGER) AS g, CAST(FLOOR(LEAST(GREATEST(l + (b - l) * 1.25, 0), 1) * 255 + 5e-1) AS INTEGER) AS b FROM m""")
 def tone_map(spark, sf_dir):
-    """Bytes stay in range for every reflectance."""
-    out = R.tone([F.col("p_size") / 100.0, F.col("p_partkey") % 40 / 100.0, F.lit(0.1)])
-    return table(spark, sf_dir, "part").select(_id(), (F.least(*out) >= 0) & (F.greatest(*out) <= 255)).toDF("id", "ok")
+    r, g, b = R.tone([F.col("p_size") / 100.0, F.col("p_partkey") % 40 / 100.0, F.lit(0.1)])
+    return table(spark, sf_dir, "part").select(_id(), r.alias("r"), g.alias("g"), b.alias("b"))
 
 
 @query("SELECT node_id, 'r' || CAST(LEAST(GREATEST(FLOOR((z - 5e2) / 1000), 0), 8) AS BIGINT) || '_c' || CAST(LEAST(GREATEST(FLOOR((x - 5e2) / 1000), 0), 6) AS BIGINT) AS tile FROM {nodes}")
@@ -91,13 +97,22 @@ def tile_id(spark, sf_dir):
     return table(spark, sf_dir, "nodes").select("node_id", R.tile_id(F.col("x"), F.col("z"), 500, 500, 1000, 9, 7).alias("tile"))
 
 
-@query("SELECT DISTINCT ABS(d) < 2e0 AS near FROM (SELECT 0e0 AS d FROM {nodes}) t")
+# the transverse Mercator projection by another road than the library's: the meridian's arc and powers of the distance from it
+_MERIDIAN = "6.367449145822706e6 * phi - 1.6038508667976e4 * SIN(2 * phi) + 1.6832613333e1 * SIN(4 * phi) - 2.1984404e-2 * SIN(6 * phi) + 3.1148e-5 * SIN(8 * phi)"
+_UTM = f"""
+WITH p AS (SELECT node_id, RADIANS(3.30165e1 - z * 1e-6) AS phi, RADIANS(-1.171225e2 + x * 1e-6 + 117) AS dl FROM {{nodes}} UNION ALL SELECT -1, RADIANS(3.30165e1), RADIANS(-1.225e-1)),
+q AS (SELECT node_id, {_MERIDIAN} AS m, 6378137 / SQRT(1 - 6.69437999014e-3 * POW(SIN(phi), 2)) AS n, POW(TAN(phi), 2) AS t, 6.739496742276e-3 * POW(COS(phi), 2) AS c, dl * COS(phi) AS a, TAN(phi) AS tp FROM p),
+e AS (SELECT node_id, 9.996e-1 * n * (a + (1 - t + c) * POW(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * 6.739496742276e-3) * POW(a, 5) / 120) AS e,
+ 9.996e-1 * (m + n * tp * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * POW(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * 6.739496742276e-3) * POW(a, 6) / 720)) AS n FROM q)
+SELECT e.node_id, ROUND(e.e - o.e, 2) AS x, ROUND(o.n - e.n, 2) + 0 AS z FROM e JOIN e o ON o.node_id = -1 WHERE e.node_id >= 0"""
+
+
+@query(_UTM)
 def utm_scene_transform(spark, sf_dir):
-    """A metre east or north on the ellipsoid is a metre in the scene, within the projection's scale."""
+    """Scene metres of nodes placed by degrees, to the centimetre."""
     lon, lat = F.col("x") * 1e-6 - 117.1225, 33.0165 - F.col("z") * 1e-6
     x, z = R.scene(lon, lat, -117.1225, 33.0165)
-    rough_x, rough_z = F.col("x") * 1e-6 * 93403.0, F.col("z") * 1e-6 * 110876.0
-    return table(spark, sf_dir, "nodes").select((F.hypot(x - rough_x, z - rough_z) < 2e0).alias("near")).distinct()
+    return table(spark, sf_dir, "nodes").select("node_id", F.round(x, 2).alias("x"), (F.round(z, 2) + 0).alias("z"))
 
 
 @query()

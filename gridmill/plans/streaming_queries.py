@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from gridmill.operators.network import shared_folder
 from gridmill.registry import query
 from gridmill.streaming import jobs
 
@@ -22,8 +22,7 @@ def _events(spark, sf_dir):
 def _drained(stream, mode: str, more: str = ""):
     """All rows a streaming query emits for the input there is now, from a table in the checkpoint folder."""
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/gridmill-{spark.sparkContext.applicationId}").rstrip("/")
-    at = f"{base}/streams/{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").outputMode(mode).trigger(availableNow=True).start()
     else:
@@ -60,12 +59,15 @@ def streaming_trip_sessions(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT EPOCH_MS(MAX(ts)) - 600000 AS mark FROM events), e AS (SELECT event_id, user_id % 7 AS entrance, ts FROM events)
-SELECT e.event_id, e.entrance, 0e0 AS wait, FALSE AS balked FROM e, m WHERE EPOCH_MS(ts) <= mark""")
+WITH RECURSIVE m AS (SELECT EPOCH_MS(MAX(ts)) - 600000 AS mark FROM events),
+a AS (SELECT event_id, user_id % 7 AS entrance, EPOCH_US(ts) / 1e6 AS arr, 1.2e3 + event_id % 4 * 600 AS s, 9e2 + event_id % 3 * 1800 AS p, ROW_NUMBER() OVER (PARTITION BY user_id % 7 ORDER BY EPOCH_MS(ts), event_id) AS r FROM events, m WHERE EPOCH_MS(ts) <= mark),
+q(entrance, r, event_id, wait, free) AS (SELECT entrance, r, event_id, 0e0, arr + s FROM a WHERE r = 1
+ UNION ALL SELECT a.entrance, a.r, a.event_id, GREATEST(q.free - a.arr, 0), CASE WHEN GREATEST(q.free - a.arr, 0) <= a.p THEN GREATEST(q.free, a.arr) + a.s ELSE q.free END FROM q JOIN a ON a.entrance = q.entrance AND a.r = q.r + 1)
+SELECT q.event_id, q.entrance, CASE WHEN q.wait <= a.p THEN ROUND(q.wait, 3) END AS wait, q.wait > a.p AS balked FROM q JOIN a ON a.event_id = q.event_id""")
 def streaming_curb_queue(spark, sf_dir):
-    """With service that takes no time nobody waits; rows up to the watermark are served."""
-    rows = _events(spark, sf_dir).select((F.col("user_id") % 7).cast("long").alias("entrance"), "event_id", F.unix_micros("ts").alias("us"), F.lit(0.0).alias("service"), F.lit(60.0).alias("patience"), "ts")
-    return _drained(jobs.curb_queue(rows.withColumn("arr_s", F.col("us") / 1e6).drop("us")), "append")
+    """Twenty minutes and more a car, so that queues form and some leave; rows up to the watermark are served."""
+    rows = _events(spark, sf_dir).select((F.col("user_id") % 7).cast("long").alias("entrance"), "event_id", F.unix_micros("ts").alias("us"), (1200.0 + F.col("event_id") % 4 * 600).alias("service"), (900.0 + F.col("event_id") % 3 * 1800).alias("patience"), "ts")
+    return _drained(jobs.curb_queue(rows.withColumn("arr_s", F.col("us") / 1e6).drop("us")), "append").withColumn("wait", F.round("wait", 3))
 
 
 @query("SELECT event_id, 'took ' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) || ' min' AS text FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) IN (1, 2, 3)")

@@ -38,6 +38,24 @@ def star_join(spark, sf_dir):
     return T.star_join(*(table(spark, sf_dir, t) for t in ("persons", "households", "nodes"))).select("person_id", "x", "z", "income_band")
 
 
+@query("SELECT edge_idx, ROUND(CASE WHEN edge_idx % 5 < 3 THEN GREATEST(length_m, 1) / (40 / 3.6) ELSE length_m / 20 END, 6) AS free_flow_s, CASE WHEN edge_idx % 4 < 2 THEN lanes * 6e2 ELSE 7e2 END AS capacity_vph FROM {edges}")
+def edge_repair(spark, sf_dir):
+    k = F.col("edge_idx")
+    rows = table(spark, sf_dir, "edges").select("edge_idx", "length_m", "lanes", F.when(k % 5 == 0, float("nan")).when(k % 5 == 1, -1.0).when(k % 5 > 2, F.col("length_m") / 20).alias("free_flow_s"), F.when(k % 4 == 0, 0.0).when(k % 4 > 1, 700.0).alias("capacity_vph"))
+    return T.repaired_edges(rows).select("edge_idx", F.round("free_flow_s", 6).alias("free_flow_s"), "capacity_vph")
+
+
+@query("""
+WITH h AS (SELECT household_id, x, z, household_id * 31 % (SELECT COUNT(*) * 2 FROM {part}) AS home_node FROM {homes}), n AS (SELECT * FROM {nodes} WHERE node_id % 3 > 0)
+SELECT household_id, COALESCE((SELECT node_id FROM n WHERE n.node_id = h.home_node), (SELECT ARG_MIN(n.node_id, ROW(ROUND(SQRT(POW(n.x - h.x, 2) + POW(n.z - h.z, 2)), 6), n.node_id)) FROM n)) AS home_node FROM h""")
+def home_repair(spark, sf_dir):
+    """Homes whose node is gone or was never there move to the nearest."""
+    n = table(spark, sf_dir, "part").count() * 2
+    homes = table(spark, sf_dir, "homes").select("household_id", "x", "z", (F.col("household_id") * 31 % n).alias("home_node"))
+    nodes = table(spark, sf_dir, "nodes").where("node_id % 3 > 0").select("node_id", F.col("x").alias("x2"), F.col("z").alias("z2"))
+    return T.repaired_homes(homes, nodes)
+
+
 @query("SELECT person_id, CASE WHEN person_id % 14 IN (SELECT school_id FROM {schools}) THEN person_id % 14 END AS school_id FROM {persons} WHERE household_id IN (SELECT household_id FROM {households} WHERE vehicles > 0)")
 def referential_repair(spark, sf_dir):
     persons = table(spark, sf_dir, "persons").withColumn("school_id", F.col("person_id") % 14)

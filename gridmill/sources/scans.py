@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,9 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridmill.operators.network import shared_folder
 from gridmill.operators.report import finite
 
 
+def cached_extract(spark: SparkSession, folder: str, key: dict, read: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """An extract under its key (release, box rounded to 6 digits, columns, ...): read once, written with zstd, and reused while the key stays.
+
+    Keys with floats count to 6 digits. An extract counts as there when its
+    write was completed (Spark's _SUCCESS mark).
+    """
+    def rounded(v):
+        return round(v, 6) if isinstance(v, float) else [rounded(x) for x in v] if isinstance(v, (list, tuple)) else v
+
+    text = json.dumps({k: rounded(v) for k, v in key.items()}, sort_keys=True)
+    path = f"{folder.rstrip('/')}/key={hashlib.sha256(text.encode()).hexdigest()[:32]}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    there = mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(mark)
+    if force or not there:
+        read().write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def columnar_scan(spark: SparkSession, path: str, columns: dict[str, str], defaults: dict | None = None) -> DataFrame:
     """The given columns (name: type) of a parquet table; absent optional ones take their default."""
     df = spark.read.parquet(path)
