@@ -148,11 +148,6 @@ def extent_filter(spark, sf_dir):
     return table(spark, sf_dir, "nodes").where(F.col("x").between(1e3, 5e3) & F.col("z").between(250.0, 2e3)).select("node_id")
 
 
-@query("SELECT box_id FROM {boxes} WHERE x0 <= 5e3 AND x1 >= 1e3 AND z0 <= 2e3 AND z1 >= 2.5e2")
-def bbox_pruned_scan(spark, sf_dir):
-    return table(spark, sf_dir, "boxes").where("x0 <= 5e3 AND x1 >= 1e3 AND z0 <= 2e3 AND z1 >= 2.5e2").select("box_id")
-
-
 @query("SELECT school_id, ROUND(SUM((g1 - g0 + 1) * n.x) / SUM(g1 - g0 + 1), 6) AS cx, ROUND(SUM((g1 - g0 + 1) * n.z) / SUM(g1 - g0 + 1), 6) AS cz FROM (SELECT school_id % 5 AS school_id, node_id, g0, g1 FROM {schools}) s JOIN {nodes} n USING (node_id) GROUP BY school_id")
 def area_weighted_centroid(spark, sf_dir):
     rows = table(spark, sf_dir, "schools").withColumn("school_id", F.col("school_id") % 5).withColumn("a", F.col("g1") - F.col("g0") + 1).join(table(spark, sf_dir, "nodes"), "node_id")
