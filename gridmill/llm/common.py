@@ -73,10 +73,6 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "numbered")
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-
-
 def text_bytes(column: str = "text") -> F.Column:
     """A text as UTF-8 bytes; null as no bytes."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -25,14 +25,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import arrow_map, connected_components, stored
+from gridmill.llm.common import arrow_map, connected_components, sorted_groups, stored, unite
 
 COSINE = 0.98
 #: Rows of the sample that codebooks and traversal length are fitted on.
 SAMPLE = 8192
 TARGET_RECALL = 0.98
 #: Vectors that an average cell should hold, and the most codewords of a half.
-PER_CELL, MOST_CODES = 8, 256
+PER_CELL, MOST_CODES = 8, 1024
 MEMBERS, VISITORS = 1024, 4096
 
 
@@ -40,7 +40,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarra
     rng = np.random.default_rng(seed)
     centre = x[rng.choice(len(x), size=k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = np.argmin((centre**2).sum(1) - 2 * x @ centre.T, axis=1)
+        near = np.concatenate([np.argmin((centre**2).sum(1) - 2 * x[lo : lo + 1024] @ centre.T, axis=1) for lo in range(0, len(x), 1024)])
         n = np.bincount(near, minlength=k)
         for d in range(x.shape[1]):
             centre[:, d] = np.where(n > 0, np.bincount(near, x[:, d], k) / np.maximum(n, 1), centre[:, d])
@@ -74,10 +74,13 @@ class MultiIndex:
         side -= (side * x).sum(1, keepdims=True) * x
         side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
         partner = self.home(cosine * x + np.sqrt(1 - cosine**2) * side)
-        a, b = self._distances(x)
-        total = (a[:, :, None] + b[:, None, :]).reshape(len(x), -1)
-        rank = (total < total[np.arange(len(x)), partner][:, None]).sum(1) + 1
-        return int(np.quantile(rank, target, method="higher"))
+        ranks = []
+        step = max(1, (1 << 22) // self.codes**2)  # so many vectors' grids are held at once
+        for lo in range(0, len(x), step):
+            a, b = self._distances(x[lo : lo + step])
+            total = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1)
+            ranks.append((total < total[np.arange(len(a)), partner[lo : lo + step]][:, None]).sum(1) + 1)
+        return int(np.quantile(np.concatenate(ranks), target, method="higher"))
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cells, valid), both n x visits, nearest first; column 0 is the home cell."""
@@ -102,24 +105,11 @@ class MultiIndex:
 def _unit(column: pa.Array, width: int) -> np.ndarray:
     x = np.zeros((len(column), width))
     sizes = np.diff(column.offsets.to_numpy())
-    x[np.repeat(np.arange(len(column)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = column.flatten().to_numpy(zero_copy_only=False)
+    x[np.repeat(np.arange(len(column)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     x /= np.maximum(np.abs(x).max(axis=1, keepdims=True), np.finfo(float).tiny)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Merge the groups of i and j in place. label names each node's group by its least node, before and after."""
-    while True:
-        a, b = label[i], label[j]
-        apart = a != b
-        if not apart.any():
-            return
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
 def _compare(members, visitors, cosine: float, across: bool) -> dict:
     """Links inside one block of a cell. across: members come in two sides, and only pairs between sides count.
 
@@ -139,7 +129,7 @@ def _compare(members, visitors, cosine: float, across: bool) -> dict:
             i, j = i[ok], j[ok]
             for p, copies in ((i, b["copies"][j]), (j + start, a["copies"][i])):
                 count += np.bincount(p, copies.astype(float), minlength=len(node)).astype(np.int64)
-            _unite(label, i, j + start)
+            unite(label, i, j + start)
         hit = np.flatnonzero(count)
         least = np.full(len(node), np.iinfo(np.int64).max)
         np.minimum.at(least, label, node)
@@ -173,19 +163,23 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     A vector that is null, empty, zero or holds null or non-finite components,
     and one whose label is null, links with nothing. Vectors of different
     lengths don't link. Equal vectors of one label are compared as one and
-    counted as many. An empty table gives no rows; other columns are ignored.
+    counted as many. An empty table gives no rows; other columns, of whatever
+    name, are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    # floats travel as they are; cosines are taken in double precision either way
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = vectors.select("vec_id", F.col("embedding").cast(kind).alias("embedding"), "label")
     fine = "label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"
     marked = rows.withColumn("fine", F.coalesce(F.expr(fine), F.lit(False)))
     classes = marked.where("fine").groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"))
-    classes = stored(classes.withColumn("id", F.xxhash64("label", "embedding")), "classes")
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     width, count = classes.agg(F.max(F.size("embedding")), F.count("*")).first()
     if not count:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     width += width % 2
-    chosen = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
+    chosen = classes.orderBy(F.xxhash64("label", "embedding"), "id").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
     index = spark.sparkContext.broadcast(MultiIndex(_unit(chosen, width), count, cosine, target))
 
     def assign(batch):
@@ -195,7 +189,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
             visits = pa.array([c[1:][v[1:]].tolist() for c, v in zip(cells, valid)], type=pa.list_(pa.int32()))
             yield {"space": part["space"], "id": part["id"], "copies": part["copies"], "embedding": part["embedding"], "home": cells[:, 0].astype(np.int32), "visits": visits}
 
-    schema = "space long, id long, copies long, embedding array<double>, home int, visits array<int>"
+    schema = f"space long, id long, copies long, embedding {kind}, home int, visits array<int>"
     spaced = classes.select(F.xxhash64("label", F.size("embedding")).alias("space"), "id", "copies", "embedding")
     placed = stored(arrow_map(spaced, schema, assign), "placed")
     own = placed.groupBy("space", F.col("home").alias("cell")).agg(F.count("*").alias("n_members"))
@@ -245,19 +239,9 @@ def _blocks(cosine: float, width: int):
         return pa.RecordBatch.from_pydict(_compare(*sides, cosine, table["across"][0].as_py()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_parts: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = batch.column(0).to_numpy()
-            edge = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
-            for a, b in zip(edge[:-1], edge[1:]):
-                if open_parts and open_parts[0].column(0)[0].as_py() != block[a]:
-                    yield settle(pa.Table.from_batches(open_parts))
-                    open_parts = []
-                open_parts.append(batch.slice(a, b - a))
-        if open_parts:
-            yield settle(pa.Table.from_batches(open_parts))
+        for table, edge, _ in sorted_groups(batches):
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                yield settle(table.slice(lo, hi - lo))
 
     return run
 

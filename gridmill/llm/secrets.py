@@ -149,7 +149,9 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     docs: doc_id, text. Returns doc_id, n_assign, n_access, n_hex, base_spans,
     spans (kind:start:end by start, in code points, end exclusive) and redacted
     (the text with spans replaced; null stays null), a row for each input row.
-    Null and empty texts have no spans. Other columns are ignored.
+    Null and empty texts have no spans; long texts are searched whole; repeated
+    rows each get their row. Other columns, of whatever name, are ignored; no rows
+    give no rows.
     """
     bound_batches(docs.sparkSession)
     return docs.select("doc_id", found_secrets("text").alias("found")).select("doc_id", "found.*")
