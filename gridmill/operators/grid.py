@@ -76,6 +76,19 @@ def box_mean(cells: DataFrame, radius: int, value: str) -> DataFrame:
     return first.select("row", "col", F.sum("s").over(down).alias("window_sum"), F.sum("n").over(down).alias("window_n"))
 
 
+def dense(cells: DataFrame, values: list[str]) -> DataFrame:
+    """Every cell of the rows and columns that have any, with 0 for values of empty ones."""
+    frame = cells.select("row").distinct().join(F.broadcast(cells.select("col").distinct()))
+    return frame.join(cells, ["row", "col"], "left").na.fill(0, values)
+
+
+def window_ratio(cells: DataFrame, radius: int, top: str, bottom: str) -> DataFrame:
+    """Sum of one value over that of another in a square window around each cell; null where the other is 0."""
+    a, b = box_mean(cells, radius, top), box_mean(cells, radius, bottom)
+    both = a.select("row", "col", F.col("window_sum").alias("a")).join(b.select("row", "col", F.col("window_sum").alias("b")), ["row", "col"])
+    return both.select("row", "col", (F.col("a") / F.nullif(F.col("b").cast("double"), F.lit(0.0))).alias("ratio"))
+
+
 def plane_residual(cells: DataFrame, value: str) -> DataFrame:
     """Spread of a full 3x3 window around the plane fitted through it, from sums in closed form."""
     v = F.col(value)

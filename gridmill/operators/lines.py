@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from gridmill.operators.tables import stable_ids
+
 
 def split_at_connectors(segments: DataFrame) -> DataFrame:
     """Pieces between consecutive different connectors. segments: segment_id, length_m, connectors array<struct(at, id)>."""
@@ -18,7 +20,7 @@ def split_at_connectors(segments: DataFrame) -> DataFrame:
 def graph_from_connectors(pieces: DataFrame, both_ways: Column) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): node numbers by the order of connector ids, and an edge for each allowed direction."""
     ids = pieces.select(F.explode(F.array("from_id", "to_id")).alias("connector")).distinct()
-    nodes = ids.select("connector", F.row_number().over(W.orderBy("connector")).alias("node_id"))
+    nodes = stable_ids(ids, ["connector"], "node_id")
     number = lambda c, name: nodes.select(F.col("connector").alias(c), F.col("node_id").alias(name))
     found = pieces.withColumn("both", both_ways).join(number("from_id", "u"), "from_id").join(number("to_id", "v"), "to_id")
     edges = found.select("segment_id", "u", "v", "piece_m").union(found.where("both").select("segment_id", F.col("v"), F.col("u"), "piece_m"))

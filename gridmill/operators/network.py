@@ -53,10 +53,10 @@ def local_nodes(nodes: DataFrame, edges: DataFrame, freeways: list[str]) -> Data
     return nodes.join(ends(edges.where(~F.col("highway").isin(freeways))).select("node_id"), "node_id", "left_semi")
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """One row for each pair of ends: lanes of both directions added up, name of the least edge."""
-    pair = edges.withColumn("a", F.least("u", "v")).withColumn("b", F.greatest("u", "v"))
-    return pair.groupBy("a", "b").agg(F.sum("lanes").alias("lanes"), F.min_by("name", "edge_idx").alias("name"), F.count("*").alias("directions"))
+def undirected(edges: DataFrame, way: str = "name", digits: int = 0) -> DataFrame:
+    """One row for each pair of ends, way and rounded length: lanes of both directions added up, name of the least edge."""
+    pair = edges.withColumn("a", F.least("u", "v")).withColumn("b", F.greatest("u", "v")).withColumn("way", F.col(way)).withColumn("length", F.round(F.col("length_m").cast("double"), digits))
+    return pair.groupBy("a", "b", "way", "length").agg(F.sum("lanes").alias("lanes"), F.min_by("name", "edge_idx").alias("name"), F.count("*").alias("directions"))
 
 
 def cheapest_edges(edges: DataFrame, cost: str, least: float = 0.001) -> DataFrame:
@@ -65,10 +65,17 @@ def cheapest_edges(edges: DataFrame, cost: str, least: float = 0.001) -> DataFra
     return edges.groupBy("u", "v").agg(F.min_by("edge_idx", F.struct(c, F.col("edge_idx"))).alias("edge_idx"), F.min(c).alias("cost"))
 
 
-def signals(nodes: DataFrame, edges: DataFrame, major: list[str]) -> DataFrame:
-    """Nodes where two or more differently named major roads meet."""
-    roads = ends(edges, "highway", "name").where(F.col("highway").isin(major)).groupBy("node_id").agg(F.countDistinct("name").alias("roads"))
-    return nodes.select("node_id").join(roads, "node_id", "left").select("node_id", (F.coalesce("roads", F.lit(0)) >= 2).alias("signal"))
+def signals(nodes: DataFrame, edges: DataFrame, major: list[str], ramps: list[str], arterial: list[str], least: int = 3) -> DataFrame:
+    """Signals of nodes: as the source has them (signalized), or, where it has none at all, inferred; only junctions of `least` neighbours have one.
+
+    Inferred where two or more differently named major roads meet, or a ramp
+    meets an arterial.
+    """
+    kind = F.col("highway")
+    met = ends(edges, "highway", "name").groupBy("node_id").agg(F.countDistinct(F.when(kind.isin(major), F.col("name"))).alias("roads"), (F.max(kind.isin(ramps)) & F.max(kind.isin(arterial))).alias("ramp"), F.countDistinct("other").alias("neighbours"))
+    given = not nodes.where("signalized").isEmpty()
+    flag = F.col("signalized") if given else (F.col("roads") >= 2) | F.col("ramp")
+    return nodes.join(met, "node_id", "left").select("node_id", F.coalesce(flag & (F.col("neighbours") >= least), F.lit(False)).alias("signal"))
 
 
 def junction_ends(edges: DataFrame, least: int = 3) -> DataFrame:

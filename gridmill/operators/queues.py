@@ -34,8 +34,23 @@ def queue_at_arrival(queued: DataFrame, by: list[str], key: str, arrive: str, we
     return events.withColumn("queue", F.sum("d").over(so_far)).where("kind = 1").select(*by, key, "queue")
 
 
-def queue_bins(queued: DataFrame, by: list[str], arrive: str, bin_s: int) -> DataFrame:
-    """Per bin: arrivals, mean and largest wait."""
+def queue_bins(queued: DataFrame, by: list[str], arrive: str, bin_s: int, bins: int, weight: str, spots: int, car_m: float) -> DataFrame:
+    """Each bin 0..bins-1 of each queue: arrivals, mean and largest wait (null without arrivals), cars waiting at its end, and the metres they reach past the spots.
+
+    Waiting at a bin's end are the weights that arrived before it less those whose service began before it.
+    """
+    at = lambda c: F.floor(F.col(c) / bin_s).cast("long")
+    moves = F.array(F.struct(at(arrive).alias("bin"), F.col(weight).alias("d")), F.struct(at("begin").alias("bin"), (-F.col(weight)).alias("d")))
+    steps = queued.select(*by, F.explode(moves).alias("m")).groupBy(*by, "m.bin").agg(F.sum("m.d").alias("d"))
+    grid = queued.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("bin", F.col("bin").cast("long"))
+    so_far = W.partitionBy(*by).orderBy("bin")  # at most `bins` rows
+    dense = grid.join(steps, [*by, "bin"], "left").withColumn("waiting", F.round(F.sum(F.coalesce("d", F.lit(0.0))).over(so_far), 6)).drop("d")
+    stats = _waits(queued, by, arrive, bin_s)
+    spill = F.greatest(F.col("waiting") - spots, F.lit(0.0)) * car_m
+    return dense.withColumn("spill_m", spill).join(stats, [*by, "bin"], "left").withColumn("arrivals", F.coalesce("arrivals", F.lit(0)))
+
+
+def _waits(queued: DataFrame, by: list[str], arrive: str, bin_s: int) -> DataFrame:
     return queued.groupBy(*by, F.floor(F.col(arrive) / bin_s).cast("long").alias("bin")).agg(F.count("*").alias("arrivals"), F.avg("wait").alias("mean_wait"), F.max("wait").alias("max_wait"))
 
 
@@ -69,14 +84,16 @@ def queue_with_balking(arrivals: DataFrame, by: list[str], arrive: str, service:
 
 
 def chain_stops(kids: DataFrame, size: int = 3) -> DataFrame:
-    """Stops of each household's school run. kids: household_id, person_id, school_id, bell_s.
+    """Stops of each household's school run. kids: household_id, person_id, school_id, bell_s, leg_s (to the school).
 
     Schools in the order of their earliest bell, then id; `size` stops a chain;
-    a stop's target is its earliest bell.
+    a stop's target is its earliest bell, and the time that the way there takes
+    adds up along the chain.
     """
-    stops = kids.groupBy("household_id", "school_id").agg(F.min("bell_s").alias("target_s"), F.count("*").alias("kids"))
+    stops = kids.groupBy("household_id", "school_id").agg(F.min("bell_s").alias("target_s"), F.count("*").alias("kids"), F.max("leg_s").alias("leg_s"))
     rank = F.row_number().over(W.partitionBy("household_id").orderBy("target_s", "school_id"))
-    return stops.withColumn("r", rank).select("household_id", "school_id", "target_s", "kids", F.floor((F.col("r") - 1) / size).cast("long").alias("chain"), ((F.col("r") - 1) % size).cast("long").alias("stop"))
+    rows = stops.withColumn("r", rank).select("household_id", "school_id", "target_s", "kids", "leg_s", F.floor((F.col("r") - 1) / size).cast("long").alias("chain"), ((F.col("r") - 1) % size).cast("long").alias("stop"))
+    return rows.withColumn("expected_s", F.sum("leg_s").over(W.partitionBy("household_id", "chain").orderBy("stop"))).drop("leg_s")
 
 
 def even_runs(riders: DataFrame, by: list[str], order: list[str], capacity: int) -> DataFrame:

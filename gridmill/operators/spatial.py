@@ -130,6 +130,36 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: str, reach: flo
     return points.select(key).join(best, key, "left")
 
 
+def within_segments(points: DataFrame, segments: DataFrame, most: float) -> DataFrame:
+    """Pairs of point and segment no further apart than the segment's reach, which is at most `most`. points: x, z, ...; segments: x0, z0, x1, z1, reach, ...; adds d."""
+    placed = points.withColumn("cell_x", cell(F.col("x"), most)).withColumn("cell_z", cell(F.col("z"), most))
+    s = segments.withColumn("cell_x", cells_between(F.least("x0", "x1") - F.col("reach"), F.greatest("x0", "x1") + F.col("reach"), most))
+    s = s.withColumn("cell_z", cells_between(F.least("z0", "z1") - F.col("reach"), F.greatest("z0", "z1") + F.col("reach"), most))
+    d = segment_distance(*(F.col(c) for c in ("x", "z", "x0", "z0", "x1", "z1")))
+    return placed.join(s, ["cell_x", "cell_z"]).withColumn("d", d).where("d <= reach").drop("cell_x", "cell_z")
+
+
+def clear_of(points: DataFrame, boxes: DataFrame, roads: DataFrame, buffer: float, most: float, key: str) -> DataFrame:
+    """Points further than buffer from every building and than half a width and buffer from every road.
+
+    boxes: x0, z0, x1, z1; roads: x0, z0, x1, z1, half_m; most: the largest half width plus buffer.
+    """
+    b = boxes.select("x0", "z0", "x1", "z1").withColumn("cell_x", cells_between(F.col("x0") - buffer, F.col("x1") + buffer, most)).withColumn("cell_z", cells_between(F.col("z0") - buffer, F.col("z1") + buffer, most))
+    placed = points.withColumn("cell_x", cell(F.col("x"), most)).withColumn("cell_z", cell(F.col("z"), most))
+    gap = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0))
+    near_box = placed.join(b, ["cell_x", "cell_z"]).where(F.hypot(gap("x", "x0", "x1"), gap("z", "z0", "z1")) <= buffer).select(key)
+    near_road = within_segments(points, roads.select("x0", "z0", "x1", "z1", (F.col("half_m") + buffer).alias("reach")), most).select(key)
+    return points.join(near_box, key, "left_anti").join(near_road, key, "left_anti")
+
+
+def stop_access(homes: DataFrame, stops: DataFrame, key: str, most_km: float, circuity: float, current: str) -> DataFrame:
+    """Walk to the nearest stop of a route, straight line times circuity; it replaces the current route's only if within most_km and shorter. homes: key, x, z, current; stops: x2, z2."""
+    near = within(homes.select(key, "x", "z"), stops.select("x2", "z2"), most_km * 1000 / circuity).groupBy(key).agg((F.min("d") * circuity / 1000).alias("walk_km"))
+    joined = homes.join(near, key, "left")
+    better = F.col("walk_km").isNotNull() & (F.col(current).isNull() | (F.col("walk_km") < F.col(current)))
+    return joined.select(key, F.when(better, F.col("walk_km")).otherwise(F.col(current)).alias("walk_km"), better.alias("replaced"))
+
+
 def neighbour_share(points: DataFrame, key: str, distance: float, marked: Column, least: int, share: float) -> DataFrame:
     """Neighbours within distance, how many are marked, and whether both their number and share suffice."""
     others = points.select(F.col(key).alias("other"), F.col("x").alias("x2"), F.col("z").alias("z2"), marked.alias("marked"))

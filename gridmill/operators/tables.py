@@ -107,6 +107,18 @@ def calibration_table(simulated: DataFrame, observed: DataFrame, limit_pct: floa
     return rows.withColumn("status", F.when(F.col("error_pct").isNull(), "no target").when(F.col("error_pct") <= limit_pct, "ok").otherwise("off"))
 
 
+def calibration_status(rows: DataFrame, limit_pct: float, least: int) -> DataFrame:
+    """One row: targets observed, median error, and whether that is calibrated, off, or drawn from too few targets. rows: error_pct."""
+    out = rows.agg(F.count("error_pct").alias("targets"), F.percentile("error_pct", F.lit(0.5)).alias("median_pct"))
+    return out.withColumn("status", F.when(F.col("targets") < least, "too few targets").when(F.col("median_pct") <= limit_pct, "calibrated").otherwise("off"))
+
+
+def students_by_school(persons: DataFrame, schools: DataFrame) -> DataFrame:
+    """Students of every school, 0 for those without."""
+    counts = persons.where("school_id is not null").groupBy("school_id").agg(F.count("*").alias("students"))
+    return schools.select("school_id").join(counts, "school_id", "left").na.fill(0, ["students"])
+
+
 def knob_argmin(candidates: DataFrame) -> DataFrame:
     """Per knob the candidate of least error, the first on ties, if it beats the current one. candidates: knob, candidate, error, is_current."""
     best = candidates.groupBy("knob").agg(F.min_by("candidate", F.struct(F.coalesce("error", F.lit(float("inf"))), F.col("candidate"))).alias("best"), F.min("error").alias("error"), F.max(F.when(F.col("is_current"), F.col("error"))).alias("current"))
@@ -119,15 +131,16 @@ def cell_sections(props: DataFrame, size: float) -> DataFrame:
     return counts.withColumn("offset", F.sum("n").over(W.partitionBy("type").orderBy("cz", "cx")) - F.col("n"))
 
 
-def stable_ids(df: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
-    """Numbers 1..n by an order: ranks within ranges of the first key, plus the rows before each range."""
-    edges = df.agg(F.min(order[0]).alias("lo"), F.max(order[0]).alias("hi"))
-    spread = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(order[0]) - F.col("lo")) * buckets / (F.col("hi") - F.col("lo")))).otherwise(F.lit(0))
-    placed = df.join(F.broadcast(edges)).withColumn("range", spread).drop("lo", "hi")
-    before = placed.groupBy("range").agg(F.count("*").alias("n"))
-    before = before.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("base"))
-    rank = F.row_number().over(W.partitionBy("range").orderBy(*order))
-    return placed.withColumn("rank", rank).join(F.broadcast(before), "range").withColumn("id", F.col("base") + F.col("rank")).drop("range", "rank", "base")
+def stable_ids(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """Numbers 1..n by an order: Spark's range partitions, whose bounds are sampled, hold n / partitions rows each; ranks within them, plus the rows before each."""
+    from gridmill.operators.network import kept
+
+    placed = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    before = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))  # a row for each partition
+    before = before.select("__part", (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__base"))
+    numbered = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return numbered.withColumn(name, F.col("__base") + F.col("__at") - F.shiftleft("__part", 33) + 1).drop("__part", "__base", "__at")
 
 
 def latest_year(items: DataFrame, date: str, by: list[str]) -> DataFrame:

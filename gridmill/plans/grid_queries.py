@@ -56,9 +56,15 @@ def gap_fill(spark, sf_dir):
     return G.gap_fill(_cells(spark, sf_dir), 60, 45, "v", 2).withColumn("v", F.round("v", 5))
 
 
-@query(f"WITH c AS ({_CELLS}) SELECT a.\"row\", a.col, ROUND(SUM(b.v), 6) AS window_sum, COUNT(*) AS window_n FROM c a JOIN c b ON ABS(a.\"row\" - b.\"row\") <= 2 AND ABS(a.col - b.col) <= 2 WHERE a.\"row\" BETWEEN 2 AND 38 GROUP BY 1, 2 HAVING COUNT(*) = 25")
+_COUNTS = f"SELECT {_at(5.0)}, COUNT(*) FILTER (WHERE z > 2e1) AS elevated, COUNT(*) FILTER (WHERE z > 2e1 AND cls % 2 = 0) AS many FROM {{points}} GROUP BY 1, 2"
+
+
+@query(f"WITH c AS ({_COUNTS}) SELECT a.\"row\", a.col, ROUND(SUM(b.many) / NULLIF(SUM(b.elevated), 0), 6) AS ratio FROM c a JOIN c b ON ABS(a.\"row\" - b.\"row\") <= 2 AND ABS(a.col - b.col) <= 2 GROUP BY 1, 2")
 def moving_window_ratio(spark, sf_dir):
-    return G.box_mean(_cells(spark, sf_dir), 2, "v").where("row between 2 and 38 and window_n = 25").withColumn("window_sum", F.round("window_sum", 6))
+    """Returns above 20 m that are multiple, over all above it, in windows of five cells; cells that lack points on the way of a pass count as empty."""
+    points = G.grid_cells(table(spark, sf_dir, "points"), 0, 200, 5)
+    cells = points.groupBy("row", "col").agg(F.count_if(F.col("z") > 20).alias("elevated"), F.count_if((F.col("z") > 20) & (F.col("cls") % 2 == 0)).alias("many"))
+    return G.window_ratio(G.dense(cells, ["elevated", "many"]), 2, "many", "elevated").join(cells.select("row", "col"), ["row", "col"], "left_semi").withColumn("ratio", F.round("ratio", 6))
 
 
 @query(f"WITH c AS ({_CELLS}) SELECT a.\"row\", a.col, ROUND(SQRT(GREATEST(SUM(b.v * b.v) - SUM(b.v) * SUM(b.v) / 9 - (POW(SUM(b.v * (b.\"row\" - a.\"row\")), 2) + POW(SUM(b.v * (b.col - a.col)), 2)) / 6, 0) / 9), 5) AS residual FROM c a JOIN c b ON ABS(a.\"row\" - b.\"row\") <= 1 AND ABS(a.col - b.col) <= 1 GROUP BY 1, 2 HAVING COUNT(*) = 9")

@@ -37,9 +37,15 @@ def queue_length_at_arrival(spark, sf_dir):
     return Q.queue_at_arrival(queued, ["entrance", "day"], "event_id", "arr_s", "w").select("event_id", F.round("queue", 4).alias("queue"))
 
 
-@query(_recursive(" SELECT entrance, day, CAST(FLOOR(arr_s / 3600.0) AS BIGINT) AS bin, COUNT(*) AS arrivals, ROUND(AVG(begin - arr_s), 4) AS mean_wait, ROUND(MAX(begin - arr_s), 4) AS max_wait FROM q GROUP BY 1, 2, 3"))
+@query(_recursive("""
+, m AS (SELECT entrance, day, CAST(FLOOR(arr_s / 3600.0) AS BIGINT) AS bin, w AS d FROM q UNION ALL SELECT entrance, day, CAST(FLOOR(ROUND(begin, 6) / 3600.0) AS BIGINT), -w FROM q),
+g AS (SELECT k.entrance, k.day, b.bin FROM (SELECT DISTINCT entrance, day FROM q) k CROSS JOIN (SELECT UNNEST(RANGE(30)) AS bin) b), n AS (SELECT entrance, day, CAST(FLOOR(arr_s / 3600.0) AS BIGINT) AS bin, COUNT(*) AS arrivals, ROUND(AVG(begin - arr_s), 4) AS mean_wait, ROUND(MAX(begin - arr_s), 4) AS max_wait FROM q GROUP BY 1, 2, 3),
+s AS (SELECT g.entrance, g.day, g.bin, ROUND(COALESCE((SELECT SUM(d) FROM m WHERE m.entrance = g.entrance AND m.day = g.day AND m.bin <= g.bin), 0), 4) + 0 AS waiting FROM g)
+SELECT s.entrance, s.day, s.bin, waiting, ROUND(GREATEST(waiting - 2, 0) * 7.5, 3) AS spill_m, COALESCE(arrivals, 0) AS arrivals, mean_wait, max_wait FROM s LEFT JOIN n ON n.entrance = s.entrance AND n.day = s.day AND n.bin = s.bin"""))
 def queue_bin_stats(spark, sf_dir):
-    return Q.queue_bins(_queue(spark, sf_dir), ["entrance", "day"], "arr_s", 3600).withColumn("mean_wait", F.round("mean_wait", 4)).withColumn("max_wait", F.round("max_wait", 4))
+    queued = _queue(spark, sf_dir).withColumn("begin", F.round("begin", 6))
+    out = Q.queue_bins(queued, ["entrance", "day"], "arr_s", 3600, 30, "w", 2, 7.5)
+    return out.withColumns({"waiting": F.round("waiting", 4) + 0, "spill_m": F.round("spill_m", 3), "mean_wait": F.round("mean_wait", 4), "max_wait": F.round("max_wait", 4)})
 
 
 @query("""
@@ -53,7 +59,7 @@ def queue_with_balking(spark, sf_dir):
     return Q.queue_with_balking(rows, ["entrance", "day"], "arr_s", "service", "patience", ["arr_s", "event_id"]).select("event_id", F.round("wait", 4).alias("wait"), "balked")
 
 
-_KIDS = "SELECT p.household_id, p.person_id, s.school_id, s.bell_s FROM {persons} p JOIN {schools} s ON s.school_id = p.person_id % 10 WHERE p.grade >= 0"
+_KIDS = "SELECT p.household_id, p.person_id, s.school_id, s.bell_s, 120 + s.school_id % 5 * 60 AS leg_s FROM {persons} p JOIN {schools} s ON s.school_id = p.person_id % 10 WHERE p.grade >= 0"
 
 
 def _kids(spark, sf_dir):
@@ -61,8 +67,8 @@ def _kids(spark, sf_dir):
 
 
 @query(f"""
-WITH k AS ({_KIDS}), s AS (SELECT household_id, school_id, MIN(bell_s) AS target_s, COUNT(*) AS kids FROM k GROUP BY 1, 2)
-SELECT household_id, school_id, target_s, kids, (r - 1) // 3 AS chain, (r - 1) % 3 AS stop FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY household_id ORDER BY target_s, school_id) AS r FROM s) t""")
+WITH k AS ({_KIDS}), s AS (SELECT household_id, school_id, MIN(bell_s) AS target_s, COUNT(*) AS kids, MAX(leg_s) AS leg_s FROM k GROUP BY 1, 2)
+SELECT household_id, school_id, target_s, kids, (r - 1) // 3 AS chain, (r - 1) % 3 AS stop, SUM(leg_s) OVER (PARTITION BY household_id, (r - 1) // 3 ORDER BY r) AS expected_s FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY household_id ORDER BY target_s, school_id) AS r FROM s) t""")
 def chain_stops(spark, sf_dir):
     return Q.chain_stops(_kids(spark, sf_dir))
 

@@ -107,10 +107,13 @@ def link_volume(spark, sf_dir):
     return R.link_volume(table(spark, sf_dir, "trajectory"), 300, 0, 7200).withColumn("veh_h", F.round("veh_h", 6))
 
 
-@query("SELECT edge_idx, ROUND(SUM(1e0 * GREATEST(LEAST(enter_s + dwell_s, 1800) - GREATEST(enter_s, 300), 0)) / 3600, 6) AS vht FROM {trajectory} GROUP BY edge_idx")
+@query("SELECT 'edge' AS place, edge_idx AS id, ROUND(SUM(1e0 * GREATEST(LEAST(enter_s + dwell_s, 1800) - GREATEST(enter_s, 300), 0)) / 3600, 6) AS vht FROM {trajectory} GROUP BY 2 UNION ALL SELECT 'curb', entrance, ROUND(SUM(w * GREATEST(LEAST(arr_s + 240, 32400) - GREATEST(arr_s, 25200), 0)) / 3600, 6) FROM {curb_arrivals} GROUP BY entrance")
 def vehicle_hours(spark, sf_dir):
-    rows = table(spark, sf_dir, "trajectory")
-    return rows.groupBy("edge_idx").agg(F.round(R.overlap_hours(F.col("enter_s"), F.col("enter_s") + F.col("dwell_s"), 300, 1800, F.lit(1.0)), 6).alias("vht"))
+    """Hours on each edge, and in each entrance's curb line."""
+    rows, cars = table(spark, sf_dir, "trajectory"), table(spark, sf_dir, "curb_arrivals")
+    road = rows.groupBy(F.lit("edge").alias("place"), F.col("edge_idx").alias("id")).agg(F.round(R.overlap_hours(F.col("enter_s"), F.col("enter_s") + F.col("dwell_s"), 300, 1800, F.lit(1.0)), 6).alias("vht"))
+    curb = cars.groupBy(F.lit("curb").alias("place"), F.col("entrance").alias("id")).agg(F.round(R.overlap_hours(F.col("arr_s"), F.col("arr_s") + 240, 25200, 32400, F.col("w")), 6).alias("vht"))
+    return road.union(curb)
 
 
 @query("SELECT n.node_id, COALESCE(MAX(e.length_m), 0e0) AS node_length_m FROM {nodes} n LEFT JOIN {edges} e ON n.node_id = e.u OR n.node_id = e.v GROUP BY n.node_id")

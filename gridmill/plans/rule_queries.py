@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridmill.functions import rules as R
 from gridmill.operators import choice as C
+from gridmill.operators import population as P
 from gridmill.operators import queues as Q
 from gridmill.operators import spatial as S
 from gridmill.operators.report import finite
@@ -70,13 +71,43 @@ def _smooth(x, lo, hi):
     return f"({t} * {t} * (3 - 2 * {t}))"
 
 
+_PIXEL = "SELECT p_partkey AS id, p_partkey % 256 * 1e0 AS r, p_size * 5e0 AS g, p_partkey % 90 * 1e0 AS b FROM {part}"
+_INDEX = f"SELECT id, (2 * g - r - b) / (r + g + b + 1e-3) AS e, (r + g + b + 1e-3) / 3 AS v, (r - b) / (r + g + b + 1e-3) AS w, (GREATEST(r, g, b) - LEAST(r, g, b)) / (GREATEST(r, g, b) + 1e-3) AS s, b - r AS d FROM ({_PIXEL}) p"
+_CANOPY = f"{_smooth('e', 0.0, 0.08)} * (1 - {_smooth('v', 55, 85)})"
+
+
 @query(f"""
-WITH p AS (SELECT p_partkey AS id, p_partkey % 256 * 1e0 AS r, p_size * 5e0 AS g, p_partkey % 90 * 1e0 AS b FROM {{part}}), q AS (SELECT id, (2 * g - r - b) / (r + g + b + 1e-3) AS e, (r + g + b + 1e-3) / 3 AS v FROM p)
-SELECT id, ROUND({_smooth('e', 0.0, 0.08)} * (1 - {_smooth('v', 55, 85)}), 6) AS canopy, ROUND({_smooth('e', 0.04, 0.12)} * {_smooth('v', 60, 90)}, 6) AS lawn FROM q""")
+WITH q AS ({_INDEX})
+SELECT id, ROUND({_smooth('e', 0.04, 0.12)} * {_smooth('v', 60, 90)}, 6) AS lawn, ROUND((1 - {_smooth('e', 0.06, 0.12)}) * {_smooth('e', -0.06, 0.02)} * (1 - {_smooth('v', 115, 150)}) * (1 - {_CANOPY}) + 5e-2, 6) AS scrub,
+ ROUND({_smooth('w', 0.04, 0.12)} * {_smooth('v', 110, 150)} * (1 - {_smooth('e', 0.0, 0.05)}), 6) AS dirt, ROUND((1 - {_smooth('s', 0.1, 0.22)}) * {_smooth('v', 85, 115)} * (1 - {_smooth('e', 0.01, 0.06)}), 6) AS paved,
+ ROUND({_smooth('d', 8, 25)} * (1 - {_smooth('v', 80, 120)}) * (1 - {_smooth('e', 0.02, 0.08)}), 6) AS water, ROUND({_CANOPY}, 6) AS canopy FROM q""")
 def pixel_classes(spark, sf_dir):
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(_id(), *R.vegetation(k % 256 * 1.0, F.col("p_size") * 5.0, k % 90 * 1.0))
-    return rows.select("id", F.round("canopy", 6).alias("canopy"), F.round("lawn", 6).alias("lawn"))
+    rows = table(spark, sf_dir, "part").select(_id(), *R.land_covers(k % 256 * 1.0, F.col("p_size") * 5.0, k % 90 * 1.0))
+    return rows.select("id", *[F.round(c, 6).alias(c) for c in R.COVERS])
+
+
+_COVERED = """SELECT p_partkey AS id, p_partkey % 7 / 6e0 AS lawn, p_partkey % 5 / 4e0 AS scrub, p_partkey % 3 / 2e0 AS dirt, p_partkey % 11 / 1e1 AS paved, p_size % 4 / 3e0 AS water, p_size % 6 / 5e0 AS canopy,
+ p_size % 2 * 1e0 AS m_lawn, p_size % 3 / 2e0 AS m_dirt, p_size % 5 / 4e0 AS m_wild, p_partkey % 4 / 3e0 AS m_paved, p_partkey % 6 / 5e0 AS m_water, p_size / 5e0 AS chm, p_size / 6e0 AS ndsm, p_partkey % 13 / 3e0 - 2 AS change,
+ p_partkey % 256 * 1e0 AS v, p_partkey % 10 / 2e1 AS sat FROM {part}"""
+
+
+def _chain(steps):
+    """The steps as nested selects for the SQL side."""
+    sql, names = f"({_COVERED}) t0", ["id", "lawn", "scrub", "dirt", "paved", "water", "canopy", "m_lawn", "m_dirt", "m_wild", "m_paved", "m_water", "chm", "ndsm", "change", "v", "sat"]
+    import re
+
+    for i, step in enumerate(steps, 1):
+        names += [c for c in step if c not in names]
+        plain = {c: re.sub(r"(?<=[0-9])D\b", "", e) for c, e in step.items()}
+        sql = f"(SELECT {', '.join(f'CAST({plain[c]} AS DOUBLE) AS {c}' if c in plain else c for c in names)} FROM {sql}) t{i}"
+    return sql
+
+
+@query(f"SELECT id, {', '.join(f'ROUND({c}, 6) AS {c}' for c in R.COVERS)} FROM {_chain(R.override_steps(3.0, 2.0, 1.5))}")
+def landcover_overrides(spark, sf_dir):
+    rows = spark.sql(_COVERED, part=table(spark, sf_dir, "part"))
+    return R.landcover_overrides(rows, 3.0, 2.0, 1.5).select("id", *[F.round(c, 6).alias(c) for c in R.COVERS])
 
 
 def _shoulder(refl):
@@ -233,19 +264,30 @@ def name_or_ref_theta_join(spark, sf_dir):
     return starts.join(labels, "prefix").select("edge_idx", "box_id")
 
 
-@query("SELECT person_id, ARG_MIN(school_id, ROW(ROUND(curb_spots * 10 + ABS(school_id - person_id % 20), 3), school_id)) AS entrance FROM {persons} p JOIN {schools} s ON s.school_id % 4 = p.person_id % 4 GROUP BY person_id")
+_DOORS = "SELECT school_id, k.k AS door, (node_id + k.k * 3) % (SELECT COUNT(*) FROM {part}) AS node_id, 20e0 + (school_id + k.k) % 4 * 15 AS approach_s, CAST((school_id * 7 + k.k * 5) % 9 AS DOUBLE) * 20 AS wait_s FROM {schools} JOIN (VALUES (0), (1), (2)) AS k(k) ON k.k <= school_id % 3"
+_STOPS = "SELECT person_id, person_id % 10 AS school_id, person_id % 3 = 0 AS walks, h.home_node FROM {persons} p JOIN {households} h ON h.household_id = p.household_id WHERE p.grade >= 0"
+
+
+@query(f"""
+WITH d AS ({_DOORS}), t AS ({_STOPS}), c AS (SELECT t.person_id, t.walks, d.door, ABS(d.node_id - t.home_node) % 97 * 4 + approach_s + wait_s AS cost FROM t JOIN d ON d.school_id = t.school_id)
+SELECT person_id, CASE WHEN BOOL_OR(walks) THEN MIN(door) ELSE ARG_MIN(door, ROW(cost, door)) END AS entrance FROM c GROUP BY person_id""")
 def entrance_choice(spark, sf_dir):
-    trips = table(spark, sf_dir, "persons").select("person_id", (F.col("person_id") % 4).alias("k"), (F.col("person_id") % 20).alias("at"))
-    doors = table(spark, sf_dir, "schools").select("school_id", "curb_spots", (F.col("school_id") % 4).alias("k"))
-    cost = F.round(F.col("curb_spots") * 10 + F.abs(F.col("school_id") - F.col("at")), 3)
-    return trips.join(doors, "k").groupBy("person_id").agg(F.min_by("school_id", F.struct(cost, F.col("school_id"))).alias("entrance"))
+    """Each stop's cheapest entrance of its own school: skim, approach and learned wait; who doesn't queue takes the first."""
+    doors = spark.sql(_DOORS, schools=table(spark, sf_dir, "schools"), part=table(spark, sf_dir, "part"))
+    stops = spark.sql(_STOPS, persons=table(spark, sf_dir, "persons"), households=table(spark, sf_dir, "households"))
+    wanted = stops.join(doors, "school_id").select("home_node", "node_id").distinct()
+    skim = wanted.withColumn("seconds", F.abs(F.col("node_id") - F.col("home_node")) % 97 * 4)
+    return P.entrance_choice(stops, doors, skim)
 
 
-@query("SELECT h.household_id, ROUND(MIN(SQRT(POW(h.x - b.x0, 2) + POW(h.z - b.z0, 2))) * 1.3 / 1000, 6) AS walk_km FROM {homes} h JOIN {boxes} b ON SQRT(POW(h.x - b.x0, 2) + POW(h.z - b.z0, 2)) <= 800 GROUP BY h.household_id")
+@query("""
+WITH d AS (SELECT h.household_id, MIN(SQRT(POW(h.x - b.x0, 2) + POW(h.z - b.z0, 2))) * 1.3 / 1000 AS km FROM {homes} h JOIN {boxes} b ON SQRT(POW(h.x - b.x0, 2) + POW(h.z - b.z0, 2)) <= 1.04 * 1000 / 1.3 GROUP BY 1),
+c AS (SELECT household_id, CASE WHEN household_id % 3 > 0 THEN household_id % 11 / 1e1 END AS cur FROM {homes})
+SELECT c.household_id, ROUND(CASE WHEN km IS NOT NULL AND (cur IS NULL OR km < cur) THEN km ELSE cur END, 6) AS walk_km, km IS NOT NULL AND (cur IS NULL OR km < cur) AS replaced FROM c LEFT JOIN d ON d.household_id = c.household_id""")
 def transit_stop_access(spark, sf_dir):
     stops = table(spark, sf_dir, "boxes").select(F.col("x0").alias("x2"), F.col("z0").alias("z2"))
-    met = S.within(table(spark, sf_dir, "homes"), stops, 800)
-    return met.groupBy("household_id").agg(F.round(F.min("d") * 1.3 / 1000, 6).alias("walk_km"))
+    homes = table(spark, sf_dir, "homes").withColumn("cur", F.when(F.col("household_id") % 3 > 0, F.col("household_id") % 11 / 10.0))
+    return S.stop_access(homes, stops, "household_id", 1.04, 1.3, "cur").withColumn("walk_km", F.round("walk_km", 6))
 
 
 @query("SELECT trip, MIN(enter_s) AS start_s, MAX(enter_s + dwell_s) AS end_s, COUNT(*) AS n FROM {trajectory} GROUP BY trip")

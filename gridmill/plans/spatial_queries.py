@@ -80,17 +80,32 @@ def neighbourhood_share_self_join(spark, sf_dir):
     return S.neighbour_share(_homes(spark, sf_dir), "household_id", 300, F.col("vehicles") >= 2, 2, 0.5)
 
 
-@query(f"WITH h AS ({_HOMES}) SELECT household_id FROM h WHERE EXISTS (SELECT 1 FROM {{boxes}} n WHERE n.box_id % 3 = 0 AND SQRT(POW(h.x - n.x0, 2) + POW(h.z - n.z0, 2)) <= 400)")
+_SEG = "SQRT(POW({0}.x - (b.x0 + {1} * (b.x1 - b.x0)), 2) + POW({0}.z - (b.z0 + {1} * (b.z1 - b.z0)), 2))"
+_ALONG = "LEAST(GREATEST((({0}.x - b.x0) * (b.x1 - b.x0) + ({0}.z - b.z0) * (b.z1 - b.z0)) / (POW(b.x1 - b.x0, 2) + POW(b.z1 - b.z0, 2)), 0), 1)"
+
+
+def _off(point):
+    return _SEG.format(point, _ALONG.format(point))
+
+
+@query(f"WITH h AS ({_HOMES}), e AS (SELECT p.person_id, p.household_id, n.x, n.z FROM {{persons}} p JOIN {{schools}} s ON s.school_id = p.person_id % 10 JOIN {{nodes}} n ON n.node_id = s.node_id), b AS (SELECT * FROM {{boxes}} WHERE box_id % 9 = 0) SELECT person_id FROM e WHERE EXISTS (SELECT 1 FROM b WHERE {_off('e')} <= 403.7) OR household_id IN (SELECT household_id FROM h WHERE EXISTS (SELECT 1 FROM b WHERE {_off('h')} <= 403.7))")
 def catchment_join(spark, sf_dir):
-    stops = table(spark, sf_dir, "boxes").where("box_id % 3 = 0").select(F.col("x0").alias("x2"), F.col("z0").alias("z2"))
-    return S.within(_homes(spark, sf_dir), stops, 400).select("household_id").distinct()
+    """Persons whose home or school lies near a line."""
+    lines = table(spark, sf_dir, "boxes").where("box_id % 9 = 0").select("x0", "z0", "x1", "z1", F.lit(403.7).alias("reach"))
+    sites = table(spark, sf_dir, "schools").join(table(spark, sf_dir, "nodes"), "node_id").select("school_id", "x", "z")
+    persons = table(spark, sf_dir, "persons").withColumn("school_id", F.col("person_id") % 10)
+    homes = persons.join(_homes(spark, sf_dir).select("household_id", "x", "z"), "household_id").select("person_id", "x", "z")
+    return S.within_segments(homes.union(persons.join(sites, "school_id").select("person_id", "x", "z")), lines, 403.7).select("person_id").distinct()
 
 
-@query(f"WITH h AS ({_HOMES}) SELECT household_id FROM h WHERE NOT EXISTS (SELECT 1 FROM {{nodes}} n WHERE n.signalized AND SQRT(POW(h.x - n.x, 2) + POW(h.z - n.z, 2)) <= 260)")
+@query(f"""
+WITH h AS ({_HOMES}), r AS (SELECT a.x AS x0, a.z AS z0, c.x AS x1, c.z AS z1, e.lanes * 3.5 AS half_m FROM {{edges}} e JOIN {{nodes}} a ON a.node_id = e.u JOIN {{nodes}} c ON c.node_id = e.v WHERE e.u < e.v AND e.highway = 'primary')
+SELECT household_id FROM h WHERE NOT EXISTS (SELECT 1 FROM {{boxes}} o WHERE o.box_id % 2 = 0 AND SQRT(POW(GREATEST(o.x0 - h.x, h.x - o.x1, 0), 2) + POW(GREATEST(o.z0 - h.z, h.z - o.z1, 0), 2)) <= 20.3) AND NOT EXISTS (SELECT 1 FROM r b WHERE {_off('h')} <= half_m + 20.3)""")
 def clearance_anti_join(spark, sf_dir):
-    homes = _homes(spark, sf_dir)
-    signals = table(spark, sf_dir, "nodes").where("signalized").select(F.col("x").alias("x2"), F.col("z").alias("z2"))
-    return homes.select("household_id").join(S.within(homes, signals, 260).select("household_id"), "household_id", "left_anti")
+    n = table(spark, sf_dir, "nodes")
+    at = lambda s, i: n.select(F.col("node_id").alias(s), F.col("x").alias(f"x{i}"), F.col("z").alias(f"z{i}"))
+    roads = table(spark, sf_dir, "edges").where("u < v and highway = 'primary'").join(at("u", 0), "u").join(at("v", 1), "v").withColumn("half_m", F.col("lanes") * 3.5)
+    return S.clear_of(_homes(spark, sf_dir), table(spark, sf_dir, "boxes").where("box_id % 2 = 0"), roads, 20.3, 40.0, "household_id").select("household_id")
 
 
 @query(f"WITH h AS ({_HOMES}), c AS (SELECT CAST(FLOOR(x / 500) AS BIGINT) AS cx, CAST(FLOOR(z / 500) AS BIGINT) AS cz, COUNT(*) AS n FROM h GROUP BY 1, 2) SELECT cx, cz, n FROM c WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM {{nodes}} t WHERE t.signalized AND FLOOR(t.x / 500) = cx AND FLOOR(t.z / 500) = cz)")

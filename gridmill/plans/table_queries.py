@@ -73,9 +73,12 @@ def tree_quality_filter(spark, sf_dir):
     return T.reason_counts(table(spark, sf_dir, "points"), [("too tall", F.col("z") > 48), ("outside", F.col("x") < 20), ("noise", F.col("cls") == 7)])
 
 
-@query("SELECT value, COUNT(*) AS n FROM (SELECT DISTINCT p_partkey, value FROM (SELECT p_partkey, p_type AS value FROM {part} UNION ALL SELECT p_partkey, CASE WHEN p_size > 25 THEN 'LARGE' ELSE p_type END FROM {part}) t) u GROUP BY value")
+@query("SELECT dataset, license, COUNT(*) AS n FROM (SELECT DISTINCT p_partkey, dataset, license FROM (SELECT p_partkey, p_type AS dataset, CASE WHEN p_size % 2 = 0 THEN 'ODbL' ELSE 'CC0' END AS license FROM {part} UNION ALL SELECT p_partkey, CASE WHEN p_size > 25 THEN 'LARGE' ELSE p_type END, 'ODbL' FROM {part}) t) u GROUP BY 1, 2")
 def license_tally(spark, sf_dir):
-    return T.tally(table(spark, sf_dir, "part"), F.array(F.col("p_type"), F.when(F.col("p_size") > 25, "LARGE").otherwise(F.col("p_type"))), [])
+    """Features of each (dataset, license) pair, a feature once for a pair however often it names it."""
+    pair = lambda d, l: F.struct(d.alias("dataset"), l.alias("license"))
+    sources = F.array(pair(F.col("p_type"), F.when(F.col("p_size") % 2 == 0, "ODbL").otherwise("CC0")), pair(F.when(F.col("p_size") > 25, "LARGE").otherwise(F.col("p_type")), F.lit("ODbL")))
+    return T.tally(table(spark, sf_dir, "part"), sources, []).select("value.dataset", "value.license", "n")
 
 
 @query("SELECT s_suppkey AS id, ROUND(CASE WHEN GREATEST(s_acctbal, 0) + s_nationkey > 0 THEN GREATEST(s_acctbal, 0) / (GREATEST(s_acctbal, 0) + s_nationkey) ELSE 5e-1 END, 6) AS a_share FROM {supplier}")
@@ -113,6 +116,15 @@ def route_calibration_table(spark, sf_dir):
     return T.calibration_table(simulated, observed, 5.0).select("route", F.round("error_pct", 6).alias("error_pct"), "status")
 
 
+@query("""
+WITH m AS (SELECT person_id AS route, MEDIAN(plan_min) AS simulated FROM {seed_person} GROUP BY 1), o AS (SELECT s_suppkey AS route, CASE WHEN s_suppkey % 3 > 0 THEN 2.4e1 END AS observed FROM {supplier}), e AS (SELECT ABS(simulated - observed) / observed * 100 AS e FROM m JOIN o USING (route))
+SELECT COUNT(e) AS targets, ROUND(MEDIAN(e), 6) AS median_pct, CASE WHEN COUNT(e) < 5 THEN 'too few targets' WHEN MEDIAN(e) <= 5 THEN 'calibrated' ELSE 'off' END AS status FROM e""")
+def route_calibration_status(spark, sf_dir):
+    simulated = table(spark, sf_dir, "seed_person").select(F.col("person_id").alias("route"), F.col("plan_min").alias("minutes"))
+    observed = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("route"), F.when(F.col("s_suppkey") % 3 > 0, 24.0).alias("observed"))
+    return T.calibration_status(T.calibration_table(simulated, observed, 5.0), 5.0, 5).withColumn("median_pct", F.round("median_pct", 6))
+
+
 @query("""
 WITH c AS (SELECT person_id AS knob, seed AS candidate, base_min AS error, seed = 3 AS is_current FROM {seed_person})
 SELECT knob, ARG_MIN(candidate, ROW(error, candidate)) AS best, MIN(error) < MAX(error) FILTER (WHERE is_current) AS accepted FROM c GROUP BY knob""")
@@ -154,12 +166,29 @@ def class_scale_factor(spark, sf_dir):
     return T.class_scale(rows, {"LARGE": 40.0, "PROMO": 40.0}).withColumn("factor", F.round("factor", 6))
 
 
-@query("SELECT p_type, COUNT(*) AS n, COUNT(*) FILTER (WHERE p_size > 25) AS large FROM {part} GROUP BY p_type")
+@query("SELECT 'type ' || p_type AS what, COUNT(*) AS n FROM {part} GROUP BY 1 UNION ALL SELECT 'signals', COUNT(*) FROM {nodes} WHERE signalized UNION ALL SELECT 'workers', COUNT(*) FROM {persons} WHERE is_worker UNION ALL SELECT 'students', COUNT(*) FROM {persons} WHERE grade >= 0 UNION ALL SELECT 'school ' || CAST(s.school_id AS VARCHAR), COUNT(p.person_id) FROM {schools} s LEFT JOIN {persons} p ON p.grade >= 0 AND p.person_id % 14 = s.school_id GROUP BY s.school_id")
 def build_counts(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("large"))
+    """Buildings by type, signals, workers, students, and the students of every school."""
+    persons = table(spark, sf_dir, "persons").withColumn("school_id", F.when(F.col("grade") >= 0, F.col("person_id") % 14))
+    types = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("type "), "p_type").alias("what")).agg(F.count("*").alias("n"))
+    signals = table(spark, sf_dir, "nodes").where("signalized").agg(F.lit("signals").alias("what"), F.count("*").alias("n"))
+    people = persons.agg(F.array(F.struct(F.lit("workers").alias("what"), F.count_if("is_worker").alias("n")), F.struct(F.lit("students").alias("what"), F.count("school_id").alias("n"))).alias("a")).select(F.inline("a"))
+    schools = T.students_by_school(persons, table(spark, sf_dir, "schools")).select(F.concat(F.lit("school "), F.col("school_id").cast("string")).alias("what"), F.col("students").alias("n"))
+    return types.union(signals).union(people).union(schools)
 
 
-@query("SELECT n.node_id, COUNT(h.household_id) AS households FROM {nodes} n LEFT JOIN {households} h ON h.home_node = n.node_id GROUP BY n.node_id")
+@query("""
+WITH c AS (SELECT home_node, COUNT(*) AS n FROM {households} GROUP BY 1), s AS (SELECT s.school_id, n.x, n.z FROM {schools} s JOIN {nodes} n ON n.node_id = s.node_id),
+h AS (SELECT n.node_id, ARG_MIN(s.school_id, ROW(ROUND(SQRT(POW(n.x - s.x, 2) + POW(n.z - s.z, 2)), 6), s.school_id)) AS hood FROM {nodes} n CROSS JOIN s GROUP BY 1), r AS (SELECT u AS node_id, ARG_MIN(name, edge_idx) AS street FROM {edges} WHERE highway = 'residential' GROUP BY 1)
+SELECT n.node_id, COALESCE(c.n, 0) AS households, 'Hood ' || CAST(h.hood AS VARCHAR) || COALESCE(', near ' || r.street, '') AS label FROM {nodes} n LEFT JOIN c ON c.home_node = n.node_id LEFT JOIN h ON h.node_id = n.node_id LEFT JOIN r ON r.node_id = n.node_id""")
 def building_detail(spark, sf_dir):
-    homes = table(spark, sf_dir, "households").groupBy(F.col("home_node").alias("node_id")).agg(F.count("*").alias("households"))
-    return table(spark, sf_dir, "nodes").select("node_id").join(homes, "node_id", "left").na.fill(0, ["households"])
+    """Households of each building, and its block: the nearest hood, and its street if it has one."""
+    from gridmill.functions.scalars import block_label
+    from gridmill.operators.spatial import nearest
+
+    nodes, homes = table(spark, sf_dir, "nodes"), table(spark, sf_dir, "households").groupBy(F.col("home_node").alias("node_id")).agg(F.count("*").alias("households"))
+    sites = table(spark, sf_dir, "schools").join(nodes, "node_id").select("school_id", F.col("x").alias("x2"), F.col("z").alias("z2"))
+    hoods = nearest(nodes.select("node_id", "x", "z"), sites, "node_id", "school_id", 1000.0, digits=6).select("node_id", "school_id")
+    streets = table(spark, sf_dir, "edges").where("highway = 'residential'").groupBy(F.col("u").alias("node_id")).agg(F.min_by("name", "edge_idx").alias("street"))
+    rows = nodes.select("node_id").join(homes, "node_id", "left").join(hoods, "node_id", "left").join(streets, "node_id", "left").na.fill(0, ["households"])
+    return rows.select("node_id", "households", block_label(F.concat(F.lit("Hood "), F.col("school_id").cast("string")), F.col("street"), "the neighborhood").alias("label"))
