@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from gridmill.operators.tables import stable_ids
+
 
 def uniform(stream: str, seed: Column | int, *keys: Column) -> Column:
     """A draw in (0, 1) that depends on the stream, the seed and the keys alone."""
@@ -124,7 +126,7 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int
 def weighted_sample(rows: DataFrame, key: str, weight: Column, n: int, seed: int) -> DataFrame:
     """n rows without replacement, with probability in proportion to weight."""
     order = -F.log(uniform("sample", seed, F.col(key))) / weight
-    return rows.withColumn("order", order).orderBy("order", key).limit(n).drop("order")
+    return stable_ids(rows.withColumn("order", order), ["order", key], "rank").where(F.col("rank") <= n).drop("order", "rank")
 
 
 def bootstrap_means(rows: DataFrame, index: str, value: str, n: int, replicates: int, seed: int) -> DataFrame:
@@ -137,4 +139,5 @@ def bootstrap_means(rows: DataFrame, index: str, value: str, n: int, replicates:
 def slots(buildings: DataFrame, n: int, seed: int) -> DataFrame:
     """n households in dwelling slots: building_id and capacity to building_id, slot, by hashed order."""
     each = buildings.where("capacity > 0").select("building_id", F.explode(F.sequence(F.lit(1), F.col("capacity"))).alias("slot"))
-    return each.orderBy(F.xxhash64(F.lit(seed), "building_id", "slot"), "building_id", "slot").limit(n)
+    ranked = stable_ids(each.withColumn("draw", F.xxhash64(F.lit(seed), "building_id", "slot")), ["draw", "building_id", "slot"], "rank")
+    return ranked.where(F.col("rank") <= n).select("building_id", "slot")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -39,6 +39,30 @@ def along(points: DataFrame, key: str, fractions: list[float]) -> DataFrame:
     return hit.select(key, "f", (F.col("x0") + t * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("z0") + t * (F.col("z1") - F.col("z0"))).alias("z"), F.pmod(F.degrees(F.atan2(F.col("x1") - F.col("x0"), F.col("z0") - F.col("z1"))), F.lit(360.0)).alias("heading"))
 
 
+def densified(points: DataFrame, key: str, most: float) -> DataFrame:
+    """Polylines with points added so that no step is longer than most: key, step, part, x, z. points: key, step, x, z."""
+    order = W.partitionBy(key).orderBy("step")
+    seg = points.select(key, "step", "x", "z", F.lead("x").over(order).alias("x1"), F.lead("z").over(order).alias("z1"))
+    n = F.greatest(F.ceil(F.coalesce(F.hypot(F.col("x1") - F.col("x"), F.col("z1") - F.col("z")), F.lit(0.0)) / most), F.lit(1)).cast("int")
+    cut = seg.withColumn("n", n).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    t = F.col("part") / F.col("n")
+    mid = lambda a, b: F.col(a) + F.coalesce(t * (F.col(b) - F.col(a)), F.lit(0.0))
+    return cut.select(key, "step", "part", mid("x", "x1").alias("x"), mid("z", "z1").alias("z"))
+
+
+def every(points: DataFrame, key: str, spacing: float, offset: float) -> DataFrame:
+    """Points along each polyline, a spacing apart from half a one on, `offset` metres to the right (left if negative): key, n, x, z."""
+    order = W.partitionBy(key).orderBy("step")
+    seg = points.select(key, "step", F.col("x").alias("x0"), F.col("z").alias("z0"), F.lead("x").over(order).alias("x1"), F.lead("z").over(order).alias("z1")).where("x1 is not null")
+    seg = seg.withColumn("d", F.hypot(F.col("x1") - F.col("x0"), F.col("z1") - F.col("z0"))).withColumn("end_m", F.sum("d").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).where("d > 0")
+    first = F.ceil(F.round((F.col("end_m") - F.col("d")) / spacing - 0.5, 9)).cast("int")
+    last = F.ceil(F.round(F.col("end_m") / spacing - 0.5, 9)).cast("int") - 1
+    hit = seg.withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("n", F.explode(F.sequence("first", "last")))
+    t = ((F.col("n") + 0.5) * spacing - F.col("end_m") + F.col("d")) / F.col("d")
+    dx, dz = F.col("x1") - F.col("x0"), F.col("z1") - F.col("z0")
+    return hit.select(key, "n", (F.col("x0") + t * dx - dz / F.col("d") * offset).alias("x"), (F.col("z0") + t * dz + dx / F.col("d") * offset).alias("z"))
+
+
 def clip_share(x0: Column, z0: Column, x1: Column, z1: Column, box: tuple[float, float, float, float]) -> Column:
     """Share of a segment inside a rectangle (x0, z0, x1, z1), by Liang and Barsky."""
     lo, hi = F.lit(0.0), F.lit(1.0)
@@ -65,9 +89,13 @@ def traverse(trips: DataFrame, bin_s: int, bins: int) -> DataFrame:
     return trips.select("trip", F.explode(F.aggregate("path", start, step)["seen"]).alias("e")).select("trip", "e.*")
 
 
-def greedy_tour(routes: DataFrame) -> DataFrame:
-    """Stops of each route in order: farthest from the school first, then the nearest one left. routes: route, x, z, stops array<struct(id, x, z)>."""
-    far = lambda a, x, z: F.hypot(a["x"] - x, a["z"] - z)
+def greedy_tour(routes: DataFrame, circuity: float = 1.0) -> DataFrame:
+    """Stops of each route in order: farthest from the school first, then the nearest one left; ride_km is each stop's way to the school along the tour.
+
+    routes: route, x, z, stops array<struct(id, x, z)>. Distances that agree to
+    six digits are ties, which go by id.
+    """
+    far = lambda a, x, z: F.round(F.hypot(a["x"] - x, a["z"] - z), 6)
     first = F.array_max(F.transform("stops", lambda s: F.struct(far(s, F.col("x"), F.col("z")).alias("d"), (-s["id"]).alias("k"), s.alias("s"))))["s"]
     start = F.struct(F.array(first).alias("tour"), F.filter("stops", lambda s: s["id"] != first["id"]).alias("left"))
 
@@ -77,7 +105,12 @@ def greedy_tour(routes: DataFrame) -> DataFrame:
         return F.struct(F.concat(a["tour"], F.array(near)).alias("tour"), F.filter(a["left"], lambda s: s["id"] != near["id"]).alias("left"))
 
     tour = F.aggregate(F.slice("stops", 2, 1 << 20), start, step)["tour"]
-    return routes.where(F.size("stops") > 0).select("route", F.transform(tour, lambda s: s["id"]).alias("tour"))
+    placed = routes.where(F.size("stops") > 0).withColumn("t", tour)
+    last = F.struct(F.lit(None).cast("long").alias("id"), F.col("x").alias("x"), F.col("z").alias("z"))
+    leg = lambda a, b: F.hypot(a["x"] - b["x"], a["z"] - b["z"])
+    # from the last stop backwards, each way is the leg to the next stop and that one's own way
+    back = F.aggregate(F.reverse("t"), F.struct(last.alias("at"), F.array().cast("array<double>").alias("km")), lambda a, s: F.struct(F.struct(s["id"].alias("id"), s["x"].alias("x"), s["z"].alias("z")).alias("at"), F.concat(F.array(F.coalesce(F.get(a["km"], 0), F.lit(0.0)) + leg(s, a["at"]) * circuity / 1000), a["km"]).alias("km")))["km"]
+    return placed.select("route", F.transform("t", lambda s: s["id"]).alias("tour"), back.alias("ride_km"))
 
 
 def nearest_two(trees: DataFrame, buildings: DataFrame, roads: DataFrame, key: str) -> DataFrame:
@@ -101,12 +134,37 @@ def covered_share(samples: DataFrame, roads: DataFrame, key: str, reach: float)
     return share.withColumn("missing", F.col("covered") <= 0.5)
 
 
-def polar(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
-    """The k lowest and k highest (at most half each), ties by key."""
+def polar(rows: DataFrame, key: str, value: str, k: int, school: str | None = None, least: int = 3) -> DataFrame:
+    """The k lowest and k highest (at most half each), ties by key; with `school`, such that at least `least` schools speak if there are as many.
+
+    While too few do, the least extreme of a side whose school others speak for
+    too makes room for the most extreme of the rest who brings a new one. At
+    most 2 k rows are chosen, so the swaps are made on the driver.
+    """
     n = rows.count()
     k = min(k, n // 2)
     low = rows.orderBy(value, key).limit(k).withColumn("side", F.lit("low"))
-    return low.union(rows.orderBy(F.desc(value), key).limit(k).withColumn("side", F.lit("high")))
+    both = low.union(rows.orderBy(F.desc(value), key).limit(k).withColumn("side", F.lit("high")))
+    if school is None:
+        return both
+    chosen = both.collect()
+    rest = rows.join(both.select(key), key, "left_anti")
+    target = min(least, rows.select(school).where(F.col(school).isNotNull()).distinct().limit(least).count())
+    taken: set = set()
+    while len({r[school] for r in chosen} - {None}) < target:
+        have = {r[school] for r in chosen} - {None}
+        for side, order in (("low", F.col(value)), ("high", F.desc(value))):
+            new = rest.where(F.col(school).isNotNull() & ~F.col(school).isin(list(have)) & ~F.col(key).isin(list(taken)))
+            found = new.orderBy(order, key).limit(1).collect()
+            spare = [i for i, r in enumerate(chosen) if r.side == side and sum(c[school] == r[school] for c in chosen) > 1]
+            if found and spare:
+                i = max(spare, key=lambda i: (chosen[i][value] if side == "low" else -chosen[i][value], chosen[i][key]))
+                taken.add(found[0][key])
+                chosen[i] = Row(**found[0].asDict(), side=side)
+                break
+        else:
+            break
+    return rows.sparkSession.createDataFrame([tuple(r) for r in chosen], both.schema)
 
 
 def checked_tools(plans: DataFrame, known: DataFrame) -> DataFrame:

@@ -72,6 +72,20 @@ def winners_losers(changes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def person_deltas(deltas: DataFrame, values: list[str], modes: DataFrame, homes: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Each person's median of every delta over the seeds that have it, modes before and after, and the median change of the largest v/c at the home node.
+
+    deltas: seed, person_id, values (null where a seed has none); modes:
+    person_id, variant, mode (of one seed); homes: person_id, node_id; peaks:
+    seed, variant, node_id, max_vc.
+    """
+    med = deltas.groupBy("person_id").agg(*[F.percentile(F.when(~F.isnan(v), F.col(v)), F.lit(0.5)).alias(v) for v in values])
+    mode = modes.groupBy("person_id").agg(*[F.max(F.when(F.col("variant") == v, F.col("mode"))).alias(f"mode_{v}") for v in ("baseline", "plan")])
+    both = peaks.groupBy("seed", "node_id").agg(*[F.max(F.when(F.col("variant") == v, F.col("max_vc"))).alias(v) for v in ("baseline", "plan")])
+    change = both.groupBy("node_id").agg(F.percentile(F.col("plan") - F.col("baseline"), F.lit(0.5)).alias("home_edges_vc_delta"))
+    return med.join(mode, "person_id", "left").join(homes.join(change, "node_id", "left").drop("node_id"), "person_id", "left")
+
+
 def mode_share(choices: DataFrame, modes: list[str], by: list[str]) -> DataFrame:
     """Percent of each mode of a fixed list in each group; 0 for modes nobody takes."""
     counts = choices.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(F.col("mode") == m).alias(f"m{i}") for i, m in enumerate(modes)])

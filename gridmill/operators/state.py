@@ -88,3 +88,42 @@ def goal_status(reports: DataFrame, goals: DataFrame) -> DataFrame:
     found = grid.join(reports, ["plan_id", "metric"], "left")
     met = F.when(F.col("kind") == "at_most", F.col("value") <= F.col("target")).otherwise(F.col("value") >= F.col("target"))
     return found.select("plan_id", "goal", F.when(F.col("value").isNull(), "unknown").when(met, "met").otherwise("missed").alias("status"))
+
+
+#: The game's state tables; columns held as JSON text, with their types.
+STATE_TABLES = {
+    "players": ("player_id long, name string, created_at timestamp_ntz", {}),
+    "plans": ("plan_id long, created_at timestamp_ntz, tools string", {"tools": "array<struct<tool: string, params: map<string, double>>>"}),
+    "votes": ("plan_id long, player_id long, value int", {}),
+    "jobs": ("plan_id long, job string", {"job": "struct<status: string, error: string>"}),
+    "reactions": ("plan_id long, persona_id long, reaction string", {"reaction": "struct<approval: double, text: string>"}),
+    "chats": ("persona_id long, turn long, message string", {"message": "struct<role: string, text: string>"}),
+    "townhalls": ("plan_id long, turns string", {"turns": "array<struct<persona_id: bigint, text: string>>"}),
+}
+
+
+def write_state(df: DataFrame, folder: str, name: str) -> None:
+    """Append rows to a state table: nested columns go out as JSON text, others in the table's types."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema, nested = STATE_TABLES[name]
+    fields = _parse_datatype_string(schema).fields
+    df.select(*[(F.to_json(f.name) if f.name in nested else F.col(f.name).cast(f.dataType)).alias(f.name) for f in fields]).write.mode("append").parquet(f"{folder}/{name}")
+
+
+def read_state(spark, folder: str, name: str) -> DataFrame:
+    """A state table with its JSON columns parsed."""
+    schema, nested = STATE_TABLES[name]
+    df = spark.read.schema(schema).parquet(f"{folder}/{name}")
+    return df.withColumns({c: F.from_json(c, kind) for c, kind in nested.items()}) if nested else df
+
+
+#: Columns that no public view may have.
+PRIVATE = ("person_id", "household_id", "building_id", "home_node", "email")
+
+
+def public(df: DataFrame, allowed: list[str]) -> DataFrame:
+    """The allowed columns; an error if the list holds a private one."""
+    if found := set(allowed) & set(PRIVATE):
+        raise ValueError(f"not for the public: {', '.join(sorted(found))}")
+    return df.select(*allowed)

@@ -82,10 +82,26 @@ def shares_or_default(df: DataFrame, parts: list[str], defaults: list[float]) ->
     return df.withColumns({f"{p}_share": F.when(total > 0, c / F.nullif(total, F.lit(0))).otherwise(F.lit(d)) for p, c, d in zip(parts, clean, defaults)})
 
 
+def group_ratios(groups: DataFrame, default_wfh: float) -> DataFrame:
+    """Kids and workers a household, the share of workers at home (a default without workers, 1 at most), and the households inside. groups: kids, workers, home, households, inside (a share)."""
+    n = F.nullif(F.col("households"), F.lit(0))
+    wfh = F.when(F.col("workers") > 0, F.least(F.col("home") / F.col("workers"), F.lit(1.0))).otherwise(F.lit(default_wfh))
+    out = groups.withColumn("kids_ratio", F.col("kids") / n).withColumn("workers_ratio", F.col("workers") / n).withColumn("wfh_share", wfh)
+    return out.withColumn("households", F.bround(F.col("households") * F.col("inside"), 0).cast("long"))
+
+
 def work_model(jobs: DataFrame) -> DataFrame:
-    """Share of each home group's jobs by work node, and of all groups' jobs (group null). jobs: grp, node, jobs."""
-    sums = jobs.groupingSets([["grp", "node"], ["node"]], "grp", "node").agg(F.sum("jobs").alias("jobs"))
-    return sums.withColumn("share", F.col("jobs") / F.sum("jobs").over(W.partitionBy("grp")))
+    """grp, place, share: of each home group's jobs inside by node, of those outside by exit, and what share is 'inside'; grp null stands for all groups.
+
+    jobs: grp, node (null outside), exit (null inside), jobs.
+    """
+    def parts(rows: DataFrame, by: str, name) -> DataFrame:
+        sums = rows.groupingSets([["grp", by], [by]], "grp", by).agg(F.sum("jobs").alias("jobs"))
+        return sums.select("grp", name.alias("place"), (F.col("jobs") / F.sum("jobs").over(W.partitionBy("grp"))).alias("share"))
+
+    inside = jobs.groupingSets([["grp"], []], "grp").agg((F.sum(F.when(F.col("node").isNotNull(), F.col("jobs")).otherwise(0)) / F.sum("jobs")).alias("share"))
+    nodes = parts(jobs.where("node is not null"), "node", F.concat(F.lit("node "), F.col("node").cast("string")))
+    return nodes.union(parts(jobs.where("node is null"), "exit", F.col("exit"))).union(inside.select("grp", F.lit("inside"), "share"))
 
 
 def employment_rate(groups: DataFrame, per_household: float, most: float = 0.97) -> DataFrame:

@@ -46,6 +46,25 @@ def linear_reference(spark, sf_dir):
     return rows.select("trip", "f", F.round("x", 3).alias("x"), F.round("z", 3).alias("z"))
 
 
+@query(f"""
+WITH p AS ({_PATH}), s AS (SELECT trip, step, x AS x0, z AS z0, LEAD(x) OVER w AS x1, LEAD(z) OVER w AS z1 FROM p WINDOW w AS (PARTITION BY trip ORDER BY step)),
+n AS (SELECT *, GREATEST(CAST(CEIL(COALESCE(SQRT(POW(x1 - x0, 2) + POW(z1 - z0, 2)), 0) / 900) AS INTEGER), 1) AS n FROM s)
+SELECT trip, step, k.k AS part, ROUND(x0 + COALESCE(k.k * 1e0 / n * (x1 - x0), 0), 3) AS x, ROUND(z0 + COALESCE(k.k * 1e0 / n * (z1 - z0), 0), 3) AS z FROM n JOIN (SELECT CAST(UNNEST(RANGE(40)) AS INTEGER) AS k) k ON k.k < n""")
+def densified_lines(spark, sf_dir):
+    out = L.densified(_path(spark, sf_dir), "trip", 900.0)
+    return out.select("trip", "step", "part", F.round("x", 3).alias("x"), F.round("z", 3).alias("z"))
+
+
+@query(f"""
+WITH p AS ({_PATH}), s AS (SELECT trip, step, x AS x0, z AS z0, LEAD(x) OVER w AS x1, LEAD(z) OVER w AS z1 FROM p WINDOW w AS (PARTITION BY trip ORDER BY step)),
+d AS (SELECT *, SQRT(POW(x1 - x0, 2) + POW(z1 - z0, 2)) AS d FROM s WHERE x1 IS NOT NULL), e AS (SELECT *, SUM(d) OVER (PARTITION BY trip ORDER BY step ROWS UNBOUNDED PRECEDING) AS e FROM d),
+h AS (SELECT *, (k.n + 0.5) * 777 AS g FROM e JOIN (SELECT UNNEST(RANGE(120)) AS n) k ON ROUND((e - d) / 777 - 0.5, 9) <= k.n AND k.n < ROUND(e / 777 - 0.5, 9) WHERE d > 0)
+SELECT trip, CAST(n AS INTEGER) AS n, ROUND(x0 + (g - e + d) / d * (x1 - x0) - (z1 - z0) / d * 6, 2) + 0 AS x, ROUND(z0 + (g - e + d) / d * (z1 - z0) + (x1 - x0) / d * 6, 2) + 0 AS z FROM h""")
+def offset_points(spark, sf_dir):
+    out = L.every(_path(spark, sf_dir), "trip", 777.0, 6.0)
+    return out.select("trip", "n", (F.round("x", 2) + 0).alias("x"), (F.round("z", 2) + 0).alias("z"))
+
+
 _ENDS = "SELECT e.edge_idx, a.x AS x0, a.z AS z0, b.x AS x1, b.z AS z1 FROM {edges} e JOIN {nodes} a ON a.node_id = e.u JOIN {nodes} b ON b.node_id = e.v"
 
 
@@ -69,13 +88,18 @@ def time_dependent_traversal(spark, sf_dir):
     return L.traverse(trips, 60, 4)
 
 
-@query("SELECT school_id % 8 AS route, COUNT(*) AS stops, SUM(school_id) AS ids FROM {schools} GROUP BY 1")
+@query("""
+WITH RECURSIVE s AS (SELECT s.school_id % 8 AS route, s.school_id AS id, n.x, n.z FROM {schools} s JOIN {nodes} n ON n.node_id = s.node_id),
+f AS (SELECT route, ARG_MAX(id, ROW(ROUND(SQRT(x * x + z * z), 6), -id)) AS id, COUNT(*) AS n FROM s GROUP BY route),
+w(route, k, tour, x, z, km) AS (SELECT s.route, CAST(1 AS BIGINT), [s.id], s.x, s.z, CAST([SQRT(s.x * s.x + s.z * s.z)] AS DOUBLE[]) FROM s JOIN f ON f.route = s.route AND f.id = s.id
+ UNION ALL SELECT w.route, w.k + 1, list_append(w.tour, c.m[2]), s.x, s.z, list_append(w.km, SQRT(POW(s.x - w.x, 2) + POW(s.z - w.z, 2))) FROM w, LATERAL (SELECT MIN(ROW(ROUND(SQRT(POW(s.x - w.x, 2) + POW(s.z - w.z, 2)), 6), s.id)) AS m FROM s WHERE s.route = w.route AND NOT list_contains(w.tour, s.id)) c JOIN s ON s.id = c.m[2])
+SELECT w.route, array_to_string(w.tour, ',') AS tour, ROUND((COALESCE(list_sum(w.km[2:]), 0) + SQRT(w.x * w.x + w.z * w.z)) * 1.3 / 1000, 4) AS ride_km FROM w JOIN f ON f.route = w.route AND f.n = w.k""")
 def nearest_neighbour_tour(spark, sf_dir):
-    """Every stop is on its route's tour once."""
+    """The order of the stops, and the way from the first to the school along it."""
     stops = table(spark, sf_dir, "schools").join(table(spark, sf_dir, "nodes"), "node_id")
     routes = stops.groupBy((F.col("school_id") % 8).alias("route")).agg(F.collect_list(F.struct(F.col("school_id").alias("id"), "x", "z")).alias("stops"))
-    tours = L.greedy_tour(routes.withColumn("x", F.lit(0.0)).withColumn("z", F.lit(0.0)))
-    return tours.select("route", F.size(F.array_distinct("tour")).cast("long").alias("stops"), F.aggregate("tour", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
+    tours = L.greedy_tour(routes.withColumn("x", F.lit(0.0)).withColumn("z", F.lit(0.0)), 1.3)
+    return tours.select("route", F.array_join(F.col("tour").cast("array<string>"), ",").alias("tour"), F.round(F.get("ride_km", 0), 4).alias("ride_km"))
 
 
 @query("""

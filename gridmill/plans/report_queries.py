@@ -63,11 +63,24 @@ def mode_share(spark, sf_dir):
     return R.median_p10_p90(R.mode_share(table(spark, sf_dir, "seed_mode"), _MODES, ["variant", "seed"]), "pct", ["variant", "mode"])
 
 
-@query(f"SELECT entrance, metric, {_summary('b', 'base')}, {_summary('p', 'plan')}, {_summary('p - b', 'delta')} FROM (SELECT b.entrance, b.seed, m.metric, CASE m.metric WHEN 'wait_min' THEN b.wait_min ELSE b.spill_m END AS b, CASE m.metric WHEN 'wait_min' THEN p.wait_min ELSE p.spill_m END AS p FROM {{seed_school}} b JOIN {{seed_school}} p ON b.seed = p.seed AND b.entrance = p.entrance AND b.variant = 'baseline' AND p.variant = 'plan' CROSS JOIN (VALUES ('wait_min'), ('spill_m')) AS m(metric)) t GROUP BY entrance, metric")
+_FIELDS = {"wait_min": "wait_min", "spill_m": "spill_m", "queue_cars": "spill_m / 7e0", "late_min": "wait_min * 3e-1", "turned_away": "spill_m % 5 * 1e0"}
+
+
+def _field(side):
+    """A field by its name m.metric, of the rows named side."""
+    cases = [f"WHEN '{k}' THEN " + e.replace("wait_min", f"{side}.wait_min").replace("spill_m", f"{side}.spill_m") for k, e in _FIELDS.items()]
+    return f"CASE m.metric {' '.join(cases)} END"
+
+
+_NAMES = ", ".join(f"('{k}')" for k in _FIELDS)
+
+
+@query(f"SELECT entrance, metric, {_summary('b', 'base')}, {_summary('p', 'plan')}, {_summary('p - b', 'delta')} FROM (SELECT b.entrance, b.seed, m.metric, {_field('b')} AS b, {_field('p')} AS p FROM {{seed_school}} b JOIN {{seed_school}} p ON b.seed = p.seed AND b.entrance = p.entrance AND b.variant = 'baseline' AND p.variant = 'plan' CROSS JOIN (VALUES {_NAMES}) AS m(metric)) t GROUP BY entrance, metric")
 def per_school_block(spark, sf_dir):
-    rows = table(spark, sf_dir, "seed_school")
+    """Five fields of each entrance."""
+    rows = table(spark, sf_dir, "seed_school").withColumns({k: F.expr(e) for k, e in _FIELDS.items() if k not in ("wait_min", "spill_m")})
     side = lambda v: rows.where(F.col("variant") == v).drop("variant")
-    return R.delta_summary(R.paired(side("baseline"), side("plan"), ["seed", "entrance"], strict=False), ["wait_min", "spill_m"], ["entrance"])
+    return R.delta_summary(R.paired(side("baseline"), side("plan"), ["seed", "entrance"], strict=False), list(_FIELDS), ["entrance"])
 
 
 _PEAKS = "SELECT seed, variant, edge_idx, MAX(vc) AS max_vc, ARG_MIN(bin, -vc * 1e3 + bin / 1e2) AS max_bin FROM {seed_edge_bin} WHERE bin BETWEEN 6 AND 41 GROUP BY seed, variant, edge_idx"
@@ -121,9 +134,22 @@ def node_max(spark, sf_dir):
     return R.node_max(table(spark, sf_dir, "edges").withColumn("length_m", F.col("length_m").cast("double")), table(spark, sf_dir, "nodes"), "length_m")
 
 
-@query("SELECT person_id, ROUND(MEDIAN(plan_min - base_min), 6) AS commute_delta_min FROM {seed_person} GROUP BY person_id")
+_DELTAS = "SELECT seed, person_id, plan_min - base_min AS commute, CASE WHEN person_id % 3 = 0 THEN plan_min * 5e-1 - base_min END AS dropoff, CASE WHEN seed % 2 = 0 AND person_id % 4 = 1 THEN base_min - plan_min * 8e-1 END AS kid_trip FROM {seed_person}"
+_HOME_VC = "SELECT seed, variant, edge_idx % 50 AS node_id, MAX(vc) AS max_vc FROM {seed_edge_bin} GROUP BY 1, 2, 3"
+_FIRST_MODE = "SELECT person_id, variant, MIN(mode) AS mode FROM {seed_mode} WHERE seed = 1 GROUP BY 1, 2"
+
+
+@query(f"""
+WITH d AS (SELECT person_id, MEDIAN(commute) AS c, MEDIAN(dropoff) AS o, MEDIAN(kid_trip) AS k FROM ({_DELTAS}) t GROUP BY 1), v AS ({_HOME_VC}), m AS ({_FIRST_MODE}),
+s AS (SELECT b.node_id, MEDIAN(p.max_vc - b.max_vc) AS v FROM v b JOIN v p ON p.seed = b.seed AND p.node_id = b.node_id AND b.variant = 'baseline' AND p.variant = 'plan' GROUP BY 1)
+SELECT d.person_id, ROUND(c, 6) AS commute_delta_min, ROUND(o, 6) AS dropoff_delta_min, ROUND(k, 6) AS kid_trip_delta_min, b.mode AS mode_baseline, p.mode AS mode_plan, ROUND(s.v, 6) AS home_edges_vc_delta
+FROM d LEFT JOIN m b ON b.person_id = d.person_id AND b.variant = 'baseline' LEFT JOIN m p ON p.person_id = d.person_id AND p.variant = 'plan' LEFT JOIN s ON s.node_id = d.person_id % 60""")
 def person_deltas(spark, sf_dir):
-    return R.person_changes(*_sides(spark, sf_dir), "minutes").groupBy("person_id").agg(F.round(F.percentile("change", F.lit(0.5)), 6).alias("commute_delta_min"))
+    """Three deltas of each person, modes of the first seed, and what changes on the streets at home."""
+    view = lambda sql, name: spark.sql(sql, **{name: table(spark, sf_dir, name)})
+    homes = table(spark, sf_dir, "seed_person").select("person_id", (F.col("person_id") % 60).alias("node_id")).distinct()
+    out = R.person_deltas(view(_DELTAS, "seed_person"), ["commute", "dropoff", "kid_trip"], view(_FIRST_MODE, "seed_mode"), homes, view(_HOME_VC, "seed_edge_bin"))
+    return out.select("person_id", *[F.round(c, 6).alias(f"{c}_delta_min") for c in ("commute", "dropoff", "kid_trip")], "mode_baseline", "mode_plan", F.round("home_edges_vc_delta", 6).alias("home_edges_vc_delta"))
 
 
 _TRIPS = "SELECT trip, CAST(FLOOR(MIN(enter_s) / 300.0) AS BIGINT) + trip % 30 AS depart_bin, CAST(FLOOR(MAX(enter_s + dwell_s) / 300.0) AS BIGINT) + trip % 30 AS arrive_bin, 1e0 AS w FROM {trajectory} GROUP BY trip"

@@ -167,15 +167,35 @@ def commuters_today(spark, sf_dir):
     return rows.select("person_id", (F.col("is_worker") & (C.uniform("day", 4, F.col("person_id")) >= 0.12)).alias("commutes"))
 
 
-@query("SELECT event_id, CASE WHEN value > 5e1 THEN NULL ELSE value END AS value FROM events")
+@query("SELECT event_id, CASE WHEN value > 5e1 THEN NULL ELSE value END AS value, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value * 2 END AS nested, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS holes FROM events")
 def non_finite_to_null(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("value") > 50, float("nan")).otherwise(F.col("value")))
-    return rows.select("event_id", finite(F.col("value")).alias("value"))
+    """Numbers in columns, in structs and in arrays of them."""
+    bad = float("nan")
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("value") > 50, bad).otherwise(F.col("value")).alias("value"), F.struct(F.struct(F.when(F.col("event_id") % 3 == 0, float("inf")).otherwise(F.col("value") * 2).alias("b")).alias("a")).alias("s"), F.array(F.struct(F.lit(1.0).alias("v")), F.struct(F.when(F.col("event_id") % 5 == 0, bad).otherwise(2.0).alias("v"))).alias("list"))
+    clean = scans.without_nan(rows)
+    return clean.select("event_id", "value", F.col("s.a.b").alias("nested"), F.size(F.filter("list", lambda x: x["v"].isNull())).alias("holes"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("""
+WITH e AS (SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id AS plan_id, k AS tools, 'tool' || CAST(k % 3 AS VARCHAR) AS first_tool, k * 1e1 AS first_amount, CASE WHEN k > 2 THEN 'done' ELSE 'queued' END AS status, event_id % 7 AS votes FROM e""")
 def state_tables(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    """Plans, jobs and votes as tables with JSON columns, written and read back under their types."""
+    from gridmill.operators.state import read_state, write_state
+    from gridmill.operators.network import shared_folder
+    import uuid
+
+    k = F.from_json("props", "k long")["k"]
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", k.alias("k"))
+    tool = F.struct(F.concat(F.lit("tool"), (F.col("k") % 3).cast("string")).alias("tool"), F.create_map(F.lit("amount"), F.col("k") * 10.0).alias("params"))
+    folder = f"{shared_folder(spark)}/state/{uuid.uuid4().hex}"
+    write_state(rows.select(F.col("event_id").alias("plan_id"), F.col("ts").alias("created_at"), F.array_repeat(tool, F.col("k").cast("int")).alias("tools")), folder, "plans")
+    write_state(rows.select(F.col("event_id").alias("plan_id"), F.struct(F.when(F.col("k") > 2, "done").otherwise("queued").alias("status"), F.lit(None).cast("string").alias("error")).alias("job")), folder, "jobs")
+    write_state(rows.select(F.col("event_id").alias("plan_id"), F.explode(F.sequence(F.lit(0), (F.col("event_id") % 7).cast("int"))).alias("player_id")).where("player_id > 0").withColumn("value", F.lit(1)), folder, "votes")
+    plans, jobs, votes = (read_state(spark, folder, t) for t in ("plans", "jobs", "votes"))
+    n = votes.groupBy("plan_id").agg(F.sum("value").alias("votes"))
+    first = F.get("tools", 0)
+    return plans.join(jobs, "plan_id").join(n, "plan_id", "left").select("plan_id", F.size("tools").cast("long").alias("tools"), F.coalesce(first["tool"], F.concat(F.lit("tool"), F.lit("0"))).alias("first_tool"), F.coalesce(first["params"]["amount"], F.lit(0.0)).alias("first_amount"), F.col("job.status").alias("status"), F.coalesce("votes", F.lit(0)).alias("votes"))
 
 
 @query("SELECT CAST(p_partkey AS INTEGER) AS id, p_brand AS brand, 'none' AS label FROM {part}")
@@ -184,9 +204,13 @@ def columnar_scan(spark, sf_dir):
     return rows.toDF("id", "brand", "label")
 
 
-@query("SELECT c_custkey AS id, c_mktsegment AS segment FROM {customer}")
+@query("SELECT c_custkey AS persona_id, c_mktsegment AS segment, c_custkey % 5 = 0 AS mine, COALESCE(CAST(ROUND(c_acctbal / 100) AS BIGINT), 0) AS balance FROM {customer}")
 def public_view(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    """Only what the list allows goes out; columns that name a person, household or building never do."""
+    from gridmill.operators.state import public
+
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("persona_id"), F.col("c_mktsegment").alias("segment"), (F.col("c_custkey") % 5 == 0).alias("mine"), F.round(F.col("c_acctbal") / 100).cast("long").alias("balance"), F.col("c_name").alias("person_id"), F.col("c_nationkey").alias("household_id"))
+    return public(rows, ["persona_id", "segment", "mine", "balance"])
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 4 IN (1, 2) AND p_size BETWEEN 3 AND 40 AND p_type <> 'PROMO' THEN p_size * 1e0 ELSE p_retailprice END AS height, CASE WHEN p_size % 4 IN (1, 2) AND p_size BETWEEN 3 AND 40 AND p_type <> 'PROMO' THEN 'measured' ELSE 'mapped' END AS source FROM {part}")
@@ -224,11 +248,16 @@ def zonal_stats(spark, sf_dir):
     return boxes.select("box_id").join(met, "box_id", "left").na.fill(0)
 
 
-@query("SELECT home_node AS node_id, SUM(1 + vehicles) AS jobs, ROUND(SUM(1 + vehicles) / (SUM(SUM(1 + vehicles)) OVER () * 1e0), 8) AS share FROM {households} GROUP BY home_node")
+@query("""
+WITH b AS (SELECT h.household_id, h.x, h.z, (40e0 + h.household_id % 60) * CASE WHEN h.household_id % 9 = 0 THEN 2.5 ELSE 1 END AS w FROM {homes} h WHERE h.household_id % 4 < 3),
+s AS (SELECT b.household_id, ANY_VALUE(b.w) AS w, ARG_MIN(n.node_id, ROW(ROUND(SQRT(POW(n.x - b.x, 2) + POW(n.z - b.z, 2)), 6), n.node_id)) AS node_id FROM b CROSS JOIN {nodes} n WHERE n.node_id % 2 = 0 GROUP BY 1)
+SELECT node_id, ROUND(SUM(w), 4) AS jobs, ROUND(SUM(w) / SUM(SUM(w)) OVER (), 8) AS share FROM s GROUP BY node_id""")
 def jobs_from_footprints(spark, sf_dir):
-    sums = table(spark, sf_dir, "households").groupBy(F.col("home_node").alias("node_id")).agg(F.sum(1 + F.col("vehicles")).alias("jobs"))
-    total = sums.agg(F.sum("jobs").alias("total"))
-    return sums.join(F.broadcast(total)).select("node_id", "jobs", F.round(F.col("jobs") / F.col("total"), 8).alias("share"))
+    """Job weights by floor area, schools times a factor, at the nearest node."""
+    k = F.col("household_id")
+    homes = table(spark, sf_dir, "homes").where("household_id % 4 < 3").select(k.alias("building_id"), "x", "z", (40.0 + k % 60).alias("area"), (k % 9 == 0).alias("school"))
+    nodes = table(spark, sf_dir, "nodes").where("node_id % 2 = 0").select("node_id", F.col("x").alias("x2"), F.col("z").alias("z2"))
+    return P.footprint_jobs(homes, nodes, 2.5).select("node_id", F.round("jobs", 4).alias("jobs"), F.round("share", 8).alias("share"))
 
 
 @query("SELECT ROUND(SUM(l_discount) / SUM(l_discount + l_tax), 8) AS a, ROUND(SUM(l_tax) / SUM(l_discount + l_tax), 8) AS b FROM {lineitem}")

@@ -81,18 +81,28 @@ def license_tally(spark, sf_dir):
     return T.tally(table(spark, sf_dir, "part"), sources, []).select("value.dataset", "value.license", "n")
 
 
-@query("SELECT s_suppkey AS id, ROUND(CASE WHEN GREATEST(s_acctbal, 0) + s_nationkey > 0 THEN GREATEST(s_acctbal, 0) / (GREATEST(s_acctbal, 0) + s_nationkey) ELSE 5e-1 END, 6) AS a_share FROM {supplier}")
+@query("""
+WITH g AS (SELECT s_suppkey AS id, GREATEST(s_acctbal, 0) AS a, s_nationkey * 1e0 AS b, s_suppkey % 40 AS kids, s_suppkey % 55 AS workers, s_suppkey % 9 AS home, 100 + s_suppkey % 3 * 50 AS households, s_suppkey % 5 / 4e0 AS inside FROM {supplier})
+SELECT id, ROUND(CASE WHEN a + b > 0 THEN a / (a + b) ELSE 5e-1 END, 6) AS a_share, ROUND(CASE WHEN a + b > 0 THEN b / (a + b) ELSE 5e-1 END, 6) AS b_share, ROUND(kids / households, 6) AS kids_ratio, ROUND(workers / households, 6) AS workers_ratio,
+ ROUND(CASE WHEN workers > 0 THEN LEAST(home * 1e0 / workers, 1) ELSE 1.5e-1 END, 6) AS wfh_share, CAST(ROUND_EVEN(households * inside, 0) AS BIGINT) AS households FROM g""")
 def census_distributions(spark, sf_dir):
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("a"), F.col("s_nationkey").alias("b"))
-    return T.shares_or_default(rows, ["a", "b"], [0.5, 0.5]).select("id", F.round("a_share", 6).alias("a_share"))
+    """Two shares with their defaults, ratios a household, and the households inside."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("id"), F.col("s_acctbal").alias("a"), F.col("s_nationkey").alias("b"), (k % 40).alias("kids"), (k % 55).alias("workers"), (k % 9).alias("home"), (100 + k % 3 * 50).alias("households"), (k % 5 / 4.0).alias("inside"))
+    out = T.group_ratios(T.shares_or_default(rows, ["a", "b"], [0.5, 0.5]), 0.15)
+    return out.select("id", *[F.round(c, 6).alias(c) for c in ("a_share", "b_share", "kids_ratio", "workers_ratio", "wfh_share")], "households")
 
 
-@query("""
-WITH j AS (SELECT o_custkey % 20 AS grp, o_orderkey % 50 AS node, 1 AS jobs FROM {orders}), s AS (SELECT grp, node, SUM(jobs) AS jobs FROM j GROUP BY GROUPING SETS ((grp, node), (node)))
-SELECT grp, node, jobs, ROUND(jobs / SUM(jobs) OVER (PARTITION BY grp), 6) AS share FROM s""")
+_JOBS = "SELECT o_custkey % 20 AS grp, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 50 END AS node, CASE WHEN o_orderkey % 4 = 0 THEN 'exit' || CAST(o_custkey % 3 AS STRING) END AS exit, 1 + o_orderkey % 2 AS jobs FROM {orders}"
+
+
+@query(f"""
+WITH j AS ({_JOBS.replace('STRING', 'VARCHAR')}), i AS (SELECT grp, node, SUM(jobs) AS jobs FROM j WHERE node IS NOT NULL GROUP BY GROUPING SETS ((grp, node), (node))), x AS (SELECT grp, exit, SUM(jobs) AS jobs FROM j WHERE node IS NULL GROUP BY GROUPING SETS ((grp, exit), (exit)))
+SELECT grp, 'node ' || CAST(node AS VARCHAR) AS place, ROUND(jobs / SUM(jobs) OVER (PARTITION BY grp), 6) AS share FROM i UNION ALL SELECT grp, exit, ROUND(jobs / SUM(jobs) OVER (PARTITION BY grp), 6) FROM x
+ UNION ALL SELECT grp, 'inside', ROUND(SUM(jobs) FILTER (WHERE node IS NOT NULL) / SUM(jobs), 6) FROM j GROUP BY GROUPING SETS ((grp), ())""")
 def work_model(spark, sf_dir):
-    jobs = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("grp"), (F.col("o_orderkey") % 50).alias("node"), F.lit(1).alias("jobs"))
-    return T.work_model(jobs).withColumn("share", F.round("share", 6))
+    """Shares of each home group's jobs inside, by node, and by exit, and of all groups together (grp null)."""
+    return T.work_model(spark.sql(_JOBS, orders=table(spark, sf_dir, "orders"))).withColumn("share", F.round("share", 6))
 
 
 @query("WITH g AS (SELECT household_id % 25 AS grp, COUNT(DISTINCT household_id) AS households, COUNT(*) FILTER (WHERE age BETWEEN 19 AND 64) AS working_age FROM {persons} GROUP BY 1) SELECT grp, ROUND(LEAST(9.7e-1, 1.2 * households / GREATEST(working_age, 1)), 6) AS rate FROM g")

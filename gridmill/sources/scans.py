@@ -43,9 +43,19 @@ def columnar_scan(spark: SparkSession, path: str, columns: dict[str, str], defau
     return df.select(*[(F.col(c) if c in df.columns else F.lit(defaults[c])).cast(kind).alias(c) for c, kind in columns.items()])
 
 
+def _finite(c, kind: T.DataType):
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return finite(c).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_finite(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
 def without_nan(df: DataFrame) -> DataFrame:
-    """NaN and infinities of every floating column as null."""
-    return df.select(*[finite(F.col(f.name)).cast(f.dataType).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in df.schema])
+    """NaN and infinities of every floating number as null, in structs and arrays too."""
+    return df.select(*[_finite(F.col(f.name), f.dataType).alias(f.name) for f in df.schema])
 
 
 def box_scan(spark: SparkSession, path: str, west: float, south: float, east: float, north: float) -> DataFrame:

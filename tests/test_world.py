@@ -160,3 +160,12 @@ def test_exit_roads(spark, label, want):
 @pytest.mark.parametrize(("text", "want"), [("  Takes 1,200 cars ", "Takes 1,200 cars"), ("at 07:30", "at 07:30"), ("at 9:10", None), ("34 Oak Lane", None), ("12.05 or 12", "12.05 or 12"), ("13", None), ("", None)])
 def test_safe_text(spark, text, want):
     assert one(spark, S.safe_text(F.lit(text), F.array(F.lit(1200.0), F.lit(12.0)), F.array(F.lit("7:30")))) == want
+
+
+def test_speakers_of_three_schools(spark):
+    """The least extreme whose school others speak for makes room for the most extreme of another school."""
+    rows = [(i, float(i), "a" if i not in (6, 7, 13) else {6: "b", 7: "c", 13: "d"}[i]) for i in range(20)]
+    out = L.polar(spark.createDataFrame(rows, "id long, approval double, school string"), "id", "approval", 3, "school").collect()
+    assert sorted((r.side, r.id) for r in out) == [("high", 17), ("high", 18), ("high", 19), ("low", 0), ("low", 6), ("low", 7)]
+    few = L.polar(spark.createDataFrame(rows[:5], "id long, approval double, school string"), "id", "approval", 3, "school").collect()
+    assert sorted(r.id for r in few) == [0, 1, 3, 4]
