@@ -10,19 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def fluid_queue(arrivals: DataFrame, by: list[str], order: list[str], arrive: str, service: Column) -> DataFrame:
+def fluid_queue(arrivals: DataFrame, by: list[str], order: list[str], arrive: str, service: Column, stretch_s: float = 3600) -> DataFrame:
     """Start, wait and end of service of every arrival at a queue served in order.
 
     With S the running sum of service times, service ends at S plus the running
     maximum of (arrival - S before me): the recursion end = max(end before me,
     arrival) + service in closed form. `order` must be a total order.
     """
-    so_far = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    first = W.unboundedPreceding
     rows = arrivals.withColumn("service", service.cast("double"))
-    rows = rows.withColumn("served", F.sum("service").over(so_far))
-    done = F.col("served") + F.max(F.col(arrive) - (F.col("served") - F.col("service"))).over(so_far)
+    if order[0] != arrive:
+        raise ValueError(f"the order must begin with {arrive}")
+    # two levels, so that a long queue is spread: inside stretches of time, then over the stretches
+    rows = rows.withColumn("__part", F.floor(F.col(arrive) / stretch_s))
+    inside = W.partitionBy(*by, "__part").orderBy(*order).rowsBetween(first, W.currentRow)
+    rows = rows.withColumn("__served", F.sum("service").over(inside))
+    rows = rows.withColumn("__late", F.max(F.col(arrive) - (F.col("__served") - F.col("service"))).over(inside))
+    parts = rows.groupBy(*by, "__part").agg(F.sum("service").alias("__sum"), F.max("__late").alias("__most"))
+    over = W.partitionBy(*by).orderBy("__part")
+    parts = parts.withColumn("__base", F.sum("__sum").over(over) - F.col("__sum"))
+    parts = parts.withColumn("__held", F.max(F.col("__most") - F.col("__base")).over(over.rowsBetween(first, -1))).select(*by, "__part", "__base", "__held")
+    rows = rows.join(parts, [*by, "__part"])
+    done = F.col("__base") + F.col("__served") + F.greatest(F.col("__late") - F.col("__base"), F.col("__held"))
     rows = rows.withColumn("done", done).withColumn("begin", F.col("done") - F.col("service"))
-    return rows.withColumn("wait", F.greatest(F.col("begin") - F.col(arrive), F.lit(0.0))).drop("served")
+    return rows.withColumn("wait", F.greatest(F.col("begin") - F.col(arrive), F.lit(0.0))).drop("__part", "__served", "__late", "__base", "__held")
 
 
 def queue_at_arrival(queued: DataFrame, by: list[str], key: str, arrive: str, weight: str) -> DataFrame:
