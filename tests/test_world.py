@@ -169,3 +169,21 @@ def test_speakers_of_three_schools(spark):
     assert sorted((r.side, r.id) for r in out) == [("high", 17), ("high", 18), ("high", 19), ("low", 0), ("low", 6), ("low", 7)]
     few = L.polar(spark.createDataFrame(rows[:5], "id long, approval double, school string"), "id", "approval", 3, "school").collect()
     assert sorted(r.id for r in few) == [0, 1, 3, 4]
+
+
+def test_population_follows_its_groups(spark):
+    """Every slot is lived in; sizes, vehicles and places come from the group's own shares; ages rule jobs, grades and licences."""
+    sizes = lambda *p: [(n, s) for n, s in p]
+    dists = spark.createDataFrame([("a", sizes((1, 1.0)), sizes((0, 1.0)), 0.0, 0.0, [(7, 1.0)]), ("b", sizes((2, 0.5), (4, 0.5)), sizes((1, 0.3), (2, 0.7)), 1.0, 0.5, [(8, 0.0), (9, 2.0)])], "block_group string, sizes array<struct<size: int, share: double>>, vehicles array<struct<n: int, share: double>>, worker_share double, wfh_share double, work array<struct<place: bigint, share: double>>")
+    buildings = spark.createDataFrame([(i, "ab"[i % 2], i % 4) for i in range(400)], "building_id long, block_group string, capacity int")
+    rows = P.synthesize(buildings, dists, 5).collect()
+    slots = {(r.building_id, r.slot) for r in rows}
+    assert len(slots) == sum(i % 4 for i in range(400))
+    assert sorted(rows, key=str) == sorted(P.synthesize(buildings.repartition(7), dists, 5).collect(), key=str)
+    a, b = ([r for r in rows if r.block_group == g] for g in "ab")
+    assert {(r.size, r.n_vehicles, r.is_worker, r.work_place) for r in a} == {(1, 0, False, None)}
+    assert {r.size for r in b} == {2, 4} and {r.n_vehicles for r in b} == {1, 2}
+    assert all(r.is_worker == (19 <= r.age <= 64) for r in b) and {r.work_place for r in b if r.is_worker and not r.works_from_home} == {9}
+    assert all((r.grade >= 0) == (5 <= r.age <= 17) and (r.age >= 16 or not r.has_license) for r in rows)
+    two = [r for r in b if r.n_vehicles == 2]
+    assert 0.6 < len(two) / len(b) < 0.8
