@@ -189,6 +189,44 @@ def block_distances(edges: DataFrame, anchors: DataFrame, cost: str, block: int,
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
+def block_paths(tree: DataFrame, edges: DataFrame, starts: DataFrame, block: int, max_rounds: int = 1000) -> DataFrame:
+    """As paths, but a round walks as far as a block of `block` consecutive node ids reaches, so rounds follow the blocks that a path crosses."""
+    at = F.floor(F.col("at") / block)
+    hop = tree.where("next_edge is not null").join(edges.select(F.col("edge_idx").alias("next_edge"), F.col("v").alias("head")), "next_edge")
+    hop = kept(hop.select("anchor", F.col("node_id").alias("at"), "next_edge", "head").withColumn("block", at))
+    schema = "anchor long, start long, at long, path array<long>, block long"
+    walk = kept(starts.select("anchor", F.col("node_id").alias("start"), F.col("node_id").alias("at"), F.array().cast("array<long>").alias("path")).withColumn("block", at))
+    done = None
+    for _ in range(max_rounds):
+        arrived = kept(walk.where(F.col("at") == F.col("anchor")).select("anchor", "start", "path"))
+        done = arrived if done is None else done.union(arrived)
+        left = walk.where(F.col("at") != F.col("anchor"))
+        if left.isEmpty():
+            return done
+        old, walk = walk, kept(left.groupBy("block").cogroup(hop.groupBy("block")).applyInPandas(_walk(block), schema))
+        forget(old)
+    raise RuntimeError(f"a path crosses more than {max_rounds} blocks")
+
+
+def _walk(block: int):
+    """Every walker of one block goes on until it leaves the block, arrives or has nowhere to go (then it ends)."""
+    import pandas as pd
+
+    def run(walkers: pd.DataFrame, hop: pd.DataFrame) -> pd.DataFrame:
+        step = {(a, n): (e, h) for a, n, e, h in zip(hop["anchor"].tolist(), hop["at"].tolist(), hop["next_edge"].tolist(), hop["head"].tolist())}
+        out = []
+        for anchor, start, at, path in zip(walkers["anchor"].tolist(), walkers["start"].tolist(), walkers["at"].tolist(), walkers["path"]):
+            own, here = list(path), at // block
+            while at != anchor and at // block == here and (anchor, at) in step:
+                edge, at = step[anchor, at]
+                own.append(edge)
+            if at == anchor or at // block != here:
+                out.append((anchor, start, at, own, at // block))
+        return pd.DataFrame(out, columns=["anchor", "start", "at", "path", "block"])
+
+    return run
+
+
 def _settle(block: int):
     """Dijkstra inside one block from the distances told, for each anchor."""
     import heapq
