@@ -1,17 +1,15 @@
 """LM scoring by online logistic context mixing.
 
 Text is predicted bit by bit, each byte being eight decisions down a binary
-tree. For each decision, one predictor per context (the last 1 to 5 bytes, and
-the word so far) looks up the counts of zeros and ones in a hashed table. Their
-logits are combined by a mixer whose weights are chosen by a gate, the bit's
-place, the longest context seen before and how often, and a last table refines the mixed
+tree. For each decision, one predictor per context length (the last 1 to 5
+bytes) looks up the counts of zeros and ones in a hashed table. Their logits
+are combined by a mixer whose weights are chosen by a gate, the bit's place, the longest context seen before and how often, and a last table refines the mixed
 probability by what came true at such predictions. log2 of the result, summed,
 gives total bits.
 
 How it is learned from all training texts:
 
-1. Runs of six bytes, each with a hash of the word so far, are counted over the
-   corpus (map-side first).
+1. Runs of six bytes are counted over the corpus (map-side first).
 2. Runs are dealt in PARTS by the two bytes before the last. A part's contexts
    belong to it alone, so it fills its own slots in one task, and no table is
    summed over tasks. A part gets slots in proportion to the different contexts
@@ -39,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm.bytehash import mix, running, slice_hash
+from gridmill.llm.bytehash import mix
 from gridmill.llm.common import arrow_map, stored, text_bytes
 
-#: Context bytes of each predictor; 0 takes the word so far.
-ORDERS = (0, 1, 2, 3, 4, 5)
+#: Context bytes of each predictor.
+ORDERS = (1, 2, 3, 4, 5)
 #: Slots of a predictor's table, at most.
 SLOTS = 1 << 21
 PARTS = 64
@@ -59,6 +57,7 @@ FLUSH = 1 << 20
 #: Counts n are kept as codes of 16 bits, in steps of log2(n + 1): any count fits, to 1 part in 1,400.
 _CODE = 1024
 _COUNT = (np.exp2(np.arange(1 << 16) / _CODE) - 1).astype(np.float32)
+_LOG = np.log(_COUNT + np.float32(0.4))
 _BYTES_AT_ONCE = 1 << 19
 
 
@@ -67,17 +66,11 @@ def coded(counts: np.ndarray) -> np.ndarray:
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(runs, sizes): for each byte of each text and for its end, which is a zero byte: 16 bits of a hash of the word so far, five bytes before, the byte.
-
-    Zeros stand before a text; bytes up to space part words.
-    """
+    """(runs, sizes): a run of six bytes for each byte of each text and for its end, which is a zero byte; zeros stand before a text."""
     data = np.frombuffer(b"\0" * (GRAM - 1) + (b"\0" * GRAM).join(texts) + b"\0", dtype=np.uint8)
     sizes = np.array([len(t) + 1 for t in texts])
     n = len(data) - GRAM + 1
-    at = np.arange(len(data))
-    word = np.maximum.accumulate(np.where(data <= 32, at + 1, 0))
-    word = np.concatenate(([0], word[:-1]))
-    runs = slice_hash(running(data), word, at)[GRAM - 1 :] >> np.uint64(48)
+    runs = np.zeros(n, dtype=np.uint64)
     for i in range(GRAM):
         runs = (runs << np.uint64(8)) | data[i : i + n]
     first = np.cumsum(sizes + GRAM - 1) - sizes - GRAM + 1
@@ -109,10 +102,7 @@ PART = f"cast(shiftright((shiftright(gram, 8) & 65535) * 40503, 10) & {PARTS - 1
 
 
 def _context(runs: np.ndarray, order: int) -> np.ndarray:
-    before = runs >> np.uint64(8)
-    if order:
-        return before & np.uint64((1 << 8 * order) - 1)
-    return (runs >> np.uint64(48)) << np.uint64(16) | before & np.uint64(0xFFFF)
+    return (runs >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
 
 
 class Layout:
@@ -127,15 +117,18 @@ class Layout:
         self.total = int(flat[-1])
         self.start = (flat - self.size.ravel()).reshape(self.size.shape)
 
-    def nodes(self, runs: np.ndarray, bit: int) -> tuple[list[np.ndarray], np.ndarray]:
+    def prepared(self, runs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each predictor, the context of each run with room for the path, and the first slot and the slots of its part."""
+        part = part_of(runs)
+        return [(_context(runs, order) << np.uint64(8), self.start[i][part], self.size[i][part].astype(np.uint64)) for i, order in enumerate(ORDERS)]
+
+    def nodes(self, prepared: list, byte: np.ndarray, bit: int) -> tuple[list[np.ndarray], np.ndarray]:
         """The slot of each predictor, and the bit that came, at one of the eight decisions."""
-        byte = runs & np.uint64(255)
         path = (byte | np.uint64(256)) >> np.uint64(8 - bit)
-        part = part_of(runs)
         slots = []
-        for i, order in enumerate(ORDERS):
-            h = mix((_context(runs, order) << np.uint64(8) | path) * np.uint64(2 * i + 3) + np.uint64(i))
-            slots.append(self.start[i][part] + ((h >> np.uint64(32)) * self.size[i][part].astype(np.uint64) >> np.uint64(32)).astype(np.int64))
+        for i, (context, start, size) in enumerate(prepared):
+            h = mix((context | path) * np.uint64(2 * i + 3) + np.uint64(i))
+            slots.append(((h >> np.uint64(32)) * size >> np.uint64(32)).view(np.int64) + start)
         return slots, ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
 
 
@@ -153,29 +146,34 @@ class Mixer:
             self.memory = Remembered(self)
         return self.memory.log2
 
-    def inputs(self, runs: np.ndarray, bit: int, without: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def inputs(self, prepared: list, byte: np.ndarray, bit: int, without: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(logits of the predictors, gate, bit). without: as if the tables had not counted the run once."""
-        slots, one = self.layout.nodes(runs, bit)
-        x = np.empty((len(ORDERS), len(runs)), dtype=np.float32)
-        longest = np.zeros(len(runs), dtype=np.int64)
+        slots, one = self.layout.nodes(prepared, byte, bit)
+        x = np.empty((len(ORDERS), len(byte)), dtype=np.float32)
+        longest, at = np.zeros(len(byte), dtype=np.int64), np.zeros(len(byte), dtype=np.int64)
         for i, slot in enumerate(slots):
-            zeros, ones = (_COUNT[c[slot]] for c in self.counts)
+            n0, n1 = self.counts[0][slot], self.counts[1][slot]
             if without:
-                zeros, ones = np.maximum(zeros - ~one, 0), np.maximum(ones - one, 0)
-            x[i] = np.log(ones + np.float32(0.4)) - np.log(zeros + np.float32(0.4))
-            total = zeros + ones
-            seen = total > 0.5
-            trust = sum((total > least).astype(np.int64) for least in TRUST)
-            longest[seen] = ((i + 1) * (len(TRUST) + 1) + trust)[seen]
-        return x, longest * 8 + bit, one
+                zeros, ones = np.maximum(_COUNT[n0] - ~one, 0), np.maximum(_COUNT[n1] - one, 0)
+                x[i] = np.log(ones + np.float32(0.4)) - np.log(zeros + np.float32(0.4))
+                seen = zeros + ones > 0.5
+            else:
+                x[i] = _LOG[n1] - _LOG[n0]
+                seen = (n0 | n1) > 0
+            np.copyto(longest, i + 1, where=seen)
+            np.copyto(at, slot, where=seen)
+        total = (_COUNT[self.counts[0][at]] + _COUNT[self.counts[1][at]] - without) * (longest > 0)
+        trust = sum((total > least).astype(np.int64) for least in TRUST)
+        return x, (longest * (len(TRUST) + 1) + trust) * 8 + bit, one
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ji->j", x, self.weights[gate]), -12, 12)
+        return np.clip((x * self.weights.T.astype(np.float32)[:, gate]).sum(axis=0), -12, 12)
 
     def learn(self, runs: np.ndarray, times: np.ndarray, rate: float) -> None:
         """One online step over a few runs: weights move before the next step sees them."""
+        prepared, byte = self.layout.prepared(runs), runs & np.uint64(255)
         for bit in range(8):
-            x, gate, one = self.inputs(runs, bit, True)
+            x, gate, one = self.inputs(prepared, byte, bit, True)
             error = (one - 1 / (1 + np.exp(-self.mixed(x, gate)))) * times
             total = np.bincount(gate, times, GATES)
             for i in range(len(ORDERS)):
@@ -187,8 +185,9 @@ class Mixer:
     def log2(self, runs: np.ndarray) -> np.ndarray:
         """log2 of the probability of each run's last byte after its first five."""
         total = np.zeros(len(runs))
+        prepared, byte = self.layout.prepared(runs), runs & np.uint64(255)
         for bit in range(8):
-            x, gate, one = self.inputs(runs, bit, False)
+            x, gate, one = self.inputs(prepared, byte, bit, False)
             logit = self.mixed(x, gate)
             if self.refined is not None:
                 logit = (logit + self.refined[gate, self.rungs(logit)]) / 2
@@ -258,7 +257,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
 def _layout(counted: DataFrame, *limits: int) -> Layout:
     """Slots by the approximate number of different contexts, with their next byte, in each part."""
-    keys = [f"gram & {(1 << 8 * (order + 1)) - 1}" if order else f"gram & ~{0xFFFFFF << 24}" for order in ORDERS]
+    keys = [f"gram & {(1 << 8 * (order + 1)) - 1}" for order in ORDERS]
     found = counted.groupBy(F.expr(PART).alias("part")).agg(*(F.approx_count_distinct(F.expr(k)).alias(f"n{i}") for i, k in enumerate(keys))).collect()
     contexts = np.zeros((len(ORDERS), PARTS))
     for row in found:
@@ -287,8 +286,9 @@ def _tables(counted: DataFrame, layout: Layout) -> np.ndarray:
                     size = layout.size[:, part]
                     state, base, first = np.zeros((2, size.sum())), layout.start[:, part], np.cumsum(size) - size
                 runs, n = batch.column(1).to_numpy()[a:b].view(np.uint64), batch.column(2).to_numpy()[a:b]
+                prepared, byte = layout.prepared(runs), runs & np.uint64(255)
                 for bit in range(8):
-                    slots, one = layout.nodes(runs, bit)
+                    slots, one = layout.nodes(prepared, byte, bit)
                     for i, slot in enumerate(slots):
                         at = slot - base[i] + first[i]
                         np.add.at(state[0], at[~one], n[~one])
@@ -340,8 +340,9 @@ def fit(training: DataFrame, *limits: int) -> Mixer:
         if batch is None:
             return state, [pa.RecordBatch.from_pydict({"zeros": [seen[0]], "ones": [seen[1]]})]
         runs, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+        prepared, byte = tuned.layout.prepared(runs), runs & np.uint64(255)
         for bit in range(8):
-            x, gate, one = tuned.inputs(runs, bit, True)
+            x, gate, one = tuned.inputs(prepared, byte, bit, True)
             at = gate * RUNGS + tuned.rungs(tuned.mixed(x, gate))
             seen[0] += np.bincount(at[~one], n[~one], GATES * RUNGS)
             seen[1] += np.bincount(at[one], n[one], GATES * RUNGS)
