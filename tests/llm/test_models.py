@@ -65,7 +65,7 @@ def test_score_against_brute_force(spark):
     rows = [(i, " ".join(f"w{(i * j) % 13}{'ab' * (j % 3)}" for j in range(i % 23)) + "\nÜber 1." * (i % 2)) for i in range(40)] + [(90, None), (91, "")]
     held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = fit(spark.createDataFrame([(bytearray((t or "").encode()),) for d, t in rows if not held(d)], "text binary"), 1 << 26, 1 << 10)
+    model = fit(spark.createDataFrame([(bytearray((t or "").encode()),) for d, t in rows if not held(d)], "text binary"), 1 << 26, 1 << 13)
 
     def steps(text):
         data = (text or "").encode() + b"\0"
