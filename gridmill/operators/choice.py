@@ -6,6 +6,8 @@ and a baseline and a plan share them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -75,9 +77,9 @@ def calibrate(options: DataFrame, mode: str, by: str, targets: dict, bound: floa
         off = {g: targets[g] - s for g, s in got.items()}
         if all(abs(d) < close for d in off.values()):
             break
-        step = spark.createDataFrame([(g, float(targets[g]), float(s)) for g, s in got.items()], "g string, t double, s double").selectExpr("g", "ln(t / (1 - t)) - ln(s / (1 - s)) AS d")
-        for g, d in step.collect():
-            constant[g] = max(-bound, min(bound, constant[g] + d))
+        odds = lambda p: math.log(p / (1 - p))
+        for g, s in got.items():
+            constant[g] = max(-bound, min(bound, constant[g] + odds(targets[g]) - odds(s)))
     return spark.createDataFrame(sorted(constant.items()), f"{by} string, constant double")
 
 

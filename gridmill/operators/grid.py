@@ -31,12 +31,7 @@ def surface_model(points: DataFrame, x0: float, y1: float, size: float, ground:
     from gridmill.operators.network import kept
 
     cells = kept(cells)
-    low = cells.agg(F.min("row"), F.min("col"), F.max("row"), F.max("col")).first()
-    if low[0] is not None:
-        r0, c0 = low[0], low[1]
-        framed = cells.select((F.col("row") - r0).alias("row"), (F.col("col") - c0).alias("col"), "dtm")
-        filled = gap_fill(framed, low[2] - r0 + 1, low[3] - c0 + 1, "dtm").select((F.col("row") + r0).alias("row"), (F.col("col") + c0).alias("col"), "dtm")
-        cells = cells.drop("dtm").join(filled, ["row", "col"])
+    cells = cells.drop("dtm").join(filled_frame(cells.select("row", "col", "dtm"), "dtm"), ["row", "col"])
     return cells.select("row", "col", "dtm", F.greatest("top", "dtm").alias("dsm"), F.greatest(F.greatest("top", "dtm") - F.col("dtm"), F.lit(0.0)).alias("height"))
 
 
@@ -50,9 +45,11 @@ def neighbours(cells: DataFrame, radius: int = 1, centre: bool = True) -> DataFr
 
 
 def gap_fill(cells: DataFrame, rows: int, cols: int, value: str, passes: int = 3) -> DataFrame:
-    """Every cell of a rows x cols grid; empty ones take the mean of their filled neighbours, pass after pass, and what is left the nearest filled cell (by row, then column, on ties)."""
+    """Every cell of a rows x cols grid; empty ones take the mean of their filled neighbours, pass after pass, and what is left the nearest filled cell (by row, then column, on ties). A cell outside the grid is an error."""
+    outside = F.raise_error(F.format_string("cell (%d, %d) lies outside the grid", "row", "col"))
+    cells = cells.withColumn(value, F.when((F.col("row") < 0) | (F.col("row") >= rows) | (F.col("col") < 0) | (F.col("col") >= cols), outside.cast("double")).otherwise(F.col(value)))
     frame = cells.sparkSession.range(rows * cols).select(F.floor(F.col("id") / cols).alias("row"), (F.col("id") % cols).alias("col"))
-    full = frame.join(cells.select("row", "col", value), ["row", "col"], "left")
+    full = frame.withColumn("framed", F.lit(True)).join(cells.select("row", "col", value), ["row", "col"], "full").where(F.col("framed") | F.col(value).isNotNull()).drop("framed")
     for _ in range(passes):
         around = neighbours(full.where(F.col(value).isNotNull()), centre=False).groupBy("row", "col").agg(F.avg(value).alias("around"))
         full = full.join(around, ["row", "col"], "left").select("row", "col", F.coalesce(value, "around").alias(value))
@@ -68,6 +65,16 @@ def gap_fill(cells: DataFrame, rows: int, cols: int, value: str, passes: int = 3
     return full.withColumn("place", place).join(given, "place", "left").select("row", "col", F.coalesce(value, "given").alias(value))
 
 
+def filled_frame(cells: DataFrame, value: str, passes: int = 3) -> DataFrame:
+    """:func:`gap_fill` over the frame that the cells themselves span. No cells give no cells."""
+    low = cells.agg(F.min("row"), F.min("col"), F.max("row"), F.max("col")).first()
+    if low[0] is None:
+        return cells
+    r0, c0 = low[0], low[1]
+    framed = cells.select((F.col("row") - r0).alias("row"), (F.col("col") - c0).alias("col"), value)
+    return gap_fill(framed, low[2] - r0 + 1, low[3] - c0 + 1, value, passes).select((F.col("row") + r0).alias("row"), (F.col("col") + c0).alias("col"), value)
+
+
 def box_mean(cells: DataFrame, radius: int, value: str) -> DataFrame:
     """Sum and count over a square window: a pass along rows, then one along columns."""
     along = W.partitionBy("row").orderBy("col").rangeBetween(-radius, radius)

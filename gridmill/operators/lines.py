@@ -104,7 +104,7 @@ def greedy_tour(routes: DataFrame, circuity: float = 1.0) -> DataFrame:
         near = F.array_min(F.transform(a["left"], lambda s: F.struct(far(s, last["x"], last["z"]).alias("d"), s["id"].alias("k"), s.alias("s"))))["s"]
         return F.struct(F.concat(a["tour"], F.array(near)).alias("tour"), F.filter(a["left"], lambda s: s["id"] != near["id"]).alias("left"))
 
-    tour = F.aggregate(F.slice("stops", 2, 1 << 20), start, step)["tour"]
+    tour = F.aggregate(F.slice("stops", F.lit(2), F.greatest(F.size("stops"), F.lit(0))), start, step)["tour"]
     placed = routes.where(F.size("stops") > 0).withColumn("t", tour)
     last = F.struct(F.lit(None).cast("long").alias("id"), F.col("x").alias("x"), F.col("z").alias("z"))
     leg = lambda a, b: F.hypot(a["x"] - b["x"], a["z"] - b["z"])

@@ -209,7 +209,7 @@ def block_paths(tree: DataFrame, edges: DataFrame, starts: DataFrame, block: int
 
 
 def _walk(block: int):
-    """Every walker of one block goes on until it leaves the block, arrives or has nowhere to go (then it ends)."""
+    """Every walker of one block goes on until it leaves the block or arrives. One that has nowhere to go is an error: the tree is broken."""
     import pandas as pd
 
     def run(walkers: pd.DataFrame, hop: pd.DataFrame) -> pd.DataFrame:
@@ -217,11 +217,12 @@ def _walk(block: int):
         out = []
         for anchor, start, at, path in zip(walkers["anchor"].tolist(), walkers["start"].tolist(), walkers["at"].tolist(), walkers["path"]):
             own, here = list(path), at // block
-            while at != anchor and at // block == here and (anchor, at) in step:
+            while at != anchor and at // block == here:
+                if (anchor, at) not in step:
+                    raise ValueError(f"no next edge at node {at} on the way from {start} to {anchor}")
                 edge, at = step[anchor, at]
                 own.append(edge)
-            if at == anchor or at // block != here:
-                out.append((anchor, start, at, own, at // block))
+            out.append((anchor, start, at, own, at // block))
         return pd.DataFrame(out, columns=["anchor", "start", "at", "path", "block"])
 
     return run

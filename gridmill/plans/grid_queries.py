@@ -50,10 +50,11 @@ def _cells(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS ({_CELLS}), f0 AS (SELECT r.r AS "row", k.k AS col, c.v FROM RANGE(60) AS r(r) CROSS JOIN RANGE(45) AS k(k) LEFT JOIN c ON c."row" = r.r AND c.col = k.k), {_filled(2)}
+WITH c AS ({_CELLS}), l AS (SELECT MIN("row") AS r0, MAX("row") AS r1, MIN(col) AS c0, MAX(col) AS c1 FROM c),
+f0 AS (SELECT r."row", k.col, c.v FROM (SELECT UNNEST(RANGE(r0, r1 + 1)) AS "row" FROM l) r CROSS JOIN (SELECT UNNEST(RANGE(c0, c1 + 1)) AS col FROM l) k LEFT JOIN c ON c."row" = r."row" AND c.col = k.col), {_filled(2)}
 SELECT "row", col, ROUND(v, 5) AS v FROM filled""")
 def gap_fill(spark, sf_dir):
-    return G.gap_fill(_cells(spark, sf_dir), 60, 45, "v", 2).withColumn("v", F.round("v", 5))
+    return G.filled_frame(_cells(spark, sf_dir), "v", 2).withColumn("v", F.round("v", 5))
 
 
 _COUNTS = f"SELECT {_at(5.0)}, COUNT(*) FILTER (WHERE z > 2e1) AS elevated, COUNT(*) FILTER (WHERE z > 2e1 AND cls % 2 = 0) AS many FROM {{points}} GROUP BY 1, 2"

@@ -88,7 +88,7 @@ def od_scan(spark: SparkSession, path: str, county: str) -> DataFrame:
 def census_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Census answers (a JSON array of arrays with a header) as long rows: geoid, column, value; negative values are null."""
     doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<string>>").alias("rows"))
-    body = doc.select(F.element_at("rows", 1).alias("head"), F.explode(F.slice("rows", 2, 1 << 20)).alias("row"))
+    body = doc.select(F.element_at("rows", 1).alias("head"), F.explode(F.slice("rows", F.lit(2), F.size("rows"))).alias("row"))
     at = lambda name: F.element_at("row", F.array_position("head", name).cast("int"))
     geoid = F.concat(*[at(c) for c in ("state", "county", "tract", "block group")])
     value = lambda c: F.expr(f"try_cast(element_at(row, cast(array_position(head, '{c}') as int)) as double)")
