@@ -108,20 +108,6 @@ def roof_type(planes: DataFrame, flat_deg: float = 8.0) -> DataFrame:
     return sloped.select("building_id", F.when(n == 0, "flat").when(n == 1, "shed").when(n == 2, "gable").when(n == 4, "hip").otherwise("complex").alias("roof"), "pitch_deg")
 
 
-def crowns(cells: DataFrame, tops: DataFrame, reach: int, share: float = 0.4) -> DataFrame:
-    """Canopy cells to their nearest top within reach, kept from `share` of its height on: cells, radius in cells and mean over top height.
-
-    Nearest top instead of a watershed, so touching crowns part midway. cells: row, col, v; tops: row, col, v.
-    """
-    from gridmill.operators.spatial import within
-
-    c = cells.select(F.struct("row", "col").alias("id"), F.col("col").alias("x"), F.col("row").alias("z"), "v")
-    t = tops.select(F.struct("row", "col").alias("top"), F.col("col").alias("x2"), F.col("row").alias("z2"), F.col("v").alias("top_v"))
-    best = within(c, t, float(reach)).groupBy("id").agg(F.min_by(F.struct("top", "top_v"), F.struct("d", "top")).alias("t"), F.min("v").alias("v"))
-    kept = best.where(F.col("v") >= share * F.col("t.top_v"))
-    return kept.groupBy("t.top.row", "t.top.col").agg(F.count("*").alias("cells"), F.sqrt(F.count("*") / F.pi()).alias("radius"), (F.avg("v") / F.max("t.top_v")).alias("mean_ratio"))
-
-
 def return_profile(trees: DataFrame, points: DataFrame) -> DataFrame:
     """Returns above 2 m within each crown, and the share below half the height. trees: tree_id, x, z, radius (at most 15), height; points: x2, z2, h."""
     from gridmill.operators.spatial import within
