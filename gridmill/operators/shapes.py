@@ -1,9 +1,8 @@
-"""Polygon measures and roof planes that built-in expressions can't express: Arrow functions and grouped maps over numpy."""
+"""Polygon measures that built-in expressions can't express: Arrow functions over numpy."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,46 +67,6 @@ def rectangularity(rings: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-def roof_planes(points: DataFrame, threshold: float = 0.18, least: int = 12, most: int = 4, trials: int = 80) -> DataFrame:
-    """Planes of each building's roof points (building_id, x, y, h), largest first: slope in degrees, inliers, share.
-
-    Random triples, seeded by the building's id, propose planes; the one with
-    most inliers is refitted by least squares and its points taken out, until
-    too few are left. A building's points fit a task; buildings spread over tasks.
-    """
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(int(frame.building_id.iloc[0]))
-        p = frame[["x", "y", "h"]].sort_values(["x", "y", "h"]).to_numpy(dtype=float)
-        p[:, :2] -= p[:, :2].mean(0)
-        total, rows = len(p), []
-        while len(p) >= least and len(rows) < most:
-            best = np.zeros(len(p), dtype=bool)
-            for _ in range(trials):
-                t = p[rng.choice(len(p), 3, replace=False)]
-                a = np.column_stack((t[:, :2], np.ones(3)))
-                if abs(np.linalg.det(a)) > 1e-6:
-                    c = np.linalg.solve(a, t[:, 2])
-                    hit = np.abs(p[:, :2] @ c[:2] + c[2] - p[:, 2]) <= threshold
-                    best = hit if hit.sum() > best.sum() else best
-            if best.sum() < least:
-                break
-            c = np.linalg.lstsq(np.column_stack((p[best, :2], np.ones(best.sum()))), p[best, 2], rcond=None)[0]
-            rows.append((int(frame.building_id.iloc[0]), len(rows), float(np.degrees(np.arctan(np.hypot(*c[:2])))), float(np.degrees(np.arctan2(-c[0], -c[1])) % 360), int(best.sum()), float(best.sum() / total)))
-            p = p[~best]
-        return pd.DataFrame(rows, columns=["building_id", "plane", "slope_deg", "aspect_deg", "inliers", "share"])
-
-    schema = "building_id long, plane int, slope_deg double, aspect_deg double, inliers long, share double"
-    return points.select("building_id", "x", "y", "h").groupBy("building_id").applyInPandas(fit, schema)
-
-
-def roof_type(planes: DataFrame, flat_deg: float = 8.0) -> DataFrame:
-    """flat, shed, gable, hip or complex by the number of sloped planes of each building."""
-    sloped = planes.groupBy("building_id").agg(F.count_if(F.col("slope_deg") > flat_deg).alias("n"), F.max_by("slope_deg", "inliers").alias("pitch_deg"))
-    n = F.col("n")
-    return sloped.select("building_id", F.when(n == 0, "flat").when(n == 1, "shed").when(n == 2, "gable").when(n == 4, "hip").otherwise("complex").alias("roof"), "pitch_deg")
-
-
 def return_profile(trees: DataFrame, points: DataFrame) -> DataFrame:
     """Returns above 2 m within each crown, and the share below half the height. trees: tree_id, x, z, radius (at most 15), height; points: x2, z2, h."""
     from gridmill.operators.spatial import within
