@@ -118,16 +118,65 @@ def largest_remainder(strata: DataFrame, key: str, n: int) -> DataFrame:
     return ranked.select(key, "size", (F.col("base") + (F.col("rank") <= F.col("short")).cast("int")).alias("quota"))
 
 
-def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
-    """n rows in proportion to the strata, by hashed order within each."""
+def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int, order: Column | None = None) -> DataFrame:
+    """n rows in proportion to the strata, by hashed order (or the order given) within each. No task sorts a whole stratum: each hands on its first n rows of it."""
+    order = F.xxhash64(F.lit(seed), F.col(key)) if order is None else order
     quota = largest_remainder(rows.groupBy(stratum).agg(F.count("*").alias("size")), stratum, n)
-    rank = F.row_number().over(W.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
-    return rows.withColumn("rank", rank).join(F.broadcast(quota.select(stratum, "quota")), stratum).where("rank <= quota").drop("rank", "quota")
+    rank = F.row_number().over(W.partitionBy(stratum).orderBy(order, key))
+    first = rows.withColumn("rank", rank).where(F.col("rank") <= n)  # a limit that Spark applies before the shuffle too
+    return first.join(F.broadcast(quota.select(stratum, "quota")), stratum).where("rank <= quota").drop("rank", "quota")
 
 
-def weighted_sample(rows: DataFrame, key: str, weight: Column, n: int, seed: int) -> DataFrame:
-    """n rows without replacement, with probability in proportion to weight."""
-    order = -F.log(uniform("sample", seed, F.col(key))) / weight
+def covering(rows: DataFrame, key: str, covers: list[str], order: Column) -> DataFrame:
+    """tag, key: rows that cover every value of the columns `covers` (values or arrays of them).
+
+    Values go by column, then as strings. One that no row taken for an earlier
+    value covers takes the first row by `order` that has it. Which values take
+    a row is settled in rounds: all whose earlier rivals are settled at once.
+    """
+    from gridmill.operators.network import kept
+
+    def tagged(k: int, c: str) -> Column:
+        values = F.col(c) if rows.schema[c].dataType.typeName() == "array" else F.array(c)
+        return F.transform(F.filter(F.array_distinct(values), lambda v: v.isNotNull()), lambda v: F.struct(F.lit(k).alias("column"), v.cast("string").alias("value")))
+
+    tags = F.concat(*[tagged(k, c) for k, c in enumerate(covers)])
+    each = rows.select(F.struct(order.alias("o"), F.col(key).alias("key"), tags.alias("tags")).alias("row")).select("row", F.explode("row.tags").alias("tag"))
+    first = kept(each.groupBy("tag").agg(F.min("row").alias("row")).select("tag", F.col("row.key").alias(key), F.col("row.tags").alias("tags")))
+    rivals = first.select(F.col("tag").alias("by"), F.explode("tags").alias("tag")).where("by < tag")
+    done = kept(first.select("tag", F.lit(None).cast("boolean").alias("taken")))
+    while not done.where("taken is null").isEmpty():
+        known = rivals.join(done.select(F.col("tag").alias("by"), F.col("taken").alias("by_taken")), "by")
+        told = known.groupBy("tag").agg(F.max("by_taken").alias("covered"), F.count_if(F.col("by_taken").isNull()).alias("open"))
+        state = F.when(F.col("covered"), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
+        done = kept(done.join(told, "tag", "left").select("tag", F.coalesce("taken", state).alias("taken")))
+    return first.join(done.where("taken"), "tag").select("tag", key)
+
+
+def coverage_sample(rows: DataFrame, key: str, covers: list[str], strata: list[str], n: int, seed: int, order: Column | None = None) -> DataFrame:
+    """n rows (all, if there are no more): first those that cover all values of `covers`, then the rest in proportion to the strata. Adds covers_for: the value that a row was taken for, else null.
+
+    Where n is less than the covering rows, the first of them by column and
+    value stay. The same rows under any partitioning.
+    """
+    from gridmill.operators.network import kept
+
+    order = F.xxhash64(F.lit(seed), F.col(key)) if order is None else order
+    rows = kept(rows)
+    taken = kept(covering(rows, key, covers, order).orderBy("tag").limit(n).select(key, F.concat(F.element_at(F.array(*[F.lit(c) for c in covers]), F.col("tag.column") + 1), F.lit("="), F.col("tag.value")).alias("covers_for")))
+    rest = n - taken.count()
+    pool = rows.join(taken.select(key), key, "left_anti").withColumn("covers_for", F.lit(None).cast("string"))
+    if rows.count() > n:
+        named = pool.withColumn("stratum", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata]))
+        pool = stratified_sample(named, "stratum", key, rest, seed, order).drop("stratum") if rest else pool.limit(0)
+    return rows.join(taken, key).unionByName(pool)
+
+
+def weighted_sample(rows: DataFrame, key: str, weight: Column, n: int, seed: int, forced: Column | None = None) -> DataFrame:
+    """n rows without replacement: forced ones first, by key, then others with probability in proportion to weight (1e-9 at least)."""
+    order = -F.log(uniform("sample", seed, F.col(key))) / F.greatest(weight.cast("double"), F.lit(1e-9))
+    if forced is not None:
+        order = F.when(forced, F.lit(-1.0)).otherwise(order)
     return stable_ids(rows.withColumn("order", order), ["order", key], "rank").where(F.col("rank") <= n).drop("order", "rank")
 
 
@@ -138,8 +187,47 @@ def bootstrap_means(rows: DataFrame, index: str, value: str, n: int, replicates:
     return draws.join(rows.select(index, value), index).groupBy("rep").agg(F.avg(value).alias("mean"))
 
 
-def slots(buildings: DataFrame, n: int, seed: int) -> DataFrame:
-    """n households in dwelling slots: building_id and capacity to building_id, slot, by hashed order."""
+def cumulated(rows: DataFrame, key: str, weight: str) -> DataFrame:
+    """Rows with below and upto, the running sums of weight by key before and with the row: sums inside sampled range partitions, plus those of the partitions before."""
+    from gridmill.operators.network import kept
+
+    placed = kept(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id()))
+    whole = placed.groupBy("part").agg(F.sum(weight).alias("w"))  # a row for each partition
+    whole = whole.select("part", (F.sum("w").over(W.orderBy("part")) - F.col("w")).alias("base"))
+    inside = F.sum(weight).over(W.partitionBy("part").orderBy(key).rowsBetween(W.unboundedPreceding, 0))
+    return placed.withColumn("upto", inside).join(F.broadcast(whole), "part").withColumn("upto", F.col("upto") + F.col("base")).withColumn("below", F.col("upto") - F.col(weight)).drop("part", "base")
+
+
+def drawn_with_replacement(rows: DataFrame, key: str, weight: str, n: int, seed: int) -> DataFrame:
+    """draw, key: n independent draws of a row, each with probability in proportion to weight (not negative).
+
+    Rows cover a stretch of the running sum and draws fall into it; both meet on
+    as many equal cells as there are rows, so no draw sees more than a few.
+    """
+    from gridmill.operators.network import kept
+
+    spans = kept(cumulated(rows.select(key, F.col(weight).cast("double").alias("w")).where("w > 0"), key, "w"))
+    total, cells = spans.agg(F.max("upto"), F.count("*")).first()
+    if not cells:
+        return rows.sparkSession.range(0).select(F.col("id").alias("draw")).join(rows.select(key), F.lit(False))
+    cell = lambda c: F.floor(F.col(c) / F.lit(total) * cells)
+    spread = spans.withColumn("cell", F.explode(F.sequence(cell("below"), cell("upto"))))
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), (uniform("replace", seed, F.col("id")) * total).alias("at"))
+    met = draws.withColumn("cell", cell("at")).join(spread, "cell").where("at >= below and at < upto")
+    # sums of partitions may leave a gap of a rounding error between two rows; the next row fills it
+    return draws.select("draw").join(met.groupBy("draw").agg(F.min(key).alias(key)), "draw")
+
+
+def slots(buildings: DataFrame, n: int, seed: int, weight: str | None = None) -> DataFrame:
+    """n households to dwelling slots: building_id, slot, by hashed order. buildings: building_id, capacity, and, if there may be more households than slots, weight.
+
+    Beyond the slots, households go to buildings in proportion to weight, with
+    replacement; their slot is null. Without any slot there are none.
+    """
     each = buildings.where("capacity > 0").select("building_id", F.explode(F.sequence(F.lit(1), F.col("capacity"))).alias("slot"))
+    room = buildings.where("capacity > 0").agg(F.coalesce(F.sum("capacity"), F.lit(0))).first()[0]
+    if n > room and weight is not None and room:
+        more = drawn_with_replacement(buildings, "building_id", weight, n - room, seed)
+        return each.union(more.select("building_id", F.lit(None).cast("int")))
     ranked = stable_ids(each.withColumn("draw", F.xxhash64(F.lit(seed), "building_id", "slot")), ["draw", "building_id", "slot"], "rank")
     return ranked.where(F.col("rank") <= n).select("building_id", "slot")

@@ -80,14 +80,41 @@ def largest_remainder(spark, sf_dir):
     return C.largest_remainder(sizes, "income_band", 37)
 
 
-@query()
+_KIDS = "SELECT household_id, LIST_SORT(LIST(DISTINCT person_id * 7 % (SELECT COUNT(*) FROM {supplier}))) AS schools FROM {persons} WHERE grade >= 0 GROUP BY household_id"
+
+
+@query(f"""
+WITH RECURSIVE kids AS ({_KIDS}),
+r AS (SELECT person_id, COALESCE(schools, []) AS schools, income_band, CAST(FLOOR(age / 15.0) AS INTEGER) AS age_band, md5('cover:' || person_id) AS o FROM {{persons}} p JOIN {{households}} h USING (household_id) LEFT JOIN kids USING (household_id) WHERE age >= 14),
+tags AS (SELECT person_id, o, 0 AS k, CAST(UNNEST(schools) AS VARCHAR) AS v FROM r UNION ALL SELECT person_id, o, 1, income_band FROM r UNION ALL SELECT person_id, o, 2, CAST(age_band AS VARCHAR) FROM r),
+firsts AS (SELECT k, v, ARG_MIN(person_id, o) AS person_id, ROW_NUMBER() OVER (ORDER BY k, v) AS i FROM tags GROUP BY k, v),
+full_tags AS (SELECT f.i, f.k, f.v, f.person_id, LIST(t.k || '=' || t.v) AS has FROM firsts f JOIN tags t ON t.person_id = f.person_id GROUP BY ALL),
+walk(i, seen, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])
+ UNION ALL SELECT f.i, CASE WHEN LIST_CONTAINS(w.seen, f.k || '=' || f.v) THEN w.seen ELSE LIST_CONCAT(w.seen, f.has) END, CASE WHEN LIST_CONTAINS(w.seen, f.k || '=' || f.v) THEN w.taken ELSE LIST_APPEND(w.taken, f.i) END FROM walk w JOIN full_tags f ON f.i = w.i + 1),
+taken AS (SELECT person_id, CASE k WHEN 0 THEN 'schools=' WHEN 1 THEN 'income_band=' ELSE 'age_band=' END || v AS covers_for FROM firsts WHERE i IN (SELECT UNNEST(taken) FROM walk WHERE i = (SELECT MAX(i) FROM walk))),
+pool AS (SELECT person_id, o, COALESCE(CAST(schools[1] AS VARCHAR), '') || '|' || income_band || '|' || age_band AS stratum FROM r WHERE person_id NOT IN (SELECT person_id FROM taken)),
+s AS (SELECT stratum, COUNT(*) AS size FROM pool GROUP BY stratum), left_over AS (SELECT 150 - COUNT(*) AS n FROM taken),
+q AS (SELECT stratum, size * n / (SUM(size) OVER () * 1e0) AS exact, n FROM s, left_over),
+quota AS (SELECT stratum, FLOOR(exact) + CASE WHEN ROW_NUMBER() OVER (ORDER BY ROUND(exact - FLOOR(exact), 9) DESC, stratum) <= n - SUM(FLOOR(exact)) OVER () THEN 1 ELSE 0 END AS quota FROM q),
+picked AS (SELECT person_id FROM (SELECT person_id, stratum, ROW_NUMBER() OVER (PARTITION BY stratum ORDER BY o) AS k FROM pool) p JOIN quota USING (stratum) WHERE k <= quota)
+SELECT person_id, covers_for FROM taken UNION ALL SELECT person_id, NULL FROM picked""")
 def stratified_coverage_sample(spark, sf_dir):
-    return C.stratified_sample(table(spark, sf_dir, "households"), "income_band", "household_id", 37, 500500)
+    """150 residents: every school, income and age band is there, the rest in proportion. Ordered by md5, which SQL has too."""
+    persons = table(spark, sf_dir, "persons")
+    n_schools = table(spark, sf_dir, "supplier").count()
+    kids = persons.where("grade >= 0").groupBy("household_id").agg(F.array_sort(F.collect_set(F.col("person_id") * 7 % n_schools)).alias("schools"))
+    rows = persons.where("age >= 14").join(table(spark, sf_dir, "households").select("household_id", "income_band"), "household_id").join(kids, "household_id", "left")
+    none = F.array().cast("array<bigint>")
+    rows = rows.select("person_id", F.coalesce("schools", none).alias("schools"), "income_band", F.floor(F.col("age") / 15).cast("int").alias("age_band")).withColumn("primary_school", F.get("schools", 0))
+    order = F.md5(F.concat(F.lit("cover:"), F.col("person_id").cast("string")))
+    return C.coverage_sample(rows, "person_id", ["schools", "income_band", "age_band"], ["primary_school", "income_band", "age_band"], 150, 0, order).select("person_id", "covers_for")
 
 
 @query()
 def weighted_sample_without_replacement(spark, sf_dir):
-    return C.weighted_sample(table(spark, sf_dir, "households"), "household_id", F.col("vehicles") + 1, 25, 3)
+    """Households without a car first, then others by their cars: 60 % of all. Tests hold the draw against its definition."""
+    rows = table(spark, sf_dir, "households")
+    return C.weighted_sample(rows, "household_id", F.col("vehicles"), rows.count() * 3 // 5, 3, F.col("vehicles") == 0).select("household_id", "vehicles")
 
 
 @query()
@@ -127,8 +154,9 @@ def approval_bootstrap(spark, sf_dir):
 
 @query()
 def slots_without_replacement(spark, sf_dir):
-    buildings = table(spark, sf_dir, "schools").select(F.col("school_id").alias("building_id"), F.col("curb_spots").cast("int").alias("capacity"))
-    return C.slots(buildings, 20, 5)
+    """Every household to a slot by the curb, and those that find none to schools by their spots."""
+    buildings = table(spark, sf_dir, "schools").select(F.col("school_id").alias("building_id"), (F.col("curb_spots") / 2).cast("int").alias("capacity"), F.col("curb_spots").alias("weight"))
+    return C.slots(buildings, table(spark, sf_dir, "households").count(), 5, "weight")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN u < 1 / 3e0 THEN SQRT(u * 3) ELSE 3 - SQRT((1 - u) * 6) END AS q FROM (SELECT p_partkey, (p_size - 5e-1) / 50 AS u FROM {part}) t")
