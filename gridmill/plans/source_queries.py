@@ -10,6 +10,7 @@ from gridmill.operators import spatial as P
 from gridmill.operators.network import shared_folder
 from gridmill.plans.views import table
 from gridmill.registry import query
+from gridmill.sources import playback
 from gridmill.sources import scans as S
 
 
@@ -99,3 +100,30 @@ def octree_node_select(spark, sf_dir):
     rows = spark.sql(_NODE, part=table(spark, sf_dir, "part"))
     nodes = rows.select("id", F.concat_ws("-", "depth", "x", "y", F.lit("0")).alias("key"), F.col("n").alias("count"))
     return S.hierarchy_select(nodes, (0.0, 0.0, 1000.0), (150.0, 300.0, 400.0, 900.0)).select("id")
+
+
+_SPEED = "CAST(6e1 / (1 + vc) AS DOUBLE)"
+_LOADS = f"SELECT CONCAT(variant, '-', CAST(seed AS STRING), '-loads') AS file, bin, edge_idx AS edge, vc, {_SPEED} AS speed_kph FROM {{seed_edge_bin}}"
+_WAITS = "SELECT CONCAT(variant, '-', CAST(seed AS STRING), '-loads') AS file, entrance * 7 % 48 AS bin, CONCAT('e', CAST(entrance AS STRING)) AS entrance_id, wait_min * 1e0 AS queue_len FROM {seed_school}"
+_POINTS = "SELECT CONCAT('trips-', CAST(CAST(FLOOR(trip / 4096.0) AS BIGINT) AS STRING)) AS file, trip, trip % 5 AS kind, step, edge_idx AS edge, enter_s, enter_s + dwell_s AS exit_s FROM {trajectory}"
+
+
+@query(f"""
+WITH l AS ({_LOADS.replace('STRING', 'VARCHAR')}), w AS ({_WAITS.replace('STRING', 'VARCHAR')}), p AS ({_POINTS.replace('STRING', 'VARCHAR')}),
+t AS (SELECT file, DENSE_RANK() OVER (PARTITION BY file ORDER BY trip) - 1 AS a, step - 1 AS b, kind, edge, enter_s, exit_s FROM p)
+SELECT 'edges' AS part, file, CAST(bin AS BIGINT) AS a, CAST(edge AS VARCHAR) AS b, ROUND(CAST(CAST(vc AS FLOAT) AS DOUBLE), 3) AS v, ROUND(CAST(CAST(speed_kph AS FLOAT) AS DOUBLE), 3) AS w FROM l
+UNION ALL SELECT 'queues', file, bin, entrance_id, ROUND(CAST(CAST(queue_len AS FLOAT) AS DOUBLE), 3), NULL FROM w
+UNION ALL SELECT 'trajectories', file, a, b || '/' || kind || '/' || edge, ROUND(CAST(CAST(enter_s AS FLOAT) AS DOUBLE), 3), ROUND(CAST(CAST(exit_s AS FLOAT) AS DOUBLE), 3) FROM t""")
+def playback_files_to_tables(spark, sf_dir):
+    """Loads and queues of every run and the trajectories, 4,096 trip numbers a file, written as playback files and read back; cells without load are dense zeros in the files and left out here."""
+    view = lambda name, sql: spark.sql(sql, **{name: table(spark, sf_dir, name)})
+    rows = playback.playback_rows(view("seed_edge_bin", _LOADS), view("seed_school", _WAITS), view("trajectory", _POINTS), 48, 200, [f"e{k}" for k in range(25)], 25200, 300)
+    path = _place(spark, "playback")
+    playback.register(spark)
+    rows.write.format("playback").mode("append").option("path", path).save()
+    read = lambda name: spark.read.format("playback").option("table", name).load(path).where("error is null")
+    number = lambda c: F.round(F.col(c), 3)
+    none = F.lit(None).cast("double")
+    edges = read("edges").where("vc <> 0").select(F.lit("edges").alias("part"), "file", F.col("bin").cast("long").alias("a"), F.col("edge").cast("string").alias("b"), number("vc").alias("v"), number("speed_kph").alias("w"))
+    queues = read("queues").where("queue_len <> 0").select(F.lit("queues"), "file", F.col("bin").cast("long"), "entrance_id", number("queue_len"), none)
+    return edges.union(queues).union(read("trajectories").select(F.lit("trajectories"), "file", "trajectory", F.concat_ws("/", "step", "kind", "edge"), number("enter_s"), number("exit_s")))

@@ -119,19 +119,3 @@ def hierarchy_select(nodes: DataFrame, root: tuple[float, float, float], box: tu
     side = F.lit(root[2]) / F.pow(F.lit(2.0), F.get(part, 0).cast("int"))
     x, y = (F.lit(root[i]) + F.get(part, i + 1).cast("int") * side for i in (0, 1))
     return nodes.where(F.col("count") > 0).where((x <= box[2]) & (x + side >= box[0]) & (y <= box[3]) & (y + side >= box[1]))
-
-
-def records_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Binary files of little-endian records (int32 id, float32 value) after an 8-byte head 'GRD1' and a count; bad heads give an error row."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch.path, batch.content):
-                n = int.from_bytes(content[4:8], "little")
-                if content[:4] != b"GRD1" or len(content) != 8 + 8 * n:
-                    yield pd.DataFrame({"path": [name], "id": [None], "value": [None], "error": ["bad file"]})
-                    continue
-                r = np.frombuffer(content, dtype=[("id", "<i4"), ("value", "<f4")], offset=8)
-                yield pd.DataFrame({"path": name, "id": r["id"].astype("int64"), "value": r["value"].astype("float64"), "error": None})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, id long, value double, error string")

@@ -1,5 +1,4 @@
 import json
-import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,10 +57,6 @@ def test_sinks(spark, tmp_path):
     assert {(r.ckm, r.rkm) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(0, 0), (1, 0)}
 
 
-def test_hierarchy_and_records(spark, tmp_path):
+def test_hierarchy(spark):
     nodes = spark.createDataFrame([("0-0-0-0", 5), ("1-0-0-0", 3), ("1-1-1-0", 3), ("1-1-0-0", 0)], "key string, count long")
     assert sorted(r.key for r in S.hierarchy_select(nodes, (0, 0, 100), (0, 0, 40, 40)).collect()) == ["0-0-0-0", "1-0-0-0"]
-    (tmp_path / "ok.bin").write_bytes(b"GRD1" + (2).to_bytes(4, "little") + struct.pack("<if", 1, 0.5) + struct.pack("<if", 2, 1.5))
-    (tmp_path / "bad.bin").write_bytes(b"nope")
-    rows = S.records_scan(spark, str(tmp_path / "*.bin")).collect()
-    assert sorted((r.id, r.value) for r in rows if r.error is None) == [(1, 0.5), (2, 1.5)] and sum(r.error == "bad file" for r in rows) == 1
