@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridmill.functions import landcover as L
 from gridmill.functions import rules as R
 from gridmill.operators import choice as C
 from gridmill.operators import population as P
@@ -83,31 +84,41 @@ SELECT id, ROUND({_smooth('e', 0.04, 0.12)} * {_smooth('v', 60, 90)}, 6) AS lawn
  ROUND({_smooth('d', 8, 25)} * (1 - {_smooth('v', 80, 120)}) * (1 - {_smooth('e', 0.02, 0.08)}), 6) AS water, ROUND({_CANOPY}, 6) AS canopy FROM q""")
 def pixel_classes(spark, sf_dir):
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(_id(), *R.land_covers(k % 256 * 1.0, F.col("p_size") * 5.0, k % 90 * 1.0))
-    return rows.select("id", *[F.round(c, 6).alias(c) for c in R.COVERS])
+    rows = table(spark, sf_dir, "part").select(_id(), *L.by_colour(k % 256 * 1.0, F.col("p_size") * 5.0, k % 90 * 1.0))
+    return rows.select("id", *[F.round(c, 6).alias(c) for c in L.COVERS])
 
 
 _COVERED = """SELECT p_partkey AS id, p_partkey % 7 / 6e0 AS lawn, p_partkey % 5 / 4e0 AS scrub, p_partkey % 3 / 2e0 AS dirt, p_partkey % 11 / 1e1 AS paved, p_size % 4 / 3e0 AS water, p_size % 6 / 5e0 AS canopy,
  p_size % 2 * 1e0 AS m_lawn, p_size % 3 / 2e0 AS m_dirt, p_size % 5 / 4e0 AS m_wild, p_partkey % 4 / 3e0 AS m_paved, p_partkey % 6 / 5e0 AS m_water, p_size / 5e0 AS chm, p_size / 6e0 AS ndsm, p_partkey % 13 / 3e0 - 2 AS change,
- p_partkey % 256 * 1e0 AS v, p_partkey % 10 / 2e1 AS sat FROM {part}"""
+ p_partkey % 256 * 1e0 AS v, p_partkey % 10 / 2e1 AS sat, p_size % 7 / 6e0 AS m_green, p_size % 9 / 8e0 AS m_trail, p_partkey % 17 / 1.6e1 AS p_forest, p_partkey % 19 / 1.8e1 AS p_shrub, p_partkey % 23 / 2.2e1 AS p_grass,
+ p_size % 11 / 1e1 AS p_barren, p_size % 13 / 1.2e1 AS p_crop, p_partkey % 29 / 2.8e1 AS p_wetland FROM {part}"""
 
 
-def _chain(steps):
-    """The steps as nested selects for the SQL side."""
-    sql, names = f"({_COVERED}) t0", ["id", "lawn", "scrub", "dirt", "paved", "water", "canopy", "m_lawn", "m_dirt", "m_wild", "m_paved", "m_water", "chm", "ndsm", "change", "v", "sat"]
-    import re
+def _sets(sql, **columns):
+    """A select around sql in which some columns are set anew, or added."""
+    return f"(SELECT * EXCLUDE ({', '.join(columns)}), {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {sql})"
 
-    for i, step in enumerate(steps, 1):
-        names += [c for c in step if c not in names]
-        plain = {c: re.sub(r"(?<=[0-9])D\b", "", e) for c, e in step.items()}
-        sql = f"(SELECT {', '.join(f'CAST({plain[c]} AS DOUBLE) AS {c}' if c in plain else c for c in names)} FROM {sql}) t{i}"
-    return sql
 
+def _overridden():
+    """What the evidence makes of the covers, worked out in SQL on its own."""
+    t = f"(SELECT *, 0 AS fresh, 0 AS tree, 0 AS shrub, 0 AS flat, 0 AS grey FROM ({_COVERED}))"
+    t = _sets(t, lawn="lawn * (1 - m_lawn) + m_lawn * GREATEST(lawn, 1 - 0.4 * canopy)", scrub="scrub - 0.8 * m_lawn * scrub", dirt="dirt - 0.6 * m_lawn * dirt")
+    t = _sets(t, dirt="GREATEST(dirt, m_dirt)", lawn="lawn - 0.8 * m_dirt * lawn")
+    t = _sets(t, scrub="scrub + 0.8 * m_wild * lawn", lawn="lawn - 0.8 * m_wild * lawn")
+    t = _sets(t, canopy="canopy + 0.35 * p_forest + 0.2 * p_wetland", scrub="scrub + 0.35 * p_shrub + 0.2 * p_grass", dirt="dirt + 0.1 * p_grass + 0.4 * p_barren + 0.15 * p_crop", lawn="lawn + 0.15 * p_crop", water="water + 0.1 * p_wetland")
+    t = _sets(t, fresh=f"1 - {_smooth('ABS(change)', 0.9, 1.5)}")
+    t = _sets(t, tree=_smooth("(chm * fresh)", 2.4, 3.6), shrub=f"{_smooth('(ndsm * fresh)', 1.0, 2.0)} * (1 - {_smooth('(ndsm * fresh)', 3.0, 4.5)})", flat=f"1 - {_smooth('(ndsm * fresh)', 0.2, 1.0)}")
+    t = _sets(t, canopy="GREATEST(canopy, 1.5 * tree)", **{c: f"{c} * (1 - 0.8 * tree)" for c in ("lawn", "scrub", "dirt", "paved", "water")})
+    t = _sets(t, scrub="scrub + 0.6 * shrub * (1 - LEAST(GREATEST(lawn, 0), 1))", lawn="lawn * (1 - 0.5 * shrub) + 0.5 * flat * canopy * (1 - 0.7 * flat)", canopy="canopy * (1 - 0.7 * flat)")
+    t = _sets(t, lawn="GREATEST(lawn, 0.7 * m_green)", scrub="GREATEST(scrub, 0.3 * m_green)", dirt="GREATEST(dirt, 1.5 * m_trail)")
+    t = _sets(t, grey=f"m_water * {_smooth('v', 150, 190)} * (1 - {_smooth('sat', 0.15, 0.3)})", paved="paved * (1 - m_paved) + m_paved", **{c: f"{c} * (1 - m_paved)" for c in ("lawn", "scrub", "dirt", "water", "canopy")})
+    return _sets(t, water="water * (1 - m_water) + m_water - grey", paved="paved * (1 - m_water) + grey", **{c: f"{c} * (1 - m_water)" for c in ("lawn", "scrub", "dirt", "canopy")})
 
-@query(f"SELECT id, {', '.join(f'ROUND({c}, 6) AS {c}' for c in R.COVERS)} FROM {_chain(R.override_steps(3.0, 2.0, 1.5))}")
+
+@query(f"SELECT id, {', '.join(f'ROUND(CAST({c} AS DOUBLE), 9) AS {c}' for c in L.COVERS)} FROM {_overridden()}")
 def landcover_overrides(spark, sf_dir):
     rows = spark.sql(_COVERED, part=table(spark, sf_dir, "part"))
-    return R.landcover_overrides(rows, 3.0, 2.0, 1.5).select("id", *[F.round(c, 6).alias(c) for c in R.COVERS])
+    return L.landcover_overrides(rows, 3.0, 2.0, 1.5).select("id", *[F.round(c, 9).alias(c) for c in L.COVERS])
 
 
 def _shoulder(refl):
@@ -260,10 +271,19 @@ def jobs_from_footprints(spark, sf_dir):
     return P.footprint_jobs(homes, nodes, 2.5).select("node_id", F.round("jobs", 4).alias("jobs"), F.round("share", 8).alias("share"))
 
 
-@query("SELECT ROUND(SUM(l_discount) / SUM(l_discount + l_tax), 8) AS a, ROUND(SUM(l_tax) / SUM(l_discount + l_tax), 8) AS b FROM {lineitem}")
+_PIXEL = "SELECT p_brand, " + ", ".join(f"p_partkey * {k} % 97 * 1e0 AS {c}" for c, k in zip(L.COVERS, (1, 5, 11, 17, 23, 31))) + " FROM {part}"
+
+
+@query(f"""
+WITH p AS ({_PIXEL}), w AS (SELECT p_brand, [{', '.join(L.COVERS)}] AS w FROM p),
+s AS (SELECT p_brand, CASE WHEN list_sum(w) > 0 THEN list_transform(w, lambda x: x / list_sum(w)) ELSE [0, 1, 0, 0, 0, 0] END AS w FROM w),
+b AS (SELECT p_brand, w, list_transform(w, lambda x: FLOOR(x * 255 / list_sum(w))) AS f FROM s),
+c AS (SELECT p_brand, UNNEST(list_transform(range(1, 7), lambda i: {{'cover': {list(L.COVERS)}[i], 'n': f[i] + CASE WHEN i = list_position(w, list_max(w)) THEN 255 - list_sum(f) ELSE 0 END}})) AS c FROM b)
+SELECT p_brand AS tile, c.cover AS cover, ROUND(AVG(c.n) / 255, 6) AS share FROM c GROUP BY 1, 2""")
 def landcover_shares(spark, sf_dir):
-    both = F.sum(F.col("l_discount") + F.col("l_tax"))
-    return table(spark, sf_dir, "lineitem").agg(F.round(F.sum("l_discount") / both, 8).alias("a"), F.round(F.sum("l_tax") / both, 8).alias("b"))
+    """Six covers a pixel, as bytes, and their mean share in each tile."""
+    rows = spark.sql(_PIXEL, part=table(spark, sf_dir, "part")).withColumnRenamed("p_brand", "tile")
+    return L.mean_shares(rows, ["tile"]).withColumn("share", F.round("share", 6))
 
 
 @query("SELECT ARG_MAX(o_orderkey, ROW(-ROUND(o_totalprice % 100, 4), o_orderdate, o_orderkey)) AS scene FROM (SELECT * FROM {orders} WHERE o_totalprice < 1e5 ORDER BY o_totalprice, o_orderkey LIMIT 8) t")
