@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -19,6 +20,18 @@ def _events(spark, sf_dir):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+@contextmanager
+def _rocks(spark):
+    """The state store that processors with several states need, while a stream is made and runs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def _drained(stream, mode: str, more: str = ""):
     """All rows a streaming query emits for the input there is now, from a table in the checkpoint folder."""
     spark = stream.sparkSession
@@ -67,7 +80,8 @@ SELECT q.event_id, q.entrance, CASE WHEN q.wait <= a.p THEN ROUND(q.wait, 3) END
 def streaming_curb_queue(spark, sf_dir):
     """Twenty minutes and more a car, so that queues form and some leave; rows up to the watermark are served."""
     rows = _events(spark, sf_dir).select((F.col("user_id") % 7).cast("long").alias("entrance"), "event_id", F.unix_micros("ts").alias("us"), (1200.0 + F.col("event_id") % 4 * 600).alias("service"), (900.0 + F.col("event_id") % 3 * 1800).alias("patience"), "ts")
-    return _drained(jobs.curb_queue(rows.withColumn("arr_s", F.col("us") / 1e6).drop("us")), "append").withColumn("wait", F.round("wait", 3))
+    with _rocks(spark):  # a day's rows wait in a list: events are sparse
+        return _drained(jobs.curb_queue(rows.withColumn("arr_s", F.col("us") / 1e6).drop("us"), stretch_s=86400), "append").withColumn("wait", F.round("wait", 3))
 
 
 @query("SELECT event_id, 'took ' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) || ' min' AS text FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) IN (1, 2, 3)")
@@ -81,8 +95,20 @@ WITH l AS (SELECT user_id % 20 AS plan_id, event_id % 40 AS player_id, ARG_MAX(C
 SELECT plan_id, SUM(value) AS votes FROM l GROUP BY plan_id""")
 def streaming_vote_totals(spark, sf_dir):
     """The last total of each plan in the changelog."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     value = F.when(F.col("event_type").isin("click", "purchase"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
     rows = _events(spark, sf_dir).select((F.col("user_id") % 20).cast("long").alias("plan_id"), (F.col("event_id") % 40).alias("player_id"), value.alias("value"), "ts", "event_id")
-    log = _drained(jobs.vote_totals(rows), "update", ", batch long")
+    with _rocks(spark):
+        log = _drained(jobs.vote_totals(rows), "update", ", batch long")
     return log.groupBy("plan_id").agg(F.max_by("votes", "batch").alias("votes"))
+
+
+@query("""
+WITH m AS (SELECT user_id % 40 AS player_id, event_id % 5 AS persona_id, event_type || ' ' || CAST(event_id AS VARCHAR) AS text, EPOCH_MS(ts) AS ms, event_id FROM events),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY player_id, persona_id ORDER BY ms DESC, event_id DESC) AS k, MAX(ms) OVER (PARTITION BY player_id, persona_id) AS last FROM m)
+SELECT player_id, persona_id, STRING_AGG(text, '|' ORDER BY ms, event_id) AS messages FROM r WHERE k <= 10 AND ms > last - 1296000000 GROUP BY 1, 2""")
+def streaming_chat_history(spark, sf_dir):
+    """The last ten messages of every player with every persona, within fifteen days: the last state in the changelog."""
+    rows = _events(spark, sf_dir).select((F.col("user_id") % 40).alias("player_id"), (F.col("event_id") % 5).alias("persona_id"), "event_id", F.concat_ws(" ", "event_type", "event_id").alias("text"), "ts")
+    with _rocks(spark):
+        log = _drained(jobs.chat_history(rows, 10, 15 * 86400), "update", ", batch long")
+    return log.groupBy("player_id", "persona_id").agg(F.array_join(F.max_by("messages", "batch"), "|").alias("messages"))
