@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridmill.operators import grid as G
+from gridmill.operators.ground import triangulated
 from gridmill.plans.views import table
 from gridmill.registry import query
 
@@ -42,6 +43,14 @@ def surface_model(spark, sf_dir):
     return out.select("row", "col", *[F.round(c, 5).alias(c) for c in ("dtm", "dsm", "height")])
 
 
+@query()
+def ground_by_triangles(spark, sf_dir):
+    """Bare ground where nothing but other returns are: tests hold it against triangles found one by one."""
+    ground = table(spark, sf_dir, "points").where("cls = 7")
+    cells = G.cell_stats(ground, 0, 200, 2, "z").select("row", "col", F.col("mean_v").alias("z"))
+    return triangulated(cells, "z")
+
+
 _CELLS = f"SELECT {_at(5.0)}, MAX(z) AS v FROM {{points}} GROUP BY 1, 2"
 
 
