@@ -204,3 +204,19 @@ def arc_length(points: DataFrame, by: str, order: str) -> DataFrame:
     along = W.partitionBy(by).orderBy(order)
     step = F.hypot(F.col("x") - F.lag("x").over(along), F.col("z") - F.lag("z").over(along))
     return points.withColumn("step_m", F.coalesce(step, F.lit(0.0))).withColumn("along_m", F.sum("step_m").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+
+def direction_shares(directions: DataFrame, exits: DataFrame, sigma_deg: float) -> DataFrame:
+    """exit_id, share: each direction's share split over the exits by a Gaussian kernel on the angle between them; where all exits are too far for that, evenly over the nearest.
+
+    directions: bearing, share, a table of parameters that every exit meets;
+    exits: exit_id, exit_bearing. Shares sum to those of the directions.
+    """
+    met = exits.join(F.broadcast(directions.select("bearing", "share").withColumn("direction", F.monotonically_increasing_id())))
+    met = met.withColumn("gap", circular_gap(F.col("bearing"), F.col("exit_bearing"))).withColumn("w", F.exp(-0.5 * F.pow(F.col("gap") / sigma_deg, F.lit(2.0))))
+    sums = met.groupBy("direction").agg(F.sum("w").alias("total"), F.min("gap").alias("least"), F.count("*").alias("n"))
+    ties = met.join(F.broadcast(sums), "direction")
+    w = F.when(F.col("total") >= 1e-6, F.col("w")).otherwise((F.col("gap") == F.col("least")).cast("double"))
+    even = ties.withColumn("w", w)
+    whole = even.groupBy("direction").agg(F.sum("w").alias("whole"))
+    return even.join(F.broadcast(whole), "direction").groupBy("exit_id").agg(F.sum(F.col("share") * F.col("w") / F.col("whole")).alias("share"))

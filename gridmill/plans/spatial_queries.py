@@ -168,3 +168,17 @@ def area_weighted_centroid(spark, sf_dir):
     rows = table(spark, sf_dir, "schools").withColumn("school_id", F.col("school_id") % 5).withColumn("a", F.col("g1") - F.col("g0") + 1).join(table(spark, sf_dir, "nodes"), "node_id")
     at = lambda c: F.round(F.sum(F.col("a") * F.col(c)) / F.sum("a"), 6)
     return rows.groupBy("school_id").agg(at("x").alias("cx"), at("z").alias("cz"))
+
+
+@query("""
+WITH d AS (SELECT n_nationkey AS k, n_nationkey * 47 % 360 * 1e0 AS bearing, (n_nationkey % 5 + 1) / 75e0 AS share FROM {nation}), e AS (SELECT s_suppkey AS exit_id, s_suppkey * 5 % 90 + 2e1 AS exit_bearing FROM {supplier}),
+m AS (SELECT k, share, exit_id, LEAST((bearing - exit_bearing + 720) % 360, 360 - (bearing - exit_bearing + 720) % 360) AS gap FROM d CROSS JOIN e),
+w AS (SELECT *, EXP(-0.5 * POW(gap / 12, 2)) AS g, SUM(EXP(-0.5 * POW(gap / 12, 2))) OVER (PARTITION BY k) AS total, MIN(gap) OVER (PARTITION BY k) AS least FROM m),
+v AS (SELECT *, CASE WHEN total >= 1e-6 THEN g WHEN gap = least THEN 1e0 ELSE 0 END AS u FROM w)
+SELECT exit_id, ROUND(SUM(s), 8) AS share FROM (SELECT exit_id, share * u / SUM(u) OVER (PARTITION BY k) AS s FROM v) t GROUP BY exit_id""")
+def direction_shares(spark, sf_dir):
+    """Exits lie in one quarter of the circle, so that some directions are far from all of them."""
+    k = F.col("n_nationkey")
+    directions = table(spark, sf_dir, "nation").select((k * 47 % 360 * 1.0).alias("bearing"), ((k % 5 + 1) / 75.0).alias("share"))
+    exits = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("exit_id"), (F.col("s_suppkey") * 5 % 90 + 20.0).alias("exit_bearing"))
+    return S.direction_shares(directions, exits, 12.0).withColumn("share", F.round("share", 8))
