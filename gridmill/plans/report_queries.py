@@ -104,9 +104,12 @@ def report_bins(spark, sf_dir):
 WITH k AS ({_PEAKS}), m AS (SELECT edge_idx, MEDIAN(max_vc) FILTER (WHERE variant = 'baseline') AS b, MEDIAN(max_vc) FILTER (WHERE variant = 'plan') AS p FROM k GROUP BY edge_idx),
 n AS (SELECT edge_idx, max_bin, COUNT(*) AS c FROM k WHERE variant = 'plan' GROUP BY edge_idx, max_bin),
 t AS (SELECT edge_idx, max_bin AS peak_bin FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY edge_idx ORDER BY c DESC, max_bin) AS r FROM n) WHERE r = 1)
-SELECT edge_idx, ROUND(b, 6) AS base_vc, ROUND(p, 6) AS plan_vc, ROUND(p - b, 6) AS rise, peak_bin FROM m JOIN t USING (edge_idx) WHERE b < 1.2 AND p >= 1.2 ORDER BY rise DESC, edge_idx LIMIT 25""")
+SELECT edge_idx, ROUND(b, 6) AS base_vc, ROUND(p, 6) AS plan_vc, ROUND(p - b, 6) AS rise, peak_bin FROM m JOIN t USING (edge_idx) WHERE b < (SELECT MEDIAN(max_vc) FROM k) AND p >= (SELECT MEDIAN(max_vc) FROM k) ORDER BY rise DESC, edge_idx LIMIT 25""")
 def side_effects(spark, sf_dir):
-    return R.side_effects(_peaks(spark, sf_dir), 1.2, 25)
+    """Edges that cross the median peak of all, a limit that fits any scale of the table."""
+    peaks = _peaks(spark, sf_dir)
+    limit = peaks.agg(F.percentile("max_vc", F.lit(0.5))).first()[0]
+    return R.side_effects(peaks, limit, 25)
 
 
 @query("SELECT edge_idx, ROUND(MEDIAN(max_vc), 6) AS median_vc FROM (" + _PEAKS + ") t GROUP BY edge_idx ORDER BY median_vc DESC, edge_idx LIMIT 10")
