@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -132,14 +130,46 @@ def best_shift(mask: DataFrame, other: DataFrame, reach: int) -> DataFrame:
     return ratio.agg(best.alias("s"), F.max("iou").alias("iou"), F.coalesce(F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.col("iou"))), F.lit(0.0)).alias("iou_unshifted")).select("s.dr", "s.dc", "iou", "iou_unshifted")
 
 
-def error_summary(df: DataFrame, error: str, by: list[str]) -> DataFrame:
-    """n, median, mean, MAE, RMSE, share within 1 and 2, p5 and p95, for all and for each value of each column of `by`."""
-    e = F.col(error)
-    sets = [[], *[[c] for c in by]]
-    q = F.percentile(e, F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95)))
-    parts = []
-    for group in sets:
-        agg = df.groupBy(*group).agg(F.count(e).alias("n"), q.alias("q"), F.avg(e).alias("mean"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg((F.abs(e) <= 1).cast("int")).alias("within_1"), F.avg((F.abs(e) <= 2).cast("int")).alias("within_2"))
-        name = F.concat(F.lit(f"{group[0]}="), F.col(group[0]).cast("string")) if group else F.lit("all")
-        parts.append(agg.select(name.alias("part"), "n", F.get("q", 0).alias("median"), "mean", "mae", "rmse", "within_1", "within_2", F.get("q", 1).alias("p5"), F.get("q", 2).alias("p95")))
-    return reduce(DataFrame.union, parts)
+def exact_quantiles(rows: DataFrame, shares: list[float], most: int = 65536, bins: int = 1024) -> DataFrame:
+    """part, share, value: linearly interpolated quantiles of each part, as `percentile` has them, without a part's values in one place.
+
+    rows: part (not null), v (no null, no NaN). Each rank is looked for in a
+    range of values: counts of equal slices tell the slice it is in, whose least
+    and largest values are the next range, until no more than `most` rows are in
+    it; these are sorted.
+    """
+    from gridmill.operators.network import kept
+
+    rows = kept(rows.select("part", F.col("v").cast("double").alias("v")))
+    ends = rows.groupBy("part").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    place = F.col("share") * (F.col("n") - 1)
+    goals = ends.withColumn("share", F.explode(F.array(*[F.lit(float(q)) for q in shares]))).withColumn("above", F.explode(F.array(F.lit(0), F.lit(1))))
+    goals = kept(goals.select("part", "share", "above", (place - F.floor(place)).alias("rest"), F.least(F.floor(place) + F.col("above"), F.col("n") - 1).alias("k"), "lo", "hi", F.col("n").alias("inside")))
+    wide = (F.col("lo") < F.col("hi")) & (F.col("inside") > most)
+    while not goals.where(wide).isEmpty():
+        ranges = goals.where(wide).select("part", "lo", "hi").distinct()
+        slice_ = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1))
+        counts = rows.join(ranges, "part").where("v between lo and hi").groupBy("part", "lo", "hi", slice_.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        upto = F.sum("c").over(W.partitionBy("part", "lo", "hi").orderBy("bin"))  # `bins` rows at most
+        counts = counts.withColumn("below", upto - F.col("c"))
+        narrowed = goals.where(wide).join(counts, ["part", "lo", "hi"]).where((F.col("k") >= F.col("below")) & (F.col("k") < F.col("below") + F.col("c")))
+        narrowed = narrowed.select("part", "share", "above", "rest", (F.col("k") - F.col("below")).alias("k"), F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("c").alias("inside"))
+        goals = kept(goals.where(~wide).union(narrowed))
+    order = F.row_number().over(W.partitionBy("part", "share", "above").orderBy("v"))
+    near = rows.join(goals.where("lo < hi"), "part").where("v between lo and hi").withColumn("at", order).where("at = k + 1").select("part", "share", "above", "rest", "v")
+    found = near.union(goals.where("lo = hi").select("part", "share", "above", "rest", F.col("lo")))
+    pair = found.groupBy("part", "share").agg(F.max(F.when(F.col("above") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("above") == 1, F.col("v"))).alias("b"), F.max("rest").alias("rest"))
+    return pair.select("part", "share", (F.col("a") + (F.col("b") - F.col("a")) * F.col("rest")).alias("value"))
+
+
+def error_summary(df: DataFrame, error: str, by: list[str], pair: tuple[str, str] | None = None) -> DataFrame:
+    """n, median, mean, MAE, RMSE, share within 1 and 2, p5 and p95, for all and for each value of each column of `by`; with a pair of columns also their correlation. Rows without an error (null or NaN) don't count."""
+    e = F.col("v")
+    named = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in by]
+    two = [F.col(c).cast("double").alias(n) for c, n in zip(pair, ("left", "right"))] if pair else []
+    rows = df.where(F.col(error).isNotNull() & ~F.isnan(F.col(error).cast("double"))).select(F.explode(F.array(F.lit("all"), *named)).alias("part"), F.col(error).cast("double").alias("v"), *two)
+    sums = [F.count(e).alias("n"), F.avg(e).alias("mean"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg((F.abs(e) <= 1).cast("int")).alias("within_1"), F.avg((F.abs(e) <= 2).cast("int")).alias("within_2")]
+    agg = rows.groupBy("part").agg(*sums, *([F.corr("left", "right").alias("corr")] if pair else []))
+    q = exact_quantiles(rows, [0.05, 0.5, 0.95])
+    q = q.groupBy("part").agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in ((0.5, "median"), (0.05, "p5"), (0.95, "p95"))])
+    return agg.join(q, "part").select("part", "n", "median", "mean", "mae", "rmse", "within_1", "within_2", "p5", "p95", *(["corr"] if pair else []))

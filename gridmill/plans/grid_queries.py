@@ -112,10 +112,10 @@ def shift_iou(spark, sf_dir):
 
 def _errors(part, group=""):
     q = ", ".join(f"ROUND(QUANTILE_CONT(e, {p}), 6) AS {n}" for p, n in ((0.5, "median"), (0.05, "p5"), (0.95, "p95")))
-    return f"SELECT {part} AS part, COUNT(*) AS n, {q}, ROUND(AVG(e), 6) AS mean, ROUND(AVG(ABS(e)), 6) AS mae, ROUND(SQRT(AVG(e * e)), 6) AS rmse, ROUND(AVG(CASE WHEN ABS(e) <= 1 THEN 1e0 ELSE 0 END), 6) AS within_1, ROUND(AVG(CASE WHEN ABS(e) <= 2 THEN 1e0 ELSE 0 END), 6) AS within_2 FROM t {group}"
+    return f"SELECT {part} AS part, COUNT(*) AS n, {q}, ROUND(AVG(e), 6) AS mean, ROUND(AVG(ABS(e)), 6) AS mae, ROUND(SQRT(AVG(e * e)), 6) AS rmse, ROUND(AVG(CASE WHEN ABS(e) <= 1 THEN 1e0 ELSE 0 END), 6) AS within_1, ROUND(AVG(CASE WHEN ABS(e) <= 2 THEN 1e0 ELSE 0 END), 6) AS within_2, ROUND(CORR(z, x), 6) AS corr FROM t {group}"
 
 
-@query(f"WITH t AS (SELECT cls, (z - 25) / 10 AS e FROM {{points}}) {_errors(chr(39) + 'all' + chr(39))} UNION ALL {_errors('CONCAT(' + chr(39) + 'cls=' + chr(39) + ', cls)', 'GROUP BY cls')}")
+@query(f"WITH t AS (SELECT cls, (z - 25) / 10 AS e, z, x FROM {{points}}) {_errors(chr(39) + 'all' + chr(39))} UNION ALL {_errors('CONCAT(' + chr(39) + 'cls=' + chr(39) + ', cls)', 'GROUP BY cls')}")
 def error_summary(spark, sf_dir):
-    out = G.error_summary(table(spark, sf_dir, "points").select("cls", ((F.col("z") - 25) / 10).alias("e")), "e", ["cls"])
+    out = G.error_summary(table(spark, sf_dir, "points").select("cls", ((F.col("z") - 25) / 10).alias("e"), "z", "x"), "e", ["cls"], ("z", "x"))
     return out.select("part", "n", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
