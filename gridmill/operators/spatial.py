@@ -220,3 +220,46 @@ def direction_shares(directions: DataFrame, exits: DataFrame, sigma_deg: float)
     even = ties.withColumn("w", w)
     whole = even.groupBy("direction").agg(F.sum("w").alias("whole"))
     return even.join(F.broadcast(whole), "direction").groupBy("exit_id").agg(F.sum(F.col("share") * F.col("w") / F.col("whole")).alias("share"))
+
+
+def ring_centroid(ring: Column) -> tuple[Column, Column]:
+    """Area-weighted centroid (x, z) of a closed ring; null for rings without area."""
+    at = lambda k: F.get(ring, k)
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("z"))
+
+    def add(s, k):
+        p, q, o = at(k), at(k + 1), at(F.lit(0))  # from the first corner, so that far places lose no digits
+        px, pz, qx, qz = p["x"] - o["x"], p["z"] - o["z"], q["x"] - o["x"], q["z"] - o["z"]
+        cross = px * qz - qx * pz
+        return F.struct((s["a"] + cross).alias("a"), (s["x"] + (px + qx) * cross).alias("x"), (s["z"] + (pz + qz) * cross).alias("z"))
+
+    s = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(ring) - 2, F.lit(0))), start, add)
+    area = F.when(s["a"] != 0, s["a"] * 3)
+    return at(F.lit(0))["x"] + s["x"] / area, at(F.lit(0))["z"] + s["z"] / area
+
+
+def zonal_cells(polygons: DataFrame, cells: DataFrame, key: str, x0: float, z1: float, size: float) -> DataFrame:
+    """What a raster holds inside each polygon: key, covered, cover, points, density, median, p90, eave (p5), ridge (p99).
+
+    polygons: key, ring array<struct<x, z>>; cells: row, col, v, n (its points);
+    row 0 is at z1 and x0, empty cells have no row. covered counts the cells
+    whose centre lies inside, cover is the share of these with a value, density
+    the points a square metre of them. A polygon that covers no centre takes the
+    value of the cell under its centroid, with covered 0; null where that is empty.
+    """
+    span = lambda lo, hi: F.when(F.ceil(lo) <= F.floor(hi), F.sequence(F.ceil(lo), F.floor(hi)))
+    xs, zs = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["z"])
+    rows = polygons.withColumn("row", F.explode(span((z1 - F.array_max(zs)) / size - 0.5, (z1 - F.array_min(zs)) / size - 0.5)))
+    inside = rows.withColumn("col", F.explode(span((F.array_min(xs) - x0) / size - 0.5, (F.array_max(xs) - x0) / size - 0.5)))
+    inside = inside.where(in_ring(x0 + (F.col("col") + 0.5) * size, z1 - (F.col("row") + 0.5) * size, F.col("ring"))).select(key, "row", "col")
+    held = inside.join(cells.select("row", "col", "v", "n"), ["row", "col"], "left")
+    q = F.percentile("v", F.array(*[F.lit(s) for s in (0.5, 0.9, 0.05, 0.99)]))
+    sums = held.groupBy(key).agg(F.count("*").alias("covered"), F.avg(F.col("v").isNotNull().cast("int")).alias("cover"), F.coalesce(F.sum("n"), F.lit(0)).alias("points"), q.alias("q"))
+    sums = sums.withColumn("density", F.col("points") / (F.col("covered") * size * size))
+    names = ("median", "p90", "eave", "ridge")
+    full = sums.select(key, "covered", "cover", "points", "density", *[F.get("q", i).alias(c) for i, c in enumerate(names)])
+    cx, cz = ring_centroid(F.col("ring"))
+    bare = polygons.join(sums.select(key), key, "left_anti").select(key, F.floor((z1 - cz) / size).alias("row"), F.floor((cx - x0) / size).alias("col"))
+    under = bare.join(cells.select("row", "col", "v"), ["row", "col"], "left")
+    none = F.lit(None).cast("double")
+    return full.union(under.select(key, F.lit(0), none, F.lit(0), none, *["v"] * 4))
