@@ -164,108 +164,6 @@ def strong_components_two_way(edges: DataFrame, max_rounds: int = 1000) -> DataF
     return placed.join(least, "c").select("node_id", "component")
 
 
-def block_distances(edges: DataFrame, anchors: DataFrame, cost: str, block: int, max_rounds: int = 1000) -> DataFrame:
-    """As distances, but a round settles whole blocks of `block` consecutive node ids, so rounds follow the blocks that a path crosses.
-
-    A block's nodes and edges meet in one task for all anchors: block x anchors
-    rows, which the caller bounds.
-    """
-    step = cheapest_edges(edges, cost).select("u", "v", "edge_idx", "cost")
-    step = kept(step.withColumn("block", F.floor(F.col("v") / block)).union(step.withColumn("block", F.floor(F.col("u") / block))).distinct())
-    schema = "anchor long, node_id long, dist double, next_edge long, block long, fresh boolean"
-    start = anchors.select(F.col("node_id").alias("anchor"), "node_id").distinct()
-    best = kept(start.select("anchor", "node_id", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("next_edge"), F.floor(F.col("node_id") / block).alias("block"), F.lit(True).alias("fresh")))
-    for _ in range(max_rounds):
-        if best.where("fresh").isEmpty():
-            return best.select("anchor", "node_id", "dist", "next_edge")
-        # what changed is told to every block that has an edge into it
-        told = best.where("fresh").join(step.select(F.col("v").alias("node_id"), F.col("block").alias("to")).distinct(), "node_id").where("to <> block")
-        seeds = best.select("block", "anchor", "node_id", "dist", "next_edge", "fresh").union(told.select("to", "anchor", "node_id", "dist", "next_edge", F.lit(True)))
-        touched = seeds.where("fresh").select("block").distinct()
-        calm = best.join(touched, "block", "left_anti").withColumn("fresh", F.lit(False)).select("anchor", "node_id", "dist", "next_edge", "block", "fresh")
-        moved = seeds.join(touched, "block", "left_semi").groupBy("block").cogroup(step.join(touched, "block", "left_semi").groupBy("block")).applyInPandas(_settle(block), schema)
-        old, best = best, kept(calm.union(moved))
-        forget(old)
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-
-
-def block_paths(tree: DataFrame, edges: DataFrame, starts: DataFrame, block: int, max_rounds: int = 1000) -> DataFrame:
-    """As paths, but a round walks as far as a block of `block` consecutive node ids reaches, so rounds follow the blocks that a path crosses."""
-    at = F.floor(F.col("at") / block)
-    hop = tree.where("next_edge is not null").join(edges.select(F.col("edge_idx").alias("next_edge"), F.col("v").alias("head")), "next_edge")
-    hop = kept(hop.select("anchor", F.col("node_id").alias("at"), "next_edge", "head").withColumn("block", at))
-    schema = "anchor long, start long, at long, path array<long>, block long"
-    walk = kept(starts.select("anchor", F.col("node_id").alias("start"), F.col("node_id").alias("at"), F.array().cast("array<long>").alias("path")).withColumn("block", at))
-    done = None
-    for _ in range(max_rounds):
-        arrived = kept(walk.where(F.col("at") == F.col("anchor")).select("anchor", "start", "path"))
-        done = arrived if done is None else done.union(arrived)
-        left = walk.where(F.col("at") != F.col("anchor"))
-        if left.isEmpty():
-            return done
-        old, walk = walk, kept(left.groupBy("block").cogroup(hop.groupBy("block")).applyInPandas(_walk(block), schema))
-        forget(old)
-    raise RuntimeError(f"a path crosses more than {max_rounds} blocks")
-
-
-def _walk(block: int):
-    """Every walker of one block goes on until it leaves the block or arrives. One that has nowhere to go is an error: the tree is broken."""
-    import pandas as pd
-
-    def run(walkers: pd.DataFrame, hop: pd.DataFrame) -> pd.DataFrame:
-        step = {(a, n): (e, h) for a, n, e, h in zip(hop["anchor"].tolist(), hop["at"].tolist(), hop["next_edge"].tolist(), hop["head"].tolist())}
-        out = []
-        for anchor, start, at, path in zip(walkers["anchor"].tolist(), walkers["start"].tolist(), walkers["at"].tolist(), walkers["path"]):
-            own, here = list(path), at // block
-            while at != anchor and at // block == here:
-                if (anchor, at) not in step:
-                    raise ValueError(f"no next edge at node {at} on the way from {start} to {anchor}")
-                edge, at = step[anchor, at]
-                own.append(edge)
-            out.append((anchor, start, at, own, at // block))
-        return pd.DataFrame(out, columns=["anchor", "start", "at", "path", "block"])
-
-    return run
-
-
-def _settle(block: int):
-    """Dijkstra inside one block from the distances told, for each anchor."""
-    import heapq
-
-    import pandas as pd
-
-    def run(seeds: pd.DataFrame, step: pd.DataFrame) -> pd.DataFrame:
-        number = int(seeds["block"].iloc[0])
-        into: dict[int, list] = {}
-        for u, v, e, c in zip(step["u"].tolist(), step["v"].tolist(), step["edge_idx"].tolist(), step["cost"].tolist()):
-            if u // block == number:
-                into.setdefault(v, []).append((u, e, c))
-        out = []
-        for anchor, own in seeds.groupby("anchor"):
-            best: dict[int, tuple] = {}
-            for n, d, e in zip(own["node_id"].tolist(), own["dist"].tolist(), own["next_edge"].tolist()):
-                e = -1 if e is None or e != e else int(e)
-                if n not in best or (d, e) < best[n]:
-                    best[n] = (d, e)
-            was = {n: (d, -1 if e is None or e != e else int(e)) for n, d, e, f in zip(own["node_id"].tolist(), own["dist"].tolist(), own["next_edge"].tolist(), own["fresh"].tolist()) if n // block == number}
-            heap = [(d, n) for n, (d, _) in best.items()]
-            heapq.heapify(heap)
-            while heap:
-                d, n = heapq.heappop(heap)
-                if d > best[n][0]:
-                    continue
-                for u, e, c in into.get(n, ()):
-                    if u not in best or (d + c, e) < best[u]:
-                        if u not in best or d + c < best[u][0]:
-                            heapq.heappush(heap, (d + c, u))
-                        best[u] = (d + c, e)
-            out += [(anchor, n, d, None if e < 0 else e, number, n not in was or was[n][0] != d) for n, (d, e) in best.items() if n // block == number]
-        frame = pd.DataFrame(out, columns=["anchor", "node_id", "dist", "next_edge", "block", "fresh"])
-        return frame.astype({"next_edge": "Int64"})
-
-    return run
-
-
 def _reached(edges: DataFrame, label: DataFrame, forward: bool, max_rounds: int) -> DataFrame:
     """Least label among the nodes that reach each node (forward), or that it reaches."""
     a, b = ("u", "v") if forward else ("v", "u")
