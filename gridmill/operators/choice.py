@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from gridmill.operators.tables import stable_ids
+from gridmill.operators.tables import running_sum, stable_ids
 
 
 def uniform(stream: str, seed: Column | int, *keys: Column) -> Column:
@@ -86,21 +86,22 @@ def calibrate(options: DataFrame, mode: str, by: str, targets: dict, bound: floa
 def cap_rechoose(members: DataFrame, by: list[str], mode: str, cap: int) -> DataFrame:
     """Members of a group who take a mode keep it up to cap, largest margin first, then least id; others take their alternative.
 
-    members: person_id, choice, alternative, margin.
+    members: person_id (no two alike), choice, alternative, margin. No task sorts
+    a whole group: each hands on its first `cap` rows of it.
     """
     on = F.col("choice") == mode
-    rank = F.row_number().over(W.partitionBy(*by, on).orderBy(F.desc("margin"), "person_id"))
-    return members.withColumn("rank", rank).withColumn("choice", F.when(on & (F.col("rank") > cap), F.col("alternative")).otherwise(F.col("choice"))).drop("rank")
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("margin"), "person_id"))
+    stay = members.where(on).withColumn("rank", rank).where(F.col("rank") <= cap).select("person_id", F.lit(True).alias("stays"))
+    return members.join(stay, "person_id", "left").withColumn("choice", F.when(on & F.col("stays").isNull(), F.col("alternative")).otherwise(F.col("choice"))).drop("stays").select(members.columns)
 
 
 def cap_adoption(members: DataFrame, by: list[str], mode: str, share: float) -> DataFrame:
-    """At most floor(share x group) may switch to a mode; those of least margin go back to base. members: person_id, base, choice, margin."""
-    switched = (F.col("choice") == mode) & (F.col("base") != mode)
-    group = W.partitionBy(*by)
-    rank = F.row_number().over(W.partitionBy(*by, switched).orderBy(F.desc("margin"), "person_id"))
-    limit = F.floor(F.count("*").over(group) * F.lit(share))
-    marked = members.withColumn("rank", rank).withColumn("limit", limit)
-    return marked.withColumn("choice", F.when(switched & (F.col("rank") > F.col("limit")), F.col("base")).otherwise(F.col("choice"))).drop("rank", "limit")
+    """At most floor(share x group) may switch to a mode; those of least margin go back to base. members: person_id (no two alike), base, choice, margin."""
+    switched = F.coalesce((F.col("choice") == mode) & (F.col("base") != mode), F.lit(False))
+    ranked = running_sum(members, by, [F.desc("margin"), "person_id"], switched.cast("long"), "__rank")
+    limits = members.groupBy(F.struct(*by).alias("__of")).agg(F.floor(F.count("*") * F.lit(share)).alias("__limit"))
+    marked = ranked.join(limits, F.struct(*by).eqNullSafe(F.col("__of")))
+    return marked.withColumn("choice", F.when(switched & (F.col("__rank") > F.col("__limit")), F.col("base")).otherwise(F.col("choice"))).select(members.columns)
 
 
 def first_driver(persons: DataFrame) -> DataFrame:
@@ -182,8 +183,8 @@ def weighted_sample(rows: DataFrame, key: str, weight: Column, n: int, seed: int
 
 def bootstrap_means(rows: DataFrame, index: str, value: str, n: int, replicates: int, seed: int) -> DataFrame:
     """Mean of each resample of n rows numbered 0..n-1 by `index`."""
-    draws = rows.sparkSession.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    draws = draws.select("rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "i"), F.lit(n)).alias(index))
+    draws = rows.sparkSession.range(replicates * n).select(F.floor(F.col("id") / F.lit(max(n, 1))).alias("rep"), (F.col("id") % F.lit(max(n, 1))).alias("i"))
+    draws = draws.select("rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "i"), F.lit(max(n, 1))).alias(index))
     return draws.join(rows.select(index, value), index).groupBy("rep").agg(F.avg(value).alias("mean"))
 
 

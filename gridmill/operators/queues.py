@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from gridmill.operators.tables import running_sum
+
 
 def fluid_queue(arrivals: DataFrame, by: list[str], order: list[str], arrive: str, service: Column, stretch_s: float = 3600) -> DataFrame:
     """Start, wait and end of service of every arrival at a queue served in order.
@@ -40,9 +42,8 @@ def queue_at_arrival(queued: DataFrame, by: list[str], key: str, arrive: str, we
     """Weighted vehicles waiting when each arrives, itself included: arrivals so far minus services begun by then."""
     moves = F.array(F.struct(F.col(arrive).cast("double").alias("t"), F.lit(1).alias("kind"), F.col(weight).alias("d")), F.struct(F.col("begin").alias("t"), F.lit(0).alias("kind"), (-F.col(weight)).alias("d")))
     events = queued.select(*by, key, F.explode(moves).alias("m")).select(*by, key, "m.*")
-    so_far = W.partitionBy(*by).orderBy("t", "kind", key).rowsBetween(W.unboundedPreceding, W.currentRow)
     # a service begun at my own arrival is mine or an earlier one's, and comes off first
-    return events.withColumn("queue", F.sum("d").over(so_far)).where("kind = 1").select(*by, key, "queue")
+    return running_sum(events, by, ["t", "kind", key], F.col("d"), "queue").where("kind = 1").select(*by, key, "queue")
 
 
 def queue_bins(queued: DataFrame, by: list[str], arrive: str, bin_s: int, bins: int, weight: str, spots: int, car_m: float) -> DataFrame:
@@ -124,15 +125,14 @@ def chain_experience(legs: DataFrame) -> DataFrame:
 def assemble(points: DataFrame) -> DataFrame:
     """Per trip: its edges in order of step, their number, and where they start in a concatenation of all trips by id.
 
-    The running offset goes over one row a trip, in two levels: within blocks of
-    trips, then over the blocks.
+    The running offset goes over one row a trip, inside sampled range partitions
+    of trips and then over one row a partition.
     """
+    from gridmill.operators.choice import cumulated
+
     trips = points.groupBy("trip").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "edge_idx"))), lambda p: p["edge_idx"]).alias("edges"))
-    trips = trips.select("trip", "edges", F.size("edges").cast("long").alias("n"), F.floor(F.col("trip") / 4096).alias("block"))
-    before = trips.groupBy("block").agg(F.sum("n").alias("m"))
-    before = before.select("block", (F.sum("m").over(W.orderBy("block")) - F.col("m")).alias("base"))
-    inside = F.sum("n").over(W.partitionBy("block").orderBy("trip")) - F.col("n")
-    return trips.join(before, "block").select("trip", "edges", "n", (F.col("base") + inside).alias("offset"))
+    trips = trips.select("trip", "edges", F.size("edges").cast("long").alias("n"))
+    return cumulated(trips, "trip", "n").select("trip", "edges", "n", F.col("below").alias("offset"))
 
 
 def position_at(trajectory: DataFrame, times: DataFrame, bucket_s: int = 300) -> DataFrame:

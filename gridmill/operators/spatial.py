@@ -124,8 +124,8 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: str, reach: flo
     d = segment_distance(*(F.col(c) for c in ("x", "z", "x0", "z0", "x1", "z1")))
     met = placed.join(s, ["cell_x", "cell_z"]).withColumn("d", d).where(F.col("d") <= reach)
     met = met.withColumn("end", F.hypot(F.col("x") - F.col("x1"), F.col("z") - F.col("z1")))
-    least = met.groupBy(key).agg(F.min("d").alias("least"))
-    close = met.join(least, key).where(F.col("d") <= F.col("least") + tie)
+    # the window's shuffle serves the aggregation too
+    close = met.withColumn("least", F.min("d").over(W.partitionBy(key))).where(F.col("d") <= F.col("least") + tie)
     best = close.groupBy(key).agg(F.min_by("edge_idx", F.struct(F.round("end", 6), F.col("edge_idx"))).alias("edge_idx"), F.min("least").alias("d"))
     return points.select(key).join(best, key, "left")
 

@@ -159,6 +159,24 @@ def stable_ids(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     return numbered.withColumn(name, F.col("__base") + F.col("__at") - F.shiftleft("__part", 33) + 1).drop("__part", "__base", "__at")
 
 
+def running_sum(rows: DataFrame, by: list[str], order: list, value: Column, name: str) -> DataFrame:
+    """Sum of value over a group's rows up to and with each row, in an order that must be total; null is 0.
+
+    No task sorts a whole group: rows go to sampled range partitions by group and
+    order, are summed inside them, and take on what the group holds in earlier ones.
+    """
+    from gridmill.operators.network import kept
+
+    placed = kept(rows.withColumn("__v", F.coalesce(value, F.lit(0))).repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    inside = W.partitionBy(*by, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = placed.groupBy(*by, "__part").agg(F.sum("__v").alias("__whole"))  # a row for each group in each partition
+    earlier = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    whole = whole.withColumn("__base", F.coalesce(F.sum("__whole").over(earlier), F.lit(0))).select(F.struct(*by, "__part").alias("__of"), "__base")
+    summed = placed.withColumn("__sum", F.sum("__v").over(inside)).withColumn("__of", F.struct(*by, "__part"))
+    met = summed.join(whole.withColumnRenamed("__of", "__of2"), F.col("__of").eqNullSafe(F.col("__of2")))
+    return met.withColumn(name, F.col("__base") + F.col("__sum")).drop("__v", "__part", "__sum", "__of", "__of2", "__base")
+
+
 def latest_year(items: DataFrame, date: str, by: list[str]) -> DataFrame:
     """Items of the most recent year of each group."""
     year = F.year(date)
