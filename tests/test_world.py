@@ -191,3 +191,12 @@ def test_population_follows_its_groups(spark):
     assert all((r.grade >= 0) == (5 <= r.age <= 17) and (r.age >= 16 or not r.has_license) for r in rows)
     two = [r for r in b if r.n_vehicles == 2]
     assert 0.6 < len(two) / len(b) < 0.8
+
+
+def test_pupils_go_to_the_nearest_school_of_their_grade(spark):
+    people = spark.createDataFrame([(1, 3, 1), (1, 3, 2), (1, 7, 3), (2, 3, 1), (2, -1, 2), (3, 5, 1), (1, 12, 4)], "building_id long, grade int, member int")
+    places = spark.createDataFrame([(1, 0.0, 0.0), (2, 5000.0, 0.0)], "building_id long, x double, z double")
+    schools = spark.createDataFrame([(10, 0, 5, 100.0, 0.0), (9, 0, 5, -100.0, 0.0), (11, 6, 8, 20_000.0, 0.0), (12, 0, 8, 6000.0, 0.0)], "school_id long, g0 int, g1 int, x2 double, z2 double")
+    got = {(r.building_id, r.grade, r.member): r.school_id for r in P.with_schools(people, places, schools).collect()}
+    assert got == {(1, 3, 1): 9, (1, 3, 2): 9, (1, 7, 3): 12, (2, 3, 1): 12, (2, -1, 2): None, (3, 5, 1): None, (1, 12, 4): None}
+    assert P.with_schools(people.limit(0), places, schools).count() == 0
