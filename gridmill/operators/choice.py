@@ -183,7 +183,7 @@ def weighted_sample(rows: DataFrame, key: str, weight: Column, n: int, seed: int
 
 def bootstrap_means(rows: DataFrame, index: str, value: str, n: int, replicates: int, seed: int) -> DataFrame:
     """Mean of each resample of n rows numbered 0..n-1 by `index`."""
-    draws = rows.sparkSession.range(replicates * n).select(F.floor(F.col("id") / F.lit(max(n, 1))).alias("rep"), (F.col("id") % F.lit(max(n, 1))).alias("i"))
+    draws = rows.sparkSession.range(replicates * n).select(F.floor(F.col("id") / F.lit(max(n, 1))).alias("rep"), (F.col("id") % F.lit(max(n, 1))).cast("int" if n <= 1 << 31 else "long").alias("i"))
     draws = draws.select("rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "i"), F.lit(max(n, 1))).alias(index))
     return draws.join(rows.select(index, value), index).groupBy("rep").agg(F.avg(value).alias("mean"))
 
