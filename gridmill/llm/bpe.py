@@ -5,6 +5,8 @@ Candidates are the vocabulary entries that end there, found by an automaton
 with suffix links; the one kept is that whose pair with the last token of the
 shorter prefix is compatible, i.e. two tokens that stay as they are when their
 joined string is encoded. The back-pointers from the whole word give the ids.
+Where each token comes from one merge, after those of its parts, two tokens are
+judged by the parts at their border; else their joined string is merged.
 
 Words recur, so each Python worker keeps the ids of the words it has seen, up
 to a fixed number.
@@ -53,12 +55,17 @@ class WordBPE:
         self.names = {i: s for s, i in model["vocab"].items()}
         self.id_of = {mark(s): i for s, i in model["vocab"].items()}
         self.string = {i: s for s, i in self.id_of.items()}
-        self.rank = {}
-        for r, (a, b) in enumerate(model["merges"]):
-            self.rank.setdefault((mark(a), mark(b)), r)
+        self.sizes = {i: len(s) for i, s in self.string.items()}
+        self.rank, self.made, self.ordered = {}, {}, True
+        for r, (a, b) in enumerate((mark(a), mark(b)) for a, b in model["merges"]):
+            self.rank.setdefault((a, b), r)
+            self.ordered &= a + b not in self.made and all(p in self.made or len(self._symbols(p)) == 1 for p in (a, b))
+            self.made[a + b] = (r, a, b)
         self.automaton = ahocorasick.Automaton()
+        self.whole: dict[str, bool] = {}
         for s, i in self.id_of.items():
-            self.automaton.add_word(s, (len(s), i))
+            if self._whole(s):
+                self.automaton.add_word(s, (len(s), i))
         self.automaton.make_automaton()
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
@@ -67,13 +74,12 @@ class WordBPE:
         self.names |= {i: s for s, i in self.special.items()}
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.compatible = lru_cache(1 << 17)(self._compatible)
-        self.whole = lru_cache(1 << 16)(self._whole)
         self.words: dict[str, str] = {}
         self.held = 0
         self.name_of = {str(i): s for i, s in self.names.items()}
 
     def _merge(self, parts: list[str]) -> list[str]:
-        """Plain merging; used on one or two tokens, to judge them."""
+        """Plain merging; used on one or two tokens, to judge them where merges are not in order."""
         while len(parts) > 1:
             rank, at = min((self.rank.get(pair, 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:])))
             if rank == 1 << 60:
@@ -84,32 +90,47 @@ class WordBPE:
     def _symbols(self, s: str) -> list[str]:
         return [*s[:-2], s[-2:]] if s.endswith(_END) else list(s)
 
-    def _whole(self, token: int) -> bool:
-        return len(self._merge(self._symbols(self.string[token]))) == 1
+    def _spine(self, token: str, side: int) -> list[tuple[str, float]]:
+        """A token and the parts at its end (side 2) or start (1), each with the rank of the merge that takes it up."""
+        out, taken = [(token, float("inf"))], token
+        while taken in self.made:
+            rank, taken = self.made[taken][0], self.made[taken][side]
+            out.append((taken, rank))
+        return out
+
+    def _crossed(self, a: str, b: str) -> list[tuple[str, str]]:
+        """Pairs across the border of two whole tokens that merge before either part is taken up on its own side; of equal ranks, the left comes first."""
+        starts, rank = self._spine(b, 1), self.rank.get
+        return [(x, y) for x, to_x in self._spine(a, 2) for y, to_y in starts if (r := rank((x, y))) is not None and r < to_x and r <= to_y]
+
+    def _whole(self, token: str) -> bool:
+        """Whether a token's string, encoded, is that token."""
+        if token not in self.whole:
+            if self.ordered and token in self.made:
+                _, a, b = self.made[token]
+                self.whole[token] = self._whole(a) and self._whole(b) and self._crossed(a, b) == [(a, b)]
+            else:
+                self.whole[token] = len(self._merge(self._symbols(token))) == 1
+        return self.whole[token]
 
     def _compatible(self, left: int, right: int) -> bool:
         a, b = self.string[left], self.string[right]
-        return self._merge(self._symbols(a + b)) == [a, b]
+        return not self._crossed(a, b) if self.ordered else self._merge(self._symbols(a + b)) == [a, b]
 
     def encode_letters(self, word: str) -> list[int]:
         """Ids of one word given in byte letters, word end included."""
-        ends: list[list[tuple[int, int]]] = [[] for _ in word]
-        for at, match in self.automaton.iter(word):
-            ends[at].append(match)
-        last: list[int | None] = [None] * (len(word) + 1)
-        for i, matches in enumerate(ends, 1):
-            for size, token in sorted(matches, reverse=True):
-                before = last[i - size]
-                if self.whole(token) and (i == size or before is not None and self.compatible(before, token)):
-                    last[i] = token
-                    break
-        ids, i = [], len(word)
+        compatible = self.compatible
+        last: list[int | None] = [None] * len(word)
+        for at, (size, token) in self.automaton.iter(word):  # of a place, the longest first
+            if last[at] is None and (size > at or (before := last[at - size]) is not None and compatible(before, token)):
+                last[at] = token
+        ids, i, sizes = [], len(word), self.sizes
         while i:
-            token = last[i]
+            token = last[i - 1]
             if token is None:
                 raise ValueError(f"the vocabulary can't spell {word!r}")
             ids.append(token)
-            i -= len(self.string[token])
+            i -= sizes[token]
         return ids[::-1]
 
     def word(self, word: str) -> str:

@@ -1,4 +1,6 @@
 import hashlib
+import json
+import random
 import re
 from math import log2
 
@@ -6,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gridmill.llm.bpe import bpe_encode, load, op7_bpe_encoding
+from gridmill.llm.bpe import WordBPE, bpe_encode, load, op7_bpe_encoding
 from gridmill.llm.decontaminate import find_benchmark, index_documents, op8_benchmark_decontamination
 from gridmill.llm.secrets import ALLOW, entropy_spans, op6_secret_scan, secret_scan
 
@@ -49,6 +51,36 @@ def test_bpe_odd_texts(spark, library, odd_docs, no_docs):
     assert bpe_encode(no_docs, PATH).count() == 0
 
 
+def test_bpe_judges_by_parts(library):
+    bpe, merged = WordBPE(PATH), []
+    plain = bpe._merge
+    bpe._merge = lambda parts: merged.append(parts) or plain(parts)
+    rng = random.Random(5)
+    for letters in ("etaoinshr", "abcdefghijklmnopqrstuvwxyz", "aeéñßü日本"):
+        text = " ".join("".join(rng.choices(letters, k=rng.randint(1, 30))) for _ in range(2000))
+        got = bpe.encode(text)
+        assert (got.n, got.ids, bpe.decode(got.ids)) == by_library(library, text)
+    assert not merged  # a pair is judged by its parts; merging every new pair anew took most of the time
+    bpe = WordBPE(PATH)
+    ids = rng.sample(sorted(i for i, s in bpe.string.items() if not s.endswith("\n")), 300) + [bpe.id_of[c] for c in "aentrs"]
+    for a, b in zip(ids, ids[1:] + ids[:1]):
+        x, y = bpe.string[a], bpe.string[b]
+        assert bpe._compatible(a, b) == (bpe._merge(bpe._symbols(x + y)) == [x, y]), (x, y)
+
+
+def test_bpe_merges_out_of_order(tmp_path):
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    vocab = ["a", "b", "c", "a</w>", "b</w>", "c</w>", "abc</w>", "ab", "bc</w>"]
+    spec["added_tokens"] = []
+    spec["model"] |= {"vocab": {s: i for i, s in enumerate(vocab)}, "merges": [["a", "bc</w>"], ["ab", "c</w>"], ["b", "c</w>"], ["a", "b"]]}
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps(spec))
+    bpe, small = WordBPE(str(path)), Tokenizer.from_file(str(path))
+    assert not bpe.ordered
+    for word in ("abc", "ab", "bc", "cab", "abab"):
+        assert bpe.encode(word).ids == " ".join(map(str, small.encode(word, add_special_tokens=False).ids)), word
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
