@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import arrow_map, forget, stored, text_bytes
+from gridmill.llm.common import arrow_map, forget, passing_shuffles, stored, text_bytes
 from gridmill.llm.levels import Levels
 from gridmill.llm.windows import Shape, digests, neighbourhoods, normal_bytes, unit_bounds
 
@@ -145,7 +145,7 @@ def repeated_spans(texts: DataFrame, repeated: DataFrame, shape: Shape) -> DataF
     varied = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     contents = stored(_contents(texts, kinds.join(varied, "key", "left_semi").select("rid", "at"), shape), "contents")
     forget(kinds)
-    going, above = contents, ()
+    going, above, done = contents, (), [spans[0], contents]
     lead, most = "(shiftright(at, 8) & 255)", shape.width - shape.gram
     span = f"shiftleft(shiftright(at, 16) + {lead} - least(block * {{0}} + {{0}} - 1, {most}), 16) | (least({{0}}, {most} + 1 - block * {{0}}))"
     for size in shape.blocks:
@@ -153,13 +153,17 @@ def repeated_spans(texts: DataFrame, repeated: DataFrame, shape: Shape) -> DataF
         twice = pieces.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("first")).where("n > 1")
         hits = stored(pieces.join(twice, ["d1", "d2"]).select("rid", "at", "block", "whole", (F.struct("rid", "at") == F.col("first")).alias("lead")), "hits")
         forget(pieces)
+        done.append(hits)
         if size == 1:
             spans.append(hits.select("rid", F.expr(span.format(1)).alias("span")))
         elif above:
             spans.append(hits.where("whole").select("rid", F.expr(span.format(above[-1])).alias("span")))
         going = contents.join(hits.groupBy("rid", "at").agg(F.collect_list(F.struct("block", "whole", "lead")).alias("hits")), ["rid", "at"])
         above = (*above, size)
-    return reduce(DataFrame.union, spans).groupBy("rid").agg(F.collect_set("span").alias("spans"))
+    out = stored(reduce(DataFrame.union, spans).groupBy("rid").agg(F.collect_set("span").alias("spans")), "repeated")
+    for table in done:
+        forget(table)
+    return out
 
 
 def covered(n_units: int, spans: np.ndarray, width: int) -> np.ndarray:
@@ -212,8 +216,9 @@ class RepeatIndex:
 
     def add(self, docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         """Take in documents, batch after batch. Returns them cleaned of what repeats among them and all before."""
-        mine = self.levels.keep("texts", packed(docs, len(self.levels.tables.get("texts", []))))
-        for b in range(batches):
-            self.levels.add(self.entries(mine.where(F.pmod(F.xxhash64("rid"), F.lit(batches)) == b)))
-        spans = repeated_spans(self.levels.kept("texts"), self.keys(self.levels.kept("matches")), self.shape)
+        with passing_shuffles(docs.sparkSession):
+            mine = self.levels.keep("texts", packed(docs, len(self.levels.tables.get("texts", []))))
+            for b in range(batches):
+                self.levels.add(self.entries(mine.where(F.pmod(F.xxhash64("rid"), F.lit(batches)) == b)))
+            spans = repeated_spans(self.levels.kept("texts"), self.keys(self.levels.kept("matches")), self.shape)
         return cleaned(mine, spans, self.shape)

@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter
 
 import pytest
@@ -70,6 +71,28 @@ def test_shared_edges(spark):
     assert found(suffix_dedup(df)) == brute(rows, "byte", 200)
 
 
+@pytest.mark.parametrize("dedup", [suffix_dedup, window_dedup])
+def test_leaves_no_files_behind(spark, dedup, tmp_path, monkeypatch):
+    """Before the result is asked for, shuffle files are gone and only the index, the texts and the spans are on disk."""
+    jvm, go = spark._jvm, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle")}
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"a{i} {passage} b{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for module in ("common", "levels"):
+        monkeypatch.setattr(f"gridmill.llm.{module}.shared_folder", lambda spark: f"file://{tmp_path}")
+    before = files()
+    out = dedup(df)
+    ends = time.time() + 20
+    while files() - before and time.time() < ends:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(go) == "false"
+    held = {p.parent.name.split("-")[0] for p in tmp_path.rglob("*.parquet")}
+    assert held == {"texts", "matches", "run", "repeated"}, held
+    assert found(out) == (brute(rows, "word", 35) if dedup is window_dedup else brute(rows, "byte", 200))
+
+
 def test_levels_merge_geometrically(spark):
     levels = Levels(spark, ["key"])
     sizes, matches = [], []
