@@ -105,7 +105,7 @@ def index_documents(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([number]), both, pa.array([found.terms], pa.list_(pa.binary())), pa.array([found.counts], pa.list_(pa.int64())), pa.array([steps.tobytes()], pa.binary())], ["segment", "docs", "terms", "counts", "positions"])
                 number += 1
 
-    return stored(docs.select("doc_id", text_bytes().alias("text")).mapInArrow(build, schema), "segments")
+    return stored(docs.select("doc_id", text_bytes().alias("text")).mapInArrow(build, schema), "segments", large_rows=True)
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -1,3 +1,4 @@
+import glob
 import hashlib
 import json
 import random
@@ -5,9 +6,12 @@ import re
 from math import log2
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from gridmill.llm import decontaminate
 from gridmill.llm.bpe import WordBPE, bpe_encode, load, op7_bpe_encoding
 from gridmill.llm.decontaminate import find_benchmark, index_documents, op8_benchmark_decontamination
 from gridmill.llm.secrets import ALLOW, entropy_spans, op6_secret_scan, secret_scan
@@ -127,6 +131,15 @@ def test_benchmark_odd_rows(spark, odd_docs, no_docs, chunk):
     assert find_benchmark(index_documents(odd_docs), items.where("false"), chunk=chunk).where("size(hits) > 0").count() == 0
 
 
+def test_segments_of_a_task_lie_in_several_row_groups(spark, monkeypatch):
+    """A task that writes many segments never holds them all, nor does one that reads them."""
+    monkeypatch.setattr(decontaminate, "SEGMENT", 20)
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.sha1((F.col("id") * 100_000 + i).cast("string"))))
+    index = index_documents(spark.range(0, 200, numPartitions=1).select(F.col("id").alias("doc_id"), F.substring(text, 1, 400_000).alias("text")))
+    groups = [g.row_group(i).total_byte_size for path in glob.glob(index.stored_path.removeprefix("file://") + "/*.parquet") for g in [pq.ParquetFile(path).metadata] for i in range(g.num_row_groups)]
+    assert index.count() >= 10 and len(groups) > 1 and max(groups) < 48 << 20
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma of the beta and alpha"), (3, "alpha " + "x " * 30 + "beta gamma")], "doc_id long, text string")
     docs = docs.repartition(2)
