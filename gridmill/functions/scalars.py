@@ -209,7 +209,8 @@ def safe_text(text: Column, allowed: Column, clocks: Column | None = None, most:
 
 def delta_phrase(minutes: Column) -> Column:
     """Minutes faster or slower, or about the same (within half a minute); null stays null."""
-    size = F.format_string("%.1f", F.abs(minutes))
+    # rounds the number itself, ties to even; format_string rounds the digits it prints, so 2.25 and 1.15 would go up
+    size = F.call_function("format_number", F.abs(minutes), F.lit("0.0"))
     return F.when(F.abs(minutes) < 0.5, "about the same").when(minutes < 0, F.concat(size, F.lit(" minutes faster"))).when(minutes > 0, F.concat(size, F.lit(" minutes slower")))
 
 
