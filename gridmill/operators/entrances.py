@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.operators.spatial import cells_between, in_ring, nearest, segment_distance
+from gridmill.operators.spatial import cells_between, in_ring, nearest, segment_distance, spread
 from gridmill.operators.world import near_rings
 
 
@@ -69,7 +69,7 @@ def campus_entrances(campuses: DataFrame, nodes: DataFrame, edges: DataFrame, ra
         around = around.withColumn(f"cell_{axis}", cells_between(F.array_min(values) - search, F.array_max(values) + search, size))
         lines = lines.withColumn(f"cell_{axis}", cells_between(F.least(f"{axis}0", f"{axis}1"), F.greatest(f"{axis}0", f"{axis}1"), size))
     seg = [F.col(c) for c in ("x0", "z0", "x1", "z1")]
-    beside = lines.join(around, ["cell_x", "cell_z"]).where(segment_ring_distance(*seg, F.col("ring")) <= search)
+    beside = lines.join(spread(around), ["cell_x", "cell_z"]).where(segment_ring_distance(*seg, F.col("ring")) <= search)
     beside = kept(beside.select("campus", "road", "rank", "edge_idx", "u", "v", F.round(segment_distance(F.col("core_x"), F.col("core_z"), *seg), 6).alias("d"), _foot(F.col("core_x"), F.col("core_z"), *seg).alias("p")).distinct())
     by_road = beside.groupBy("campus", "road").agg(F.max("rank").alias("rank"), F.min("d").alias("d"))
     main = by_road.groupBy("campus").agg(F.min_by("road", F.struct(-F.col("rank"), "d", "road")).alias("road"))

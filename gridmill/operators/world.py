@@ -33,8 +33,9 @@ def _ring_distance(x: Column, z: Column, ring: Column) -> Column:
 def near_rings(points: DataFrame, rings: DataFrame, reach: float) -> DataFrame:
     """Pairs of point (x2, z2, ...) and ring no further apart than reach; d is 0 inside."""
     placed = points.withColumn("cell_x", cell(F.col("x2"), reach)).withColumn("cell_z", cell(F.col("z2"), reach))
-    met = placed.join(_bounded(rings, reach, reach), ["cell_x", "cell_z"]).drop("cell_x", "cell_z")
-    from gridmill.operators.spatial import in_ring
+    from gridmill.operators.spatial import in_ring, spread
+
+    met = placed.join(spread(_bounded(rings, reach, reach)), ["cell_x", "cell_z"]).drop("cell_x", "cell_z")
 
     inside = in_ring(F.col("x2"), F.col("z2"), F.col("ring"))
     return met.withColumn("d", F.when(inside, 0.0).otherwise(_ring_distance(F.col("x2"), F.col("z2"), F.col("ring")))).where(F.col("d") <= reach)
