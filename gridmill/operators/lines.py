@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -95,22 +99,37 @@ def greedy_tour(routes: DataFrame, circuity: float = 1.0) -> DataFrame:
     routes: route, x, z, stops array<struct(id, x, z)>. Distances that agree to
     six digits are ties, which go by id.
     """
-    far = lambda a, x, z: F.round(F.hypot(a["x"] - x, a["z"] - z), 6)
-    first = F.array_max(F.transform("stops", lambda s: F.struct(far(s, F.col("x"), F.col("z")).alias("d"), (-s["id"]).alias("k"), s.alias("s"))))["s"]
-    start = F.struct(F.array(first).alias("tour"), F.filter("stops", lambda s: s["id"] != first["id"]).alias("left"))
-
-    def step(a, _):
-        last = F.element_at(a["tour"], -1)
-        near = F.array_min(F.transform(a["left"], lambda s: F.struct(far(s, last["x"], last["z"]).alias("d"), s["id"].alias("k"), s.alias("s"))))["s"]
-        return F.struct(F.concat(a["tour"], F.array(near)).alias("tour"), F.filter(a["left"], lambda s: s["id"] != near["id"]).alias("left"))
-
-    tour = F.aggregate(F.slice("stops", F.lit(2), F.greatest(F.size("stops"), F.lit(0))), start, step)["tour"]
-    placed = routes.where(F.size("stops") > 0).withColumn("t", tour)
-    last = F.struct(F.lit(None).cast("long").alias("id"), F.col("x").alias("x"), F.col("z").alias("z"))
-    leg = lambda a, b: F.hypot(a["x"] - b["x"], a["z"] - b["z"])
-    # from the last stop backwards, each way is the leg to the next stop and that one's own way
-    back = F.aggregate(F.reverse("t"), F.struct(last.alias("at"), F.array().cast("array<double>").alias("km")), lambda a, s: F.struct(F.struct(s["id"].alias("id"), s["x"].alias("x"), s["z"].alias("z")).alias("at"), F.concat(F.array(F.coalesce(F.get(a["km"], 0), F.lit(0.0)) + leg(s, a["at"]) * circuity / 1000), a["km"]).alias("km")))["km"]
-    return placed.select("route", F.transform("t", lambda s: s["id"]).alias("tour"), back.alias("ride_km"))
+    kind = routes.schema["route"].dataType.simpleString()
+
+    def walk(x: float, z: float, stops: list[dict]) -> tuple[list[int], list[float]]:
+        """Each step looks once at the stops that are left, which lie in arrays by id."""
+        stops = sorted(stops, key=lambda s: s["id"])
+        ids = np.array([s["id"] for s in stops], dtype=np.int64)
+        xs, zs = (np.array([s[c] for s in stops], dtype=float) for c in ("x", "z"))
+        d = np.round(np.hypot(xs - x, zs - z), 6)
+        at = int(np.argmax(d))  # the first of equals, that is the least id
+        order = []
+        left = np.arange(len(ids))
+        while True:
+            order.append(at)
+            left = left[left != at]
+            if not len(left):
+                break
+            at = int(left[np.argmin(np.round(np.hypot(xs[left] - xs[at], zs[left] - zs[at]), 6))])
+        xs, zs = np.append(xs[order], x), np.append(zs[order], z)
+        legs = np.hypot(np.diff(xs), np.diff(zs)) * circuity / 1000
+        return ids[order].tolist(), np.cumsum(legs[::-1])[::-1].tolist()
+
+    def tours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                _, x, z, stops = (c[0].as_py() for c in row.columns)
+                tour, km = walk(x, z, stops)
+                yield pa.RecordBatch.from_arrays([row.column(0), pa.array([tour], pa.list_(pa.int64())), pa.array([km], pa.list_(pa.float64()))], ["route", "tour", "ride_km"])
+
+    rows = routes.where(F.size("stops") > 0).select("route", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"), "stops")
+    return rows.mapInArrow(tours, f"route {kind}, tour array<bigint>, ride_km array<double>")
 
 
 def nearest_two(trees: DataFrame, buildings: DataFrame, roads: DataFrame, key: str) -> DataFrame:

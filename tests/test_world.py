@@ -2,6 +2,7 @@
 
 import heapq
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,21 @@ def test_pupils_go_to_the_nearest_school_of_their_grade(spark):
     got = {(r.building_id, r.grade, r.member): r.school_id for r in P.with_schools(people, places, schools).collect()}
     assert got == {(1, 3, 1): 9, (1, 3, 2): 9, (1, 7, 3): 12, (2, 3, 1): 12, (2, -1, 2): None, (3, 5, 1): None, (1, 12, 4): None}
     assert P.with_schools(people.limit(0), places, schools).count() == 0
+
+
+def test_a_long_tour_takes_a_look_at_each_stop_a_step(spark):
+    """1,500 stops on a grid full of ties: by id, and in seconds."""
+    began = time.time()
+    stops = [(i, float(i * 7919 % 1500 % 50 * 250), float(i * 7919 % 1500 // 50 * 250)) for i in range(1500)]
+    df = spark.createDataFrame([(1, 0.0, 0.0, stops)], "route long, x double, z double, stops array<struct<id: long, x: double, z: double>>")
+    got = L.greedy_tour(df, 1.3).first()
+    left = {s[0]: s[1:] for s in stops}
+    at = max(left, key=lambda i: (round(math.hypot(*left[i]), 6), -i))
+    tour, km, place = [at], 0.0, left.pop(at)
+    while left:
+        at = min(left, key=lambda i: (round(math.dist(left[i], place), 6), i))
+        km += math.dist(left[at], place)
+        place = left.pop(at)
+        tour.append(at)
+    assert got.tour == tour and got.ride_km[0] == pytest.approx((km + math.hypot(*place)) * 1.3 / 1000)
+    assert len(got.ride_km) == 1500 and time.time() - began < 60
